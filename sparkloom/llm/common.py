@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,9 +73,9 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Reco
         for c in columns:
             if batch.num_rows > 1:
                 a, b = c.slice(0, batch.num_rows - 1), c.slice(1)
-                differ = pa.compute.not_equal(a, b)
-                nulls = pa.compute.xor(pa.compute.is_null(a), pa.compute.is_null(b))
-                change[1:] |= pa.compute.or_(pa.compute.fill_null(differ, False), nulls).to_numpy(zero_copy_only=False)
+                differ = pc.not_equal(a, b)
+                nulls = pc.xor(pc.is_null(a), pc.is_null(b))
+                change[1:] |= pc.or_(pc.fill_null(differ, False), nulls).to_numpy(zero_copy_only=False)
         starts = [*np.flatnonzero(change).tolist(), batch.num_rows]
         for lo, hi in zip(starts[:-1], starts[1:], strict=True):
             key = tuple(c[lo].as_py() for c in columns)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.llm.caps import similar_vectors
 from sparkloom.llm.common import table
 from sparkloom.llm.minhash import near_duplicates
 
@@ -42,3 +43,27 @@ WITH RECURSIVE words AS (
 SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(m, w.doc_id) AS component_id, coalesce(m, w.doc_id) = w.doc_id AS kept
 FROM words w LEFT JOIN sizes USING (doc_id) LEFT JOIN least_id ON a = w.doc_id
 """
+
+
+@_query
+def op1_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings of one label with cosine 0.98 or more."""
+    return similar_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+ORACLE_SQL["op1_spherical_caps"] = """
+WITH RECURSIVE unit AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings
+), links AS (
+    SELECT a.vec_id AS x, b.vec_id AS y FROM unit a JOIN unit b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.98
+), reach AS (
+    SELECT x AS a, x AS b FROM links UNION SELECT r.a, l.y FROM reach r JOIN links l ON l.x = r.b
+), least_id AS (
+    SELECT a, min(b) AS m FROM reach GROUP BY a
+), counted AS (
+    SELECT x, count(*) AS n FROM links GROUP BY x
+)
+SELECT vec_id, coalesce(c.n, 0)::BIGINT AS n_links, coalesce(m, vec_id) AS component_id, coalesce(m, vec_id) = vec_id AS kept
+FROM unit LEFT JOIN counted c ON c.x = vec_id LEFT JOIN least_id ON a = vec_id
+"""
