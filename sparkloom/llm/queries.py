@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkloom.llm.caps import similar_vectors
 from sparkloom.llm.common import table
 from sparkloom.llm.minhash import near_duplicates
+from sparkloom.llm.warc import read_warc, write_warc
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -67,3 +68,21 @@ WITH RECURSIVE unit AS (
 SELECT vec_id, coalesce(c.n, 0)::BIGINT AS n_links, coalesce(m, vec_id) AS component_id, coalesce(m, vec_id) = vec_id AS kept
 FROM unit LEFT JOIN counted c ON c.x = vec_id LEFT JOIN least_id ON a = vec_id
 """
+
+
+@_query
+def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC archives and read back by coalesced byte ranges."""
+    return read_warc(write_warc(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE_SQL["op9_warc_index"] = """
+WITH payloads AS (
+    SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), firsts AS (
+    SELECT payload_digest, max(page_id) AS first_id FROM payloads WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, payloads.payload_digest, CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM payloads LEFT JOIN firsts ON firsts.payload_digest = payloads.payload_digest AND payload_bytes >= 1000
+"""
