@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.llm.bpe import round_trip_digests
 from sparkloom.llm.caps import similar_vectors
 from sparkloom.llm.common import table
 from sparkloom.llm.minhash import near_duplicates
@@ -86,3 +87,9 @@ SELECT page_id, payload_bytes, payloads.payload_digest, CASE WHEN first_id <> pa
     CASE WHEN first_id <> page_id THEN first_id END AS refers_to
 FROM payloads LEFT JOIN firsts ON firsts.payload_digest = payloads.payload_digest AND payload_bytes >= 1000
 """
+
+
+@_query
+def op3_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents to ids and back."""
+    return round_trip_digests(table(spark, sf_dir, "documents"))
