@@ -17,8 +17,8 @@ with a chance of about 2**-64.
 4. Buckets whose members the confirmed links have already joined hold no
    further information.  In the others every pair of members from different
    components is compared by sketch, block by block inside tasks; pairs that
-   pass are confirmed on the full sets.  No pair is left out and buckets have
-   no cap.
+   pass are confirmed on the full sets, in the block of their first common
+   band.  No pair is left out and buckets have no cap.
 
 A link at the threshold 0.85 shares no band with probability below 1e-10, and at
 0.8 below 1e-7; the sketch lets pairs pass from ``SLACK`` below the threshold,
@@ -41,8 +41,8 @@ from sparkloom.llm.components import components
 
 HASHES, BANDS, ROWS, BITS = 192, 32, 4, 1024
 SLACK = 0.15
-#: Members of a bucket that are compared with one another in one task.
-BLOCK = 2000
+#: Members of a bucket, and their shingles, that are compared with one another in one task.
+BLOCK, BLOCK_SHINGLES = 2000, 2_000_000
 _MULTIPLIERS = odd_numbers(HASHES, 10)
 _PLACES = odd_numbers(64, 11)
 _FLIPS = odd_numbers(HASHES, 12)
@@ -165,42 +165,92 @@ def _star_pairs(buckets: DataFrame, sketches: DataFrame, percent: int) -> DataFr
     return pairs.join(one, "a").join(two, "b").where(fits).select("a", "b")
 
 
-def _across_pairs(buckets: DataFrame, sketches: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of a bucket's members that lie in different components and whose sizes and sketches allow the threshold."""
+def _fitting(group: pa.Table, key: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a block that lie in different components, whose sizes and sketches allow the threshold, and whose first common band is this one."""
     at_most = most_flips(percent / 100 - SLACK)
-    rows = buckets.join(known.withColumnRenamed("id", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
-    open_ = rows.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("m")).where("p != q").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = rows.join(open_, "key").withColumn("mine", mine).join(sketches, "rep")
-    dealt = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "mine", "rep", "part", "n", "sketch")
-    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "part", "n", "sketch")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, ["key", "i", "j"]):
-            i, j = group["i"][0].as_py(), group["j"][0].as_py()
-            mine, rep, part, n = (group[c].to_numpy() for c in ("mine", "rep", "part", "n"))
-            words = np.array(group["sketch"].combine_chunks().flatten()).reshape(len(rep), -1).view(np.uint64)
-            left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-            for lo in range(0, len(left), 256):
-                rows = left[lo : lo + 256]
-                fits = part[rows][:, None] != part[right][None]
-                a, b = n[rows][:, None], n[right][None]
-                fits &= 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
-                if i == j:
-                    fits &= rep[rows][:, None] < rep[right][None]
-                p, q = np.nonzero(fits)
-                if not len(p):
+    i, j = group["i"][0].as_py(), group["j"][0].as_py()
+    mine, rep, part, n = (group[c].to_numpy() for c in ("mine", "rep", "part", "n"))
+    words, bands = (np.asarray(group[c].combine_chunks().flatten()).reshape(len(rep), -1) for c in ("sketch", "bands"))
+    left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+    for lo in range(0, len(left), 256):
+        rows = left[lo : lo + 256]
+        a, b = n[rows][:, None], n[right][None]
+        fits = (part[rows][:, None] != part[right][None]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+        if i == j:
+            fits &= rep[rows][:, None] < rep[right][None]
+        p, q = np.nonzero(fits)
+        p, q = rows[p], right[q]
+        flips = np.zeros(len(p), np.int64)
+        for w in range(words.shape[1]):
+            flips += np.bitwise_count((words[p, w] ^ words[q, w]).view(np.uint64))
+        p, q = p[flips <= at_most], q[flips <= at_most]
+        first = (bands[p] == bands[q]).argmax(1)
+        here = bands[p, first] == key
+        yield p[here], q[here]
+
+
+def _joined(group: pa.Table, key: int, percent: int) -> list[tuple[int, int]]:
+    """Links between the components of a block's rows, confirmed on the sets; pairs that earlier links have joined need no look."""
+    rep, part = group["rep"].to_numpy(), group["part"].to_numpy()
+    flat, at = np.asarray(group["hashes"].combine_chunks().flatten()).view(np.uint64), np.asarray(group["hashes"].combine_chunks().offsets)
+    at = at - at[0]
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    links = []
+    for p, q in _fitting(group, key, percent):
+        cuts = np.flatnonzero(np.diff(p)) + 1
+        for x, partners in zip(p[np.concatenate([[0], cuts])] if len(p) else [], np.split(q, cuts), strict=True) if len(p) else ():
+            own = np.sort(flat[at[x] : at[x + 1]])
+            for y in partners:
+                if top(int(part[x])) == top(int(part[y])):
                     continue
-                p, q = rows[p], right[q]
-                flips = np.zeros(len(p), np.int64)
-                for w in range(words.shape[1]):
-                    flips += np.bitwise_count(words[p, w] ^ words[q, w])
-                p, q = p[flips <= at_most], q[flips <= at_most]
-                if len(p):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[p], rep[q])), pa.array(np.maximum(rep[p], rep[q]))], names=["a", "b"])
+                other = flat[at[y] : at[y + 1]]
+                found = own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other
+                common = int(found.sum())
+                if 100 * common >= percent * (len(own) + len(other) - common):
+                    root[top(int(part[x]))] = top(int(part[y]))
+                    links.append((int(rep[x]), int(rep[y])))
+    return links
 
-    sorted_ = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return sorted_.mapInArrow(compare, "a long, b long").distinct()
+
+def _across_links(buckets: DataFrame, classes: DataFrame, known: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """Links (a, b) that join the components of a bucket's members.
+
+    Blocks of members first tell which of their rows have a pair to confirm, one
+    row for each; only those rows get their sets, and the pairs are confirmed
+    where they meet, so no pair ever becomes a row.
+    """
+    rows = buckets.join(known.withColumnRenamed("id", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).select("key", "rep", "part")
+    open_ = rows.join(classes.select("rep", "n"), "rep").groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("m"), F.sum("n").alias("size")).where("p != q")
+    open_ = open_.select("key", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = rows.join(open_, "key").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "part")
+    traits = classes.select("rep", "n", "sketch", "bands")
+    place = ["key", "i", "j"]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, place):
+            key = group["key"][0].as_py()
+            pairs = [np.concatenate(x) for x in _fitting(group, key, percent)]
+            if pairs and len(rows := np.unique(np.concatenate(pairs))):
+                yield from group.select([*place, "mine", "rep", "part"]).take(pa.array(rows)).combine_chunks().to_batches()
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, place):
+            links = _joined(group, group["key"][0].as_py(), percent)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], names=["a", "b"])
+
+    gathered = dealt.join(traits, "rep").repartition(*place).sortWithinPartitions(*place)
+    meetings = saved(gathered.mapInArrow(meet, "key long, i int, j int, mine int, rep long, part long"), "meetings")
+    sets = _sets(docs, saved(meetings.select(F.col("rep").alias("id")).distinct(), "ids"), words)
+    full = meetings.join(traits, "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
+    return full.repartition(*place).sortWithinPartitions(*place).mapInArrow(confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
@@ -220,8 +270,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataF
     buckets = saved(keys.join(shared, "key"), "buckets")
     star = saved(_confirmed(saved(_star_pairs(buckets, sketches, percent), "pairs"), docs, percent, words), "links")
     found = saved(components(star, "a", "b"), "components")
-    more = saved(_across_pairs(buckets, sketches, found, percent), "pairs")
-    links = star.unionByName(_confirmed(more, docs, percent, words))
+    links = star.unionByName(_across_links(buckets, classes, found, docs, percent, words))
     found = saved(components(links, "a", "b"), "components")
     of_class = classes.select("set_id", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
     own = F.coalesce("component", "doc_id")
