@@ -8,6 +8,7 @@ from sparkloom.llm.bpe import round_trip_digests
 from sparkloom.llm.caps import similar_vectors
 from sparkloom.llm.common import table
 from sparkloom.llm.minhash import near_duplicates
+from sparkloom.llm.repair import id_digests, write_ids
 from sparkloom.llm.warc import read_warc, write_warc
 
 QUERIES = {}
@@ -93,3 +94,9 @@ FROM payloads LEFT JOIN firsts ON firsts.payload_digest = payloads.payload_diges
 def op3_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to ids and back."""
     return round_trip_digests(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents written as Re-Pair shards and read back."""
+    return id_digests(write_ids(table(spark, sf_dir, "documents")))
