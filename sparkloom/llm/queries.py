@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkloom.llm.bpe import round_trip_digests
 from sparkloom.llm.caps import similar_vectors
 from sparkloom.llm.common import table
+from sparkloom.llm.media import media_digests
 from sparkloom.llm.minhash import near_duplicates
 from sparkloom.llm.repair import id_digests, write_ids
 from sparkloom.llm.warc import read_warc, write_warc
@@ -100,3 +101,9 @@ def op3_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents written as Re-Pair shards and read back."""
     return id_digests(write_ids(table(spark, sf_dir, "documents")))
+
+
+@_query
+def op6_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as 8-bit sound, stored as deduplicated chunks and rebuilt."""
+    return media_digests(table(spark, sf_dir, "documents"))
