@@ -126,7 +126,7 @@ def chunk_store(docs: DataFrame) -> DataFrame:
 def rebuilt(recipe: DataFrame, store: DataFrame) -> DataFrame:
     """(media_id, media) of every file in ``recipe`` (media_id, chunks), put together from ``store`` and verified."""
     files = recipe.groupBy("media_id").agg(F.first("chunks").alias("chunks"))
-    place = F.posexplode(F.sequence(F.lit(0), F.octet_length("chunks") / _DIGEST_BYTES - 1)).alias("place", "k")
+    place = F.posexplode(F.sequence(F.lit(0), (F.octet_length("chunks") / _DIGEST_BYTES).cast("int") - 1)).alias("place", "k")
     wanted = files.select("media_id", "chunks", place).select("media_id", "place", F.expr(f"substring(chunks, place * {_DIGEST_BYTES} + 1, {_DIGEST_BYTES})").alias("digest"))
     parts = wanted.join(store, "digest", "left").repartition("media_id").sortWithinPartitions("media_id", "place")
 
