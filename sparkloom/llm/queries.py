@@ -10,6 +10,7 @@ from sparkloom.llm.common import table
 from sparkloom.llm.media import media_digests
 from sparkloom.llm.minhash import near_duplicates
 from sparkloom.llm.repair import id_digests, write_ids
+from sparkloom.llm.toxicity import toxicity
 from sparkloom.llm.warc import read_warc, write_warc
 
 QUERIES = {}
@@ -107,3 +108,9 @@ def op8_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as 8-bit sound, stored as deduplicated chunks and rebuilt."""
     return media_digests(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
