@@ -5,11 +5,15 @@ samples of a mono 8-bit WAV file.  The file is cut where a rolling gear hash of
 the last ``WINDOW`` bytes has its top bits zero, so equal passages give equal
 chunks wherever they stand.
 
-* Recipe: each row's ordered list of chunk digests; equal files have one recipe.
-* Store: each chunk once, compressed, found by an aggregation over digests.
-* Reading: recipes are joined with the store on the digest, the chunks of a file
-  are brought together in order, and the file is rebuilt and checked against the
-  digest of the file that was stored.
+* Writing: each task appends the chunks that are new to it, compressed, to a pack
+  of its own, and returns a recipe for each row: the ordered digests of its
+  chunks and where the task put them.
+* Deduplication: an aggregation over digests gives every chunk one place; recipes
+  are joined with it on the digest, so only digests and places are shuffled,
+  never payloads.  Copies in other packs are no longer referred to.
+* Reading: the recipes of different files are sorted by place, and tasks read the
+  byte ranges they need, neighbours in one read; each file is rebuilt and checked
+  against the digest of the file that was stored.
 """
 
 from __future__ import annotations
@@ -24,7 +28,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import mixed, runs, saved, slices, small_batches
+from sparkloom.llm.common import fresh_path, mixed, saved, slices, small_batches
+from sparkloom.llm.files import Input, Output, coalesced
 
 #: Bytes of a frame of samples, sample rate.
 FRAME, RATE = 192, 8000
@@ -32,6 +37,8 @@ FRAME, RATE = 192, 8000
 LEAST, USUAL, MOST, WINDOW = 2048, 8192, 65536, 32
 _GEAR = mixed(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32)
 _DIGEST_BYTES = 16
+#: Packs are closed at this size; reads are joined over this gap, up to this length.
+PACK_BYTES, GAP_BYTES, READ_BYTES = 256 << 20, 256 << 10, 8 << 20
 
 
 def wav_header(samples: int) -> bytes:
@@ -93,56 +100,81 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def recipes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media_id, chunks) of every row: the SHA-256 of its file and the digests of the file's chunks in order."""
-    small_batches(docs.sparkSession)
+def store_chunks(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write the chunks of every row's file and return the recipes, a table in the shared folder.
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 500):
-            media, sizes = zip(*map(to_media, batch.column(1).to_pylist()), strict=True) if batch.num_rows else ((), ())
-            lists = [b"".join(map(_digest, _pieces(m))) for m in media]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array([hashlib.sha256(m).digest() for m in media], pa.binary()), pa.array(lists, pa.binary())], names=["doc_id", "n_bytes", "media_id", "chunks"])
-
-    return _texts(docs).mapInArrow(cut, "doc_id long, n_bytes long, media_id binary, chunks binary")
-
-
-def chunk_store(docs: DataFrame) -> DataFrame:
-    """(digest, data): each chunk of the rows' files once, data compressed with zstd."""
-    small_batches(docs.sparkSession)
+    (doc_id, n_bytes, media_id, pack, chunks): the bytes of the text, the SHA-256
+    of the file, the pack written by the task, and for each chunk in order its
+    digest and its offset and length in the pack.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    folder = folder or fresh_path(spark, "packs")
+    chunk = pa.struct([("digest", pa.binary()), ("offset", pa.int64()), ("length", pa.int64())])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=6).compress
+        out = None
+        known: dict[bytes, tuple[int, int]] = {}
         for batch in slices(batches, 500):
-            new: dict[bytes, bytes] = {}
+            if out is None or out.size > PACK_BYTES:
+                if out:
+                    out.close()
+                out, known = Output(folder, ".pack"), {}
+            sizes, names, lists = [], [], []
             for text in batch.column(1).to_pylist():
-                for chunk in _pieces(to_media(text)[0]):
-                    if (d := _digest(chunk)) not in new:
-                        new[d] = squeeze(chunk)
-            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary()), pa.array(list(new.values()), pa.binary())], names=["digest", "data"])
-
-    return _texts(docs).mapInArrow(cut, "digest binary, data binary").groupBy("digest").agg(F.first("data").alias("data"))
-
-
-def rebuilt(recipe: DataFrame, store: DataFrame) -> DataFrame:
-    """(media_id, media) of every file in ``recipe`` (media_id, chunks), put together from ``store`` and verified."""
-    files = recipe.groupBy("media_id").agg(F.first("chunks").alias("chunks"))
-    place = F.posexplode(F.sequence(F.lit(0), (F.octet_length("chunks") / _DIGEST_BYTES).cast("int") - 1)).alias("place", "k")
-    wanted = files.select("media_id", "chunks", place).select("media_id", "place", F.expr(f"substring(chunks, place * {_DIGEST_BYTES} + 1, {_DIGEST_BYTES})").alias("digest"))
-    parts = wanted.join(store, "digest", "left").repartition("media_id").sortWithinPartitions("media_id", "place")
+                media, size = to_media(text)
+                parts = []
+                for piece in _pieces(media):
+                    d = _digest(piece)
+                    if d not in known:
+                        data = squeeze(piece)
+                        known[d] = (out.write(data), len(data))
+                    parts.append((d, *known[d]))
+                sizes.append(size)
+                names.append(hashlib.sha256(media).digest())
+                lists.append([dict(zip(("digest", "offset", "length"), x, strict=True)) for x in parts])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array([out.path] * len(sizes), pa.string()), pa.array(lists, pa.list_(chunk))], names=["doc_id", "n_bytes", "media_id", "pack", "chunks"])
+        if out:
+            out.close()
+
+    return saved(_texts(docs).mapInArrow(write, "doc_id long, n_bytes long, media_id binary, pack string, chunks array<struct<digest: binary, offset: bigint, length: bigint>>"), "recipes")
+
+
+def deduplicated(recipes: DataFrame) -> DataFrame:
+    """(media_id, parts) of every file once: the ordered places of its chunks, each digest having one place."""
+    each = recipes.select("media_id", "pack", F.posexplode("chunks").alias("number", "chunk")).select("media_id", "number", "pack", "chunk.*")
+    places = each.groupBy("digest").agg(F.min(F.struct("pack", "offset", "length")).alias("place"))
+    first = recipes.groupBy("media_id").agg(F.first("chunks.digest").alias("digests"))
+    wanted = first.select("media_id", F.posexplode("digests").alias("number", "digest")).join(places, "digest")
+    return wanted.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("number", "place.pack", "place.offset", "place.length"))).alias("parts"))
+
+
+def rebuilt(files: DataFrame) -> DataFrame:
+    """(media_id, media) of every row of ``files`` (media_id, parts), read from the packs and verified."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grow = zstandard.ZstdDecompressor().decompress
-        for file in runs(batches, ["media_id"]):
-            data = file["data"].to_pylist()
-            if None in data:
-                raise ValueError("a chunk is missing from the store")
-            media = b"".join(map(grow, data))
-            name = file["media_id"][0].as_py()
-            if hashlib.sha256(media).digest() != name:
+        for batch in slices(batches, 200):
+            names, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            by_pack: dict[str, set[tuple[int, int]]] = {}
+            for p in (p for x in parts for p in x):
+                by_pack.setdefault(p["pack"], set()).add((p["offset"], p["length"]))
+            chunks: dict[tuple[str, int], bytes] = {}
+            for pack, wanted in by_pack.items():
+                source, ranges = Input(pack), sorted(wanted)
+                for at, length, lo, hi in coalesced(ranges, GAP_BYTES, READ_BYTES):
+                    data = source.read(at, length)
+                    for offset, n in ranges[lo:hi]:
+                        chunks[pack, offset] = data[offset - at : offset - at + n]
+                source.close()
+            media = [b"".join(grow(chunks[p["pack"], p["offset"]]) for p in x) for x in parts]
+            if any(hashlib.sha256(m).digest() != n for m, n in zip(media, names, strict=True)):
                 raise ValueError("a rebuilt file differs from the one that was stored")
-            yield pa.RecordBatch.from_arrays([pa.array([name], pa.binary()), pa.array([media], pa.binary())], names=["media_id", "media"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(media, pa.binary())], names=["media_id", "media"])
 
-    return parts.select("media_id", "place", "data").mapInArrow(build, "media_id binary, media binary")
+    near = files.repartitionByRange(F.col("parts")[0]["pack"], F.col("parts")[0]["offset"]).sortWithinPartitions(F.col("parts")[0]["pack"], F.col("parts")[0]["offset"])
+    return near.select("media_id", "parts").mapInArrow(build, "media_id binary, media binary")
 
 
 def sound_features(samples: bytes) -> str:
@@ -183,6 +215,6 @@ def media_digests(docs: DataFrame) -> DataFrame:
     n_bytes is computed from the file as rebuilt from the store, once for equal
     texts.
     """
-    recipe = saved(recipes(docs), "recipes")
-    features = media_features(rebuilt(recipe, chunk_store(docs)))
-    return recipe.select("doc_id", "n_bytes", "media_id").join(features, "media_id").drop("media_id")
+    recipes = store_chunks(docs)
+    features = media_features(rebuilt(saved(deduplicated(recipes), "files")))
+    return recipes.select("doc_id", "n_bytes", "media_id").join(features, "media_id").drop("media_id")
