@@ -34,9 +34,11 @@ from sparkloom.llm.common import mixed, odd_numbers, saved, slices, small_batche
 #: Labelled rows that the classifier is fitted on, of each class; n-grams that it may keep; rows of its logistic part.
 TRAIN_ROWS, MAX_GRAMS = 20_000, 50_000
 #: Pseudo-rows that stand for no evidence; least weight of a kept n-gram; least toxic rows that hold it.
-PRIOR_ROWS, LEAST_WEIGHT, LEAST_ROWS = 10.0, 1.0, 4
+PRIOR_ROWS, LEAST_WEIGHT, LEAST_ROWS = 10.0, 1.0, 3
 KEPT_WORDS = 700_000
 GRAMS = (5, 6)
+#: Strongest words of a text that count together.
+TOP = 3
 
 # The letters of the character model, and what symbols are drawn like.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
@@ -266,13 +268,10 @@ class _Words:
         return out
 
     def evidence(self, words: list[str]) -> np.ndarray:
-        """What the logistic model sees of a text: its strongest word, its three strongest, and how many words weigh anything, for its length."""
-        if not words:
-            return np.zeros(4)
+        """What the logistic model sees of a text: its strongest word and its ``TOP`` strongest together, whatever its length."""
         w = np.fromiter(map(self._kept.__getitem__, words), np.float64, len(words))
-        strong = np.sort(w[w > 0])[::-1]
-        top = strong[:3].sum()
-        return np.array([strong[0] if len(strong) else 0.0, top, np.log1p(len(strong)), np.log1p(len(words))])
+        strong = np.sort(w[w > 0])[::-1][:TOP]
+        return np.array([strong[0], strong.sum()]) if len(strong) else np.zeros(2)
 
 
 def _evidence(batches: Iterator[pa.RecordBatch], words: _Words, place: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -280,7 +279,7 @@ def _evidence(batches: Iterator[pa.RecordBatch], words: _Words, place: int) -> I
     for batch in slices(batches, 1000):
         texts = list(map(raw_words, batch.column(place).to_pylist()))
         words.learn(texts)
-        yield batch, np.array([words.evidence(t) for t in texts]).reshape(-1, 4)
+        yield batch, np.array([words.evidence(t) for t in texts]).reshape(-1, 2)
 
 
 def _remainder(doc_id: str = "doc_id") -> Column:
@@ -341,7 +340,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Tox
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     train = saved(texts.select("text", "toxic", (_remainder() == 4).alias("last")), "labelled").repartition(docs.sparkSession.sparkContext.defaultParallelism)
     sizes = {r.toxic: r.n for r in train.where("not last").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    none = ToxicityModel(characters, np.empty(0, np.int64), np.empty(0), np.array([0.0] * 4 + [-2.0]))
+    none = ToxicityModel(characters, np.empty(0, np.int64), np.empty(0), np.array([0.0, 0.0, -2.0]))
     if len(sizes) < 2:
         return none
 
@@ -380,12 +379,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Tox
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, x in _evidence(batches, _Words(characters, grams, weights), 0):
-            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(x[:, k]) for k in range(4))], names=["toxic", "a", "b", "c", "d"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["toxic", "strongest", "top"])
 
-    last = train.where("last").select("text", "toxic").mapInArrow(evidence, "toxic int, a double, b double, c double, d double").toPandas()
+    last = train.where("last").select("text", "toxic").mapInArrow(evidence, "toxic int, strongest double, top double").toPandas()
     if last["toxic"].nunique() < 2:
         return none
-    return ToxicityModel(characters, grams, weights, _logistic(last[["a", "b", "c", "d"]].to_numpy(), last["toxic"].to_numpy()))
+    return ToxicityModel(characters, grams, weights, _logistic(last[["strongest", "top"]].to_numpy(), last["toxic"].to_numpy()))
 
 
 def is_held_out(doc_id: int | None) -> bool:
