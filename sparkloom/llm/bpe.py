@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import slices, small_batches
 
 #: Chunks whose ids a task keeps.
-KEPT_CHUNKS = 700_000
+KEPT_CHUNKS = 1_400_000
 #: Characters of texts whose new chunks share one pair index.
 TOGETHER = 12_000_000
 _GAP, _GONE = -1, -2
@@ -219,7 +219,8 @@ class Encoder:
                 tails.update(rest)
         new_heads, new_tails = heads - self._heads.keys(), tails - self._tails.keys()
         if len(self._heads) + len(self._tails) + len(new_heads) + len(new_tails) > KEPT_CHUNKS:
-            self._heads, self._tails, new_heads, new_tails = {}, {}, heads, tails
+            self._heads = {c: self._heads[c] for c in heads - new_heads}
+            self._tails = {c: self._tails[c] for c in tails - new_tails}
         ids = self._encode([*new_heads, *(" " + x for x in new_tails)])
         self._heads.update(zip(new_heads, ids[: len(new_heads)], strict=True))
         self._tails.update(zip(new_tails, ids[len(new_heads) :], strict=True))

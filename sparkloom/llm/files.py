@@ -5,6 +5,11 @@ from __future__ import annotations
 import uuid
 
 from pyarrow import fs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Stored bytes that one reading task aims at.
+TASK_BYTES = 32 << 20
 
 
 class Output:
@@ -56,3 +61,9 @@ def coalesced(ranges: list[tuple[int, int]], gap: int, most: int) -> list[tuple[
         else:
             reads.append([offset, length, k, k + 1])
     return [tuple(r) for r in reads]
+
+
+def reading_tasks(index: DataFrame, length: str = "length") -> int:
+    """Tasks for reading the ranges of a saved index: by the bytes to read, as the index itself is small."""
+    total = index.agg(F.sum(length)).first()[0] or 0
+    return max(index.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))

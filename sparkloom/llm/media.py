@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import fresh_path, mixed, saved, slices, small_batches
-from sparkloom.llm.files import Input, Output, coalesced
+from sparkloom.llm.files import Input, Output, coalesced, reading_tasks
 
 #: Bytes of a frame of samples, sample rate.
 FRAME, RATE = 192, 8000
@@ -173,7 +173,9 @@ def rebuilt(files: DataFrame) -> DataFrame:
                 raise ValueError("a rebuilt file differs from the one that was stored")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(media, pa.binary())], names=["media_id", "media"])
 
-    near = files.repartitionByRange(F.col("parts")[0]["pack"], F.col("parts")[0]["offset"]).sortWithinPartitions(F.col("parts")[0]["pack"], F.col("parts")[0]["offset"])
+    bytes_ = F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x["length"])
+    tasks = reading_tasks(files.select(bytes_.alias("length")))
+    near = files.repartitionByRange(tasks, F.col("parts")[0]["pack"], F.col("parts")[0]["offset"]).sortWithinPartitions(F.col("parts")[0]["pack"], F.col("parts")[0]["offset"])
     return near.select("media_id", "parts").mapInArrow(build, "media_id binary, media binary")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import fresh_path, saved, sized, slices, small_batches
-from sparkloom.llm.files import Input, Output, coalesced
+from sparkloom.llm.files import Input, Output, coalesced, reading_tasks
 
 MIN_REVISIT = 1000
 #: Archives are closed at this size; reads are joined over this gap, up to this length.
@@ -132,5 +132,5 @@ def read_warc(index: DataFrame) -> DataFrame:
         if held:
             held.close()
 
-    wanted = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    wanted = index.select("file", "offset", "length").repartitionByRange(reading_tasks(index), "file", "offset").sortWithinPartitions("file", "offset")
     return wanted.mapInArrow(read, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
