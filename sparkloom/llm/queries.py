@@ -10,6 +10,7 @@ from sparkloom.llm.common import table
 from sparkloom.llm.media import media_digests
 from sparkloom.llm.minhash import near_duplicates
 from sparkloom.llm.repair import id_digests, write_ids
+from sparkloom.llm.secrets import secrets
 from sparkloom.llm.toxicity import toxicity
 from sparkloom.llm.warc import read_warc, write_warc
 
@@ -114,3 +115,9 @@ def op6_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op5_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents that a random forest confirms."""
+    return secrets(table(spark, sf_dir, "documents"))
