@@ -9,6 +9,7 @@ from sparkloom.llm.caps import similar_vectors
 from sparkloom.llm.common import table
 from sparkloom.llm.media import media_digests
 from sparkloom.llm.minhash import near_duplicates
+from sparkloom.llm.packing import packed
 from sparkloom.llm.repair import id_digests, write_ids
 from sparkloom.llm.secrets import secrets
 from sparkloom.llm.toxicity import toxicity
@@ -121,3 +122,9 @@ def op7_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents that a random forest confirms."""
     return secrets(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op2_optimal_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into batches of optimal length buckets."""
+    return packed(table(spark, sf_dir, "documents"))
