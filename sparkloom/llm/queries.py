@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from sparkloom.llm.bpe import round_trip_digests
 from sparkloom.llm.caps import similar_vectors
 from sparkloom.llm.common import table
 from sparkloom.llm.media import media_digests
 from sparkloom.llm.minhash import near_duplicates
 from sparkloom.llm.packing import packed
+from sparkloom.llm.passages import repeated_passages
 from sparkloom.llm.repair import id_digests, write_ids
 from sparkloom.llm.secrets import secrets
 from sparkloom.llm.toxicity import toxicity
@@ -128,3 +130,19 @@ def op5_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_optimal_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into batches of optimal length buckets."""
     return packed(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op4_collinear_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that documents share."""
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@_query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
