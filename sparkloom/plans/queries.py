@@ -1,4 +1,9 @@
-"""The registered queries and their SQL."""
+"""The registered queries and their SQL, gathered from the modules by topic."""
+
+from sparkloom.plans import analytics_queries
 
 QUERIES = {}
 ORACLE_SQL = {}
+for _module in (analytics_queries,):
+    QUERIES.update(_module.QUERIES)
+    ORACLE_SQL.update(_module.ORACLE_SQL)
