@@ -1,9 +1,9 @@
 """The registered queries and their SQL, gathered from the modules by topic."""
 
-from sparkloom.plans import analytics_queries
+from sparkloom.plans import analytics_queries, relational_queries
 
 QUERIES = {}
 ORACLE_SQL = {}
-for _module in (analytics_queries,):
+for _module in (analytics_queries, relational_queries):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(_module.ORACLE_SQL)
