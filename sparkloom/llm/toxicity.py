@@ -33,8 +33,8 @@ from sparkloom.llm.common import mixed, odd_numbers, saved, slices, small_batche
 
 #: Labelled rows that the classifier is fitted on, of each class; n-grams that it may keep; rows of its logistic part.
 TRAIN_ROWS, MAX_GRAMS = 20_000, 50_000
-#: Pseudo-rows that stand for no evidence; least weight of a kept n-gram; least toxic rows that hold it.
-PRIOR_ROWS, LEAST_WEIGHT, LEAST_ROWS = 10.0, 1.0, 3
+#: Pseudo-rows that stand for no evidence; least weight of a kept n-gram; least toxic rows that hold it, and their least share.
+PRIOR_ROWS, LEAST_WEIGHT, LEAST_ROWS, LEAST_PART = 10.0, 1.0, 3, 0.001
 KEPT_WORDS = 700_000
 GRAMS = (5, 6)
 #: Strongest words of a text that count together.
@@ -51,9 +51,10 @@ _CODES[[ord(c) for c in LETTERS]] = np.arange(1, SIZE - 1)
 _CODE = {c: k for k, c in enumerate(LETTERS, 1)}
 _PLACES = odd_numbers(8, 77)
 
-#: Costs (negative log-probabilities) of the channel: drawing a letter as a symbol, putting in a symbol that looks like a letter or another one, a mark that ends a word, one among single letters, repeating a letter.
-DRAWN, PUT_IN, PARTED, ENDED, ENDED_SINGLE, REPEATED = 1.0, 6.0, 0.5, 2.5, 7.0, 0.7
+#: Costs (negative log-probabilities) of the channel: drawing a letter as a symbol, putting in a symbol that looks like a letter, or another one, a mark that ends a word, one among single letters, repeating a letter.
+DRAWN, PUT_IN, PARTED, ENDED, ENDED_SINGLE, REPEATED = 1.0, 9.0, 0.5, 2.5, 7.0, 0.7
 _EDGE = re.compile(r"^[^\w@$]+|[^\w@$!]+$|([^\w\s])\1+$|[!$@]$")
+_MARKS = ".,;:!?\"'()[]{}|«»…"
 _PLAIN = re.compile(r"[^\W\d_]+")
 _SINGLES = re.compile(r"\w(?:[\W_]+\w)+")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
@@ -68,7 +69,9 @@ def _codes(words: list[str]) -> np.ndarray:
 
 def stripped(word: str) -> str:
     """A raw word in lower case without the marks around it."""
-    word = word.lower()
+    word = word.strip(_MARKS).lower()
+    if word.isalpha():
+        return word
     while (short := _EDGE.sub("", word)) != word:
         word = short
     return word
@@ -85,7 +88,7 @@ def character_model(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(SIZE**3, np.int64)
-        for batch in slices(batches, 500):
+        for batch in slices(batches, 2000):
             words: Counter[str] = Counter()
             for text in batch.column(0).to_pylist():
                 if text:
@@ -135,7 +138,8 @@ def _options(raw: str) -> list[list[tuple[str, float]]]:
         else:
             drawn = [(x, DRAWN) for x in LOOKS_LIKE.get(c, "")]
             many = [(x + x, 2 * DRAWN) for x, _ in drawn] if end - k > 1 else []
-            steps.append([*drawn, *many, ("", PUT_IN if drawn and c != "*" else PARTED), (" ", ended + DRAWN * bool(drawn))])
+            like = bool(drawn) and c != "*"
+            steps.append([*drawn, *many, ("", PUT_IN if like else PARTED), (" ", PUT_IN if like else ended)])
         k = end
     return steps
 
@@ -171,6 +175,9 @@ def raw_words(text: str | None) -> list[str]:
     lengths = list(map(len, words))
     if lengths.count(1) < 3:
         return words
+    single = np.flatnonzero(np.array(lengths) == 1)
+    if not (single[2:] - single[:-2] == 2).any():
+        return words
     out: list[str] = []
     k = 0
     while k < len(words):
@@ -353,7 +360,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Tox
                     words = list({w for r in readings(list(set(raw_words(text))), characters) for w in r})
                     if words:
                         grams = np.unique(_grams(words)[1])
-                        found.append(grams if wanted is None else grams[np.isin(grams, wanted)])
+                        found.append(grams if wanted is None else grams[wanted[np.minimum(np.searchsorted(wanted, grams), len(wanted) - 1)] == grams])
                 if found:
                     for g, n in zip(*(a.tolist() for a in np.unique(np.concatenate(found), return_counts=True)), strict=True):
                         total[g] = total.get(g, 0) + n
@@ -367,7 +374,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Tox
     def rows_of(t: int, wanted: np.ndarray | None) -> DataFrame:
         return train.where((F.col("toxic") == t) & ~F.col("last")).select("text").mapInArrow(counted(wanted), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
-    toxic = rows_of(1, None).where(F.col("n") >= LEAST_ROWS).orderBy(F.desc("n"), "gram").limit(20 * MAX_GRAMS).toPandas().sort_values("gram")
+    toxic = rows_of(1, None).where(F.col("n") >= max(LEAST_ROWS, LEAST_PART * sizes[1])).orderBy(F.desc("n"), "gram").limit(20 * MAX_GRAMS).toPandas().sort_values("gram")
+    if not len(toxic):
+        return none
     clean = rows_of(0, toxic["gram"].to_numpy()).toPandas().set_index("gram")["n"]
     pos = toxic["n"].to_numpy()
     neg = clean.reindex(toxic["gram"]).fillna(0).to_numpy()
