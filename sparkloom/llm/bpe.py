@@ -19,6 +19,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -206,24 +207,29 @@ class Encoder:
         self._heads: dict[str, bytes] = {}
         self._tails: dict[str, bytes] = {}
 
-    def learn(self, texts: list[str]) -> None:
-        """Encode the chunks of ``texts`` that aren't kept, all together."""
+    def _missing(self, texts: list[str]) -> tuple[list[str], list[str]]:
         heads: set[str] = set()
         tails: set[str] = set()
+        known_heads, known_tails = self._heads.__contains__, self._tails.__contains__
         for t in texts:
             if "  " in t:
-                heads.update(_SPACED.findall(t))
+                heads.update(filterfalse(known_heads, _SPACED.findall(t)))
             else:
                 head, *rest = t.split(" ")
-                heads.add(head)
-                tails.update(rest)
-        new_heads, new_tails = heads - self._heads.keys(), tails - self._tails.keys()
-        if len(self._heads) + len(self._tails) + len(new_heads) + len(new_tails) > KEPT_CHUNKS:
-            self._heads = {c: self._heads[c] for c in heads - new_heads}
-            self._tails = {c: self._tails[c] for c in tails - new_tails}
-        ids = self._encode([*new_heads, *(" " + x for x in new_tails)])
-        self._heads.update(zip(new_heads, ids[: len(new_heads)], strict=True))
-        self._tails.update(zip(new_tails, ids[len(new_heads) :], strict=True))
+                if head not in self._heads:
+                    heads.add(head)
+                tails.update(filterfalse(known_tails, rest))
+        return list(heads), list(tails)
+
+    def learn(self, texts: list[str]) -> None:
+        """Encode the chunks of ``texts`` that aren't kept, all together; beyond the bound the older half goes."""
+        heads, tails = self._missing(texts)
+        if len(self._heads) + len(self._tails) + len(heads) + len(tails) > KEPT_CHUNKS:
+            self._heads, self._tails = (dict(islice(d.items(), len(d) // 2, None)) for d in (self._heads, self._tails))
+            heads, tails = self._missing(texts)
+        ids = self._encode([*heads, *(" " + x for x in tails)])
+        self._heads.update(zip(heads, ids[: len(heads)], strict=True))
+        self._tails.update(zip(tails, ids[len(heads) :], strict=True))
 
     def __call__(self, text: str) -> np.ndarray:
         """The ids of a text that has been learnt."""
