@@ -19,7 +19,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import filterfalse, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -207,49 +207,50 @@ class Encoder:
         self._heads: dict[str, bytes] = {}
         self._tails: dict[str, bytes] = {}
 
-    def _missing(self, texts: list[str]) -> tuple[list[str], list[str]]:
-        heads: set[str] = set()
-        tails: set[str] = set()
-        known_heads, known_tails = self._heads.__contains__, self._tails.__contains__
-        for t in texts:
-            if "  " in t:
-                heads.update(filterfalse(known_heads, _SPACED.findall(t)))
+    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text; chunks that aren't kept are encoded first, all together.
+
+        Each chunk is looked up once.  Beyond the bound the older half of what
+        is kept goes.
+        """
+        found: list[list[bytes | None]] = []
+        holes: list[tuple[int, int, bool, str]] = []
+        head_of, tail_of = self._heads.get, self._tails.get
+        for n, t in enumerate(texts):
+            if spaced := "  " in t:
+                pieces = _SPACED.findall(t)
+                parts = list(map(head_of, pieces))
             else:
-                head, *rest = t.split(" ")
-                if head not in self._heads:
-                    heads.add(head)
-                tails.update(filterfalse(known_tails, rest))
-        return list(heads), list(tails)
-
-    def learn(self, texts: list[str]) -> None:
-        """Encode the chunks of ``texts`` that aren't kept, all together; beyond the bound the older half goes."""
-        heads, tails = self._missing(texts)
+                pieces = t.split(" ")
+                parts = list(map(tail_of, pieces))
+                parts[0] = head_of(pieces[0])
+            found.append(parts)
+            if None in parts:
+                holes += [(n, k, spaced or not k, pieces[k]) for k, p in enumerate(parts) if p is None]
+        heads, tails = (list({x for _, _, h, x in holes if h is wanted}) for wanted in (True, False))
         if len(self._heads) + len(self._tails) + len(heads) + len(tails) > KEPT_CHUNKS:
             self._heads, self._tails = (dict(islice(d.items(), len(d) // 2, None)) for d in (self._heads, self._tails))
-            heads, tails = self._missing(texts)
         ids = self._encode([*heads, *(" " + x for x in tails)])
-        self._heads.update(zip(heads, ids[: len(heads)], strict=True))
-        self._tails.update(zip(tails, ids[len(heads) :], strict=True))
-
-    def __call__(self, text: str) -> np.ndarray:
-        """The ids of a text that has been learnt."""
-        if "  " in text:
-            found = map(self._heads.__getitem__, _SPACED.findall(text))
-        else:
-            head, *rest = text.split(" ")
-            found = [self._heads[head], *map(self._tails.__getitem__, rest)]
-        return np.frombuffer(b"".join(found), "<u4")
+        new_heads, new_tails = dict(zip(heads, ids, strict=False)), dict(zip(tails, ids[len(heads) :], strict=True))
+        for n, k, h, x in holes:
+            found[n][k] = (new_heads if h else new_tails)[x]
+        self._heads.update(new_heads)
+        self._tails.update(new_tails)
+        return (np.frombuffer(b"".join(parts), "<u4") for parts in found)
 
 
 def encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder, place: int) -> Iterator[tuple[pa.RecordBatch, Iterator[np.ndarray]]]:
-    """Batches with the ids of each text; up to ``TOGETHER`` characters of texts are learnt at a time."""
+    """Batches with the ids of each text; up to ``TOGETHER`` characters of texts are encoded at a time.
+
+    The ids of a batch are to be used up before the next batch is asked for.
+    """
     held: list[tuple[pa.RecordBatch, list[str]]] = []
     size = 0
 
     def flush() -> Iterator[tuple[pa.RecordBatch, Iterator[np.ndarray]]]:
-        encoder.learn([t for _, texts in held for t in texts])
+        ids = encoder([t for _, texts in held for t in texts])
         for batch, texts in held:
-            yield batch, map(encoder, texts)
+            yield batch, islice(ids, len(texts))
 
     for batch in slices(batches, 250):
         texts = [t or "" for t in batch.column(place).to_pylist()]

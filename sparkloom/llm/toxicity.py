@@ -35,7 +35,9 @@ from sparkloom.llm.common import mixed, odd_numbers, saved, slices, small_batche
 TRAIN_ROWS, MAX_GRAMS = 20_000, 50_000
 #: Pseudo-rows that stand for no evidence; least weight of a kept n-gram; least toxic rows that hold it, and their least share.
 PRIOR_ROWS, LEAST_WEIGHT, LEAST_ROWS, LEAST_PART = 10.0, 1.0, 3, 0.001
-KEPT_WORDS = 700_000
+KEPT_WORDS = 600_000
+#: n-grams that a task holds before it hands their counts on.
+HELD_GRAMS = 1_500_000
 GRAMS = (5, 6)
 #: Strongest words of a text that count together.
 TOP = 3
@@ -353,21 +355,28 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Tox
 
     def counted(wanted: np.ndarray | None):
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: dict[int, int] = {}
+            grams, counts, held = [], [], 0
             for batch in slices(batches, 100):
                 found = []
                 for text in batch.column(0).to_pylist():
                     words = list({w for r in readings(list(set(raw_words(text))), characters) for w in r})
                     if words:
-                        grams = np.unique(_grams(words)[1])
-                        found.append(grams if wanted is None else grams[wanted[np.minimum(np.searchsorted(wanted, grams), len(wanted) - 1)] == grams])
+                        g = np.unique(_grams(words)[1])
+                        found.append(g if wanted is None else g[wanted[np.minimum(np.searchsorted(wanted, g), len(wanted) - 1)] == g])
                 if found:
-                    for g, n in zip(*(a.tolist() for a in np.unique(np.concatenate(found), return_counts=True)), strict=True):
-                        total[g] = total.get(g, 0) + n
-                if len(total) > 2_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["gram", "n"])
-                    total.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["gram", "n"])
+                    g, n = np.unique(np.concatenate(found), return_counts=True)
+                    grams.append(g)
+                    counts.append(n)
+                    held += len(g)
+                if held > HELD_GRAMS:
+                    yield added(grams, counts)
+                    grams, counts, held = [], [], 0
+            if held:
+                yield added(grams, counts)
+
+        def added(grams: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+            g, at = np.unique(np.concatenate(grams), return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.bincount(at, np.concatenate(counts), len(g)).astype(np.int64))], names=["gram", "n"])
 
         return count
 

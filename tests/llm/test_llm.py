@@ -161,8 +161,8 @@ def test_bpe_is_the_library(tokenizer):
     texts = ["".join(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(2000)] + ["", "a" * 5001, " " * 77, "<|endoftext|>", "x<|endoftext|> <|endoftext|>y"]
     want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     for encoder in (bpe.Encoder(bpe.bpe(bpe.vocabulary_path()).encode_chunks), repair.library_encoder(bpe.vocabulary_path())):
-        encoder.learn(texts)
-        assert [encoder(t).tolist() for t in texts] == want
+        assert [x.tolist() for x in encoder(texts[:700])] == want[:700]
+        assert [x.tolist() for x in encoder(texts)] == want
     model = bpe.bpe(bpe.vocabulary_path())
     assert [model.decode(x) for x in want] == [tokenizer.decode(x, skip_special_tokens=False) for x in want]
 
