@@ -55,10 +55,9 @@ _PLACES = odd_numbers(8, 77)
 
 #: Costs (negative log-probabilities) of the channel: drawing a letter as a symbol, putting in a symbol that looks like a letter, or another one, a mark that ends a word, one among single letters, repeating a letter.
 DRAWN, PUT_IN, PARTED, ENDED, ENDED_SINGLE, REPEATED = 1.0, 9.0, 0.5, 2.5, 7.0, 0.7
-_EDGE = re.compile(r"^[^\w@$]+|[^\w@$!]+$|([^\w\s])\1+$|[!$@]$")
 _MARKS = ".,;:!?\"'()[]{}|«»…"
 _PLAIN = re.compile(r"[^\W\d_]+")
-_SINGLES = re.compile(r"\w(?:[\W_]+\w)+")
+_SINGLES = re.compile(r"[^\W_](?:[\W_]+[^\W_])+")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
 
 
@@ -74,9 +73,12 @@ def stripped(word: str) -> str:
     word = word.strip(_MARKS).lower()
     if word.isalpha():
         return word
-    while (short := _EDGE.sub("", word)) != word:
-        word = short
-    return word
+    lo, hi = 0, len(word)
+    while lo < hi and not (word[lo].isalnum() or word[lo] in "_@$"):
+        lo += 1
+    while lo < hi and not (word[hi - 1].isalnum() or word[hi - 1] == "_"):
+        hi -= 1
+    return word[lo:hi]
 
 
 def is_disguised(word: str) -> bool:

@@ -338,6 +338,13 @@ def test_toxicity(spark, docs, none):
     assert toxicity.toxicity(none, y).count() == 0
 
 
+def test_odd_words_are_read_in_time():
+    model = np.ones((toxicity.SIZE,) * 3)
+    for w in ("_" * 5000, "*" * 100_000 + "a", "a" + "_-" * 20_000 + "é", "a1" * 20_000, "%" * 9, "..a..b..", "@", "a" * 50_000):
+        assert isinstance(toxicity.readings([w], model)[0], list)
+    assert toxicity.stripped("((Word!!)") == "word" and toxicity.stripped("$tup1d!") == "$tup1d" and toxicity.stripped("of%%%") == "of"
+
+
 # op 2
 
 
