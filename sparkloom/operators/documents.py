@@ -142,3 +142,42 @@ def ordered_columns(blocks: DataFrame, page: str, x: str, y: str, key: str, gap:
 
 def dice_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.explode(T.dice_in(F.col(text))).alias("notation")).withColumn("d", T.dice(F.col("notation")))
+
+
+def element_kind(text: Column, least: float = 0.5) -> Column:
+    """What an element of a rule book is, by marks of each kind: stat block, random table, spell, item, read-aloud, sidebar, else generic."""
+    def shown(patterns: list[str]) -> Column:
+        return sum((text.rlike(p).cast("int") for p in patterns[1:]), text.rlike(patterns[0]).cast("int"))
+
+    entries = F.regexp_count(text, F.lit(r"(?m)^\s*\d+(?:[-–]\d+)?[.:)]?\s+\S"))
+    block = F.least((shown([r"(?i)armor class", r"(?i)hit points", r"(?i)\bspeed\s+\d", r"(?i)challenge\s+\d"]) + F.when(text.rlike(r"(?i)\bstr\b.*\bdex\b.*\bcon\b"), 1.5).otherwise(0.0)) / 6, F.lit(1.0))
+    scores = {
+        "stat block": block,
+        "random table": F.when(text.rlike(r"(?i)\b\d*d\d+\b") & (entries >= 4), 0.9).when(text.rlike(r"(?i)\b\d*d\d+\b") & (entries >= 2), 0.7).otherwise(0.0),
+        "spell": F.when(text.rlike(r"(?i)casting time") & text.rlike(r"(?i)\brange\b") & text.rlike(r"(?i)\bduration\b"), 0.9).otherwise(0.0),
+        "item": F.when(text.rlike(r"(?i)requires attunement|wondrous item|\b(?:weapon|armor) \("), 0.7 + 0.15 * shown([r"(?i)\brare\b", r"(?i)\blegendary\b"])).otherwise(0.0),
+        "read-aloud": F.when(text.rlike(r'^\s*["“].*["”]\s*$') | text.rlike(r"(?i)read (?:aloud|the following)"), 0.7).otherwise(0.0),
+        "sidebar": F.when(text.rlike(r"(?im)^\s*(?:sidebar|note|tip|variant)\b\s*:"), 0.7).otherwise(0.0),
+    }
+    return best_label(scores, least, "generic")
+
+
+def packed_elements(elements: DataFrame, key: str, order: str, text: str, atomic: Column, target: int) -> DataFrame:
+    """(key, chunk_number, chunk): elements packed in order up to ``target`` characters; an atomic one stays whole and alone up to twice that.
+
+    Longer ones are cut at sentences.
+    """
+    pieces = F.when(atomic & (F.length(text) <= 2 * target), F.array(F.col(text))).otherwise(sentences(F.col(text)))
+    rows = elements.select(key, order, atomic.alias("_alone"), F.posexplode(pieces).alias("_k", "_piece"))
+    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "_k", "_alone", "_piece"))).alias("_parts"))
+    empty = F.array().cast("array<struct<text:string,alone:boolean>>")
+
+    def put(done: Column, p: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        joined = F.concat_ws("\n", last["text"], p["_piece"])
+        fits = (F.size(done) > 0) & ~last["alone"] & ~p["_alone"] & (F.length(joined) <= target)
+        whole = F.struct(joined.alias("text"), F.lit(False).alias("alone"))
+        fresh = F.struct(p["_piece"].alias("text"), p["_alone"].alias("alone"))
+        return F.when(fits, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(whole))).otherwise(F.concat(done, F.array(fresh)))
+
+    return listed.select(key, F.posexplode(F.aggregate("_parts", empty, put)).alias("chunk_number", "_c")).select(key, "chunk_number", F.col("_c.text").alias("chunk"))

@@ -238,3 +238,17 @@ def budget_alerts(spark, sf_dir):
 @_query("SELECT CASE WHEN user_id % 7 >= 5 THEN 'failed' WHEN ts <= TIMESTAMP '2024-01-15' THEN 'ready' ELSE 'waiting' END AS status, count(*) AS n FROM events GROUP BY 1")
 def retry_queue(spark, sf_dir):
     return S.queue_counts(load(spark, sf_dir, "events").withColumn("tries", F.col("user_id") % 7), "tries", "ts", F.lit("2024-01-15").cast("timestamp_ntz"))
+
+
+@_query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'stat block' WHEN 1 THEN 'random table' WHEN 2 THEN 'spell' WHEN 3 THEN 'sidebar' ELSE 'generic' END AS kind FROM part")
+def element_kinds(spark, sf_dir):
+    block = F.concat(F.lit("Beast\nArmor Class 12\nHit Points "), "p_size", F.lit("\nSpeed 30\nSTR 10 DEX 9 CON 8"))
+    table = F.concat("p_name", F.lit(" 1d6\n1 a\n2-3 b\n4. c\n5-6 d"))
+    spell = F.concat("p_name", F.lit("\nCasting Time: 1 action\nRange: 60 feet\nDuration: 1 hour"))
+    text = F.element_at(F.array(block, table, spell, F.concat(F.lit("Note: "), "p_name"), F.col("p_name")), (F.col("p_partkey") % 5).cast("int") + 1)
+    return load(spark, sf_dir, "part").select("p_partkey", D.element_kind(text).alias("kind"))
+
+
+@_query(None)
+def element_chunks(spark, sf_dir):
+    return D.packed_elements(load(spark, sf_dir, "conversations"), "conv_id", "turn", "text", F.col("role") == "system", 800)

@@ -108,3 +108,18 @@ def test_hourly_stream(spark, tmp_path):
     query = stateful.hourly(stream, "t", "v").writeStream.format("memory").queryName("hours").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert {(r.hour, r.cost) for r in spark.table("hours").collect()} == {(r.hour, r.cost) for r in stateful.hourly(df, "t", "v").collect()}
+
+
+def test_elements_stay_whole(spark):
+    rows = [(1, 0, "a. b.", False), (1, 1, "c.", False), (1, 2, "x" * 30, True), (1, 3, "d. " * 20, False), (2, 0, None, False)]
+    got = documents.packed_elements(spark.createDataFrame(rows, "k int, o int, t string, alone boolean"), "k", "o", "t", F.col("alone"), 20).orderBy("k", "chunk_number").collect()
+    assert [r.chunk for r in got][:2] == ["a.\nb.\nc.", "x" * 30]
+    assert all(len(r.chunk) <= 20 for r in got[2:]) and sum(r.chunk.count("d.") for r in got) == 20
+
+
+def test_best_splits_prefer_near_and_strong_boundaries(spark):
+    from sparkloom.operators import extraction
+
+    text = "a" * 90 + ".\n\n" + "B" * 200
+    row = extraction.best_splits(spark.createDataFrame([(1, text), (2, "short"), (3, "z" * 300)], "k long, t string"), "k", "t", 100, 50).orderBy("key").collect()
+    assert (row[0].kind, row[0].place) == ("blank line", 93) and (row[1].kind, row[1].place) == ("fallback", 100)
