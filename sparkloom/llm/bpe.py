@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import slices, small_batches
 
 #: Chunks whose ids a task keeps.
-KEPT_CHUNKS = 1_400_000
+KEPT_CHUNKS = 700_000
 #: Characters of texts whose new chunks share one pair index.
 TOGETHER = 12_000_000
 _GAP, _GONE = -1, -2
@@ -239,8 +239,8 @@ class Encoder:
         return (np.frombuffer(b"".join(parts), "<u4") for parts in found)
 
 
-def encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder, place: int) -> Iterator[tuple[pa.RecordBatch, Iterator[np.ndarray]]]:
-    """Batches with the ids of each text; up to ``TOGETHER`` characters of texts are encoded at a time.
+def encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder, place: int, together: int = TOGETHER) -> Iterator[tuple[pa.RecordBatch, Iterator[np.ndarray]]]:
+    """Batches with the ids of each text; up to ``together`` characters of texts are encoded at a time.
 
     The ids of a batch are to be used up before the next batch is asked for.
     """
@@ -256,7 +256,7 @@ def encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder, place: int) ->
         texts = [t or "" for t in batch.column(place).to_pylist()]
         held.append((batch, texts))
         size += sum(map(len, texts))
-        if size >= TOGETHER:
+        if size >= together:
             yield from flush()
             held, size = [], 0
     if held:
