@@ -287,6 +287,42 @@ def test_every_shared_run_is_found(table):
     assert want <= {i for r in found for i in (r.doc_id, r.other_id)}
 
 
+def shared_words(texts):
+    """The places of each text that lie in 50 words which a text of a smaller number holds too."""
+    holders = {}
+    for i, w in texts.items():
+        for k in range(len(w) - 49):
+            holders.setdefault(tuple(w[k : k + 50]), []).append((i, k))
+    return {(i, p) for h in holders.values() for i, k in h if i > min(h)[0] for p in range(k, k + 50)}
+
+
+def test_passages_of_frequent_lines(spark):
+    rng = random.Random(11)
+    lines = [words(rng.randint(12, 30), 900 + k) for k in range(12)]
+    texts = {}
+    # The lines stand alone in the first and last documents; runs of them only in those between.
+    for k, line in enumerate(lines):
+        for i in (k, 500 + k):
+            texts[i] = f"{words(40, i)} {line} {words(40, 1000 + i)}"
+    for i in range(100, 130):
+        at = rng.randrange(8)
+        texts[i] = f"{words(rng.randint(0, 60), i)} {' '.join(lines[at : at + rng.randint(2, 5)])} {words(30, 2000 + i)}"
+    # An equal run whose seeds stand elsewhere but for one in the middle.
+    run = words(400, 77).split()
+    texts[200] = texts[201] = " ".join(run)
+    for k in range(0, 400, 30):
+        for i in (20 + k // 30, 600 + k // 30):
+            texts[i] = f"{words(40, 3000 + i)} {' '.join(run[k : k + 45])} {words(40, 4000 + i)}"
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = passages.repeated_passages(df).collect()
+    raw = {i: t.encode().lower().split() for i, t in texts.items()}
+    covered = {(r.doc_id, p) for r in found for p in range(r.start_word, r.end_word)}
+    assert shared_words(raw) <= covered
+    for r in found:
+        if r.equal_words == r.end_word - r.start_word == r.other_end - r.other_start:
+            assert raw[r.doc_id][r.start_word : r.end_word] == raw[r.other_id][r.other_start : r.other_end]
+
+
 def test_chains_climb():
     x, y = np.array([0, 10, 20, 30, 200]), np.array([100, 110, 50, 130, 131])
     assert passages.chain(x, y)[0] == [0, 1, 3]
