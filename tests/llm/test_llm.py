@@ -323,6 +323,30 @@ def test_passages_of_frequent_lines(spark):
             assert raw[r.doc_id][r.start_word : r.end_word] == raw[r.other_id][r.other_start : r.other_end]
 
 
+def test_passages_that_stand_twice(spark):
+    shared, line = words(60, 80), words(12, 81)
+    with_line = " ".join([*words(24, 82).split(), *line.split(), *words(18, 83).split()])
+    texts = {
+        1: f"{words(30, 84)} {shared} {words(30, 85)}",
+        2: f"{shared} {words(40, 86)} {shared} {words(9, 87)} {shared}",
+        3: f"{words(12, 88)} {with_line}",
+        4: f"{line} {words(33, 89)} {line} {words(20, 90)} {with_line} {words(8, 91)}",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = passages.repeated_passages(df)
+    raw = {i: t.encode().lower().split() for i, t in texts.items()}
+    covered = {(r.doc_id, p) for r in found.collect() for p in range(r.start_word, r.end_word)}
+    assert shared_words(raw) <= covered
+    left = {r.doc_id: r.text for r in passages.deduplicated(df, found).collect()}
+    assert left[1] == texts[1] and left[3] == texts[3]
+    assert left[2].split() == f"{words(40, 86)} {words(9, 87)}".split()
+    assert left[4].split() == f"{line} {words(33, 89)} {line} {words(20, 90)} {words(8, 91)}".split()
+    # The same with the copies in the smaller document: nothing of it goes, every place is reported.
+    turned = spark.createDataFrame([(1, texts[2]), (2, texts[1])], "doc_id long, text string")
+    places = {(r.other_start, r.other_end) for r in passages.repeated_passages(turned).collect()}
+    assert places == {(0, 60), (100, 160), (169, 229)}
+
+
 def test_chains_climb():
     x, y = np.array([0, 10, 20, 30, 200]), np.array([100, 110, 50, 130, 131])
     assert passages.chain(x, y)[0] == [0, 1, 3]
