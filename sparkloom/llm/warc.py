@@ -73,9 +73,10 @@ def write_warc(pages: DataFrame, folder: str | None = None) -> DataFrame:
     keyed = rows.select("page_id", F.sha1(raw).alias("sha"), F.octet_length("html").alias("bytes")).where(F.col("page_id").isNotNull() & (F.col("bytes") >= MIN_REVISIT))
     first = keyed.groupBy("sha", "bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "bytes", "first")
     revisits = saved(keyed.join(first, ["sha", "bytes"]).where("page_id != first").select("page_id", F.col("first").alias("refers_to"), F.col("sha").alias("of")).distinct(), "revisits")
-    joined = rows.join(sized(revisits, 200_000), "page_id", "left")
-    # A page_id may repeat with another payload: only the payload meant is a revisit.
-    joined = joined.withColumn("sha", F.when(F.col("of").isNotNull(), F.sha1(raw))).where("of is null or sha = of or refers_to is null").select("page_id", "url", "html", "refers_to")
+    # A page_id may repeat with another payload: only the payload meant is a revisit, the others stay responses.
+    revisits = revisits.withColumnRenamed("page_id", "_page")
+    meant = (F.col("page_id") == F.col("_page")) & (F.col("sha") == F.col("of"))
+    joined = rows.withColumn("sha", F.sha1(raw)).join(sized(revisits, 200_000), meant, "left").select("page_id", "url", "html", "refers_to")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None

@@ -253,6 +253,17 @@ def test_warc(spark):
     assert warc.read_warc(warc.write_warc(df.limit(0))).count() == 0
 
 
+def test_warc_of_a_page_crawled_twice(spark):
+    old, new, third = "o" * 1500, "n" * 1500, "t" * 1500
+    # Page 1 revisits page 3 with one payload, is a response with another, and the response that page 0 revisits.
+    rows = [(1, "u", old), (3, "u", old), (1, "u", new), (0, "u", new), (1, "u", "short"), (1, "u", third), (2, "u", third), (1, "u", None)]
+    index = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    sha = {h: hashlib.sha1((h or "").encode()).hexdigest() for _, _, h in rows}
+    want = [(1, sha[old], "revisit", 3), (3, sha[old], "response", None), (1, sha[new], "response", None), (0, sha[new], "revisit", 1), (1, sha["short"], "response", None), (1, sha[third], "revisit", 2), (2, sha[third], "response", None), (1, sha[None], "response", None)]
+    got = [(r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_warc(index).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 # op 4
 
 
