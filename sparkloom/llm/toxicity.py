@@ -59,6 +59,7 @@ _MARKS = ".,;:!?\"'()[]{}|«»…"
 _PLAIN = re.compile(r"[^\W\d_]+")
 _SINGLES = re.compile(r"[^\W_](?:[\W_]+[^\W_])+")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
+_TWICE = re.compile(r"([^\W\d_])\1")
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -81,6 +82,18 @@ def stripped(word: str) -> str:
     return word[lo:hi]
 
 
+def edged(word: str) -> str:
+    """A raw word in lower case with those marks around it that may be drawn letters; empty if it is one character throughout or has digits alone."""
+    word = word.lower()
+    lo, hi = 0, len(word)
+    while lo < hi and not (word[lo].isalnum() or word[lo] in LOOKS_LIKE):
+        lo += 1
+    while lo < hi and not (word[hi - 1].isalnum() or word[hi - 1] in LOOKS_LIKE):
+        hi -= 1
+    word = word[lo:hi]
+    return "" if len(set(word)) < 2 or word.isdigit() else word
+
+
 def is_disguised(word: str) -> bool:
     """Whether a stripped word has more than one reading."""
     return not _PLAIN.fullmatch(word) and any(map(str.isalpha, word)) or _THRICE.search(word) is not None
@@ -124,8 +137,8 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return -np.log(p3)
 
 
-def _options(raw: str) -> list[list[tuple[str, float]]]:
-    """The lattice of a disguised word: at each step the strings that may be meant (a space is a boundary), with costs."""
+def _options(raw: str, least: int = 3) -> list[list[tuple[str, float]]]:
+    """The lattice of a disguised word: at each step the strings that may be meant (a space is a boundary), with costs; letters count as repeated from ``least`` in a row."""
     steps: list[list[tuple[str, float]]] = []
     ended = ENDED_SINGLE if _SINGLES.fullmatch(raw) else ENDED
     k = 0
@@ -135,7 +148,7 @@ def _options(raw: str) -> list[list[tuple[str, float]]]:
         while end < len(raw) and raw[end] == c:
             end += 1
         if c.isalpha():
-            if end - k >= 3:
+            if end - k >= least:
                 steps.append([(c, REPEATED), (c + c, 2 * REPEATED)])
             else:
                 steps += [[(c, 0.0)]] * (end - k)
@@ -148,10 +161,10 @@ def _options(raw: str) -> list[list[tuple[str, float]]]:
     return steps
 
 
-def restored(raw: str, model: np.ndarray) -> list[str]:
+def restored(raw: str, model: np.ndarray, least: int = 3) -> list[str]:
     """The likeliest words that a disguised word, or a run of single letters, is meant to be."""
     states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-    for options in _options(raw):
+    for options in _options(raw, least):
         after: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (cost, path) in states.items():
             for meant, price in options:
@@ -174,7 +187,7 @@ def restored(raw: str, model: np.ndarray) -> list[str]:
 
 
 def raw_words(text: str | None) -> list[str]:
-    """The words of a text; a run of three or more single letters is one, with its spaces."""
+    """The words of a text; a run of three or more single letters, or symbols like them, is one, with its spaces."""
     words = (text or "").split()
     lengths = list(map(len, words))
     if lengths.count(1) < 3:
@@ -186,9 +199,9 @@ def raw_words(text: str | None) -> list[str]:
     k = 0
     while k < len(words):
         end = k
-        while end < len(words) and lengths[end] == 1 and words[end].isalnum():
+        while end < len(words) and lengths[end] == 1 and (words[end].isalnum() or words[end] in LOOKS_LIKE):
             end += 1
-        if end - k >= 3:
+        if end - k >= 3 and any(map(str.isalpha, words[k:end])):
             out.append(" ".join(words[k:end]))
         else:
             end = k + 1
@@ -198,14 +211,19 @@ def raw_words(text: str | None) -> list[str]:
 
 
 def readings(raw: list[str], model: np.ndarray) -> list[list[str]]:
-    """The words that each raw word stands for."""
+    """The words that each raw word stands for: its likeliest reading, and those with marks around it as letters and with doubled letters as single ones."""
     out = []
     for r in raw:
-        if r.isalpha() and not _THRICE.search(w := r.lower()):
+        if r.isalpha() and not _TWICE.search(w := r.lower()):
             out.append([w])
             continue
-        w = stripped(r)
-        out.append((restored(w, model) if " " in w or is_disguised(w) else [w]) if w else [])
+        w, e = stripped(r), edged(r)
+        found = (restored(w, model) if " " in w or is_disguised(w) else [w]) if w else []
+        if e and e != w:
+            found += [x for x in restored(e, model, 2) if x not in found]
+        if _TWICE.search(w):
+            found += [x for x in restored(w, model, 2) if x not in found]
+        out.append(found)
     return out
 
 

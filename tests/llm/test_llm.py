@@ -409,6 +409,14 @@ def test_toxicity(spark, docs, none):
     assert toxicity.toxicity(none, y).count() == 0
 
 
+def test_combined_disguises_are_read(spark):
+    plain = "idiot clown ass shit " * 30 + words(300, 12)
+    model = toxicity.character_model(spark.createDataFrame([(plain,)], "text string"))
+    for raw, meant in (("i d ! o t", "idiot"), ("s h ! t", "shit"), ("!diot", "idiot"), ("(lown", "clown"), ("a$$", "ass"), ("@$$", "ass"), ("iiddiioott", "idiot"), ("idiiot", "idiot"), ("! d i 0 t", "idiot")):
+        assert meant in [w for r in toxicity.readings(toxicity.raw_words(raw), model) for w in r], raw
+    assert toxicity.readings(["clown!", "2024", "***"], model)[0][0] == "clown" and toxicity.readings(["2024", "***"], model) == [["2024"], []]
+
+
 def test_odd_words_are_read_in_time():
     model = np.ones((toxicity.SIZE,) * 3)
     for w in ("_" * 5000, "*" * 100_000 + "a", "a" + "_-" * 20_000 + "é", "a1" * 20_000, "%" * 9, "..a..b..", "@", "a" * 50_000):
