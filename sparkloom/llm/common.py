@@ -9,11 +9,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
-#: Key tables of at most so many rows (8 bytes each) are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Tables of at most so many bytes are broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,15 +23,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or an own one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where that is unset (on one machine), one of our own for the application."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
-        spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = _own[spark.sparkContext.applicationId] = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
+    if "://" not in base and not base.startswith("file:"):
+        # A bare path belongs to the default file system, for own files as for Spark's.
+        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        base = jvm.org.apache.hadoop.fs.Path(base).makeQualified(jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(conf), jvm.org.apache.hadoop.fs.Path("/")).toString()
     return base.rstrip("/")
 
 
+#: Folders of applications whose session names none.
+_own: dict[str, str] = {}
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_folder(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
@@ -43,9 +52,22 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A saved table of keys with a broadcast hint if it has at most ``rows`` rows, else as it is (then the join shuffles)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bytes(column: Column, kind: DataType) -> Column:
+    """Bytes of a column's values, without overhead."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0))
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, (StringType, BinaryType)):
+            return F.coalesce(F.aggregate(column, F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 8), F.lit(0))
+        width = 8 * (len(kind.elementType.fields) + 1) if isinstance(kind.elementType, StructType) else 8
+        return F.coalesce(F.size(column), F.lit(0)) * width
+    return F.lit(8)
+
+
+def sized(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A saved table with a broadcast hint if its rows have at most ``most`` bytes, else as it is (then the join shuffles)."""
+    size = sum((_bytes(F.col(f.name), f.dataType) for f in df.schema.fields), F.lit(16))
+    return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most else df
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -140,7 +140,7 @@ def secrets(docs: DataFrame, model: RandomForestClassificationModel | None = Non
 def redacted(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with each secret of ``found`` (doc_id, secret) replaced by ``MASK`` in the text of its row, and n_chars, if there, counted anew."""
     lists = saved(found.groupBy("doc_id").agg(F.sort_array(F.collect_set("secret"), asc=False).alias("_secrets")), "secrets").withColumnRenamed("doc_id", "_id")
-    rows = docs.join(sized(lists, 200_000), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    rows = docs.join(sized(lists), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     hidden = F.aggregate(F.coalesce("_secrets", F.array().cast("array<string>")), F.col("text"), lambda t, s: F.replace(t, s, F.lit(MASK)))
     out = rows.withColumn("text", F.when(F.col("_id").isNotNull() | F.col("_secrets").isNotNull(), hidden).otherwise(F.col("text")))
     if "n_chars" in docs.columns:

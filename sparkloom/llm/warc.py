@@ -76,7 +76,7 @@ def write_warc(pages: DataFrame, folder: str | None = None) -> DataFrame:
     # A page_id may repeat with another payload: only the payload meant is a revisit, the others stay responses.
     revisits = revisits.withColumnRenamed("page_id", "_page")
     meant = (F.col("page_id") == F.col("_page")) & (F.col("sha") == F.col("of"))
-    joined = rows.withColumn("sha", F.sha1(raw)).join(sized(revisits, 200_000), meant, "left").select("page_id", "url", "html", "refers_to")
+    joined = rows.withColumn("sha", F.sha1(raw)).join(sized(revisits), meant, "left").select("page_id", "url", "html", "refers_to")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
