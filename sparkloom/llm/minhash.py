@@ -32,49 +32,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import mixed, odd_numbers, runs, saved, sized, slices, small_batches
+from sparkloom.llm.common import mixed, odd_numbers, runs, saved, sized, small_batches
 from sparkloom.llm.components import components
+from sparkloom.llm.words import by_bytes, grams, hashed
 
 HASHES, BANDS, ROWS, BITS = 192, 32, 4, 1024
 SLACK = 0.15
 #: Members of a bucket, and their shingles, that are compared with one another in one task.
 BLOCK, BLOCK_SHINGLES = 2000, 2_000_000
 _MULTIPLIERS = odd_numbers(HASHES, 10)
-_PLACES = odd_numbers(64, 11)
 _FLIPS = odd_numbers(HASHES, 12)
 
 
-class _WordHashes(dict):
-    """64-bit hash of a word; kept for the next occurrences up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_word_hash = _WordHashes()
-
-
-def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
-    """Sorted 64-bit hashes of a text's distinct shingles; words are runs of bytes other than 32 and 9 to 13, A-Z lower-cased."""
-    if not text:
-        return np.empty(0, np.uint64)
-    found = text.encode().lower().split()
-    n = len(found)
-    if not n:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_word_hash.__getitem__, found), np.uint64, n)
-    width = min(n, words)
-    total = np.full(n - width + 1, width, np.uint64)
-    for k in range(width):
-        total += mixed(h[k : n - width + 1 + k] * _PLACES[k])
-    return np.unique(mixed(total))
+def shingle_sets(texts: pa.Array, words: int = 5) -> list[np.ndarray]:
+    """For each text of a column the sorted 64-bit hashes of its distinct shingles."""
+    h, offsets = hashed(texts)
+    whole = grams(h, words)
+    out = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        out.append(np.unique(whole[a : b - words + 1] if b - a >= words else grams(h[a:b], b - a) if b > a else h[:0]))
+    return out
 
 
 def _samples(sets: list[np.ndarray]) -> np.ndarray:
@@ -114,8 +94,8 @@ def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 128):
-            sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
+        for batch in by_bytes(batches, 1, 1 << 19):
+            sets = shingle_sets(batch.column(1), words)
             full = [k for k, s in enumerate(sets) if len(s)]
             bands: list = [None] * len(sets)
             sketches: list = [None] * len(sets)
@@ -133,8 +113,8 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """(id, hashes) of the documents named in ``ids``, one row for an id."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 256):
-            hashes = [shingle_set(t, words).view(np.int64) for t in batch.column(1).to_pylist()]
+        for batch in by_bytes(batches, 1):
+            hashes = [x.view(np.int64) for x in shingle_sets(batch.column(1), words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.list_(pa.int64()))], names=["id", "hashes"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
