@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import slices, small_batches
+from sparkloom.llm.common import numbered, slices, small_batches
 
 #: Chunks whose ids a task keeps.
 KEPT_CHUNKS = 700_000
@@ -269,33 +269,33 @@ def pair_index_encoder(path: str) -> Encoder:
 
 
 def encode(docs: DataFrame, path: str | None = None, column: str = "text") -> DataFrame:
-    """The rows of ``docs`` with ``ids`` array<int> after the column's text.  Null and empty texts have no ids."""
+    """The rows of ``docs`` with ``ids`` array<int> of the column's text, in place of a column of that name.  Null and empty texts have no ids."""
     path = path or vocabulary_path()
     small_batches(docs.sparkSession)
-    schema = docs.withColumn("ids", F.lit(None).cast("array<int>")).schema
-    place = docs.columns.index(column)
+    plain, names = numbered(docs, "ids")
+    inner, place = plain.columns, names.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = pair_index_encoder(path)
         for batch, ids in encoded(batches, encoder, place):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.view("<i4") for x in ids], pa.list_(pa.int32()))], names=[*batch.schema.names, "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.view("<i4") for x in ids], pa.list_(pa.int32()))], names=[*inner, "ids"])
 
-    return docs.mapInArrow(run, schema)
+    return plain.mapInArrow(run, plain.withColumn("ids", F.lit(None).cast("array<int>")).schema).toDF(*names, "ids")
 
 
 def decode(rows: DataFrame, path: str | None = None, column: str = "ids") -> DataFrame:
-    """The rows with ``decoded`` string after the column's ids; null ids give null."""
+    """The rows with ``decoded`` string of the column's ids, in place of a column of that name; null ids give null."""
     path = path or vocabulary_path()
-    schema = rows.withColumn("decoded", F.lit(None).cast("string")).schema
-    place = rows.columns.index(column)
+    plain, names = numbered(rows, "decoded")
+    inner, place = plain.columns, names.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe(path)
         for batch in slices(batches, 500):
             texts = [None if x is None else model.decode(x) for x in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*inner, "decoded"])
 
-    return rows.mapInArrow(run, schema)
+    return plain.mapInArrow(run, plain.withColumn("decoded", F.lit(None).cast("string")).schema).toDF(*names, "decoded")
 
 
 def round_trip_digests(docs: DataFrame, path: str | None = None) -> DataFrame:

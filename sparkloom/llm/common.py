@@ -70,10 +70,16 @@ def sized(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most else df
 
 
+def numbered(df: DataFrame, without: str | None = None) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns named c0, c1 and so on, and their own names; a column ``without`` is left out.  What an operator adds can't clash then."""
+    names = [c for c in df.columns if c != without]
+    return df.select(*names).toDF(*(f"c{k}" for k in range(len(names)))), names
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the bytes of an Arrow batch so that very long texts don't add up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:

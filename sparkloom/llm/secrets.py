@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import saved, sized
+from sparkloom.llm.common import numbered, saved, sized
 
 #: Trees, their depth, and the share of votes from which a candidate is a secret.
 TREES, DEPTH, THRESHOLD = 30, 6, 0.5
@@ -138,11 +138,15 @@ def secrets(docs: DataFrame, model: RandomForestClassificationModel | None = Non
 
 
 def redacted(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` with each secret of ``found`` (doc_id, secret) replaced by ``MASK`` in the text of its row, and n_chars, if there, counted anew."""
-    lists = saved(found.groupBy("doc_id").agg(F.sort_array(F.collect_set("secret"), asc=False).alias("_secrets")), "secrets").withColumnRenamed("doc_id", "_id")
-    rows = docs.join(sized(lists), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    hidden = F.aggregate(F.coalesce("_secrets", F.array().cast("array<string>")), F.col("text"), lambda t, s: F.replace(t, s, F.lit(MASK)))
-    out = rows.withColumn("text", F.when(F.col("_id").isNotNull() | F.col("_secrets").isNotNull(), hidden).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_secrets").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    """``docs`` with each secret of ``found`` (doc_id, secret) replaced by ``MASK`` in the text of its row, and n_chars, if there, counted anew; other columns stay, whatever their names."""
+    lists = saved(found.groupBy(F.col("doc_id").alias("id")).agg(F.sort_array(F.collect_set("secret"), asc=False).alias("secrets")), "secrets")
+    plain, names = numbered(docs)
+    doc_id, text = (plain[f"c{names.index(c)}"] for c in ("doc_id", "text"))
+    rows = plain.join(sized(lists), doc_id.eqNullSafe(F.col("id")), "left")
+    listed = F.col("secrets").isNotNull()
+    hidden = F.when(listed, F.aggregate("secrets", text, lambda t, s: F.replace(t, s, F.lit(MASK)))).otherwise(text)
+    new = {"text": hidden}
+    if "n_chars" in names:
+        n = plain[f"c{names.index('n_chars')}"]
+        new["n_chars"] = F.when(listed, F.length(hidden).cast(docs.schema["n_chars"].dataType)).otherwise(n)
+    return rows.select(*(new.get(c, plain[f"c{k}"]).alias(f"c{k}") for k, c in enumerate(names))).toDF(*names)

@@ -8,12 +8,12 @@
    boundary or for nothing, each at a cost.  Viterbi's algorithm finds the
    likeliest reading under the trigram model.  Other words have one reading.
 3. Restored words are scored by their character n-grams: how much likelier each
-   is in toxic than in clean texts, shrunk towards no evidence, learnt from at
-   most ``TRAIN_ROWS`` labelled rows; a logistic model over a text's strongest
-   words gives the score.
+   is in toxic than in clean texts, less one standard error, learnt from at most
+   ``TRAIN_ROWS`` labelled rows of each class; a logistic model over a text's
+   strongest words gives the score.  What it is fitted on is the evidence that
+   each labelled text would have if its own n-grams hadn't been counted.
 
-Labels are read only of rows whose crc32 of doc_id, as text, modulo 5 isn't 0;
-of those, remainder 4 fits the logistic model and the others the n-grams.
+Labels are read only of rows whose crc32 of doc_id, as text, modulo 5 isn't 0.
 Neither labels nor language, source or id is an input of a score.
 """
 
@@ -22,22 +22,23 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import mixed, odd_numbers, saved, slices, small_batches
+from sparkloom.llm.common import mixed, numbered, odd_numbers, saved, small_batches
+from sparkloom.llm.words import by_bytes
 
-#: Labelled rows that the classifier is fitted on, of each class; n-grams that it may keep; rows of its logistic part.
-TRAIN_ROWS, MAX_GRAMS = 20_000, 50_000
-#: Pseudo-rows that stand for no evidence; least weight of a kept n-gram; least toxic rows that hold it, and their least share.
-PRIOR_ROWS, LEAST_WEIGHT, LEAST_ROWS, LEAST_PART = 10.0, 1.0, 3, 0.001
-KEPT_WORDS = 600_000
-#: n-grams that a task holds before it hands their counts on.
-HELD_GRAMS = 1_500_000
+#: Labelled rows that the classifier is fitted on, of each class.
+TRAIN_ROWS = 20_000
+#: Pseudo-rows that stand for no evidence; standard errors taken off a weight; least weight of an n-gram that counts; least toxic rows that hold it, and their least share.
+PRIOR_ROWS, DOUBT, LEAST_WEIGHT, LEAST_ROWS, LEAST_PART = 10.0, 1.0, 1.0, 3, 0.001
+#: Characters of the words whose weights a task keeps; n-grams that it holds before it hands their counts on.
+KEPT_CHARS, HELD_GRAMS = 2_000_000, 1_000_000
 GRAMS = (5, 6)
 #: Strongest words of a text that count together.
 TOP = 3
@@ -105,7 +106,7 @@ def character_model(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(SIZE**3, np.int64)
-        for batch in slices(batches, 2000):
+        for batch in by_bytes(batches, 0, 4 << 20):
             words: Counter[str] = Counter()
             for text in batch.column(0).to_pylist():
                 if text:
@@ -227,17 +228,22 @@ def readings(raw: list[str], model: np.ndarray) -> list[list[str]]:
     return out
 
 
-def restored_text(docs: DataFrame, model: np.ndarray) -> DataFrame:
-    """The rows of ``docs`` with ``restored``, the words of the text as they are read, joined by spaces."""
-    place = docs.columns.index("text")
-    schema = docs.withColumn("restored", F.lit(None).cast("string")).schema
+def with_column(docs: DataFrame, name: str, kind: str, make: Callable[[list[str | None]], list | np.ndarray]) -> DataFrame:
+    """The rows of ``docs`` with a column made of ``text``, slice by slice; a column of that name is replaced, others stay whatever their names."""
+    plain, names = numbered(docs, name)
+    inner, place = plain.columns, names.index("text")
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 200):
-            texts = [" ".join(w for r in readings(raw_words(t), model) for w in r) for t in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "restored"])
+        for batch in by_bytes(batches, place):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(make(batch.column(place).to_pylist()))], names=[*inner, "made"])
+
+    return plain.mapInArrow(run, plain.withColumn("made", F.lit(None).cast(kind)).schema).toDF(*names, name)
 
-    return docs.mapInArrow(run, schema)
+
+def restored_text(docs: DataFrame, model: np.ndarray) -> DataFrame:
+    """The rows of ``docs`` with ``restored``, the words of the text as they are read, joined by spaces; a null text has none."""
+    return with_column(docs, "restored", "string", lambda texts: [" ".join(w for r in readings(raw_words(t), model) for w in r) for t in texts])
 
 
 def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -268,18 +274,18 @@ class _Words:
     def __init__(self, model: np.ndarray, grams: np.ndarray, weights: np.ndarray) -> None:
         self._model, self._sorted, self._weights = model, grams, weights
         self._kept: dict[str, float] = {}
+        self._chars = 0
 
     def learn(self, texts: list[list[str]]) -> None:
         seen: set[str] = set()
         for t in texts:
             seen.update(t)
-        new = seen - self._kept.keys()
-        if len(self._kept) + len(new) > KEPT_WORDS:
-            self._kept.clear()
-            new = seen
-        raw = list(new)
-        for lo in range(0, len(raw), 50_000):
-            part = raw[lo : lo + 50_000]
+        if self._chars > KEPT_CHARS:
+            self._kept, self._chars = {}, 0
+        raw = list(seen - self._kept.keys())
+        self._chars += sum(map(len, raw))
+        for lo in range(0, len(raw), 20_000):
+            part = raw[lo : lo + 20_000]
             self._kept.update(zip(part, self._weigh(part).tolist(), strict=True))
 
     def _weigh(self, raw: list[str]) -> np.ndarray:
@@ -303,12 +309,11 @@ class _Words:
         return np.array([strong[0], strong.sum()]) if len(strong) else np.zeros(2)
 
 
-def _evidence(batches: Iterator[pa.RecordBatch], words: _Words, place: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Batches with the evidence of each text."""
-    for batch in slices(batches, 1000):
-        texts = list(map(raw_words, batch.column(place).to_pylist()))
-        words.learn(texts)
-        yield batch, np.array([words.evidence(t) for t in texts]).reshape(-1, 2)
+    def evidence_of(self, texts: list[str | None]) -> np.ndarray:
+        """The evidence of each text, a row for each."""
+        raw = list(map(raw_words, texts))
+        self.learn(raw)
+        return np.array([self.evidence(t) for t in raw]).reshape(-1, 2)
 
 
 def _remainder(doc_id: str = "doc_id") -> Column:
@@ -335,19 +340,25 @@ class ToxicityModel:
         self.characters, self.grams, self.weights, self.logistic = characters, grams, weights, logistic
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """The rows of ``docs`` with ``score`` (0 to 1) of ``text``; null and empty texts have that of no evidence."""
-        model = self
-        place = docs.columns.index("text")
-        schema = docs.withColumn("score", F.lit(0.0)).schema
-        small_batches(docs.sparkSession)
+        """The rows of ``docs`` with ``score`` (0 to 1) of ``text``, in place of a column of that name; null and empty texts have that of no evidence."""
+        return with_column(docs, "score", "double", self._scorer())
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = _Words(model.characters, model.grams, model.weights)
-            for batch, x in _evidence(batches, words, place):
-                z = x @ model.logistic[:-1] + model.logistic[-1]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[*batch.schema.names, "score"])
+    def clean(self, docs: DataFrame, below: float = 0.5) -> DataFrame:
+        """The rows of ``docs`` with a score under ``below``, in their own columns."""
+        inner = [f"c{k}" if c != "text" else c for k, c in enumerate(docs.columns)]
+        return self.score(docs.toDF(*inner)).where(F.col("score") < below).drop("score").toDF(*docs.columns)
+
+    def _scorer(self) -> Callable[[list[str | None]], np.ndarray]:
+        characters, grams, weights, logistic = self.characters, self.grams, self.weights, self.logistic
+        held: list[_Words] = []
 
-        return docs.mapInArrow(run, schema)
+        def make(texts: list[str | None]) -> np.ndarray:
+            if not held:
+                held.append(_Words(characters, grams, weights))
+            z = held[0].evidence_of(texts) @ logistic[:-1] + logistic[-1]
+            return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+        return make
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> ToxicityModel:
@@ -367,8 +378,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Tox
     # At most 2 * train_rows keys.
     chosen = saved(chosen, "labels")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    train = saved(texts.select("text", "toxic", (_remainder() == 4).alias("last")), "labelled").repartition(docs.sparkSession.sparkContext.defaultParallelism)
-    sizes = {r.toxic: r.n for r in train.where("not last").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    train = saved(texts.select("text", "toxic"), "labelled").repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    sizes = {r.toxic: r.n for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     none = ToxicityModel(characters, np.empty(0, np.int64), np.empty(0), np.array([0.0, 0.0, -2.0]))
     if len(sizes) < 2:
         return none
@@ -376,7 +387,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Tox
     def counted(wanted: np.ndarray | None):
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams, counts, held = [], [], 0
-            for batch in slices(batches, 100):
+            for batch in by_bytes(batches, 0, 1 << 19):
                 found = []
                 for text in batch.column(0).to_pylist():
                     words = list({w for r in readings(list(set(raw_words(text))), characters) for w in r})
@@ -401,28 +412,41 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Tox
         return count
 
     def rows_of(t: int, wanted: np.ndarray | None) -> DataFrame:
-        return train.where((F.col("toxic") == t) & ~F.col("last")).select("text").mapInArrow(counted(wanted), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+        return train.where(F.col("toxic") == t).select("text").mapInArrow(counted(wanted), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
-    toxic = rows_of(1, None).where(F.col("n") >= max(LEAST_ROWS, LEAST_PART * sizes[1])).orderBy(F.desc("n"), "gram").limit(20 * MAX_GRAMS).toPandas().sort_values("gram")
+    # A text's n-grams divided by LEAST_PART bound these rows, whatever the number of texts.
+    toxic = rows_of(1, None).where(F.col("n") >= max(LEAST_ROWS, LEAST_PART * sizes[1])).toPandas().sort_values("gram")
     if not len(toxic):
         return none
-    clean = rows_of(0, toxic["gram"].to_numpy()).toPandas().set_index("gram")["n"]
-    pos = toxic["n"].to_numpy()
-    neg = clean.reindex(toxic["gram"]).fillna(0).to_numpy()
-    share = sizes[1] / (sizes[0] + sizes[1])
-    weight = np.log((pos + PRIOR_ROWS * share) / (sizes[1] + PRIOR_ROWS * share)) - np.log((neg + PRIOR_ROWS * (1 - share)) / (sizes[0] + PRIOR_ROWS * (1 - share)))
-    best = np.argsort(-weight, kind="stable")[:MAX_GRAMS]
-    best = np.sort(best[weight[best] >= LEAST_WEIGHT])
-    grams, weights = toxic["gram"].to_numpy()[best], weight[best]
-
-    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, x in _evidence(batches, _Words(characters, grams, weights), 0):
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["toxic", "strongest", "top"])
-
-    last = train.where("last").select("text", "toxic").mapInArrow(evidence, "toxic int, strongest double, top double").toPandas()
-    if last["toxic"].nunique() < 2:
-        return none
-    return ToxicityModel(characters, grams, weights, _logistic(last[["strongest", "top"]].to_numpy(), last["toxic"].to_numpy()))
+    grams, pos = toxic["gram"].to_numpy(), toxic["n"].to_numpy()
+    clean = rows_of(0, grams).toPandas().set_index("gram")["n"]
+    neg = clean.reindex(grams).fillna(0).to_numpy()
+
+    def kept(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return grams[weight >= LEAST_WEIGHT], weight[weight >= LEAST_WEIGHT]
+
+    def evidence(t: int) -> pd.DataFrame:
+        without = (characters, *kept(_weights(pos - t, neg - (1 - t), sizes[1] - t, sizes[0] - (1 - t))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = _Words(*without)
+            for batch in by_bytes(batches, 0):
+                x = words.evidence_of(batch.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["strongest", "top"])
+
+        return train.where(F.col("toxic") == t).select("text").mapInArrow(run, "strongest double, top double").toPandas().assign(toxic=t)
+
+    seen = pd.concat([evidence(0), evidence(1)])
+    return ToxicityModel(characters, *kept(_weights(pos, neg, sizes[1], sizes[0])), _logistic(seen[["strongest", "top"]].to_numpy(), seen["toxic"].to_numpy()))
+
+
+def _weights(pos: np.ndarray, neg: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """How much likelier n-grams are in toxic rows, as logarithms less DOUBT standard errors; 0 where too few toxic rows hold one."""
+    share = toxic / max(toxic + clean, 1)
+    p, n = PRIOR_ROWS * share, PRIOR_ROWS * (1 - share)
+    ratio = np.log((pos + p) / (toxic + p)) - np.log((neg + n) / (clean + n))
+    doubt = DOUBT * np.sqrt(1 / (pos + 0.5) + 1 / (neg + n))
+    return np.where(pos >= max(LEAST_ROWS, LEAST_PART * toxic), ratio - doubt, 0.0)
 
 
 def is_held_out(doc_id: int | None) -> bool:
