@@ -18,7 +18,7 @@ from sparkloom.llm.common import saved, sized, table
 def clean_of_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model (op 7), fitted on the labels, scores below one half."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return model.score(docs).where("score < 0.5").select(*docs.columns)
+    return model.clean(docs, below=0.5)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
