@@ -19,19 +19,21 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import numbered, slices, small_batches
+from sparkloom.llm.common import numbered, odd_numbers, slices, small_batches
+from sparkloom.llm.words import by_bytes, range_hashes, text_bytes
 
 #: Chunks whose ids a task keeps.
 KEPT_CHUNKS = 700_000
-#: Characters of texts whose new chunks share one pair index.
+#: Bytes of texts whose new chunks share one pair index.
 TOGETHER = 12_000_000
 _GAP, _GONE = -1, -2
 
@@ -198,67 +200,99 @@ class Encoder:
     A pre-token is a run of white space, or a run of other characters with one
     space before it at most.  So a space between two characters that aren't
     spaces always begins one, and a text without two spaces in a row is cut
-    before each space: into a head and tails, which are kept without their
-    space.  Other texts are cut before each run of white space.
+    before each space.  Other texts are cut before each run of white space.
+    Chunks are told apart by two 64-bit hashes of their bytes, taken for all
+    chunks at once.
     """
 
     def __init__(self, encode_chunks: Callable[[list[str]], list[bytes]]) -> None:
         self._encode = encode_chunks
-        self._heads: dict[str, bytes] = {}
-        self._tails: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text; chunks that aren't kept are encoded first, all together.
-
-        Each chunk is looked up once.  Beyond the bound the older half of what
-        is kept goes.
-        """
-        found: list[list[bytes | None]] = []
-        holes: list[tuple[int, int, bool, str]] = []
-        head_of, tail_of = self._heads.get, self._tails.get
-        for n, t in enumerate(texts):
-            if spaced := "  " in t:
-                pieces = _SPACED.findall(t)
-                parts = list(map(head_of, pieces))
-            else:
-                pieces = t.split(" ")
-                parts = list(map(tail_of, pieces))
-                parts[0] = head_of(pieces[0])
-            found.append(parts)
-            if None in parts:
-                holes += [(n, k, spaced or not k, pieces[k]) for k, p in enumerate(parts) if p is None]
-        heads, tails = (list({x for _, _, h, x in holes if h is wanted}) for wanted in (True, False))
-        if len(self._heads) + len(self._tails) + len(heads) + len(tails) > KEPT_CHUNKS:
-            self._heads, self._tails = (dict(islice(d.items(), len(d) // 2, None)) for d in (self._heads, self._tails))
-        ids = self._encode([*heads, *(" " + x for x in tails)])
-        new_heads, new_tails = dict(zip(heads, ids, strict=False)), dict(zip(tails, ids[len(heads) :], strict=True))
-        for n, k, h, x in holes:
-            found[n][k] = (new_heads if h else new_tails)[x]
-        self._heads.update(new_heads)
-        self._tails.update(new_tails)
-        return (np.frombuffer(b"".join(parts), "<u4") for parts in found)
+        self._forget()
+
+    def _forget(self) -> None:
+        self._number: dict[int, int] = {}
+        self._seconds = self._starts = self._counts = np.empty(0, np.int64)
+        self._ids = np.empty(0, np.uint32)
+
+    def __call__(self, texts: pa.Array | list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text; chunks that aren't kept are encoded first, all together.  Beyond the bound all that is kept goes."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        raw, offsets = text_bytes(column)
+        first = _chunk_starts(raw, offsets, column)
+        last = np.append(first[1:], len(raw))[: len(first)]
+        one, two = (range_hashes(raw, first, last, t) for t in _TABLES)
+        order = np.argsort(one)
+        ordered = one[order]
+        heads = np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)]
+        keys, at = ordered[heads], order[heads]
+        inverse = np.empty(len(order), np.int32)
+        inverse[order] = np.cumsum(heads, dtype=np.int32) - 1
+        if (two[at][inverse] != two).any():
+            raise ValueError("two chunks have one hash")
+        if len(self._number) > KEPT_CHUNKS:
+            self._forget()
+        number = np.fromiter(map(self._number.get, keys.tolist(), repeat(-1)), np.int64, len(keys))
+        seconds = two[at].view(np.int64)
+        new = np.flatnonzero(number < 0)
+        if (self._seconds[number[number >= 0]] != seconds[number >= 0]).any():
+            raise ValueError("two chunks have one hash")
+        if len(new):
+            data = raw.tobytes()
+            found = self._encode([data[a:b].decode() for a, b in zip(first[at[new]].tolist(), last[at[new]].tolist(), strict=True)])
+            counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            starts = len(self._ids) + np.cumsum(counts) - counts
+            number[new] = len(self._number) + np.arange(len(new))
+            self._number.update(zip(keys[new].tolist(), number[new].tolist(), strict=True))
+            self._ids = np.concatenate([self._ids, np.frombuffer(b"".join(found), "<u4")])
+            self._seconds, self._starts, self._counts = (np.concatenate(x) for x in ((self._seconds, seconds[new]), (self._starts, starts), (self._counts, counts)))
+        counts, starts = self._counts[number][inverse], self._starts[number][inverse]
+        ends = np.cumsum(counts)
+        place = np.repeat(starts - (ends - counts), counts)
+        place += np.arange(len(place))
+        ids = self._ids[place]
+        bounds = np.append(0, ends)[np.searchsorted(first, offsets)].tolist()
+        return (ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True))
+
+
+_TABLES = odd_numbers(256, 31), odd_numbers(256, 32)
+
+
+def _chunk_starts(raw: np.ndarray, offsets: np.ndarray, column: pa.Array) -> np.ndarray:
+    """Where the chunks of the texts begin, all in ascending order; empty texts have none."""
+    space = raw == 32
+    twice = np.flatnonzero(space[:-1] & space[1:])
+    owner = np.searchsorted(offsets, twice, "right") - 1
+    spaced = np.unique(owner[twice + 1 < offsets[owner + 1]])
+    begins = space
+    begins[offsets[:-1][np.diff(offsets) > 0]] = True
+    for k in spaced.tolist():
+        a, b = int(offsets[k]), int(offsets[k + 1])
+        begins[a:b] = False
+        sizes = [len(x.encode()) for x in _SPACED.findall(column[k].as_py())]
+        begins[a + np.cumsum([0, *sizes[:-1]])] = True
+    return np.flatnonzero(begins)
 
 
 def encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder, place: int, together: int = TOGETHER) -> Iterator[tuple[pa.RecordBatch, Iterator[np.ndarray]]]:
-    """Batches with the ids of each text; up to ``together`` characters of texts are encoded at a time.
+    """Batches with the ids of each text; texts of up to ``together`` bytes, or one longer one, are encoded at a time.
 
     The ids of a batch are to be used up before the next batch is asked for.
     """
-    held: list[tuple[pa.RecordBatch, list[str]]] = []
+    held: list[pa.RecordBatch] = []
     size = 0
 
     def flush() -> Iterator[tuple[pa.RecordBatch, Iterator[np.ndarray]]]:
-        ids = encoder([t for _, texts in held for t in texts])
-        for batch, texts in held:
-            yield batch, islice(ids, len(texts))
-
-    for batch in slices(batches, 250):
-        texts = [t or "" for t in batch.column(place).to_pylist()]
-        held.append((batch, texts))
-        size += sum(map(len, texts))
-        if size >= together:
+        ids = encoder(pa.concat_arrays([b.column(place) for b in held]))
+        for batch in held:
+            yield batch, islice(ids, batch.num_rows)
+
+    for batch in by_bytes(batches, place, together):
+        more = pc.sum(pc.binary_length(batch.column(place))).as_py() or 0
+        if held and size + more > together:
             yield from flush()
             held, size = [], 0
+        held.append(batch)
+        size += more
     if held:
         yield from flush()
 

@@ -1,14 +1,18 @@
 """Token-id shards compressed by Re-Pair grammars.
 
 Documents are dealt in ascending doc_id order; each task writes its ids as
-blocks of one shard file.  A block has its own grammar: pairs of neighbouring
-symbols are counted, frequent ones become nonterminals, and the sequence is
-rewritten, again and again.  Each pass replaces many pairs, the more frequent
-first where occurrences overlap.  A block stores the rules, the expansion length
-of each nonterminal, the rewritten sequence and the documents' lengths, so that
-any range of ids can be decoded from its own symbols alone.
-
-Block: 24 bytes of little-endian unsigned 32-bit integers (terminals, rules,
+shards of up to ``SHARD_IDS`` ids, one behind another in one file, so that a
+grammar is built in bounded memory.  A shard has one grammar: pairs of
+neighbouring symbols are counted, frequent ones become nonterminals and the
+sequence is rewritten, again and again until no pair comes ``LEAST`` times.
+Each pass replaces all frequent pairs, the more frequent first where occurrences
+overlap; from the second pass on only places are counted at which a frequent
+pair can stand: next to a new symbol, or where one was left over.  A shard stores
+the rules, the expansion length of each nonterminal, the rewritten sequence and
+the documents' lengths, so that any range of ids can be decoded from its own
+symbols alone.
+
+Shard: 24 bytes of little-endian unsigned 32-bit integers (terminals, rules,
 symbols, bytes of the rules, of the sequence and of the documents), then these
 three parts compressed with zstd: rules as (left, right, expansion length),
 symbols, and an Arrow stream (doc_id, n).
@@ -32,12 +36,12 @@ from sparkloom.llm.bpe import Encoder, encoded, vocabulary_path
 from sparkloom.llm.common import fresh_path, saved, small_batches
 from sparkloom.llm.files import Input, Output, reading_tasks
 
-#: Ids of a block (a longer document has a block of its own; places in a block are 32-bit integers), least count of a pair, pairs of a pass, passes.
-BLOCK_IDS, LEAST, PAIRS, PASSES = 2_000_000, 8, 8192, 3
-#: Characters of texts that are encoded together; the library gains nothing from more.
+#: Ids of a shard (a longer document has a shard of its own; places in a shard are 32-bit integers), least count of a pair.
+SHARD_IDS, LEAST = 2_000_000, 8
+#: Bytes of texts that are encoded together; the library gains nothing from more.
 TOGETHER = 2_000_000
 #: Size of the table that finds a pair's rank.
-SLOT_BITS = 18
+SLOT_BITS = 20
 END_ID = 0
 
 
@@ -45,63 +49,90 @@ def _slot(keys: np.ndarray) -> np.ndarray:
     return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
 
 
+def _frequent(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs, at, rank): the pairs that come LEAST times, sorted; the places that hold one; and its rank there, the most frequent pair having 0."""
+    ordered = np.sort(keys)
+    heads = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    counts = np.diff(np.append(heads, len(ordered)))
+    heads, counts = heads[counts >= LEAST], counts[counts >= LEAST]
+    pairs = ordered[heads]
+    if not len(pairs):
+        return pairs, heads, heads
+    rank = np.empty(len(pairs), np.int64)
+    rank[np.argsort(-counts, kind="stable")] = np.arange(len(pairs))
+    # Most places are told by a table of slots; where two pairs share one, by search.
+    slots = np.full(1 << SLOT_BITS, -1, np.int32)
+    slots[_slot(pairs)] = np.arange(len(pairs), dtype=np.int32)
+    number = slots[_slot(keys)]
+    at = np.flatnonzero(number >= 0)
+    number, mine = number[at], keys[at]
+    other = np.flatnonzero(pairs[number] != mine)
+    number[other] = np.minimum(np.searchsorted(pairs, mine[other]), len(pairs) - 1)
+    same = pairs[number] == mine
+    return pairs, at[same], rank[number[same]]
+
+
+def _chosen(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the places ``at`` are replaced: where they overlap the lower rank, of equal ranks in a row every other one."""
+    near = np.diff(at) == 1
+    stays = np.ones(len(at), bool)
+    stays[1:] &= ~near | (rank[1:] <= rank[:-1])
+    stays[:-1] &= ~near | (rank[:-1] <= rank[1:])
+    k = np.flatnonzero(stays)
+    begins = np.append(True, np.diff(at[k]) > 1)[: len(k)]
+    start = np.maximum.accumulate(np.where(begins, np.arange(len(k)), 0))
+    k = k[(np.arange(len(k)) - start) % 2 == 0]
+    # A pair that lost most of its places to others waits for the next pass.
+    return k[np.bincount(rank[k])[rank[k]] >= LEAST // 2]
+
+
 def grammar(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-    """(terminals, rules, symbols): rule k, a row (left, right, expansion length), is the symbol terminals + k."""
+    """(terminals, rules, symbols): rule k, a row (left, right, expansion length), is the symbol terminals + k; no pair of symbols comes LEAST times."""
     seq = ids.astype(np.uint32)
     terminals = int(seq.max()) + 1 if len(seq) else 1
-    rules = np.empty((0, 3), np.uint32)
-    for _ in range(PASSES):
-        if len(seq) < 2:
-            break
-        keys = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        ordered = np.sort(keys)
-        heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        counts = np.diff(np.concatenate([heads, [len(ordered)]]))
-        heads, counts = heads[counts >= LEAST], counts[counts >= LEAST]
-        if not len(heads):
+    lengths = np.ones(terminals, np.uint32)
+    rules = [np.empty((0, 3), np.uint32)]
+    open_ = np.arange(max(len(seq) - 1, 0))
+    while len(open_):
+        pairs, k, rank = _frequent(seq[open_].astype(np.uint64) << np.uint64(32) | seq[open_ + 1])
+        if not len(pairs):
             break
-        best = np.argsort(-counts, kind="stable")[:PAIRS]
-        pairs = ordered[heads[best]]
-        # The rank of the pair at each place; where occurrences overlap the lower rank stays.  Of pairs
-        # that fall on one slot the most frequent is replaced in this pass, the others in later ones.
-        slots = np.full(1 << SLOT_BITS, len(pairs), np.int32)
-        slots[_slot(pairs)[::-1]] = np.arange(len(pairs) - 1, -1, -1, dtype=np.int32)
-        rank = slots[_slot(keys)]
-        rank[np.append(pairs, np.uint64(0))[rank] != keys] = len(pairs)
-        stays = rank < len(pairs)
-        stays[1:] &= rank[1:] <= rank[:-1]
-        stays[:-1] &= rank[:-1] <= rank[1:]
-        places = np.flatnonzero(stays)
-        # Neighbours that both stay are of one pair of equal symbols: every other one.
-        new_run = np.concatenate([[True], np.diff(places) > 1])
-        start = np.maximum.accumulate(np.where(new_run, np.arange(len(places)), 0))
-        places = places[(np.arange(len(places)) - start) % 2 == 0]
-        used, again = np.unique(rank[places], return_inverse=True)
-        left, right = (pairs[used] >> np.uint64(32)).astype(np.uint32), (pairs[used] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        lengths = np.concatenate([np.ones(terminals, np.uint32), rules[:, 2]])
-        seq[places] = (terminals + len(rules) + again).astype(np.uint32)
+        at = open_[k]
+        k = _chosen(at, rank)
+        places, rank_at = at[k], rank[k]
+        used, number = np.unique(rank_at, return_inverse=True)
+        first = np.empty(len(used), np.int64)
+        first[number] = places
+        left, right = seq[first], seq[first + 1]
+        new = np.stack([left, right, lengths[left] + lengths[right]], 1)
+        rest = np.delete(at, k)
+        seq[places] = len(lengths) + number
         keep = np.ones(len(seq), bool)
         keep[places + 1] = False
         seq = seq[keep]
-        rules = np.concatenate([rules, np.stack([left, right, lengths[left] + lengths[right]], 1)])
-    return terminals, rules, seq
+        lengths = np.concatenate([lengths, new[:, 2]])
+        rules.append(new)
+        # Places in the shorter sequence: those beside new symbols, and those of frequent pairs that are still there.
+        moved = places - np.arange(len(places))
+        before = np.searchsorted(places, rest - 1, "left")
+        lost = places[np.minimum(before, len(places) - 1)] == rest - 1
+        beside = np.zeros(len(seq) + 1, bool)
+        beside[moved] = beside[moved - 1] = beside[(rest - before)[~lost]] = True
+        open_ = np.flatnonzero(beside[: max(len(seq) - 1, 0)])
+    return terminals, np.concatenate(rules), seq
 
 
 def expand(terminals: int, rules: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """The ids of ``symbols``."""
-    lengths = np.concatenate([np.ones(terminals, np.int64), rules[:, 2].astype(np.int64)])
-    at = np.concatenate([np.arange(terminals), terminals + np.cumsum(rules[:, 2], dtype=np.int64) - rules[:, 2]])
-    table = np.empty(terminals + int(rules[:, 2].sum(dtype=np.int64)), np.uint32)
-    table[:terminals] = np.arange(terminals)
-    for k, (left, right, _) in enumerate(rules.tolist(), terminals):
-        a, b = at[k], at[k] + lengths[left]
-        table[a:b] = table[at[left] : at[left] + lengths[left]]
-        table[b : a + lengths[k]] = table[at[right] : at[right] + lengths[right]]
-    n = lengths[symbols]
-    ends = np.cumsum(n)
-    place = np.repeat((at[symbols] - (ends - n)).astype(np.int32), n)
-    place += np.arange(len(place), dtype=np.int32)
-    return table[place]
+    """The ids of ``symbols``: all nonterminals give way to their two symbols, level by level."""
+    seq = symbols.astype(np.uint32)
+    while len(at := np.flatnonzero(seq >= terminals)):
+        rule = seq[at] - terminals
+        twice = np.ones(len(seq), np.uint8)
+        twice[at] = 2
+        seq = np.repeat(seq, twice)
+        left = at + np.arange(len(at))
+        seq[left], seq[left + 1] = rules[rule, 0], rules[rule, 1]
+    return seq
 
 
 def expand_range(terminals: int, rules: np.ndarray, symbols: np.ndarray, start: int, count: int) -> np.ndarray:
@@ -126,7 +157,7 @@ def pack(ids: np.ndarray, doc_ids: list[int | None], counts: list[int]) -> bytes
 
 
 def unpack(block: bytes) -> tuple[int, np.ndarray, np.ndarray, pa.Table]:
-    """(terminals, rules, symbols, documents) of a block."""
+    """(terminals, rules, symbols, documents) of a shard."""
     terminals, _, _, *sizes = np.frombuffer(block, "<u4", 6).tolist()
     ends = np.cumsum([24, *sizes])
     grow = zstandard.ZstdDecompressor().decompress
@@ -169,10 +200,11 @@ def library_encoder(path: str) -> Encoder:
 
 
 def write_ids(docs: DataFrame, path: str | None = None, folder: str | None = None) -> DataFrame:
-    """Write the ids of every row's text, an end id behind each, in ascending doc_id order, and return the index of blocks.
+    """Write the ids of every row's text, an end id behind each, in ascending doc_id order, and return the index of shards.
 
-    Index: (part, block, file, offset, length, n_docs, n_ids, start), start
-    being the ids of all blocks before.  Null and empty texts have the end id
+    Index: (part, shard, file, offset, length, n_docs, n_ids, low, high, start),
+    low and high being the smallest and the greatest doc_id, start the ids of all
+    shards before.  Null and empty texts have the end id
     alone.  Rows without doc_id come first; rows that repeat a doc_id follow one
     another by text.
     """
@@ -190,16 +222,18 @@ def write_ids(docs: DataFrame, path: str | None = None, folder: str | None = Non
         counts: list[int] = []
         size = 0
 
-        def block() -> pa.RecordBatch:
+        def shard() -> pa.RecordBatch:
             data = pack(np.concatenate(held), names, counts)
-            row = [part, number, out.path, out.write(data), len(data), len(names), size]
-            return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["part", "block", "file", "offset", "length", "n_docs", "n_ids"])
+            known = [n for n in names if n is not None]
+            row = [part, number, out.path, out.write(data), len(data), len(names), size, min(known, default=None), max(known, default=None)]
+            kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 6]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=["part", "shard", "file", "offset", "length", "n_docs", "n_ids", "low", "high"])
 
         for batch, ids in encoded(batches, encoder, 1, TOGETHER):
             for doc_id, x in zip(batch.column(0).to_pylist(), ids, strict=True):
                 out = out or Output(folder, ".repair")
-                if held and size + len(x) + 1 > BLOCK_IDS:
-                    yield block()
+                if held and size + len(x) + 1 > SHARD_IDS:
+                    yield shard()
                     held.clear(), names.clear(), counts.clear()
                     size, number = 0, number + 1
                 held += [x, end]
@@ -207,22 +241,28 @@ def write_ids(docs: DataFrame, path: str | None = None, folder: str | None = Non
                 counts.append(len(x) + 1)
                 size += len(x) + 1
         if held:
-            yield block()
+            yield shard()
         if out:
             out.close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    index = saved(ordered.mapInArrow(write, "part long, block long, file string, offset long, length long, n_docs long, n_ids long"), "ids-index")
-    # One row for each task, then the blocks of one task.
+    index = saved(ordered.mapInArrow(write, "part long, shard long, file string, offset long, length long, n_docs long, n_ids long, low long, high long"), "ids-index")
+    # One row for each task, then the shards of one task.
     before = index.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("base", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     return index.withColumn("inside", inside).join(before.select("part", "base"), "part").withColumn("start", F.coalesce("base", F.lit(0)) + F.coalesce("inside", F.lit(0))).drop("base", "inside")
 
 
-def read_ids(index: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document in the blocks of ``index``."""
-    return _documents(index, True)
+def read_ids(index: DataFrame, doc_ids: list[int] | None = None) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of every document in the shards of ``index``, or of those asked for.
+
+    For the latter only shards that may hold them are read, and of those only the symbols of their documents are expanded.
+    """
+    if doc_ids is None:
+        return _documents(index, True)
+    asked = F.array(*(F.lit(d).cast("long") for d in doc_ids)) if doc_ids else F.array().cast("array<long>")
+    return _documents(index.where(F.exists(asked, lambda d: d.between(F.col("low"), F.col("high")))), True, frozenset(doc_ids))
 
 
 def id_digests(index: DataFrame) -> DataFrame:
@@ -230,7 +270,7 @@ def id_digests(index: DataFrame) -> DataFrame:
     return _documents(index, False)
 
 
-def _documents(index: DataFrame, with_ids: bool) -> DataFrame:
+def _documents(index: DataFrame, with_ids: bool, asked: frozenset[int] | None = None) -> DataFrame:
     small_batches(index.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,14 +279,19 @@ def _documents(index: DataFrame, with_ids: bool) -> DataFrame:
                 source = Input(path)
                 terminals, rules, symbols, docs = unpack(source.read(offset, length))
                 source.close()
-                ids = expand(terminals, rules, symbols)
                 counts = docs["n"].to_numpy()
                 ends = np.cumsum(counts)
-                for lo in range(0, len(counts), 1000):
-                    hi = min(lo + 1000, len(counts))
-                    cut = [ids[e - n : e] for e, n in zip(ends[lo:hi].tolist(), counts[lo:hi].tolist(), strict=True)]
+                rows = np.arange(len(counts))
+                if asked is None:
+                    ids = expand(terminals, rules, symbols)
+                else:
+                    rows = np.flatnonzero([d in asked for d in docs["doc_id"].to_pylist()])
+                for lo in range(0, len(rows), 1000):
+                    k = rows[lo : lo + 1000]
+                    places = zip((ends[k] - counts[k]).tolist(), counts[k].tolist(), strict=True)
+                    cut = [ids[a : a + n] if asked is None else expand_range(terminals, rules, symbols, a, n) for a, n in places]
                     last = pa.array([x.astype("<i4") for x in cut], pa.list_(pa.int32())) if with_ids else pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in cut], pa.int64())
-                    yield pa.RecordBatch.from_arrays([docs["doc_id"].combine_chunks().slice(lo, hi - lo), pa.array(start + ends[lo:hi] - counts[lo:hi]), pa.array(counts[lo:hi]), last], names=["doc_id", "start", "n_tokens", "ids" if with_ids else "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([docs["doc_id"].combine_chunks().take(pa.array(k)), pa.array(start + ends[k] - counts[k]), pa.array(counts[k]), last], names=["doc_id", "start", "n_tokens", "ids" if with_ids else "ids_crc32"])
 
-    blocks = index.select("file", "offset", "length", "start").repartition(reading_tasks(index), "file", "offset")
-    return blocks.mapInArrow(read, "doc_id long, start long, n_tokens long, " + ("ids array<int>" if with_ids else "ids_crc32 long"))
+    shards = index.select("file", "offset", "length", "start").repartition(reading_tasks(index), "file", "offset")
+    return shards.mapInArrow(read, "doc_id long, start long, n_tokens long, " + ("ids array<int>" if with_ids else "ids_crc32 long"))

@@ -37,17 +37,9 @@ _SPACE[[32, *range(9, 14)]] = True
 
 def hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, offsets): the words of all texts of a column, and where each text's begin and end; null texts have none."""
-    column = pc.fill_null(column, "")
-    if pa.types.is_large_string(column.type):
-        offsets = np.frombuffer(column.buffers()[1], np.int64)
-    else:
-        offsets = np.frombuffer(column.buffers()[1], np.int32).astype(np.int64)
-    offsets = offsets[column.offset : column.offset + len(column) + 1]
-    low, high = int(offsets[0]), int(offsets[-1])
-    if low == high:
-        return np.empty(0, np.uint64), np.zeros(len(column) + 1, np.int64)
-    raw = np.frombuffer(column.buffers()[2], np.uint8)[low:high]
-    offsets = offsets - low
+    raw, offsets = text_bytes(column)
+    if not len(raw):
+        return np.empty(0, np.uint64), offsets
     space = _SPACE[raw]
     inner = offsets[(offsets > 0) & (offsets < len(raw))]
     begins, ends = ~space, ~space
@@ -56,6 +48,11 @@ def hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ends[:-1] &= space[1:]
     ends[inner - 1] = ~space[inner - 1]
     first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    return range_hashes(raw, first, last, _BYTES), np.searchsorted(first, offsets)
+
+
+def range_hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes from ``first`` to ``last``, ranges that follow one another; ``table`` has a 64-bit word for each byte."""
     out = np.empty(len(first), np.uint64)
     k = 0
     while k < len(first):
@@ -63,10 +60,20 @@ def hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         a, b = int(first[k]), int(last[end - 1])
         up, down = (_UP, _DOWN) if b - a <= CHUNK else _powers(b - a)
         sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(_BYTES[raw[a:b]] * up[: b - a], out=sums[1:])
+        np.cumsum(table[raw[a:b]] * up[: b - a], out=sums[1:])
         out[k:end] = (sums[last[k:end] - a] - sums[first[k:end] - a]) * down[first[k:end] - a]
         k = end
-    return mixed(out), np.searchsorted(first, offsets)
+    return mixed(out)
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets): the bytes of all texts of a column, and where each text's begin and end; null texts are empty."""
+    column = pc.fill_null(column, "")
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    low, high = int(offsets[0]), int(offsets[-1])
+    raw = np.frombuffer(column.buffers()[2], np.uint8)[low:high] if high > low else np.empty(0, np.uint8)
+    return raw, offsets - low
 
 
 def word_hashes(text: str | None) -> np.ndarray:
