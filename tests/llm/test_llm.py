@@ -138,13 +138,37 @@ def test_list_decoding_finds_every_exceeding_filter():
     x = rng.standard_normal((50, 24))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     scores = caps.block_scores(x, 7)
-    bounds = rng.uniform(-0.1, 0.4, 49)
+    bounds = rng.uniform(-0.1, 0.4, 50)
     whole = (scores[0][:, :, None] + scores[1][:, None, :]).reshape(50, -1)
     row, number = caps.exceeding_filters(scores, bounds)
-    assert set(zip(row.tolist(), number.tolist(), strict=True)) == {(int(a), int(b)) for a, b in zip(*np.nonzero(whole >= bounds), strict=True)}
+    assert set(zip(row.tolist(), number.tolist(), strict=True)) == {(int(a), int(b)) for a, b in zip(*np.nonzero(whole >= bounds[:, None]), strict=True)}
     assert (caps.best_filters(scores)[0] == whole.argmax(1)).all()
 
 
+def test_probes_are_few_and_meet_every_link():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    # Partners at exactly the threshold, in random directions.
+    e = rng.standard_normal(x.shape)
+    e -= (e * x).sum(1, keepdims=True) * x
+    y = 0.98 * x + np.sqrt(1 - 0.98**2) * e / np.linalg.norm(e, axis=1, keepdims=True)
+    for codewords, share in ((9, 0.25), (40, 0.05)):
+        (f, s), (g, r) = (caps.best_filters(caps.block_scores(v, codewords)) for v in (x, y))
+        row, number = caps.exceeding_filters(caps.block_scores(x, codewords), caps.probe_bounds(s, 0.98, 64))
+        back, there = caps.exceeding_filters(caps.block_scores(y, codewords), caps.probe_bounds(r, 0.98, 64))
+        assert len(row) < share * codewords**2 * len(x)
+        met = set(zip(row.tolist(), number.tolist(), strict=True)), set(zip(back.tolist(), there.tolist(), strict=True))
+        assert all((k, f[k]) in met[1] if s[k] > r[k] else (k, g[k]) in met[0] for k in range(len(x)))
+
+
+def test_equal_vectors_count_once_for_each_row(spark):
+    v, w = [1.0, 2.0, 3.0], [1.0, 2.0, 3.01]
+    rows = [(1, v, 0), (2, v, 0), (2, v, 0), (3, w, 0), (3, [5.0, -1.0, 0.0], 0), (4, v, 1)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in caps.similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 3, 1, True), (2, 2, 1, False), (2, 2, 1, False), (3, 0, 1, False), (3, 3, 1, False), (4, 0, 4, True)]
+
+
 # ops 3 and 8
 
 
