@@ -69,7 +69,7 @@ def bm25(words: DataFrame, terms: list[str], every: bool = False) -> DataFrame:
 
 
 def highlighted(text: Column, terms: list[str], start: str, end: str) -> Column:
-    return F.regexp_replace(text, r"(?i)\b(" + "|".join(terms) + r")\b", f"{start}$1{end}")
+    return F.regexp_replace(text, r"(?i)(?<![A-Za-z0-9_])(" + "|".join(terms) + r")(?![A-Za-z0-9_])", f"{start}$1{end}")
 
 
 def boolean(words: DataFrame, groups: list[list[str]]) -> DataFrame:
@@ -128,7 +128,11 @@ def reranked(rows: DataFrame, required: list[str], excluded: list[str], opposite
 
 
 def context(rows: DataFrame, order: list[Column], label: Column, text: Column, budget: int) -> DataFrame:
-    """Results as numbered passages up to, without, the first that goes over the byte budget: (id, number, passage)."""
+    """Results as numbered passages up to, without, the first that goes over the byte budget: (id, number, passage).
+
+    A passage has five bytes at least, so that many rows at most are looked at, and are numbered in one task.
+    """
+    rows = rows.orderBy(*order).limit(budget // 5 + 1)
     number = F.row_number().over(Window.orderBy(*order))
     numbered = rows.withColumn("number", number).withColumn("passage", F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] "), label, F.lit("\n"), text))
     running = F.sum(F.octet_length("passage")).over(Window.orderBy("number").rowsBetween(Window.unboundedPreceding, 0))

@@ -95,10 +95,10 @@ def content_mode(spark, sf_dir):
     return _rules(spark, sf_dir).select("k", F.round(D.crunch(F.col("t")), 4).alias("crunch"))
 
 
-@_query("SELECT doc_id, n::INT AS cells FROM (SELECT doc_id, len(list_filter(string_split(split_part(text, chr(10), 1), '|'), lambda c: trim(c) <> '')) AS n, text FROM documents) WHERE contains(split_part(text, chr(10), 1), '|')")
+@_query("SELECT doc_id, number, len(list_filter(string_split(line, '|'), lambda c: trim(c) <> ''))::INT AS cells FROM (SELECT doc_id, (generate_subscripts(l, 1) - 1)::INT AS number, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE contains(line, '|')")
 def table_cells(spark, sf_dir):
-    first = F.split("text", "\n")[0]
-    return load(spark, sf_dir, "documents").where(first.contains("|")).select("doc_id", F.size(D.table_cells(first)).alias("cells"))
+    lines = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("number", "line"))
+    return lines.where(F.col("line").contains("|")).select("doc_id", "number", F.size(D.table_cells(F.col("line"))).alias("cells"))
 
 
 @_query("SELECT p_partkey, '[Section: ' || p_brand || '] [Type: ' || p_type || '] ' || p_name AS text FROM part")
@@ -158,11 +158,11 @@ def inheritance_chain(spark, sf_dir):
     return G.chains(_tree(spark, sf_dir), "id", "parent").select("id", F.concat_ws(">", F.transform("path", lambda x: x.cast("string"))).alias("path"), "problem")
 
 
-@_query(f"""WITH RECURSIVE {_TREE}, w AS (SELECT id AS node, id, 0 AS d FROM t WHERE id < 200 AND id NOT IN (5, 15, 16, 17) AND id NOT BETWEEN 40 AND 53 AND id NOT BETWEEN 120 AND 161 UNION ALL SELECT node, parent, d + 1 FROM w JOIN t USING (id) WHERE parent IS NOT NULL)
+@_query(f"""WITH RECURSIVE {_TREE}, w AS (SELECT id AS node, id, 0 AS d FROM t UNION ALL SELECT node, parent, d + 1 FROM w JOIN t USING (id) WHERE parent IS NOT NULL)
 SELECT node AS id, 'k' || (p_size % 4) AS name, arg_min(p_size, d) AS value FROM w JOIN t USING (id) GROUP BY 1, 2""")
 def inherited_traits(spark, sf_dir):
     tree = _tree(spark, sf_dir)
-    paths = G.chains(tree, "id", "parent").where("id < 200 and problem is null and id not in (5, 15, 16, 17) and id not between 40 and 53 and id not between 120 and 161")
+    paths = G.chains(tree, "id", "parent").where("problem is null")
     traits = tree.select("id", F.concat(F.lit("k"), F.col("p_size") % 4).alias("name"), F.col("p_size").alias("value"))
     return G.inherited(paths, traits, "name", "value")
 

@@ -86,10 +86,10 @@ def correlated_count(spark, sf_dir):
     return R.page(counted, [F.col("c_custkey")], 100, 50)
 
 
-@_query(f"WITH {_EDGES} SELECT s_name, p_name, both_ways FROM edges JOIN supplier ON s_suppkey = src JOIN part ON p_partkey = dst WHERE src < 20")
+@_query(f"WITH {_EDGES} SELECT s_name, p_name, both_ways FROM edges JOIN supplier ON s_suppkey = src JOIN part ON p_partkey = dst")
 def edge_nodes(spark, sf_dir):
     s, p = load(spark, sf_dir, "supplier"), load(spark, sf_dir, "part")
-    return edges(spark, sf_dir).where("src < 20").join(s, F.col("s_suppkey") == F.col("src")).join(p, F.col("p_partkey") == F.col("dst")).select("s_name", "p_name", "both_ways")
+    return edges(spark, sf_dir).join(s, F.col("s_suppkey") == F.col("src")).join(p, F.col("p_partkey") == F.col("dst")).select("s_name", "p_name", "both_ways")
 
 
 @_query("""WITH t AS (SELECT n_nationkey AS g, r * 10 AS low, r * 10 + 7 + n_nationkey % 5 AS high, n_name || '-' || r AS entry FROM nation, range(0, 10) x(r)),
@@ -251,22 +251,21 @@ def bank_merge(spark, sf_dir):
     return R.overlaid(part.select("p_brand", "p_partkey", F.col("p_size").alias("priority")), overlay, ["p_partkey"], "priority", ["p_brand"], 5)
 
 
-@_query("""WITH a AS (SELECT s_suppkey AS id, unnest([struct_pack(path := 'name', v := s_name), struct_pack(path := 'nation', v := s_nationkey::VARCHAR)], recursive := true) FROM supplier WHERE s_suppkey < 60),
-b AS (SELECT s_suppkey AS id, unnest([struct_pack(path := 'name', v := CASE WHEN s_suppkey % 7 = 0 THEN 'renamed' ELSE s_name END), struct_pack(path := 'nation', v := s_nationkey::VARCHAR)], recursive := true) FROM supplier WHERE s_suppkey >= 5 AND s_suppkey < 80)
+@_query("""WITH a AS (SELECT s_suppkey AS id, unnest([struct_pack(path := 'name', v := s_name), struct_pack(path := 'nation', v := s_nationkey::VARCHAR)], recursive := true) FROM supplier WHERE s_suppkey % 11 <> 3),
+b AS (SELECT s_suppkey AS id, unnest([struct_pack(path := 'name', v := CASE WHEN s_suppkey % 7 = 0 THEN 'renamed' ELSE s_name END), struct_pack(path := 'nation', v := s_nationkey::VARCHAR)], recursive := true) FROM supplier WHERE s_suppkey % 13 <> 5)
 SELECT id, path, CASE WHEN a.v IS NULL THEN 'added' WHEN b.v IS NULL THEN 'removed' ELSE 'modified' END AS change, a.v AS old, b.v AS new FROM a FULL JOIN b USING (id, path) WHERE a.v IS DISTINCT FROM b.v""")
 def snapshot_diff(spark, sf_dir):
     s = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
-    new = s.where("id >= 5 and id < 80").withColumn("name", F.when(F.col("id") % 7 == 0, "renamed").otherwise(F.col("name")))
-    return R.difference(R.flattened(s.where("id < 60"), "id", ["name", "nation"]), R.flattened(new, "id", ["name", "nation"]), ["id", "path"], "value")
+    old, new = s.where("id % 11 != 3"), s.where("id % 13 != 5").withColumn("name", F.when(F.col("id") % 7 == 0, "renamed").otherwise(F.col("name")))
+    return R.difference(R.flattened(old, "id", ["name", "nation"]), R.flattened(new, "id", ["name", "nation"]), ["id", "path"], "value")
 
 
-@_query("""WITH o AS (SELECT c_custkey AS k, c_acctbal AS v, 1 AS ver FROM customer WHERE c_custkey < 300), n AS (SELECT c_custkey AS k, -c_acctbal AS v, 1 + c_custkey % 2 AS ver FROM customer WHERE c_custkey >= 200 AND c_custkey < 400)
-SELECT k, coalesce(n.v, o.v) AS v, coalesce(n.ver, o.ver)::INT AS ver FROM o FULL JOIN n USING (k)""")
+@_query("""WITH o AS (SELECT c_custkey AS k, c_acctbal AS v, 1 AS ver FROM customer), n AS (SELECT o_custkey AS k, sum(o_totalprice) AS v, count(*) % 3 AS ver FROM orders GROUP BY 1)
+SELECT k, round(CASE WHEN n.ver >= coalesce(o.ver, 0) THEN n.v ELSE o.v END, 2) AS v, greatest(coalesce(o.ver, 0), coalesce(n.ver, 0))::BIGINT AS ver FROM o FULL JOIN n USING (k)""")
 def upsert_latest(spark, sf_dir):
-    c = load(spark, sf_dir, "customer")
-    old = c.where("c_custkey < 300").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.lit(1).alias("ver"))
-    new = c.where("c_custkey >= 200 and c_custkey < 400").select(F.col("c_custkey").alias("k"), (-F.col("c_acctbal")).alias("v"), (1 + F.col("c_custkey") % 2).cast("int").alias("ver"))
-    return sinks.upserted(old, new, ["k"], "ver")
+    old = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.lit(1).cast("long").alias("ver"))
+    new = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.sum("o_totalprice").alias("v"), (F.count("*") % 3).alias("ver"))
+    return sinks.upserted(old, new, ["k"], "ver").withColumn("v", F.round("v", 2))
 
 
 @_query("SELECT event_id, ts FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 5 DAYS")
@@ -282,6 +281,6 @@ def copy_validation(spark, sf_dir):
     return sinks.reconciled({"nation": n, "supplier": s}, {"nation": n, "supplier": s.where("s_acctbal > 0")})
 
 
-@_query("SELECT doc_id, replace(replace(replace(left(text, 200), ',', ';'), chr(10), ' '), chr(13), ' ') AS line FROM documents")
+@_query(r"SELECT doc_id, regexp_replace(replace(text, ',', ';'), '[\r\n]+', ' ', 'g') AS line FROM documents")
 def csv_export_field(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", sinks.csv_safe(F.substring("text", 1, 200)).alias("line"))
+    return load(spark, sf_dir, "documents").select("doc_id", sinks.csv_safe(F.col("text")).alias("line"))

@@ -61,9 +61,9 @@ def postings_index(spark, sf_dir):
     return R.postings(_words(spark, sf_dir))
 
 
-@_query(r"SELECT doc_id, regexp_replace(left(text, 300), '(?i)\b(the|and)\b', '<mark>\1</mark>', 'g') AS marked FROM documents WHERE lang = 'en'")
+@_query(r"SELECT doc_id, regexp_replace(text, '(?i)\b(the|and)\b', '<mark>\1</mark>', 'g') AS marked FROM documents")
 def bm25_highlight(spark, sf_dir):
-    return load(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", R.highlighted(F.substring("text", 1, 300), ["the", "and"], "<mark>", "</mark>").alias("marked"))
+    return load(spark, sf_dir, "documents").select("doc_id", R.highlighted(F.col("text"), ["the", "and"], "<mark>", "</mark>").alias("marked"))
 
 
 @_query(f"WITH {WORDS} SELECT id, 1.0::DOUBLE AS score FROM words WHERE list_has_any(words, ['thing', 'tion']) AND list_has_any(words, ['idiot', 'trash', 'clown']) ORDER BY id LIMIT 50")
@@ -100,11 +100,11 @@ def rerank_attributes(spark, sf_dir):
     return R.reranked(rows, ["red", "ring"], ["PROMO"], [("red", "blue"), ("ring", "widget"), ("large", "small")]).withColumn("score", F.round("score", 6))
 
 
-@_query("""WITH n AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS number, source, text FROM documents WHERE n_chars < 600),
+@_query("""WITH n AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars, doc_id) AS number, source, text FROM documents),
 p AS (SELECT id, number, '[' || number || '] ' || source || chr(10) || text AS passage FROM n), u AS (SELECT *, sum(octet_length(encode(passage))) OVER (ORDER BY number) AS used FROM p) SELECT id, number, passage FROM u WHERE used <= 4000""")
 def rag_context(spark, sf_dir):
-    rows = load(spark, sf_dir, "documents").where("n_chars < 600").withColumn("id", F.col("doc_id"))
-    return R.context(rows, [F.desc("n_chars"), F.col("doc_id")], F.col("source"), F.col("text"), 4000)
+    rows = load(spark, sf_dir, "documents").withColumn("id", F.col("doc_id"))
+    return R.context(rows, [F.col("n_chars"), F.col("doc_id")], F.col("source"), F.col("text"), 4000)
 
 
 @_query(f"WITH {WORDS}, w AS (SELECT DISTINCT unnest(words) AS word FROM words) SELECT word FROM w WHERE starts_with(word, 'the') ORDER BY length(word), word LIMIT 20")
@@ -190,9 +190,9 @@ def input_validation(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", Q.validation(F.col("html"), 20000).alias("problem"))
 
 
-@_query(r"SELECT doc_id, lower(trim(regexp_replace(left(text, 300), '\s+', ' ', 'g'))) AS text FROM documents")
+@_query(r"SELECT doc_id, lower(trim(regexp_replace(text, '[\s\x0B]+', ' ', 'g'))) AS text FROM documents")
 def normalise_text(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", T.normalised(F.substring("text", 1, 300)).alias("text"))
+    return load(spark, sf_dir, "documents").select("doc_id", T.normalised(F.col("text")).alias("text"))
 
 
 @_query(rf"WITH {WORDS} SELECT id, len(list_filter(words, lambda w: w NOT IN ('a','an','and','are','as','at','be','by','for','from','has','he','in','is','it','its','of','on','or','that','the','to','was','were','will','with'))) AS kept FROM words")
