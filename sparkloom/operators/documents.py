@@ -181,3 +181,53 @@ def packed_elements(elements: DataFrame, key: str, order: str, text: str, atomic
         return F.when(fits, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(whole))).otherwise(F.concat(done, F.array(fresh)))
 
     return listed.select(key, F.posexplode(F.aggregate("_parts", empty, put)).alias("chunk_number", "_c")).select(key, "chunk_number", F.col("_c.text").alias("chunk"))
+
+
+def keywords(text: Column, vocabulary: list[str], most: int) -> Column:
+    """The first ``most`` terms of the vocabulary that a text contains, whatever the case, in the vocabulary's order."""
+    low = F.lower(text)
+    return F.slice(F.filter(F.array(*map(F.lit, vocabulary)), lambda v: low.contains(F.lower(v))), 1, most)
+
+
+def header_level(line: Column) -> Column:
+    """1 for chapters, parts and appendices, 2 for sections and numbers like 3., 3 for numbers like 3.1, 4 for other short lines in capitals; else null."""
+    low = F.trim(F.lower(line))
+    capitals = (F.upper(line) == line) & line.rlike(r"[A-Z]{2}") & (F.length(line) <= 60)
+    return F.when(low.rlike(r"^(chapter|part|appendix)\b"), 1).when(low.rlike(r"^section\b|^\d+\.\s"), 2).when(low.rlike(r"^\d+\.\d+"), 3).when(capitals, 4)
+
+
+def region(text: Column) -> Column:
+    """What a block of a page is, and how sure that is, as a struct (kind, confidence): stat block, read-aloud text, sidebar, callout or body."""
+    low = F.lower(text)
+    marks = sum((low.contains(w).cast("int") for w in ("hit points", "speed", "challenge")), low.contains("armor class").cast("int"))
+    aloud = low.rlike(r"read (?:aloud|the following)|^\s*[\"“]")
+    boxed = low.rlike(r"^\s*(?:sidebar|variant|optional rule)\b")
+    called = low.rlike(r"^\s*(?:note|tip|warning|important)\s*:")
+    cases = [(marks >= 2, "stat block", F.least(0.4 + 0.15 * marks, F.lit(1.0))), (aloud, "read-aloud", F.lit(0.7)), (boxed, "sidebar", F.lit(0.8)), (called, "callout", F.lit(0.75))]
+    out = None
+    for test, kind, sure in cases:
+        one = F.struct(F.lit(kind).alias("kind"), sure.cast("double").alias("confidence"))
+        out = F.when(test, one) if out is None else out.when(test, one)
+    return out.otherwise(F.struct(F.lit("body").alias("kind"), F.lit(0.5).cast("double").alias("confidence")))
+
+
+def frames(stream: DataFrame, key: str, order: str, piece: str, schema: str) -> DataFrame:
+    """(key, number, event) of the frames in a stream that comes in pieces: lines of JSON, with or without ``data:`` before them; [DONE], comments and what isn't JSON are left out."""
+    whole = stream.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, piece))).alias("_p")).select(key, F.array_join(F.col("_p")[piece], "").alias("_text"))
+    lines = whole.select(key, F.posexplode(F.split("_text", r"\r?\n")).alias("number", "line"))
+    body = F.trim(F.regexp_replace("line", r"^data:\s*", ""))
+    events = lines.withColumn("line", body).where(F.col("line").startswith("{")).withColumn("event", F.from_json("line", schema))
+    return events.where("event is not null").select(key, "number", "event")
+
+
+def linked_references(refs: DataFrame, catalogue: DataFrame, least: float = 0.5) -> DataFrame:
+    """(key, kind, target, title, confidence): references (key, kind, target) with the catalogue's entries (kind, target, title) that they name.
+
+    A reference that names an entry's own target is sure; one to a part of it (12-3 or 12.3) is half as sure; the others aren't linked.
+    """
+    part = F.regexp_extract("target", r"^(\d+)", 1)
+    asked = refs.withColumn("_to", F.explode(F.array_distinct(F.array("target", part)))).where("_to != ''")
+    entries = catalogue.select("kind", F.col("target").alias("_to"), "title")
+    sure = F.when(F.col("_to") == F.col("target"), 1.0).otherwise(0.5)
+    found = asked.join(entries, ["kind", "_to"]).withColumn("confidence", sure).where(F.col("confidence") >= least)
+    return found.groupBy("key", "kind", "target").agg(F.max_by("title", "confidence").alias("title"), F.max("confidence").alias("confidence"))

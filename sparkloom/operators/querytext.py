@@ -72,3 +72,38 @@ def similarity(a: Column, b: Column) -> Column:
 def validation(text: Column, most: int) -> Column:
     """null for a text that may be used, else what is wrong with it."""
     return F.when(text.contains("\0"), "nul").when(F.length(text) > most, "too long").when(F.lower(text).rlike(r"<script|javascript:|on\w+\s*="), "markup")
+
+
+def compounds(words: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(word, split) of words that are two words run together, by the commonest pair (pair, n) of words that gives them; of equal ones the first by name."""
+    joined = pairs.select(F.replace("pair", F.lit(" "), F.lit("")).alias("word"), F.struct((-F.col("n")).alias("n"), "pair").alias("p"))
+    return words.select("word").join(joined, "word").groupBy("word").agg(F.min("p")["pair"].alias("split"))
+
+
+def variants(words: Column, abbreviations: dict[str, str], synonyms: dict[str, list[str]]) -> Column:
+    """The terms of a query without stop words: each word, what it abbreviates or is abbreviated to, and its synonyms, every term once where it first stands."""
+    other: dict[str, list[str]] = {}
+    for short, long in abbreviations.items():
+        other.setdefault(short, []).append(long)
+        other.setdefault(long, []).append(short)
+    for word, same in synonyms.items():
+        other.setdefault(word, []).extend(same)
+    none = F.array().cast("array<string>")
+    known = F.create_map(*(x for k, v in other.items() for x in (F.lit(k), F.array(*map(F.lit, v))))) if other else None
+    each = F.transform(T.without_stop_words(words), lambda w: F.concat(F.array(w), F.coalesce(known[w], none) if other else none))
+    return F.array_distinct(F.flatten(each))
+
+
+def prepared(queries: DataFrame, known: DataFrame, synonyms: DataFrame, most: int = 5) -> DataFrame:
+    """(id, corrected, expanded) of raw queries (id, query): normalised and corrected by the dictionary (word, n), for the vector; and with each word's synonyms as ``(a OR b) AND c``, for full text.
+
+    Words are corrected together: each different one once, whatever the number of queries.
+    """
+    each = queries.select("id", F.posexplode(F.split(T.normalised(F.col("query")), " ")).alias("place", "word")).where("word != ''")
+    fixed = corrections(each, known).select("word", "best")
+    right = each.join(fixed, "word", "left").select("id", "place", F.coalesce("best", "word").alias("word"))
+    top = synonyms.withColumn("_k", F.row_number().over(Window.partitionBy("word").orderBy("priority", "synonym"))).where(F.col("_k") <= most)
+    lists = top.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "synonym"))), lambda s: s["synonym"]).alias("others"))
+    terms = right.join(lists, "word", "left").withColumn("term", F.when(F.col("others").isNull(), F.col("word")).otherwise(F.concat(F.lit("("), F.concat_ws(" OR ", F.array("word"), "others"), F.lit(")"))))
+    ordered = terms.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "word", "term"))).alias("_t"))
+    return ordered.select("id", F.concat_ws(" ", "_t.word").alias("corrected"), F.concat_ws(" AND ", "_t.term").alias("expanded"))

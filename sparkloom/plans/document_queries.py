@@ -215,7 +215,8 @@ def user_sessions(spark, sf_dir):
     return S.sessions(load(spark, sf_dir, "events"), "user_id", "ts", "6 hours")
 
 
-@_query(None)
+@_query("""WITH RECURSIVE w AS (SELECT event_type, min(ts) AS ts FROM events GROUP BY 1 UNION ALL
+SELECT w.event_type, min(e.ts) FROM w JOIN events e ON e.event_type = w.event_type AND e.ts >= w.ts + INTERVAL 1 HOUR GROUP BY w.event_type) SELECT event_type, ts FROM w""")
 def alerts_once(spark, sf_dir):
     return S.alerts_once(load(spark, sf_dir, "events"), "event_type", "ts", 3600)
 

@@ -29,6 +29,10 @@ def _words(spark, sf_dir):
     return R.tokenised(load(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def _index(spark, sf_dir):
+    return R.index_of(load(spark, sf_dir, "documents"), "doc_id", "text", sf_dir)
+
+
 def _bm25_sql(terms: list[str]) -> str:
     some = ", ".join(f"'{t}'" for t in terms)
     return f"""{WORDS}, p AS (SELECT id, len(words) AS size, t, len(list_filter(words, lambda w: w = t)) AS tf FROM words, (SELECT unnest([{some}]) AS t)),
@@ -53,12 +57,12 @@ def knn_cosine(spark, sf_dir):
 
 @_query(f"WITH {_bm25_sql(['thing', 'heron'])} SELECT id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, id LIMIT 20")
 def bm25_topk(spark, sf_dir):
-    return R.bm25(_words(spark, sf_dir), ["thing", "heron"]).orderBy(F.desc("score"), "id").limit(20).withColumn("score", F.round("score", 6))
+    return _index(spark, sf_dir).bm25(["thing", "heron"]).orderBy(F.desc("score"), "id").limit(20).withColumn("score", F.round("score", 6))
 
 
 @_query(rf"""WITH {WORDS} SELECT t AS term, id, len(words) AS size, count(*) AS tf FROM (SELECT id, words, unnest(words) AS t FROM words) GROUP BY ALL""")
 def postings_index(spark, sf_dir):
-    return R.postings(_words(spark, sf_dir))
+    return spark.read.parquet(_index(spark, sf_dir).path).drop("part")
 
 
 @_query(r"SELECT doc_id, regexp_replace(text, '(?i)\b(the|and)\b', '<mark>\1</mark>', 'g') AS marked FROM documents")
@@ -77,7 +81,7 @@ a AS (SELECT id, (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) AS s F
 f AS (SELECT id, 0.6 * coalesce(s, 0) + 0.4 * coalesce(t, 0) AS score FROM a FULL JOIN b USING (id))
 SELECT id, round(score, 6) AS score FROM f WHERE score >= 0.1 ORDER BY f.score DESC, id LIMIT 20""")
 def hybrid_linear(spark, sf_dir):
-    found = R.bm25(_words(spark, sf_dir), ["thing", "heron"]).orderBy(F.desc("score"), "id").limit(60)
+    found = _index(spark, sf_dir).bm25(["thing", "heron"]).orderBy(F.desc("score"), "id").limit(60)
     return R.linear_fusion(_near(spark, sf_dir, 60), found, R.Hybrid()).withColumn("score", F.round("score", 6))
 
 
@@ -87,7 +91,7 @@ u AS (SELECT id, 0.7 / (60 + k) AS p, 1 AS s FROM a UNION ALL SELECT id, 0.3 / (
 SELECT id, round(raw / max(raw) OVER (), 6) AS score, sources FROM g ORDER BY raw DESC, id LIMIT 20""")
 def rank_fusion(spark, sf_dir):
     a = R.ranked(_near(spark, sf_dir, 40), [F.col("distance"), F.col("id")])
-    b = R.ranked(R.bm25(_words(spark, sf_dir), ["thing", "heron"]).orderBy(F.desc("score"), "id").limit(40), [F.desc("score"), F.col("id")])
+    b = R.ranked(_index(spark, sf_dir).bm25(["thing", "heron"]).orderBy(F.desc("score"), "id").limit(40), [F.desc("score"), F.col("id")])
     return R.rank_fusion([(0.7, a), (0.3, b)], 20).withColumn("score", F.round("score", 6))
 
 
@@ -135,7 +139,7 @@ def content_hash_copies(spark, sf_dir):
 
 @_query(rf"WITH {WORDS} SELECT word, count(*) AS n FROM (SELECT unnest(words) AS word FROM words) WHERE length(word) >= 2 AND NOT regexp_full_match(word, '\p{{N}}+') GROUP BY 1 HAVING n >= 2")
 def dictionary(spark, sf_dir):
-    return Q.dictionary(_words(spark, sf_dir))
+    return _index(spark, sf_dir).dictionary()
 
 
 @_query(f"WITH {WORDS} SELECT pair, count(*) AS n FROM (SELECT unnest([words[i] || ' ' || words[i + 1] for i in range(1, len(words))]) AS pair FROM words) GROUP BY 1 HAVING n >= 2")
@@ -167,7 +171,7 @@ def synonym_expansion(spark, sf_dir):
 WHEN word LIKE '%s' AND word NOT LIKE '%ss' AND length(word) > 3 THEN left(word, length(word) - 1) WHEN word LIKE '%ly' AND length(word) > 4 THEN left(word, length(word) - 2) ELSE word END AS stem,
 CASE WHEN word IN ('thing', 'heron') THEN 1.5 WHEN n > 20 THEN 1.2 ELSE 1.0 END AS weight FROM (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM documents) WHERE length(word) >= 2 GROUP BY 1 HAVING n >= 2 AND NOT regexp_full_match(word, '\p{N}+'))""")
 def weighted_expansion(spark, sf_dir):
-    words = Q.dictionary(_words(spark, sf_dir))
+    words = _index(spark, sf_dir).dictionary()
     return words.select("word", T.stem(F.col("word")).alias("stem"), Q.weights(F.col("word"), ["thing", "heron"], F.col("n") > 20).alias("weight"))
 
 

@@ -26,7 +26,8 @@ def alerts_once(stream: DataFrame, key: str, time: str, seconds: int = 3600) ->
     """(key, time): alerts, but for those within ``seconds`` of the last one let through of the same key.
 
     A suppressed alert doesn't prolong the silence.  The state of a key is the
-    time of that alert, whatever the length of the log.
+    time of that alert, whatever the length of the log; a batch is sorted and
+    read once, with that state alone.
     """
     schema = f"{key} string, {time} timestamp"
 
@@ -38,9 +39,14 @@ def alerts_once(stream: DataFrame, key: str, time: str, seconds: int = 3600) ->
                 last = t
         return out, last
 
-    def batch(rows: pd.DataFrame) -> pd.DataFrame:
-        out, _ = let_through(sorted(rows[time]), None)
-        return pd.DataFrame({key: [rows[key].iloc[0]] * len(out), time: out})
+    def batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, last = None, None
+        for frame in frames:
+            for other, part in frame.groupby(key, sort=False, dropna=False):
+                last = last if other == name else None
+                name = other
+                out, last = let_through(list(part[time]), last)
+                yield pd.DataFrame({key: [other] * len(out), time: out})
 
     def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         times = sorted(t for f in frames for t in f[time])
@@ -53,7 +59,7 @@ def alerts_once(stream: DataFrame, key: str, time: str, seconds: int = 3600) ->
     rows = stream.select(F.col(key).cast("string").alias(key), F.col(time).cast("timestamp").alias(time))
     if stream.isStreaming:
         return rows.groupBy(key).applyInPandasWithState(step, schema, "last long", "append", GroupStateTimeout.NoTimeout)
-    return rows.groupBy(key).applyInPandas(batch, schema)
+    return rows.repartition(key).sortWithinPartitions(key, time).mapInPandas(batch, schema)
 
 
 def moving_average(rows: DataFrame, group: str, order: str, value: str, keep: float, start: float | None) -> DataFrame:
