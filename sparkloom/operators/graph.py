@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.sources.tables import stored
+
 
 def degrees(edges: DataFrame) -> DataFrame:
     """(id, degree, hub): edges at each node, both ends counted; a hub has over twice the mean."""
@@ -14,14 +16,17 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def within(edges: DataFrame, start: object, depth: int) -> DataFrame:
-    """(id, hops) of the nodes that are at most ``depth`` edges away, whichever way they point; none at depth 0."""
+    """(id, hops) of the nodes that are at most ``depth`` edges away, whichever way they point; none at depth 0.
+
+    Each hop is written, so the next one reads it instead of walking again.
+    """
     spark = edges.sparkSession
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = stored(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "edges")
     seen = spark.range(1).select(F.lit(start).cast("long").alias("id"), F.lit(0).alias("hops"))
     edge_of = seen
     for hop in range(1, depth + 1):
         found = both.join(edge_of.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
-        edge_of = found.withColumn("hops", F.lit(hop))
+        edge_of = stored(found.withColumn("hops", F.lit(hop)), "hop")
         seen = seen.unionByName(edge_of)
     return seen if depth else seen.limit(0)
 
@@ -44,16 +49,19 @@ def with_inverses(edges: DataFrame, kinds: dict[str, str]) -> DataFrame:
 def chains(nodes: DataFrame, key: str, parent: str, depth: int = 10) -> DataFrame:
     """(id, path, problem): the way from the root to each node; problem is cycle or depth where the walk can't end.
 
-    ``depth`` joins of the frontier with the parents, each with the rows that still climb.
+    ``depth`` joins of the frontier with the parents at most, each with the rows that still climb, as the step before wrote them.
     """
-    links = nodes.select(F.col(key).alias("_id"), F.col(parent).alias("_parent"))
-    climbing = nodes.select(F.col(key).alias("id"), F.array(F.col(key)).alias("path"), F.col(parent).alias("next"))
+    links = stored(nodes.select(F.col(key).alias("_id"), F.col(parent).alias("_parent")), "links")
+    climbing = links.select(F.col("_id").alias("id"), F.array("_id").alias("path"), F.col("_parent").alias("next"))
     done = climbing.where("next is null").select("id", "path", F.lit(None).cast("string").alias("problem"))
     climbing = climbing.where("next is not null")
     for _ in range(depth):
         cycle = F.array_contains("path", F.col("next"))
         done = done.unionByName(climbing.where(cycle).select("id", "path", F.lit("cycle").alias("problem")))
-        climbing = climbing.where(~cycle).join(links, F.col("next") == F.col("_id")).select("id", F.concat(F.array("next"), F.col("path")).alias("path"), F.col("_parent").alias("next"))
+        step = climbing.where(~cycle).join(links, F.col("next") == F.col("_id")).select("id", F.concat(F.array("next"), F.col("path")).alias("path"), F.col("_parent").alias("next"))
+        climbing = stored(step, "climbing")
+        if climbing.isEmpty():
+            break
         done = done.unionByName(climbing.where("next is null").select("id", "path", F.lit(None).cast("string").alias("problem")))
         climbing = climbing.where("next is not null")
     return done.unionByName(climbing.select("id", "path", F.lit("depth").alias("problem")))

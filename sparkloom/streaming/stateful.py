@@ -43,6 +43,7 @@ def alerts_once(stream: DataFrame, key: str, time: str, seconds: int = 3600) ->
         name, last = None, None
         for frame in frames:
             for other, part in frame.groupby(key, sort=False, dropna=False):
+                other = None if pd.isna(other) else other
                 last = last if other == name else None
                 name = other
                 out, last = let_through(list(part[time]), last)

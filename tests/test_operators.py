@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
-from sparkloom.operators import analytics, documents, graph, querytext, relational, retrieval
+from sparkloom.operators import analytics, documents, graph, querytext, relational, retrieval, spans
 from sparkloom.sources import sinks
 from sparkloom.streaming import stateful
 
@@ -123,3 +123,47 @@ def test_best_splits_prefer_near_and_strong_boundaries(spark):
     text = "a" * 90 + ".\n\n" + "B" * 200
     row = extraction.best_splits(spark.createDataFrame([(1, text), (2, "short"), (3, "z" * 300)], "k long, t string"), "k", "t", 100, 50).orderBy("key").collect()
     assert (row[0].kind, row[0].place) == ("blank line", 93) and (row[1].kind, row[1].place) == ("fallback", 100)
+
+
+def test_stored_postings_rank_like_whole_texts(spark):
+    docs = spark.createDataFrame([(1, "Red dragon, red fire"), (2, "blue dragon"), (3, "Nothing here"), (4, ""), (5, None)], "id long, text string")
+    words = retrieval.tokenised(docs.where("text is not null"), "id", "text")
+    index = retrieval.SearchIndex(words)
+    for terms, every in ((["red", "dragon"], False), (["red", "dragon"], True), (["absent"], False)):
+        want = {r.id: round(r.score, 9) for r in retrieval.bm25(words, terms, every).collect()}
+        assert {r.id: round(r.score, 9) for r in index.bm25(terms, every).collect()} == want
+    assert {r.word: r.n for r in index.dictionary().collect()} == {"red": 2, "dragon": 2}
+
+
+def test_zip_and_as_of_joins_keep_rows_without_partner(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z")], "g long, a string")
+    b = spark.createDataFrame([(1, 7), (3, 8)], "g long, b long")
+    got = {(r.g, r.place, r.a, r.b) for r in spans.zipped(a, b, "g", ["a"], ["b"]).collect()}
+    assert got == {(1, 0, "x", 7), (1, 1, "y", None), (2, 0, "z", None), (3, 0, None, 8)}
+    rows = spark.createDataFrame([(1, 5, 1), (1, 1, 2), (2, 9, 3)], "k long, t long, i long")
+    quotes = spark.createDataFrame([(1, 2, 1, 10.0), (1, 4, 2, None), (1, 6, 3, 30.0)], "k long, t long, i long, v double")
+    assert {(r.i, r.v) for r in spans.as_of(rows, quotes, "k", "t", "i", "v").collect()} == {(1, None), (2, None), (3, None)}
+    assert {(r.i, r.v) for r in spans.as_of(rows, quotes.where("v is not null"), "k", "t", "i", "v").collect()} == {(1, 10.0), (2, None), (3, None)}
+
+
+def test_groups_unite_through_others(spark):
+    rows = [(k, f"t{k}") for k in range(1, 9)] + [(k, f"t{k + 1}") for k in range(1, 8)] + [(50, "other"), (51, "other"), (60, None)]
+    got = {r.m: r.g for r in spans.united(spark.createDataFrame(rows, "g long, m string"), "g", "m").collect()}
+    assert all(got[f"t{k}"] == 1 for k in range(1, 9)) and got["other"] == 50
+
+
+def test_query_variants_and_preparation(spark):
+    q = spark.createDataFrame([(["the", "hp", "of", "dragon"],)], "w array<string>")
+    assert q.select(querytext.variants(F.col("w"), {"hp": "hit points"}, {"dragon": ["wyrm", "hp"]}).alias("t")).first().t == ["hp", "hit points", "dragon", "wyrm"]
+    raw = spark.createDataFrame([(1, "  Dragn  FIRE "), (2, ""), (3, None)], "id long, query string")
+    known = spark.createDataFrame([("dragon", 3), ("fire", 2)], "word string, n long")
+    synonyms = spark.createDataFrame([("fire", "flame", 1), ("fire", "blaze", 2)], "word string, synonym string, priority int")
+    got = {r.id: (r.corrected, r.expanded) for r in querytext.prepared(raw, known, synonyms, 1).collect()}
+    assert got == {1: ("dragon fire", "dragon AND (fire OR flame)")}
+
+
+def test_alerts_within_the_silence_are_left_out(spark):
+    start = datetime(2024, 1, 1)
+    rows = [(k, start + timedelta(minutes=m)) for k in ("a", None) for m in (0, 30, 59, 60, 61, 125)]
+    got = stateful.alerts_once(spark.createDataFrame(rows, "k string, t timestamp"), "k", "t").collect()
+    assert sorted((r.k is None, (r.t - start).seconds // 60) for r in got) == sorted((k, m) for k in (False, True) for m in (0, 60, 125))
