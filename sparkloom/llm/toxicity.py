@@ -37,8 +37,10 @@ from sparkloom.llm.words import by_bytes
 TRAIN_ROWS = 20_000
 #: Pseudo-rows that stand for no evidence; standard errors taken off a weight; least weight of an n-gram that counts; least toxic rows that hold it, and their least share.
 PRIOR_ROWS, DOUBT, LEAST_WEIGHT, LEAST_ROWS, LEAST_PART = 10.0, 1.0, 1.0, 3, 0.001
+#: Words whose letters a task counts together.
+COUNTED_WORDS = 200_000
 #: Characters of the words whose weights a task keeps; n-grams that it holds before it hands their counts on.
-KEPT_CHARS, HELD_GRAMS = 2_000_000, 1_000_000
+KEPT_CHARS, HELD_GRAMS = 6_000_000, 1_000_000
 GRAMS = (5, 6)
 #: Strongest words of a text that count together.
 TOP = 3
@@ -82,10 +84,10 @@ def stripped(word: str) -> str:
         hi -= 1
     return word[lo:hi]
 
-
+    """A raw word in lower case with those marks around it that may be drawn letters, but for exclamation marks at its end; empty if it is one character throughout or has digits alone."""
 def edged(word: str) -> str:
     """A raw word in lower case with those marks around it that may be drawn letters; empty if it is one character throughout or has digits alone."""
-    word = word.lower()
+    word = word.lower().rstrip("!")
     lo, hi = 0, len(word)
     while lo < hi and not (word[lo].isalnum() or word[lo] in LOOKS_LIKE):
         lo += 1
@@ -106,11 +108,9 @@ def character_model(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(SIZE**3, np.int64)
-        for batch in by_bytes(batches, 0, 4 << 20):
-            words: Counter[str] = Counter()
-            for text in batch.column(0).to_pylist():
-                if text:
-                    words.update(text.split())
+        words: Counter[str] = Counter()
+
+        def flush() -> None:
             plain: Counter[str] = Counter()
             for w, n in words.items():
                 w = w.lower() if w.isalpha() else stripped(w)
@@ -122,7 +122,16 @@ def character_model(docs: DataFrame) -> np.ndarray:
                 before = np.concatenate([[0], c[:-2]])
                 before[c[:-1] == 0] = 0
                 first = c[:-1] == 0
-                cells += np.bincount((np.where(first, 0, before) * SIZE + c[:-1]) * SIZE + c[1:], weight, SIZE**3).astype(np.int64)
+                cells[:] += np.bincount((np.where(first, 0, before) * SIZE + c[:-1]) * SIZE + c[1:], weight, SIZE**3).astype(np.int64)
+            words.clear()
+
+        for batch in by_bytes(batches, 0):
+            for text in batch.column(0).to_pylist():
+                if text:
+                    words.update(text.split())
+            if len(words) > COUNTED_WORDS:
+                flush()
+        flush()
         k = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(cells[k])], names=["cell", "n"])
 
@@ -211,10 +220,29 @@ def raw_words(text: str | None) -> list[str]:
     return out
 
 
+def _costs(words: list[str], model: np.ndarray) -> np.ndarray:
+    """Negative log-probabilities of words."""
+    c = _codes(words).astype(np.int64)
+    first = c[:-1] == 0
+    before = np.where(first, 0, np.append(0, c[:-2]))
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    return np.add.reduceat(model[before, c[:-1], c[1:]], np.cumsum(sizes) - sizes)
+
+
+def _once(words: list[str], model: np.ndarray) -> list[str]:
+    """Words with one doubled letter as their lattice of two ways reads them: as they stand or with the letter once."""
+    if not words:
+        return []
+    single = [_TWICE.sub(r"\1", w) for w in words]
+    shorter = _costs(single, model) + REPEATED < _costs(words, model) + 2 * REPEATED
+    return [s if less else w for w, s, less in zip(words, single, shorter.tolist(), strict=True)]
+
+
 def readings(raw: list[str], model: np.ndarray) -> list[list[str]]:
     """The words that each raw word stands for: its likeliest reading, and those with marks around it as letters and with doubled letters as single ones."""
     out = []
-    for r in raw:
+    doubled: list[tuple[int, str]] = []
+    for k, r in enumerate(raw):
         if r.isalpha() and not _TWICE.search(w := r.lower()):
             out.append([w])
             continue
@@ -222,9 +250,14 @@ def readings(raw: list[str], model: np.ndarray) -> list[list[str]]:
         found = (restored(w, model) if " " in w or is_disguised(w) else [w]) if w else []
         if e and e != w:
             found += [x for x in restored(e, model, 2) if x not in found]
-        if _TWICE.search(w):
+        if len(twice := _TWICE.findall(w)) == 1 and w.isalpha() and not _THRICE.search(w):
+            doubled.append((k, w))
+        elif twice:
             found += [x for x in restored(w, model, 2) if x not in found]
         out.append(found)
+    for (k, _), x in zip(doubled, _once([w for _, w in doubled], model), strict=True):
+        if x not in out[k]:
+            out[k].append(x)
     return out
 
 

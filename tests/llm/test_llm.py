@@ -218,6 +218,9 @@ def test_repair_shards(docs, none, tokenizer):
     assert sorted(map(tuple, got), key=lambda x: x[1]) == want
     lists = {r.start: r.ids for r in repair.read_ids(index).collect()}
     assert all(zlib.crc32(np.array(lists[s], "<u4").tobytes()) == c for _, s, _, c in want)
+    some = {(r.doc_id, r.start): r.ids for r in repair.read_ids(index, [2, 9, 12, 404]).collect()}
+    assert some == {(d, s): lists[s] for d, s, _, _ in want if d in (2, 9, 12)}
+    assert repair.read_ids(index, []).count() == 0
     assert repair.id_digests(repair.write_ids(none)).count() == 0
 
 
@@ -229,8 +232,16 @@ def test_grammars_are_lossless():
         assert (repair.expand(*g) == ids).all()
         for a, b in ((0, n), (n // 3, n // 2), (max(n - 1, 0), 1)):
             assert (repair.expand_range(*g, a, b) == ids[a : a + b]).all()
-    terminals, rules, symbols = repair.grammar(np.tile(rng.permutation(50).astype(np.uint32), 400))
-    assert len(symbols) < 20_000 / 2 and len(rules)
+    for ids in (np.tile(rng.permutation(50), 400), rng.zipf(1.4, 30_000) % 300, np.zeros(10_000, int)):
+        terminals, rules, symbols = repair.grammar(ids.astype(np.uint32))
+        pairs = {}
+        at = 0
+        while at + 1 < len(symbols):
+            pairs[symbols[at], symbols[at + 1]] = pairs.get((symbols[at], symbols[at + 1]), 0) + 1
+            at += 2 if at + 2 < len(symbols) and symbols[at] == symbols[at + 1] == symbols[at + 2] else 1
+        # Replacement has gone on until no pair is frequent.
+        assert max(pairs.values(), default=0) < repair.LEAST and len(rules)
+        assert (repair.expand(terminals, rules, symbols) == ids).all()
 
 
 # op 6
@@ -382,6 +393,81 @@ def test_passages_that_stand_twice(spark):
     assert places == {(0, 60), (100, 160), (169, 229)}
 
 
+def best_chain(x, y):
+    """The best score of a chain, by trying all."""
+    n = len(x)
+    score = [0.0] * n
+    for i in sorted(range(n), key=lambda k: (x[k], y[k])):
+        steps = [score[j] - passages.GAP_COST / 2 * (x[i] - x[j] + y[i] - y[j]) for j in range(n) if x[j] < x[i] and y[j] < y[i]]
+        score[i] = passages.K + max([0.0, *steps])
+    return max(score)
+
+
+def test_chains_are_the_best(spark):
+    rng = np.random.default_rng(6)
+    for _ in range(150):
+        n = int(rng.integers(1, 25))
+        x, y = np.sort(rng.integers(0, 120, n)), rng.integers(0, 120, n)
+        if rng.random() < 0.4:
+            x, y = np.unique(x), np.sort(rng.choice(120, len(np.unique(x)), replace=False))
+        parts = passages.chain(x, y)
+        assert sorted(k for p in parts for k in p) == list(range(len(x)))
+        first = parts[0]
+        assert all(x[a] < x[b] and y[a] < y[b] for a, b in itertools.pairwise(first))
+        got = passages.K * len(first) - passages.GAP_COST / 2 * (x[first[-1]] - x[first[0]] + y[first[-1]] - y[first[0]])
+        assert got == pytest.approx(best_chain(x.tolist(), y.tolist()))
+
+
+def common_words(a, b):
+    row = [0] * (len(b) + 1)
+    for w in a:
+        before = 0
+        for j, v in enumerate(b, 1):
+            row[j], before = (before + 1 if w == v else max(row[j], row[j - 1])), row[j]
+    return row[-1]
+
+
+def test_edited_passages(spark):
+    """Passages of 80 words with words replaced, left out and put in: at least 0.9 of those that keep LEAST_SHARE are found."""
+    rng = random.Random(13)
+    vocabulary = words(4000, 400).split()
+    rows, meant = [], {}
+    for rate in (0.0, 0.03, 0.06, 0.1, 0.15):
+        for kind in ("replaced", "mixed"):
+            for _ in range(25):
+                passage = rng.choices(vocabulary, k=80)
+                copy = []
+                for w in passage:
+                    what = rng.random() if kind == "mixed" else 0.0
+                    if rng.random() >= rate:
+                        copy.append(w)
+                    elif what < 0.5:
+                        copy.append("new" + rng.choice(vocabulary))
+                    elif what < 0.75:
+                        copy += [w, "more" + rng.choice(vocabulary)]
+                i = len(rows)
+                rows += [(i, " ".join([*rng.choices(vocabulary, k=70), *passage, *rng.choices(vocabulary, k=90)])), (i + 1, " ".join([*rng.choices(vocabulary, k=40), *copy, *rng.choices(vocabulary, k=60)]))]
+                same = common_words(passage, copy)
+                if same >= passages.MIN_WORDS and same >= passages.LEAST_SHARE * max(len(passage), len(copy)):
+                    meant.setdefault(rate, []).append(i + 1)
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    pairs = {(r.doc_id, r.other_id) for r in found}
+    assert all(b == a - 1 and a % 2 for a, b in pairs)
+    for rate, ids in meant.items():
+        assert sum((i, i - 1) in pairs for i in ids) >= 0.9 * len(ids), rate
+
+
+def test_ids_of_several_texts_and_clashing_columns(spark):
+    shared = words(80, 31)
+    rows = [(1, shared), (2, words(20, 32) + " " + shared), (2, words(90, 33)), (3, shared + " " + words(9, 34)), (3, shared + " " + words(9, 34))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(k) for k, c in enumerate(("id", "spans", "_id", "_spans", "c0", "key", "words", "place"))})
+    found = passages.repeated_passages(df)
+    assert {(r.doc_id, r.start_word, r.end_word, r.other_id) for r in found.collect()} == {(3, 0, 80, 1)}
+    left = passages.deduplicated(df, found)
+    assert left.columns == df.columns
+    assert sorted((r.doc_id, len(r.text.split())) for r in left.collect()) == [(1, 80), (2, 90), (2, 100), (3, 9), (3, 9)]
+
+
 def test_chains_climb():
     x, y = np.array([0, 10, 20, 30, 200]), np.array([100, 110, 50, 130, 131])
     assert passages.chain(x, y)[0] == [0, 1, 3]
@@ -441,6 +527,53 @@ def test_combined_disguises_are_read(spark):
     assert toxicity.readings(["clown!", "2024", "***"], model)[0][0] == "clown" and toxicity.readings(["2024", "***"], model) == [["2024"], []]
 
 
+def test_readings_are_the_likeliest_of_the_lattice(spark):
+    model = toxicity.character_model(spark.createDataFrame([("idiot clown ass trash fool " * 20 + words(400, 14),)], "text string"))
+    rng = random.Random(15)
+
+    def cost(parts):
+        total, x, y = sum(p for _, p in parts), 0, 0
+        for c in "".join(m for m, _ in parts) + " ":
+            z = 0 if c == " " else toxicity._CODE.get(c, toxicity.SIZE - 1)
+            if z or y:
+                total += model[x, y, z]
+                x, y = (y, z) if z else (0, 0)
+        return total
+
+    for _ in range(200):
+        raw = "".join(rng.choices("idots1@$!*0-aa", k=rng.randint(1, 7)))
+        lattice = toxicity._options(raw)
+        ways = [(cost(parts), "".join(m for m, _ in parts).split()) for parts in itertools.product(*lattice)]
+        least = min(c for c, _ in ways)
+        assert toxicity.restored(raw, model) in [w for c, w in ways if c <= least + 1e-9]
+    doubled = [w[:k] + w[k] + w[k:] for w in ("idiot", "clown", "abcdef", "fool") for k in range(len(w)) if w[k] not in w[:k] + w[k + 1 :]]
+    doubled = [w for w in doubled if len(toxicity._TWICE.findall(w)) == 1]
+    assert [[x] for x in toxicity._once(doubled, model)] == [toxicity.restored(w, model, 2) for w in doubled]
+
+
+def test_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.toxicity(docs, labels).where("held_out").join(labels.where("toxic is not null").select("doc_id", "toxic"), "doc_id").collect()
+    toxic = [r.predicted for r in rows if r.toxic == 1]
+    clean = [r.predicted for r in rows if r.toxic == 0]
+    assert len(toxic) > 50 and np.mean(toxic) >= 0.9 and np.mean(clean) <= 0.01
+
+
+def test_columns_of_clashing_names_stay(spark):
+    df = spark.createDataFrame([(1, "some words", "a", 5), (2, None, "b", 6)], "doc_id long, text string, source string, n_chars long").withColumns({c: F.lit("kept") for c in ("score", "restored", "ids", "decoded", "_id", "_secrets", "secrets", "id", "c0", "c1", "made")})
+    model = toxicity.fit(df.limit(0), spark.createDataFrame([], "doc_id long, toxic int"))
+    clean = model.clean(df)
+    assert clean.columns == df.columns and [r.score for r in clean.collect()] == ["kept"] * 2
+    scored = model.score(df)
+    assert scored.columns.count("score") == 1 and all(0 <= r.score <= 1 for r in scored.collect())
+    assert {r.doc_id: r.restored for r in toxicity.restored_text(df, model.characters).collect()} == {1: "some words", 2: ""}
+    back = bpe.decode(bpe.encode(df)).collect()
+    assert {r.doc_id: r.decoded for r in back} == {1: "some words", 2: ""} and all(r.score == "kept" for r in back)
+    out = secrets.redacted(df, spark.createDataFrame([(1, "words")], "doc_id long, secret string"))
+    assert out.columns == df.columns and {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {1: (f"some {secrets.MASK}", 13), 2: (None, 6)}
+
+
 def test_odd_words_are_read_in_time():
     model = np.ones((toxicity.SIZE,) * 3)
     for w in ("_" * 5000, "*" * 100_000 + "a", "a" + "_-" * 20_000 + "é", "a1" * 20_000, "%" * 9, "..a..b..", "@", "a" * 50_000):
@@ -478,3 +611,20 @@ def test_batches(docs, none):
         assert sorted(r.place for r in b) == list(range(len(b)))
         assert len(b) == 1 or len(b) * b[0].padded_length <= 100
     assert packing.packed(none).count() == 0
+
+
+def test_batches_of_token_ids(spark):
+    rng = random.Random(9)
+    rows = [(k, [rng.randint(1, 99) for _ in range(rng.choice([0, 1, 5, 17, 300, 20_001]))]) for k in range(80)] + [(900, None), (None, [7])]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>").withColumns({"place": F.lit(1), "batch_id": F.lit("x"), "n_tokens": F.lit(9)})
+    got = packing.padded_batches(df, budget=1000).collect()
+    seen = []
+    for b in got:
+        assert len(b.doc_ids) == 1 or len(b.doc_ids) * b.padded_length <= 1000
+        assert max(map(sum, b.attention)) == b.padded_length
+        for d, ids, mask in zip(b.doc_ids, b.input_ids, b.attention, strict=True):
+            n = sum(mask)
+            assert len(ids) == len(mask) == b.padded_length and mask == [1] * n + [0] * (len(mask) - n) and not any(ids[n:])
+            seen.append((d, ids[:n]))
+    assert sorted(seen, key=str) == sorted(((d, ids or []) for d, ids in rows), key=str)
+    assert packing.padded_batches(df.limit(0)).count() == 0

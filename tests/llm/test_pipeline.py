@@ -3,6 +3,8 @@
 import re
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from sparkloom.llm.common import saved
 
 SF = "/root/testdata/sf0.001"
@@ -28,3 +30,30 @@ def test_rows_without_text_pass(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = saved(stage(spark, docs, SF), name)
     assert {r.doc_id for r in docs.collect()} == {1, 2, 3}
+
+
+def through(spark, docs):
+    for name, stage in corpus_pipeline.STAGES:
+        docs = saved(stage(spark, docs, SF), name)
+    return docs
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_empty_table(spark):
+    assert through(spark, spark.createDataFrame([], COLUMNS)).count() == 0
+
+
+def test_repeated_rows_ties_long_texts_and_clashing_columns(spark):
+    long = " ".join(f"w{k * k % 9973}x{k}" for k in range(30_000))
+    rows = [(1, "the same few words here", "en", "s", 23)] * 2 + [(5, long, "en", "s", len(long)), (6, long, None, "s", len(long)), (9, "", "en", "s", 0), (None, None, None, None, None), (None, "without an id", "en", "s", 13)]
+    docs = spark.createDataFrame(rows, COLUMNS).withColumns({c: F.lit(c) for c in ("score", "component", "key", "id", "_id", "spans", "secrets", "place", "batch_id", "c0", "kept")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = saved(stage(spark, docs, SF), name)
+        assert after.columns == docs.columns
+        docs = after
+    kept = docs.collect()
+    assert sorted((r.doc_id for r in kept), key=str) == sorted([1, 1, 5, 9, None, None], key=str)
+    assert all(r.key == "key" and r.score == "score" for r in kept) and {r.text for r in kept} == {"the same few words here", long, "", None, "without an id"}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 6
