@@ -100,12 +100,16 @@ def grammar(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
         at = open_[k]
         k = _chosen(at, rank)
         places, rank_at = at[k], rank[k]
-        used, number = np.unique(rank_at, return_inverse=True)
-        first = np.empty(len(used), np.int64)
+        given = np.zeros(len(pairs), bool)
+        given[rank_at] = True
+        number = (np.cumsum(given) - 1)[rank_at]
+        first = np.empty(int(given.sum()), np.int64)
         first[number] = places
         left, right = seq[first], seq[first + 1]
         new = np.stack([left, right, lengths[left] + lengths[right]], 1)
-        rest = np.delete(at, k)
+        rest = np.ones(len(at), bool)
+        rest[k] = False
+        rest = at[rest]
         seq[places] = len(lengths) + number
         keep = np.ones(len(seq), bool)
         keep[places + 1] = False
@@ -122,7 +126,7 @@ def grammar(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     return terminals, np.concatenate(rules), seq
 
 
-def expand(terminals: int, rules: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+def _unfolded(terminals: int, rules: np.ndarray, symbols: np.ndarray) -> np.ndarray:
     """The ids of ``symbols``: all nonterminals give way to their two symbols, level by level."""
     seq = symbols.astype(np.uint32)
     while len(at := np.flatnonzero(seq >= terminals)):
@@ -135,6 +139,19 @@ def expand(terminals: int, rules: np.ndarray, symbols: np.ndarray) -> np.ndarray
     return seq
 
 
+def expand(terminals: int, rules: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """The ids of ``symbols``; of many symbols each rule is unfolded once and copied to its places."""
+    if len(symbols) < 2 * len(rules):
+        return _unfolded(terminals, rules, symbols)
+    lengths = np.concatenate([np.ones(terminals, np.int64), rules[:, 2].astype(np.int64)])
+    table = np.concatenate([np.arange(terminals, dtype=np.uint32), _unfolded(terminals, rules, np.arange(terminals, terminals + len(rules)))])
+    n = lengths[symbols]
+    ends = np.cumsum(n)
+    place = np.repeat(((np.cumsum(lengths) - lengths)[symbols] - (ends - n)).astype(np.int32), n)
+    place += np.arange(len(place), dtype=np.int32)
+    return table[place]
+
+
 def expand_range(terminals: int, rules: np.ndarray, symbols: np.ndarray, start: int, count: int) -> np.ndarray:
     """The ids from ``start`` on, decoded from the symbols that hold them."""
     lengths = np.concatenate([np.ones(terminals, np.int64), rules[:, 2].astype(np.int64)])
