@@ -28,16 +28,22 @@ def page_links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r'<a href="([^"]*)"'), F.lit(1))
 
 
+# Abbreviations that end no sentence.
+ABBREVIATIONS = ["Mr", "Mrs", "Ms", "Dr", "Prof", "Sr", "Jr", "Inc", "Ltd", "Corp", "Co", "vs", "etc", "e.g", "i.e", "St", "Ave", "Rd", "Blvd", "Jan", "Feb", "Mar", "Apr", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
+
+
 def sentences(text: Column) -> Column:
-    """Sentences: cut behind . ! ? before white space, unless a short title or abbreviation stands there."""
-    cut = F.split(text, r"(?<=[.!?])(?<!\b(?:Mr|Dr|St|vs|No|pp|cf|al)\.)\s+")
+    """Sentences: cut behind . ! ? before white space, unless an abbreviation or a single capital stands there."""
+    short = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+    cut = F.split(text, rf"(?<=[.!?])(?<!(?:{short})\.)(?<!(?:^|\s)\p{{Lu}}\.)\s+")
     return F.filter(F.transform(cut, F.trim), lambda s: s != "")
 
 
 def is_header(line: Column) -> Column:
-    """Up to 100 bytes, not ended by a mark, all capitals or named as a chapter, section, part or appendix."""
-    capitals = (F.upper(line) == line) & line.rlike(r"\p{L}")
-    return (F.octet_length(line) <= 100) & ~line.rlike(r"[.,;:]\s*$") & (capitals | F.lower(line).rlike(r"^\s*(chapter|section|part|appendix)\b"))
+    """Up to 100 bytes without the space around, not ended by a full stop, comma or semicolon, all letters capitals or begun like chapter, section, part or appendix."""
+    bare = F.regexp_replace(line, r"^\s+|\s+$", "")
+    capitals = (F.upper(bare) == bare) & bare.rlike(r"\p{L}")
+    return (F.octet_length(bare) <= 100) & ~bare.rlike(r"[.,;]$") & (capitals | F.lower(bare).rlike(r"^(chapter|section|part|appendix)"))
 
 
 def packed_sentences(texts: DataFrame, key: str, text: str, target: int) -> DataFrame:

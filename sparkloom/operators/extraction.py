@@ -94,8 +94,17 @@ def swap_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
-#: How good a place is for a cut.
-BOUNDARIES = [("blank line", r"\n\s*\n", 0.85), ("sentence and capital", r"[.!?]\s+(?=\p{Lu})", 0.60), ("line", r"\n", 0.50), ("sentence", r"[.!?]\s", 0.40), ("clause", r"[,;:]\s", 0.20)]
+#: How good a place is for a cut, which lies behind what the pattern takes.
+BOUNDARIES = [
+    ("section header", r"(?i)(?:^|\n)(?=(?:#{1,6}\s|(?:chapter|section|part|appendix)\b))", 0.95),
+    ("blank line", r"\n\s*\n", 0.85),
+    ("line of capitals", r"(?:^|\n)(?=[\p{Lu}][\p{Lu}\d '-]{3,}(?:\n|$))", 0.80),
+    ("bullet", r"(?:^|\n)(?=\s*(?:[-*•]|\d+[.)])\s)", 0.70),
+    ("sentence and capital", r"[.!?]\s+(?=\p{Lu})", 0.60),
+    ("transition word", r"\s(?=(?:However|Therefore|Moreover|Furthermore|Meanwhile|Additionally|Consequently|Finally)\b)", 0.50),
+    ("sentence", r"[.!?]\s", 0.40),
+    ("clause", r"[,;:]\s", 0.20),
+]
 
 
 def best_splits(texts: DataFrame, key: str, text: str, target: int, window: int) -> DataFrame:

@@ -50,7 +50,7 @@ def overlapping_chunks(spark, sf_dir):
     return D.overlapping_chunks(load(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@_query(r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*) AS lines, count(*) FILTER (octet_length(encode(line)) <= 100 AND NOT regexp_matches(line, '[.,;:]\s*$') AND ((upper(line) = line AND regexp_matches(line, '\p{L}')) OR regexp_matches(lower(line), '^\s*(chapter|section|part|appendix)\b'))) AS headers FROM l GROUP BY 1")
+@_query(r"WITH l AS (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') AS line FROM documents) SELECT doc_id, count(*) AS lines, count(*) FILTER (octet_length(encode(line)) <= 100 AND NOT regexp_matches(line, '[.,;]$') AND ((upper(line) = line AND regexp_matches(line, '\p{L}')) OR regexp_matches(lower(line), '^(chapter|section|part|appendix)'))) AS headers FROM l GROUP BY 1")
 def header_lines(spark, sf_dir):
     lines = load(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(D.is_header(F.col("line"))).alias("headers"))

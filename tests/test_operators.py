@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.operators import analytics, documents, graph, querytext, relational, retrieval, spans
-from sparkloom.sources import sinks
+from sparkloom.sources import files, sinks
 from sparkloom.streaming import stateful
 
 
@@ -167,3 +167,36 @@ def test_alerts_within_the_silence_are_left_out(spark):
     rows = [(k, start + timedelta(minutes=m)) for k in ("a", None) for m in (0, 30, 59, 60, 61, 125)]
     got = stateful.alerts_once(spark.createDataFrame(rows, "k string, t timestamp"), "k", "t").collect()
     assert sorted((r.k is None, (r.t - start).seconds // 60) for r in got) == sorted((k, m) for k in (False, True) for m in (0, 60, 125))
+
+
+def test_dictionaries_synonyms_and_layouts(spark, tmp_path):
+    (tmp_path / "words.txt").write_text("Dragon 5\nfire 2\n\nbroken line here\ndragon 4\n")
+    (tmp_path / "pairs.txt").write_text("red dragon 3\nRed Dragon 1\nalone 9\n")
+    (tmp_path / "same.toml").write_text('[multi_way]\nHP = ["hit points", "health"]\n[one_way]\ndragon = ["wyrm"]\n')
+    (tmp_path / "page.json").write_text('{"pages": [{"page": 1, "elements": [{"role": "title", "text": "A", "x": 1, "y": 2}, {"role": "body", "text": "B", "x": 1, "y": 3}]}, {"page": 2, "elements": []}]}')
+    (tmp_path / "picture.PNG").write_bytes(b"x")
+    assert {(r.word, r.n) for r in files.frequencies(spark, f"{tmp_path}/words.txt", 2.0).collect()} == {("dragon", 18), ("fire", 4)}
+    assert [(r.pair, r.n) for r in files.pair_frequencies(spark, f"{tmp_path}/pairs.txt").collect()] == [("red dragon", 4)]
+    same = {(r.word, r.synonym) for r in files.synonyms(spark, f"{tmp_path}/same.toml").collect()}
+    assert same == {("hp", "hit points"), ("hp", "health"), ("hit points", "hp"), ("hit points", "health"), ("health", "hp"), ("health", "hit points"), ("dragon", "wyrm")}
+    elements = files.layout_elements(spark, f"{tmp_path}/page.json")
+    assert [(r.page, r.text) for r in files.layout_pages(elements).collect()] == [(1, "A\nB")]
+    assert [r.text for r in files.layout_elements(spark, f"{tmp_path}/page.json", ("body",)).collect()] == ["B"]
+    assert {r.path.rsplit("/", 1)[-1] for r in files.supported(spark, str(tmp_path)).collect()} == {"words.txt", "pairs.txt", "same.toml", "page.json"}
+    assert files.field_of("Damage") == "damage_types" and files.field_of("colour") == "metadata"
+
+
+def test_backups_can_be_brought_back(spark, tmp_path):
+    folder = f"file://{tmp_path}/backup"
+    files.backup({"a": spark.range(3), "b": spark.range(4)}, folder, 1)
+    files.backup({"a": spark.range(7)}, folder, 2)
+    assert [(r.version, r.name) for r in files.backups(spark, folder).collect()] == [(2, "a"), (1, "a"), (1, "b")]
+    assert files.restored(spark, folder, 1, "a").count() == 3
+    with pytest.raises(Exception, match="(?i)already exists"):
+        files.backup({"a": spark.range(1)}, folder, 2)
+
+
+def test_abbreviations_end_no_sentence(spark):
+    text = "Dr. Who met Mrs. Hudson in Jan. at noon. J. Smith left! Was it so? See e.g. this one."
+    got = spark.createDataFrame([(text,)], "t string").select(documents.sentences(F.col("t")).alias("s")).first().s
+    assert got == ["Dr. Who met Mrs. Hudson in Jan. at noon.", "J. Smith left!", "Was it so?", "See e.g. this one."]
