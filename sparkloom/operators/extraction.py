@@ -156,3 +156,8 @@ def verified_share(claims: DataFrame, group: str, status: str) -> DataFrame:
 def appended(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """(key, history): values in order as a JSON array."""
     return rows.groupBy(key).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value])).alias("history"))
+
+
+def branched(turns: DataFrame, points: DataFrame, key: str, order: str, upto: str) -> DataFrame:
+    """The turns of each thread up to, with, its branch point (key, upto), as a new thread starts with them."""
+    return turns.join(points, key).where(F.col(order) <= F.col(upto)).drop(upto)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import extraction as X
 from sparkloom.operators import graph as G
+from sparkloom.operators import querytext as Q
 from sparkloom.operators import relational as R
 from sparkloom.sources.tables import load
 
@@ -67,11 +68,14 @@ def marker_pages(spark, sf_dir):
     return X.pages_by_marker(load(spark, sf_dir, "documents"), "doc_id", "text", r"\. ")
 
 
-@_query("SELECT a.p_brand AS a, b.p_type AS b, damerau_levenshtein(a.p_brand, b.p_type)::INT AS d FROM (SELECT DISTINCT p_brand FROM part) a, (SELECT DISTINCT p_type FROM part) b")
+@_query("""WITH known AS (SELECT p_name AS word, count(*) AS n FROM part GROUP BY 1), typed AS (SELECT DISTINCT left(p_name, 1) || substr(p_name, 3, 1) || substr(p_name, 2, 1) || substr(p_name, 4) AS word FROM part),
+c AS (SELECT t.word, k.word AS best, n, damerau_levenshtein(t.word, k.word) AS d FROM typed t, known k WHERE length(t.word) >= 5 AND t.word NOT IN (SELECT word FROM known))
+SELECT word, best, d::INT AS distance FROM c WHERE d <= CASE WHEN length(word) < 9 THEN 1 ELSE 2 END QUALIFY row_number() OVER (PARTITION BY word ORDER BY d, n DESC, best) = 1""")
 def swap_distances(spark, sf_dir):
     part = load(spark, sf_dir, "part")
-    a, b = part.select(F.col("p_brand").alias("a")).distinct(), part.select(F.col("p_type").alias("b")).distinct()
-    return a.crossJoin(F.broadcast(b)).select("a", "b", X.swap_distance("a", "b").alias("d"))
+    known = part.groupBy(F.col("p_name").alias("word")).agg(F.count("*").alias("n"))
+    typed = part.select(F.concat(F.substring("p_name", 1, 1), F.substring("p_name", 3, 1), F.substring("p_name", 2, 1), F.substring("p_name", 4, 100)).alias("word"))
+    return Q.corrections(typed, known, swaps=True)
 
 
 @_query(None)
@@ -108,15 +112,16 @@ def capped_cards(spark, sf_dir):
     return R.top_of_each(load(spark, sf_dir, "part"), ["p_brand"], [F.col("p_size"), F.col("p_partkey")], 6).select("p_brand", "p_partkey")
 
 
-@_query("SELECT conv_id + 1000000 AS conv_id, turn, role FROM conversations WHERE conv_id % 5 = 0 AND turn <= 2")
+@_query("""WITH p AS (SELECT conv_id, max(turn) // 2 AS upto FROM conversations GROUP BY 1) SELECT conv_id + 1000000 AS conv_id, turn, role FROM conversations JOIN p USING (conv_id) WHERE turn <= upto""")
 def branch_copy(spark, sf_dir):
-    return load(spark, sf_dir, "conversations").where("conv_id % 5 = 0 and turn <= 2").select((F.col("conv_id") + 1000000).alias("conv_id"), "turn", "role")
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    points = turns.groupBy("conv_id").agg(F.floor(F.max("turn") / 2).alias("upto"))
+    return X.branched(turns, points, "conv_id", "turn", "upto").withColumn("conv_id", F.col("conv_id") + 1000000)
 
 
 @_query("SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'P'")
 def pending_suggestions(spark, sf_dir):
-    threads = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderkey", "o_orderstatus")).alias("suggestions"))
-    return threads.select("o_custkey", F.explode("suggestions").alias("s")).where("s.o_orderstatus = 'P'").select("o_custkey", "s.o_orderkey")
+    return load(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_custkey", "o_orderkey")
 
 
 @_query("SELECT p_brand, count(*) AS uses FROM part GROUP BY 1 HAVING uses > 9")

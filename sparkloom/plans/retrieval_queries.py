@@ -183,10 +183,9 @@ def constraint_parser(spark, sf_dir):
     return rows.select("c_custkey", F.array_join("c.quoted", ",").alias("quoted"), F.array_join("c.negated", ",").alias("negated"), F.col("c.low").cast("long").alias("low"), F.col("c.high").cast("long").alias("high"), "c.rest")
 
 
-@_query("SELECT a.p_brand AS a, b.p_brand AS b, round(1 - levenshtein(a.p_brand, b.p_brand) / greatest(octet_length(encode(a.p_brand)), octet_length(encode(b.p_brand))), 6) AS likeness FROM (SELECT DISTINCT p_brand FROM part) a JOIN (SELECT DISTINCT p_brand FROM part) b ON a.p_brand < b.p_brand")
+@_query("SELECT a.p_brand AS a, b.p_brand AS b, round(1 - levenshtein(a.p_brand, b.p_brand) / greatest(octet_length(encode(a.p_brand)), octet_length(encode(b.p_brand))), 6) AS likeness FROM (SELECT DISTINCT p_brand FROM part) a JOIN (SELECT DISTINCT p_brand FROM part) b ON a.p_brand < b.p_brand WHERE levenshtein(a.p_brand, b.p_brand) <= 2 AND 1 - levenshtein(a.p_brand, b.p_brand) / greatest(octet_length(encode(a.p_brand)), octet_length(encode(b.p_brand))) >= 0.8")
 def vocabulary_likeness(spark, sf_dir):
-    b = load(spark, sf_dir, "part").select("p_brand").distinct()
-    return b.alias("a").join(b.alias("b"), F.col("a.p_brand") < F.col("b.p_brand")).select(F.col("a.p_brand").alias("a"), F.col("b.p_brand").alias("b"), F.round(Q.similarity(F.col("a.p_brand"), F.col("b.p_brand")), 6).alias("likeness"))
+    return Q.alike(load(spark, sf_dir, "part").select(F.col("p_brand").alias("word")), 0.8).withColumn("likeness", F.round("likeness", 6))
 
 
 @_query(r"SELECT page_id, CASE WHEN length(html) > 20000 THEN 'too long' WHEN regexp_matches(lower(html), '<script|javascript:|on\w+\s*=') THEN 'markup' END AS problem FROM pages")
