@@ -39,6 +39,8 @@ _GEAR = mixed(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32)
 _DIGEST_BYTES = 16
 #: Packs are closed at this size; reads are joined over this gap, up to this length.
 PACK_BYTES, GAP_BYTES, READ_BYTES = 256 << 20, 256 << 10, 8 << 20
+#: Stored bytes of the files that are rebuilt together.
+HELD_BYTES = 4 << 20
 
 
 def wav_header(samples: int) -> bytes:
@@ -155,8 +157,7 @@ def rebuilt(files: DataFrame) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grow = zstandard.ZstdDecompressor().decompress
-        for batch in slices(batches, 200):
-            names, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for names, parts in groups(batches):
             by_pack: dict[str, set[tuple[int, int]]] = {}
             for p in (p for x in parts for p in x):
                 by_pack.setdefault(p["pack"], set()).add((p["offset"], p["length"]))
@@ -171,7 +172,22 @@ def rebuilt(files: DataFrame) -> DataFrame:
             media = [b"".join(grow(chunks[p["pack"], p["offset"]]) for p in x) for x in parts]
             if any(hashlib.sha256(m).digest() != n for m, n in zip(media, names, strict=True)):
                 raise ValueError("a rebuilt file differs from the one that was stored")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(media, pa.binary())], names=["media_id", "media"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(media, pa.binary())], names=["media_id", "media"])
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[list[dict]]]]:
+        """Files whose stored chunks have up to HELD_BYTES together, or one larger file."""
+        for batch in batches:
+            names, parts, size = [], [], 0
+            for name, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                more = sum(p["length"] for p in part)
+                if names and size + more > HELD_BYTES:
+                    yield names, parts
+                    names, parts, size = [], [], 0
+                names.append(name)
+                parts.append(part)
+                size += more
+            if names:
+                yield names, parts
 
     bytes_ = F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x["length"])
     tasks = reading_tasks(files.select(bytes_.alias("length")))

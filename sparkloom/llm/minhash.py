@@ -240,9 +240,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataF
     sets.  component_id is the smallest doc_id reachable by links, the row's own
     included; kept says that it is the row's own.  Null and empty texts are
     components of their own, so are rows without doc_id (their component is
-    null, kept true).  Repeated rows give repeated results.
+    null, kept true) and rows whose doc_id stands for texts of several sets, which
+    couldn't be told apart by it.  Repeated rows give repeated results.
     """
     sig = saved(signatures(docs, words), "signatures")
+    odd = saved(sig.where("doc_id is not null").groupBy("doc_id").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b"), F.count("*").alias("n"), F.count("set_id").alias("m")).where("a != b or m > 0 and m < n").select("doc_id"), "odd-ids")
+    if not odd.isEmpty():
+        sig = sig.join(sized(odd.withColumn("odd", F.lit(True))), "doc_id", "left").withColumn("set_id", F.when(F.col("odd").isNull(), F.col("set_id"))).drop("odd")
     classes = saved(sig.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     sketches = classes.select("rep", "n", "sketch")
     keys = classes.select("rep", F.explode("bands").alias("key"))

@@ -71,8 +71,9 @@ def write_warc(pages: DataFrame, folder: str | None = None) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     raw = F.encode("html", "UTF-8")
     keyed = rows.select("page_id", F.sha1(raw).alias("sha"), F.octet_length("html").alias("bytes")).where(F.col("page_id").isNotNull() & (F.col("bytes") >= MIN_REVISIT))
-    first = keyed.groupBy("sha", "bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "bytes", "first")
-    revisits = saved(keyed.join(first, ["sha", "bytes"]).where("page_id != first").select("page_id", F.col("first").alias("refers_to"), F.col("sha").alias("of")).distinct(), "revisits")
+    # Written first, so that a payload of very many pages is a join key that Spark can split.
+    first = saved(keyed.groupBy("sha", "bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "bytes", "first"), "first-pages")
+    revisits = saved(keyed.join(sized(first), ["sha", "bytes"]).where("page_id != first").select("page_id", F.col("first").alias("refers_to"), F.col("sha").alias("of")).distinct(), "revisits")
     # A page_id may repeat with another payload: only the payload meant is a revisit, the others stay responses.
     revisits = revisits.withColumnRenamed("page_id", "_page")
     meant = (F.col("page_id") == F.col("_page")) & (F.col("sha") == F.col("of"))

@@ -98,6 +98,13 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == want
 
 
+def test_ids_of_several_sets_are_on_their_own(spark):
+    base = words(60, 3)
+    rows = [(1, base), (1, base), (2, base), (2, words(50, 4)), (3, base), (4, base), (4, None), (5, None), (5, "")]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 2, True), (2, 2, True), (3, 1, False), (4, 4, True), (4, 4, True), (5, 5, True), (5, 5, True)]
+
+
 def test_odd_sketches_estimate():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 1000, dtype=np.uint64)
