@@ -635,3 +635,30 @@ def test_batches_of_token_ids(spark):
             seen.append((d, ids[:n]))
     assert sorted(seen, key=str) == sorted(((d, ids or []) for d, ids in rows), key=str)
     assert packing.padded_batches(df.limit(0)).count() == 0
+
+
+# the shared folder
+
+
+def test_shared_folder_without_a_setting(spark):
+    from types import SimpleNamespace
+
+    from sparkloom.llm import common
+
+    def session(master, value=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: value or default), sparkContext=SimpleNamespace(master=master, applicationId=f"app-{master}", _jsc=spark.sparkContext._jsc), _jvm=spark._jvm)
+
+    one = common.shared_folder(session("local[2]"))
+    assert one.startswith("file:///") and common.shared_folder(session("local[2]")) == one
+    with pytest.raises(ValueError, match="share"):
+        common.shared_folder(session("spark://host:7077"))
+    assert common.shared_folder(session("spark://host:7077", "hdfs://host/x/")) == "hdfs://host/x"
+    assert common.shared_folder(session("spark://host:7077", "/some/where")).startswith("file:/")
+
+
+def test_only_small_tables_are_broadcast(spark):
+    from sparkloom.llm import common
+
+    df = spark.range(1000).select("id", F.repeat(F.lit("x"), 100).alias("s"), F.array(F.lit("ab")).alias("a"))
+    hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    assert hinted(common.sized(df)) and not hinted(common.sized(df, 100_000))
