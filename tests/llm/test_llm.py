@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -662,3 +663,52 @@ def test_only_small_tables_are_broadcast(spark):
     df = spark.range(1000).select("id", F.repeat(F.lit("x"), 100).alias("s"), F.array(F.lit("ab")).alias("a"))
     hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
     assert hinted(common.sized(df)) and not hinted(common.sized(df, 100_000))
+
+
+def test_planted_secrets(spark):
+    """Tokens planted in the documents, whatever stands around: all are found, and little else."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    planted = {(r.doc_id, m) for r in docs.where(F.lower("text").contains("token")).select("doc_id", "text").collect() for m in re.findall(r'(?i)\btoken = "([0-9a-f]{40})"', r.text)}
+    found = {(r.doc_id, r.secret) for r in secrets.secrets(docs).collect()}
+    assert len(planted) > 30 and len(planted & found) >= 0.99 * len(planted) and len(planted & found) >= 0.95 * len(found)
+
+
+def plain_features(word, before, after):
+    """The features of a candidate that is a whole word, computed another way."""
+    def kind(c):
+        return "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else ""
+
+    steps = sum(bool(kind(a)) and bool(kind(b)) and kind(a) != kind(b) for a, b in itertools.pairwise(word))
+    covered, rest = 0, word.lower()
+    while rest:
+        hit = next((w for w in secrets.DICTIONARY if rest.startswith(w)), "")
+        covered, rest = covered + len(hit), rest[max(len(hit), 1) :]
+    said = " ".join(before[-2:]) + " "
+    return {
+        "length": len(word),
+        "transitions": steps / len(word),
+        "digits": sum(c.isdigit() for c in word) / len(word),
+        "capitals": sum(c.isupper() for c in word) / len(word),
+        "different": len(set(word)) / len(word),
+        "dictionary": covered / len(word),
+        "key_before": float(bool(re.search(secrets.KEY_WORDS, said))),
+        "hash_before": float(bool(re.search(secrets.HASH_WORDS, said))),
+        "key_after": float(bool(re.search(secrets.KEY_WORDS, after))),
+        "hex_only": float(set(word) <= set("0123456789abcdef")),
+    }
+
+
+def test_features_of_candidates(spark):
+    rng = random.Random(21)
+    rows, want = [], {}
+    for k in range(120):
+        word = "".join(rng.choices(["a1", "Zx", "key", "9", "user", "F0", "b-", "data2"], k=rng.randint(8, 14)))
+        before, after = rng.choices(["token", "the", "commit", "secret", "la", "uuid"], k=3), rng.choice(["password", "and", "then"])
+        if re.fullmatch(r"[A-Za-z0-9+/_=\-]{16,}", word) and re.search("[0-9]", word):
+            rows.append((k, " ".join([*before, word, after])))
+            want[k] = plain_features(word, before, after)
+    got = {r.k: r for r in secrets.candidates(spark.createDataFrame(rows, "k long, text string"), ["k"]).collect()}
+    assert set(got) == set(want) and len(want) > 60
+    for k, features in want.items():
+        for name, value in features.items():
+            assert got[k][name] == pytest.approx(value), (k, name, got[k].secret)
