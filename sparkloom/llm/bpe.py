@@ -28,8 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import numbered, odd_numbers, slices, small_batches
-from sparkloom.llm.words import by_bytes, range_hashes, text_bytes
+from sparkloom.llm.common import numbered, slices
+from sparkloom.llm.words import PADDING, by_bytes, padded, range_hashes, same_ranges, text_bytes
 
 #: Chunks whose ids a task keeps.
 KEPT_CHUNKS = 700_000
@@ -201,8 +201,8 @@ class Encoder:
     space before it at most.  So a space between two characters that aren't
     spaces always begins one, and a text without two spaces in a row is cut
     before each space.  Other texts are cut before each run of white space.
-    Chunks are told apart by two 64-bit hashes of their bytes, taken for all
-    chunks at once.
+    Chunks are found by a hash of their bytes, which for up to seven bytes is the
+    chunk itself, and longer ones are compared with the bytes that are kept.
     """
 
     def __init__(self, encode_chunks: Callable[[list[str]], list[bytes]]) -> None:
@@ -211,8 +211,9 @@ class Encoder:
 
     def _forget(self) -> None:
         self._number: dict[int, int] = {}
-        self._seconds = self._starts = self._counts = np.empty(0, np.int64)
+        self._starts = self._counts = self._places = self._sizes = np.empty(0, np.int64)
         self._ids = np.empty(0, np.uint32)
+        self._bytes = np.zeros(PADDING, np.uint8)
 
     def __call__(self, texts: pa.Array | list[str]) -> Iterator[np.ndarray]:
         """The ids of each text; chunks that aren't kept are encoded first, all together.  Beyond the bound all that is kept goes."""
@@ -220,41 +221,55 @@ class Encoder:
         raw, offsets = text_bytes(column)
         first = _chunk_starts(raw, offsets, column)
         last = np.append(first[1:], len(raw))[: len(first)]
-        one, two = (range_hashes(raw, first, last, t) for t in _TABLES)
-        order = np.argsort(one)
-        ordered = one[order]
+        raw = padded(raw)
+        hashes = range_hashes(raw, first, last)
+        order = np.argsort(hashes)
+        ordered = hashes[order]
         heads = np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)]
         keys, at = ordered[heads], order[heads]
         inverse = np.empty(len(order), np.int32)
         inverse[order] = np.cumsum(heads, dtype=np.int32) - 1
-        if (two[at][inverse] != two).any():
-            raise ValueError("two chunks have one hash")
         if len(self._number) > KEPT_CHUNKS:
             self._forget()
         number = np.fromiter(map(self._number.get, keys.tolist(), repeat(-1)), np.int64, len(keys))
-        seconds = two[at].view(np.int64)
         new = np.flatnonzero(number < 0)
-        if (self._seconds[number[number >= 0]] != seconds[number >= 0]).any():
-            raise ValueError("two chunks have one hash")
         if len(new):
+            some, ends = at[new], last[at[new]]
             data = raw.tobytes()
-            found = self._encode([data[a:b].decode() for a, b in zip(first[at[new]].tolist(), last[at[new]].tolist(), strict=True)])
+            chunks = [data[a:b] for a, b in zip(first[some].tolist(), ends.tolist(), strict=True)]
+            found = self._encode([c.decode() for c in chunks])
             counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
-            starts = len(self._ids) + np.cumsum(counts) - counts
             number[new] = len(self._number) + np.arange(len(new))
             self._number.update(zip(keys[new].tolist(), number[new].tolist(), strict=True))
+            sizes = ends - first[some]
+            self._places = np.concatenate([self._places, len(self._bytes) - PADDING + np.cumsum(sizes) - sizes])
+            self._starts = np.concatenate([self._starts, len(self._ids) + np.cumsum(counts) - counts])
+            self._sizes, self._counts = np.concatenate([self._sizes, sizes]), np.concatenate([self._counts, counts])
             self._ids = np.concatenate([self._ids, np.frombuffer(b"".join(found), "<u4")])
-            self._seconds, self._starts, self._counts = (np.concatenate(x) for x in ((self._seconds, seconds[new]), (self._starts, starts), (self._counts, counts)))
-        counts, starts = self._counts[number][inverse], self._starts[number][inverse]
+            self._bytes = np.concatenate([self._bytes[:-PADDING], np.frombuffer(b"".join(chunks) + bytes(PADDING), np.uint8)])
+        which = number[inverse]
+        counts, starts, own = self._counts[which], self._starts[which], self._ids
+        if len(strange := self._strangers(raw, first, last, which)):
+            # Another chunk has the hash: these are encoded by themselves.
+            found = self._encode([raw[first[k] : last[k]].tobytes().decode() for k in strange.tolist()])
+            more = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            counts[strange], starts[strange] = more, len(own) + np.cumsum(more) - more
+            own = np.concatenate([own, np.frombuffer(b"".join(found), "<u4")])
         ends = np.cumsum(counts)
         place = np.repeat(starts - (ends - counts), counts)
         place += np.arange(len(place))
-        ids = self._ids[place]
+        ids = own[place]
         bounds = np.append(0, ends)[np.searchsorted(first, offsets)].tolist()
         return (ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True))
 
-
-_TABLES = odd_numbers(256, 31), odd_numbers(256, 32)
+    def _strangers(self, raw: np.ndarray, first: np.ndarray, last: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """The chunks whose bytes aren't those that are kept under their hash."""
+        size = last - first
+        long = np.flatnonzero(size > 7)
+        same = self._sizes[which[long]] == size[long]
+        some = long[same]
+        same[same] = same_ranges(raw, first[some], self._bytes, self._places[which[some]], size[some])
+        return long[~same]
 
 
 def _chunk_starts(raw: np.ndarray, offsets: np.ndarray, column: pa.Array) -> np.ndarray:
@@ -305,7 +320,6 @@ def pair_index_encoder(path: str) -> Encoder:
 def encode(docs: DataFrame, path: str | None = None, column: str = "text") -> DataFrame:
     """The rows of ``docs`` with ``ids`` array<int> of the column's text, in place of a column of that name.  Null and empty texts have no ids."""
     path = path or vocabulary_path()
-    small_batches(docs.sparkSession)
     plain, names = numbered(docs, "ids")
     inner, place = plain.columns, names.index(column)
 
@@ -340,7 +354,6 @@ def round_trip_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     repeated rows and null ids of documents are kept as they are.
     """
     path = path or vocabulary_path()
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, encoder = bpe(path), pair_index_encoder(path)

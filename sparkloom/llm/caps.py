@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import runs, saved, sized, slices, small_batches
+from sparkloom.llm.common import runs, saved, sized, slices
 from sparkloom.llm.components import components
 
 #: Stored vectors, and probing ones, of a bucket that meet in one block.
@@ -155,7 +155,6 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     link isn't found with a chance of 2 * MISS.
     """
     spark = vectors.sparkSession
-    small_batches(spark)
     kind = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
     held = "array<float>" if kind == "<f4" else "array<double>"
     v = F.col("embedding")

@@ -76,12 +76,6 @@ def numbered(df: DataFrame, without: str | None = None) -> tuple[DataFrame, list
     return df.select(*names).toDF(*(f"c{k}" for k in range(len(names)))), names
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the bytes of an Arrow batch so that very long texts don't add up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

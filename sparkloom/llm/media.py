@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import fresh_path, mixed, saved, slices, small_batches
+from sparkloom.llm.common import fresh_path, mixed, saved, slices
 from sparkloom.llm.files import Input, Output, coalesced, reading_tasks
 
 #: Bytes of a frame of samples, sample rate.
@@ -110,7 +110,6 @@ def store_chunks(docs: DataFrame, folder: str | None = None) -> DataFrame:
     digest and its offset and length in the pack.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     folder = folder or fresh_path(spark, "packs")
     chunk = pa.struct([("digest", pa.binary()), ("offset", pa.int64()), ("length", pa.int64())])
 

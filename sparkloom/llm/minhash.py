@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import mixed, odd_numbers, runs, saved, sized, small_batches
+from sparkloom.llm.common import mixed, odd_numbers, runs, saved, sized
 from sparkloom.llm.components import components
 from sparkloom.llm.words import by_bytes, grams, hashed
 
@@ -90,7 +90,6 @@ def most_flips(similarity: float) -> int:
 
 def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
     """(doc_id, n_shingles, set_id, bands, sketch) of every row; without shingles the last three are null."""
-    small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import numbered, saved, sized, slices, small_batches
+from sparkloom.llm.common import numbered, saved, sized, slices
 from sparkloom.llm.words import by_bytes, grams, hashed, word_hashes
 
 K, RATE, WINDOW, MIN_WORDS, LEAST_SHARE = 5, 7, 16, 50, 0.8
@@ -498,7 +498,6 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     stands for several texts: their words couldn't be told apart by it.  Rows
     that repeat a doc_id and a text count once.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     rows, copies = _copies(rows)
     shared = _shared(saved(_seeds(rows), "all-seeds"), "seeds")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.bpe import Encoder, encoded, vocabulary_path
-from sparkloom.llm.common import fresh_path, saved, small_batches
+from sparkloom.llm.common import fresh_path, saved
 from sparkloom.llm.files import Input, Output, reading_tasks
 
 #: Ids of a shard (a longer document has a shard of its own; places in a shard are 32-bit integers), least count of a pair.
@@ -227,7 +227,6 @@ def write_ids(docs: DataFrame, path: str | None = None, folder: str | None = Non
     """
     path = path or vocabulary_path()
     spark = docs.sparkSession
-    small_batches(spark)
     folder = folder or fresh_path(spark, "ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +287,6 @@ def id_digests(index: DataFrame) -> DataFrame:
 
 
 def _documents(index: DataFrame, with_ids: bool, asked: frozenset[int] | None = None) -> DataFrame:
-    small_batches(index.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import mixed, numbered, odd_numbers, saved, small_batches
+from sparkloom.llm.common import mixed, numbered, odd_numbers, saved
 from sparkloom.llm.words import by_bytes
 
 #: Labelled rows that the classifier is fitted on, of each class.
@@ -104,7 +104,6 @@ def is_disguised(word: str) -> bool:
 
 def character_model(docs: DataFrame) -> np.ndarray:
     """Negative log-probabilities [a, b, c] of c after a and b, from all words of all rows; an empty corpus gives equal ones."""
-    small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(SIZE**3, np.int64)
@@ -265,7 +264,6 @@ def with_column(docs: DataFrame, name: str, kind: str, make: Callable[[list[str
     """The rows of ``docs`` with a column made of ``text``, slice by slice; a column of that name is replaced, others stay whatever their names."""
     plain, names = numbered(docs, name)
     inner, place = plain.columns, names.index("text")
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, place):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import fresh_path, saved, sized, slices, small_batches
+from sparkloom.llm.common import fresh_path, saved, sized, slices
 from sparkloom.llm.files import Input, Output, coalesced, reading_tasks
 
 MIN_REVISIT = 1000
@@ -66,7 +66,6 @@ def write_warc(pages: DataFrame, folder: str | None = None) -> DataFrame:
     all are responses if the id is the largest.
     """
     spark = pages.sparkSession
-    small_batches(spark)
     folder = folder or fresh_path(spark, "warc")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     raw = F.encode("html", "UTF-8")
@@ -106,7 +105,6 @@ def read_warc(index: DataFrame) -> DataFrame:
     archive gives for the payload they revisit.  A payload that differs from its
     digest is an error.
     """
-    small_batches(index.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, path = None, None

@@ -1,13 +1,17 @@
 """Hashes of the words of whole columns of texts, and seeds and runs made of them, as array operations.
 
-Words are runs of bytes other than 32 and 9 to 13, A-Z lower-cased.  A word's
-hash is a polynomial of its bytes modulo 2**64, taken from running sums over a
-chunk of text, so no word is ever a Python object and nothing is kept between
-batches.
+Words are runs of bytes outside a class of separators, A-Z lower-cased.  A word of
+up to seven bytes is its own hash, so two of them never share one; a longer one
+is a polynomial of its blocks of seven bytes modulo the prime 2**61 - 1, where two
+different words of n blocks meet with a chance of n / 2**61 at most; one of over
+``LONG`` bytes is 64 bits of BLAKE2b.  The three kinds lie in ranges of their own,
+and a bijection spreads the bits.  No word is ever a Python object but a very long
+one, and nothing is kept between batches.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,54 +20,142 @@ import pyarrow.compute as pc
 
 from sparkloom.llm.common import mixed, odd_numbers
 
-#: Bytes of text that are hashed together, unless one word is longer; bytes of texts whose words are held together.
-CHUNK, TOGETHER = 1 << 16, 1 << 20
-_BASE = int(odd_numbers(1, 21)[0])
+#: Bytes of texts whose words are held together; words of more bytes are hashed by BLAKE2b.
+TOGETHER, LONG = 1 << 20, 64
+#: Zero bytes that stand behind the texts, so that eight bytes can be read at any of them.
+PADDING = 8
 _PLACES = odd_numbers(64, 11)
+_PRIME = np.uint64((1 << 61) - 1)
+_BASE = int(odd_numbers(1, 21)[0]) % int(_PRIME)
+_HIGH, _LOW = np.uint64(_BASE >> 31), np.uint64(_BASE & ((1 << 31) - 1))
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def separators(*ranges: tuple[int, int]) -> np.ndarray:
+    """A class of bytes: those from the first to the last of each range."""
+    out = np.zeros(256, bool)
+    for low, high in ranges:
+        out[low : high + 1] = True
+    return out
+
+
+#: Space and the controls from tab to carriage return.
+SPACES = separators((32, 32), (9, 13))
+
+
+def _times_base(x: np.ndarray) -> np.ndarray:
+    """x times the base modulo the prime, by halves; x is below the prime."""
+    high, low = x >> np.uint64(31), x & np.uint64((1 << 31) - 1)
+    middle = high * _LOW + low * _HIGH
+    total = np.uint64(2) * high * _HIGH + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << np.uint64(31)) + low * _LOW
+    return _reduced(total)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _PRIME) + (x >> np.uint64(61))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place as one number; ``raw`` is padded."""
+    return np.ndarray((max(len(raw) - 7, 0),), "<u8", raw, 0, (1,))
+
+
+def range_hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes from ``first`` to ``last``, ranges of at least a byte; PADDING bytes stand behind the last one."""
+    size = last - first
+    at = eights(raw)
+    out = (at[first] & _FIRST[np.minimum(size, 7)]) | (np.minimum(size, 8).astype(np.uint64) << np.uint64(56))
+    long = np.flatnonzero(size > 7)
+    if len(long):
+        long = long[np.argsort(-size[long], kind="stable")]
+        n, where = size[long], first[long]
+        x = n.astype(np.uint64)
+        huge = int((n > LONG).sum())
+        for k in range(-(-min(int(n[0]), LONG) // 7)):
+            some = slice(huge, int(np.searchsorted(-n, -7 * k)))
+            block = at[where[some] + 7 * k] & _FIRST[np.minimum(n[some] - 7 * k, 7)]
+            x[some] = _reduced(_times_base(x[some]) + block)
+        x |= np.uint64(1 << 61)
+        for k in range(huge):
+            digest = hashlib.blake2b(raw[where[k] : where[k] + n[k]].tobytes(), digest_size=8).digest()
+            x[k] = int.from_bytes(digest, "little") | 3 << 62
+        out[long] = x
+    return mixed(out)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
-
-
-_UP, _DOWN = _powers(CHUNK + 1)
-_BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
-_BYTES[65:91] = _BYTES[97:123]
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
+def same_ranges(raw: np.ndarray, first: np.ndarray, other: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes of ``raw`` at each ``first`` are those of ``other`` at ``place``, ``size`` of them; both are padded."""
+    out = np.ones(len(size), bool)
+    a, b = eights(raw), eights(other)
+    order = np.argsort(-size, kind="stable")
+    n, x, y = size[order], first[order], place[order]
+    for k in range(-(-int(n[0]) // 8) if len(n) else 0):
+        some = slice(0, int(np.searchsorted(-n, -8 * k)))
+        mask = _FIRST[np.minimum(n[some] - 8 * k, 8)]
+        out[order[some]] &= (a[x[some] + 8 * k] & mask) == (b[y[some] + 8 * k] & mask)
+    return out
+
+
+def word_spans(column: pa.Array, apart: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(raw, offsets, first, last, bounds): the padded, lower-cased bytes of all texts (``apart`` is a class of these), where each text and each word begins and ends, and which words are of which text; null texts have none."""
+    plain, offsets = text_bytes(column)
+    raw = np.zeros(len(plain) + PADDING, np.uint8)
+    raw[: len(plain)] = _LOWER[plain]
+    if not len(plain):
+        none = np.empty(0, np.int64)
+        return raw, offsets, none, none, np.zeros(len(offsets), np.int64)
+    gap = apart[raw[: len(plain)]]
+    inner = offsets[(offsets > 0) & (offsets < len(plain))]
+    begins, ends = ~gap, ~gap
+    begins[1:] &= gap[:-1]
+    begins[inner] = ~gap[inner]
+    ends[:-1] &= gap[1:]
+    ends[inner - 1] = ~gap[inner - 1]
+    first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    return raw, offsets, first, last, np.searchsorted(first, offsets)
 
 
 def hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, offsets): the words of all texts of a column, and where each text's begin and end; null texts have none."""
-    raw, offsets = text_bytes(column)
-    if not len(raw):
-        return np.empty(0, np.uint64), offsets
-    space = _SPACE[raw]
-    inner = offsets[(offsets > 0) & (offsets < len(raw))]
-    begins, ends = ~space, ~space
-    begins[1:] &= space[:-1]
-    begins[inner] = ~space[inner]
-    ends[:-1] &= space[1:]
-    ends[inner - 1] = ~space[inner - 1]
-    first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    return range_hashes(raw, first, last, _BYTES), np.searchsorted(first, offsets)
-
-
-def range_hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Hashes of the bytes from ``first`` to ``last``, ranges that follow one another; ``table`` has a 64-bit word for each byte."""
-    out = np.empty(len(first), np.uint64)
-    k = 0
-    while k < len(first):
-        end = max(int(np.searchsorted(last, first[k] + CHUNK, "right")), k + 1)
-        a, b = int(first[k]), int(last[end - 1])
-        up, down = (_UP, _DOWN) if b - a <= CHUNK else _powers(b - a)
-        sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(table[raw[a:b]] * up[: b - a], out=sums[1:])
-        out[k:end] = (sums[last[k:end] - a] - sums[first[k:end] - a]) * down[first[k:end] - a]
-        k = end
-    return mixed(out)
+    raw, _, first, last, bounds = word_spans(column)
+    return range_hashes(raw, first, last), bounds
+
+
+class Vocabulary:
+    """Different words as numbers from 0, found by hash and told apart by their bytes."""
+
+    def __init__(self, words: list[bytes]) -> None:
+        self.words = words
+        ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+        self._first = np.append(0, ends[:-1])[: len(words)].astype(np.int64)
+        self._size = ends - self._first
+        self._raw = np.frombuffer(b"".join(words) + bytes(PADDING), np.uint8)
+        hashes = range_hashes(self._raw, self._first, ends) if words else np.empty(0, np.uint64)
+        self._order = np.argsort(hashes, kind="stable")
+        self._hashes = hashes[self._order]
+        self._number = {w: k for k, w in enumerate(words)}
+
+    def find(self, raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The number of each word of a text's bytes, -1 for those that aren't here."""
+        out = np.full(len(first), -1, np.int64)
+        if not len(self.words) or not len(first):
+            return out
+        h = range_hashes(raw, first, last)
+        at = np.minimum(np.searchsorted(self._hashes, h), len(h) and len(self._hashes) - 1)
+        hit = np.flatnonzero(self._hashes[at] == h)
+        found = self._order[at[hit]]
+        out[hit] = found
+        size = last[hit] - first[hit]
+        long = np.flatnonzero(size > 7)
+        same = self._size[found[long]] == size[long]
+        checked = long[same]
+        same[same] = same_ranges(raw, first[hit[checked]], self._raw, self._first[found[checked]], size[checked])
+        for k in hit[long[~same]].tolist():
+            out[k] = self._number.get(raw[first[k] : last[k]].tobytes(), -1)
+        return out
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -76,6 +168,20 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - low
 
 
+def padded(raw: np.ndarray) -> np.ndarray:
+    return np.concatenate([raw, np.zeros(PADDING, np.uint8)])
+
+
+def texts_of(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Array:
+    """The ranges of a text's bytes, which begin and end between characters, as strings."""
+    size = last - first
+    ends = np.cumsum(size)
+    place = np.repeat(first - (ends - size), size)
+    place += np.arange(len(place))
+    offsets = np.append(0, ends).astype(np.int32)
+    return pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw[place])))
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """The hashes of one text's words."""
     return hashed(pa.array([text], pa.string()))[0]
@@ -94,7 +200,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch], place: int, most: int = TOGETHER
 
 
 def grams(h: np.ndarray, length: int) -> np.ndarray:
-    """64-bit hashes of all runs of ``length`` words."""
+    """64-bit hashes of all runs of ``length`` words: of up to 16 by a weighted sum, of longer ones by runs of 2, 4, 8 and so on, the last two of which may overlap; all are mixed at each step."""
     n = len(h) - length + 1
     if n < 1:
         return np.empty(0, np.uint64)
@@ -103,7 +209,10 @@ def grams(h: np.ndarray, length: int) -> np.ndarray:
         for k in range(1, length):
             total += h[k : n + k] * _PLACES[k]
         return mixed(total)
-    up, down = _powers(len(h))
-    sums = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * up, out=sums[1:])
-    return mixed((sums[length:] - sums[:-length]) * down[:n])
+    run, held = h, 1
+    while held < length:
+        step = min(held, length - held)
+        a, b = _PLACES[2 * held.bit_length()], _PLACES[2 * held.bit_length() + 1]
+        run = mixed(run[: len(run) - step] * a + run[step:] * b)
+        held += step
+    return run
