@@ -39,6 +39,10 @@ def alerts_once(stream: DataFrame, key: str, time: str, seconds: int = 3600) ->
                 last = t
         return out, last
 
+    def frame_of(name: str | None, times: list[pd.Timestamp]) -> pd.DataFrame:
+        # Typed, as a frame without rows would have columns of numbers.
+        return pd.DataFrame({key: pd.Series([name] * len(times), dtype=object), time: pd.Series(times, dtype="datetime64[ns]")})
+
     def batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name, last = None, None
         for frame in frames:
@@ -47,7 +51,7 @@ def alerts_once(stream: DataFrame, key: str, time: str, seconds: int = 3600) ->
                 last = last if other == name else None
                 name = other
                 out, last = let_through(list(part[time]), last)
-                yield pd.DataFrame({key: [other] * len(out), time: out})
+                yield frame_of(other, out)
 
     def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         times = sorted(t for f in frames for t in f[time])
@@ -55,7 +59,7 @@ def alerts_once(stream: DataFrame, key: str, time: str, seconds: int = 3600) ->
         out, last = let_through(times, last)
         if last is not None:
             state.update((last.value // 1000,))
-        yield pd.DataFrame({key: [name[0]] * len(out), time: out})
+        yield frame_of(name[0], out)
 
     rows = stream.select(F.col(key).cast("string").alias(key), F.col(time).cast("timestamp").alias(time))
     if stream.isStreaming:
