@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.operators.extraction import swap_distance
+from sparkloom.operators.search_index import deletions
 
 
 def dictionary(words: DataFrame, least: int = 2) -> DataFrame:
@@ -21,16 +22,6 @@ def bigrams(words: DataFrame, least: int = 2) -> DataFrame:
     return words.select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def _deletions(rows: DataFrame, name: str, wide: int) -> DataFrame:
-    """A row for each string that is left of ``name`` when up to one letter, from ``wide`` letters on up to two, are taken out, as ``_left``."""
-    def without_one(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.length(w)), lambda k: F.concat(F.substring(w, F.lit(1), k - 1), F.substring(w, k + 1, F.length(w))))
-
-    one = rows.withColumn("_d", without_one(F.col(name)))
-    two = F.when(F.length(name) >= wide, F.flatten(F.transform("_d", without_one))).otherwise(F.array().cast("array<string>"))
-    return one.select(*rows.columns, F.explode(F.array_distinct(F.concat(F.array(name), "_d", two))).alias("_left"))
-
-
 def corrections(queries: DataFrame, known: DataFrame, swaps: bool = False) -> DataFrame:
     """(word, best, distance) of words of five letters and more that the dictionary (word, n) lacks.
 
@@ -41,7 +32,7 @@ def corrections(queries: DataFrame, known: DataFrame, swaps: bool = False) -> Da
     """
     unknown = queries.select("word").distinct().where(F.length("word") >= 5).join(known.select("word"), "word", "left_anti")
     listed = known.select(F.col("word").alias("best"), "n").where(F.length("best") >= 4)
-    pairs = _deletions(unknown, "word", 7).join(_deletions(listed, "best", 7), "_left").select("word", "best", "n").distinct()
+    pairs = deletions(unknown, "word", 7).join(deletions(listed, "best", 7), "_left").select("word", "best", "n").distinct()
     distance = swap_distance("word", "best") if swaps else F.levenshtein("word", "best")
     near = pairs.withColumn("distance", distance).where(F.col("distance") <= F.when(F.length("word") < 9, 1).otherwise(2))
     first = F.row_number().over(Window.partitionBy("word").orderBy("distance", F.desc("n"), "best"))
@@ -50,8 +41,8 @@ def corrections(queries: DataFrame, known: DataFrame, swaps: bool = False) -> Da
 
 def alike(words: DataFrame, least: float) -> DataFrame:
     """(a, b, likeness) of different words (word), a before b, that are at most two edits apart and at least so alike; candidates share a deletion."""
-    one = _deletions(words.select(F.col("word").alias("a")).distinct(), "a", 1)
-    two = _deletions(words.select(F.col("word").alias("b")).distinct(), "b", 1)
+    one = deletions(words.select(F.col("word").alias("a")).distinct(), "a", 1)
+    two = deletions(words.select(F.col("word").alias("b")).distinct(), "b", 1)
     pairs = one.join(two, "_left").where("a < b").select("a", "b").distinct().where(F.levenshtein("a", "b") <= 2)
     return pairs.withColumn("likeness", similarity(F.col("a"), F.col("b"))).where(F.col("likeness") >= least)
 

@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
-from sparkloom.sources.tables import shared_path, stored
+from sparkloom.operators.search_index import K1, B, tokenised
 
-#: BM25's saturation and length normalisation; the constant of reciprocal rank fusion.
-K1, B, RRF_K = 1.2, 0.75, 60
+#: The constant of reciprocal rank fusion.
+RRF_K = 60
 
 
 @dataclass(frozen=True)
@@ -36,15 +36,6 @@ class Hybrid:
 PRESETS = {"rules": Hybrid(0.4, 0.6, 15, 0.15), "lore": Hybrid(0.7, 0.3, 10, 0.1), "notes": Hybrid(0.5, 0.5, 20, 0.05)}
 
 
-def tokenised(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).alias("id"), T.tokens(F.col(text)).alias("words"))
-
-
-def postings(words: DataFrame) -> DataFrame:
-    """(term, id, tf, size): the inverted index of tokenised documents."""
-    return words.select("id", F.size("words").alias("size"), F.explode("words").alias("term")).groupBy("term", "id", "size").agg(F.count("*").alias("tf"))
-
-
 def bm25(words: DataFrame, terms: list[str], every: bool = False) -> DataFrame:
     """(id, score) of documents that hold any, or every, term.
 
@@ -69,70 +60,10 @@ def bm25(words: DataFrame, terms: list[str], every: bool = False) -> DataFrame:
     return rows.where(hit).crossJoin(F.broadcast(stats)).select("id", sum((part(k) for k in range(1, len(terms))), part(0)).alias("score"))
 
 
-class SearchIndex:
-    """Postings of a corpus in the shared folder, dealt by term, with the document frequency of each term and the corpus statistics.
-
-    A query reads the parts of its own terms only; texts are tokenised once, when the index is built.
-    """
-
-    PARTS = 32
-
-    def __init__(self, words: DataFrame) -> None:
-        self.spark = words.sparkSession
-        self.path = shared_path(self.spark, "postings")
-        rows = postings(words).withColumn("part", self._part(F.col("term")))
-        rows.repartition("part").sortWithinPartitions("part", "term", "id").write.partitionBy("part").parquet(self.path)
-        self.documents = stored(words.select("id", F.size("words").alias("size")), "documents")
-        one = self.documents.agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
-        self.n, self.mean = one.n, one.mean
-
-    def _part(self, term: Column) -> Column:
-        return F.pmod(F.xxhash64(term), F.lit(self.PARTS)).cast("int")
-
-    def hits(self, terms: list[str]) -> DataFrame:
-        """The postings of the terms."""
-        rows = self.spark.read.parquet(self.path)
-        parts = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(self._part(F.col("term"))).distinct().collect()]
-        return rows.where(F.col("part").isin(parts) & F.col("term").isin(terms)).drop("part")
-
-    def bm25(self, terms: list[str], every: bool = False) -> DataFrame:
-        """(id, score) of documents that hold any, or every, term."""
-        found = self.hits(terms)
-        df = F.broadcast(found.groupBy("term").agg(F.count("*").alias("df")))
-        idf = F.log(1 + (self.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(self.mean)))
-        scored = found.join(df, "term").groupBy("id").agg(F.sum(part).alias("score"), F.count("*").alias("held"))
-        return (scored.where(F.col("held") == len(set(terms))) if every else scored).select("id", "score")
-
-    def dictionary(self, least: int = 2) -> DataFrame:
-        """(word, n) of words of two characters and more that aren't numbers and come ``least`` times."""
-        rows = self.spark.read.parquet(self.path).where((F.length("term") >= 2) & ~F.col("term").rlike(r"^\p{N}+$"))
-        return rows.groupBy(F.col("term").alias("word")).agg(F.sum("tf").alias("n")).where(F.col("n") >= least)
-
-
-_indexes: dict[tuple[str, str], SearchIndex] = {}
-
-
-def index_of(docs: DataFrame, key: str, text: str, name: str) -> SearchIndex:
-    """The index of a corpus, built once for an application and a name that stands for its present rows."""
-    at = (docs.sparkSession.sparkContext.applicationId, name)
-    if at not in _indexes:
-        _indexes[at] = SearchIndex(tokenised(docs, key, text))
-    return _indexes[at]
-
-
 def highlighted(text: Column, terms: list[str], start: str, end: str) -> Column:
     return F.regexp_replace(text, r"(?i)(?<![A-Za-z0-9_])(" + "|".join(terms) + r")(?![A-Za-z0-9_])", f"{start}$1{end}")
 
 
-def boolean(words: DataFrame, groups: list[list[str]]) -> DataFrame:
-    """Documents that hold a word of every group, with a score of 1."""
-    hit = F.lit(True)
-    for g in groups:
-        hit = hit & F.arrays_overlap("words", F.array(*map(F.lit, g)))
-    return words.where(hit).select("id", F.lit(1.0).alias("score"))
-
-
 def nearest(vectors: DataFrame, key: str, column: str, query: Column, limit: int, where: Column | None = None) -> DataFrame:
     """(id, distance): the rows with the least cosine distance, filtered before they are ranked."""
     rows = vectors if where is None else vectors.where(where)
@@ -192,14 +123,6 @@ def context(rows: DataFrame, order: list[Column], label: Column, text: Column, b
     return numbered.withColumn("used", running).where(F.col("used") <= budget).select("id", "number", "passage")
 
 
-def suggestions(words: DataFrame, prefix: str, limit: int) -> DataFrame:
-    """Words that start with a prefix of two characters or more, the shortest first."""
-    if len(prefix) < 2:
-        return words.select(F.lit("").alias("word")).limit(0)
-    found = words.select(F.explode(F.array_distinct(F.filter("words", lambda w: w.startswith(prefix.lower())))).alias("word")).distinct()
-    return found.orderBy(F.length("word"), "word").limit(limit)
-
-
 def routed(kind: Column) -> Column:
     """The index that a kind of source belongs to."""
     return F.when(kind.isin("rules", "rulebook"), "rules").when(kind.isin("fiction", "lore"), "fiction").when(kind.isin("chat", "session"), "chat").otherwise("documents")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as T
 from sparkloom.operators import querytext as Q
 from sparkloom.operators import retrieval as R
+from sparkloom.operators import search_index as X
 from sparkloom.sources.tables import load
 
 QUERIES = {}
@@ -26,11 +27,11 @@ def _query(sql: str | None):
 
 
 def _words(spark, sf_dir):
-    return R.tokenised(load(spark, sf_dir, "documents"), "doc_id", "text")
+    return X.tokenised(load(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def _index(spark, sf_dir):
-    return R.index_of(load(spark, sf_dir, "documents"), "doc_id", "text", sf_dir)
+    return X.index_of(load(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def _bm25_sql(terms: list[str]) -> str:
@@ -57,12 +58,12 @@ def knn_cosine(spark, sf_dir):
 
 @_query(f"WITH {_bm25_sql(['thing', 'heron'])} SELECT id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, id LIMIT 20")
 def bm25_topk(spark, sf_dir):
-    return _index(spark, sf_dir).bm25(["thing", "heron"]).orderBy(F.desc("score"), "id").limit(20).withColumn("score", F.round("score", 6))
+    return _index(spark, sf_dir).top(["thing", "heron"], 20).withColumn("score", F.round("score", 6))
 
 
 @_query(rf"""WITH {WORDS} SELECT t AS term, id, len(words) AS size, count(*) AS tf FROM (SELECT id, words, unnest(words) AS t FROM words) GROUP BY ALL""")
 def postings_index(spark, sf_dir):
-    return spark.read.parquet(_index(spark, sf_dir).path).drop("part")
+    return _index(spark, sf_dir).postings()
 
 
 @_query(r"SELECT doc_id, regexp_replace(text, '(?i)\b(the|and)\b', '<mark>\1</mark>', 'g') AS marked FROM documents")
@@ -72,7 +73,23 @@ def bm25_highlight(spark, sf_dir):
 
 @_query(f"WITH {WORDS} SELECT id, 1.0::DOUBLE AS score FROM words WHERE list_has_any(words, ['thing', 'tion']) AND list_has_any(words, ['idiot', 'trash', 'clown']) ORDER BY id LIMIT 50")
 def boolean_fulltext(spark, sf_dir):
-    return R.boolean(_words(spark, sf_dir), [["thing", "tion"], ["idiot", "trash", "clown"]]).orderBy("id").limit(50)
+    return _index(spark, sf_dir).holding([["thing", "tion"], ["idiot", "trash", "clown"]]).select("id", F.lit(1.0).alias("score")).orderBy("id").limit(50)
+
+
+_RANKED = ["the", "and", "tion", "trash"]
+
+
+@_query(rf"""WITH {WORDS}, p AS (SELECT id, len(words) AS size, t, len(list_filter(words, lambda w: w = t)) AS tf FROM words, (SELECT unnest({_RANKED}) AS t)),
+d AS (SELECT t, count(*) FILTER (tf > 0) AS df FROM p GROUP BY t), s AS (SELECT count(*) AS n, avg(len(words)) AS mean FROM words),
+bm AS (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) AS score FROM p JOIN d USING (t), s GROUP BY id HAVING sum(tf) > 0),
+k AS (SELECT id, score, words, list_filter(range(len(words)), lambda i: list_contains({_RANKED}, words[i + 1])) AS pos FROM words JOIN bm USING (id)
+WHERE list_has_any(words, ['tion', 'trash']) AND contains(' ' || array_to_string(words, ' ') || ' ', ' and the ') AND NOT list_has_any(words, ['idiot']) ORDER BY score DESC, id LIMIT 10),
+c AS (SELECT id, score, words, unnest(pos) AS i, pos FROM k), b AS (SELECT id, score, words, i FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY len(list_filter(pos, lambda x: x >= i AND x < i + 12)) DESC, i) = 1)
+SELECT id, round(score, 6) AS score, array_to_string(list_transform(words[i + 1:i + 12], lambda w: CASE WHEN list_contains({_RANKED}, w) THEN '<mark>' || w || '</mark>' ELSE w END), ' ') AS snippet FROM b""")
+def ranked_boolean(spark, sf_dir):
+    best = _index(spark, sf_dir).ranked([["tion", "trash"]], [["and", "the"]], ["idiot"], 10)
+    words = _words(spark, sf_dir).join(F.broadcast(best), "id")
+    return words.select("id", F.round("score", 6).alias("score"), X.snippet(F.col("words"), F.col("start"), _RANKED).alias("snippet"))
 
 
 @_query(f"""WITH {_bm25_sql(['thing', 'heron'])}, {_NEAR},
@@ -81,7 +98,7 @@ a AS (SELECT id, (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) AS s F
 f AS (SELECT id, 0.6 * coalesce(s, 0) + 0.4 * coalesce(t, 0) AS score FROM a FULL JOIN b USING (id))
 SELECT id, round(score, 6) AS score FROM f WHERE score >= 0.1 ORDER BY f.score DESC, id LIMIT 20""")
 def hybrid_linear(spark, sf_dir):
-    found = _index(spark, sf_dir).bm25(["thing", "heron"]).orderBy(F.desc("score"), "id").limit(60)
+    found = _index(spark, sf_dir).top(["thing", "heron"], 60)
     return R.linear_fusion(_near(spark, sf_dir, 60), found, R.Hybrid()).withColumn("score", F.round("score", 6))
 
 
@@ -91,7 +108,7 @@ u AS (SELECT id, 0.7 / (60 + k) AS p, 1 AS s FROM a UNION ALL SELECT id, 0.3 / (
 SELECT id, round(raw / max(raw) OVER (), 6) AS score, sources FROM g ORDER BY raw DESC, id LIMIT 20""")
 def rank_fusion(spark, sf_dir):
     a = R.ranked(_near(spark, sf_dir, 40), [F.col("distance"), F.col("id")])
-    b = R.ranked(_index(spark, sf_dir).bm25(["thing", "heron"]).orderBy(F.desc("score"), "id").limit(40), [F.desc("score"), F.col("id")])
+    b = R.ranked(_index(spark, sf_dir).top(["thing", "heron"], 40), [F.desc("score"), F.col("id")])
     return R.rank_fusion([(0.7, a), (0.3, b)], 20).withColumn("score", F.round("score", 6))
 
 
@@ -113,7 +130,7 @@ def rag_context(spark, sf_dir):
 
 @_query(f"WITH {WORDS}, w AS (SELECT DISTINCT unnest(words) AS word FROM words) SELECT word FROM w WHERE starts_with(word, 'the') ORDER BY length(word), word LIMIT 20")
 def suggest_prefix(spark, sf_dir):
-    return R.suggestions(_words(spark, sf_dir), "The", 20)
+    return _index(spark, sf_dir).starting("The", 20)
 
 
 @_query("SELECT CASE WHEN source IN ('rules') THEN 'rules' ELSE 'documents' END AS index_name, count(*) AS n FROM documents WHERE source NOT IN ('fiction', 'lore', 'chat', 'session', 'rulebook') GROUP BY 1")

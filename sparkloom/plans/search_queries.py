@@ -91,8 +91,7 @@ def compound_split(spark, sf_dir):
 
 
 def _numbers(spark, sf_dir):
-    rows = spark.read.parquet(_index(spark, sf_dir).path).where((F.length("term") >= 2) & F.col("term").rlike(r"^\p{N}+$"))
-    return rows.groupBy(F.col("term").alias("word")).agg(F.sum("tf").alias("n"))
+    return _index(spark, sf_dir).terms.where((F.length("term") >= 2) & F.col("term").rlike(r"^\p{N}+$")).select(F.col("term").alias("word"), "n")
 
 
 @_query("""WITH q AS (SELECT p_partkey, list_filter(string_split('the ' || p_name || ' of ' || lower(p_type), ' '), lambda w: w NOT IN ('the', 'of')) AS words FROM part)
@@ -131,11 +130,8 @@ p AS (SELECT id, len(words) AS size, t, len(list_filter(words, lambda w: w = t))
 SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score FROM p JOIN d USING (t), s GROUP BY id HAVING sum(tf) > 0 ORDER BY sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) DESC, id LIMIT 20""")
 def corrected_search(spark, sf_dir):
     index = _index(spark, sf_dir)
-    raw = spark.createDataFrame([(0, "  TRASCH worthlss ")], "id long, query string")
-    none = spark.createDataFrame([], "word string, synonym string, priority int")
-    # One query's words: bounded by the query.
-    terms = Q.prepared(raw, index.dictionary(), none).first()["corrected"].split(" ")
-    return index.bm25(terms).orderBy(F.desc("score"), "id").limit(20).withColumn("score", F.round("score", 6))
+    terms = index.corrected("trasch worthlss".split(" "))
+    return index.top(terms, 20).withColumn("score", F.round("score", 6))
 
 
 @_query(f"WITH {_bm25_sql(['trash', 'clown'])} SELECT bm.id, round(score, 6) AS score, source FROM bm JOIN documents ON doc_id = bm.id WHERE lang = 'en' ORDER BY bm.score DESC, bm.id LIMIT 20")
