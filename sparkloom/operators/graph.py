@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.scan import Machine, folded, greatest, least, scanned
 from sparkloom.sources.tables import stored
 
 
@@ -81,10 +82,61 @@ def blended(profiles: DataFrame, group: str, weight: str, values: list[str]) ->
 
 
 def clamped_fold(events: DataFrame, group: str, order: str, change: str, start: float, low: float, high: float) -> DataFrame:
-    """(group, final, n): changes added in order, kept within bounds after each, as health and dispositions are."""
-    steps = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(change).cast("double").alias("c")))), lambda s: s["c"])
-    final = F.aggregate("_s", F.lit(float(start)), lambda a, c: F.greatest(F.least(a + c, F.lit(float(high))), F.lit(float(low))))
-    return events.groupBy(group).agg(steps.alias("_s")).select(group, final.alias("final"), F.size("_s").alias("n"))
+    """(group, final, n): changes added in order, kept within bounds after each, as health and dispositions are; null changes count as 0.
+
+    "Add, then keep within bounds" one behind another is again such a step, so ranges of a group's rows become one
+    step each, wherever they lie, and these are composed.
+    """
+    def both(a: list, b: list) -> list:
+        return [a[0] + b[0], least(greatest(a[1] + b[0], b[1]), b[2]), least(greatest(a[2] + b[0], b[1]), b[2])]
+
+    steps = folded(events, group, order, [F.coalesce(F.col(change), F.lit(0)), F.lit(low), F.lit(high)], both)
+    p = F.col("parts")
+    return steps.select(group, F.greatest(F.least(F.lit(float(start)) + p[0], p[2]), p[1]).alias("final"), F.col("n").cast("int").alias("n"))
+
+
+class _Health(Machine):
+    """Hit points with temporary ones, which are lost first."""
+
+    def __init__(self, most: float) -> None:
+        self.most, self.now, self.extra = most, most, 0.0
+
+    def take(self, tie: object, kind: str, amount: float | None) -> list[tuple]:
+        x = max(amount or 0.0, 0.0)
+        if kind == "damage":
+            taken = min(self.extra, x)
+            self.extra -= taken
+            self.now = max(self.now - (x - taken), 0.0)
+        elif kind == "heal":
+            self.now = min(self.now + x, self.most)
+        elif kind == "temporary":
+            self.extra = max(self.extra, x)
+        return [(tie, self.now, self.extra)]
+
+
+def health(events: DataFrame, who: str, order: str, kind: str, amount: str, most: float) -> DataFrame:
+    """(who, order, hit_points, temporary) after each event: damage takes temporary hit points first and stops at 0, heal stops at ``most``, temporary ones don't add up."""
+    rows = events.select(who, order, kind, F.col(amount).cast("double").alias(amount))
+    return scanned(rows, [who], [order], [order, kind, amount], lambda: _Health(float(most)), f"`{order}` {rows.schema[order].dataType.simpleString()}, hit_points double, temporary double")
+
+
+def components(edges: DataFrame, src: str, dst: str, rounds: int = 60) -> DataFrame:
+    """(id, component): for every end of an edge the smallest one that it reaches, by alternating large and small stars; the rounds grow with the logarithm of the longest path."""
+    def stars(table: DataFrame) -> DataFrame:
+        # The smallest neighbour of each node, itself included.
+        return table.join(table.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "u")
+
+    now = stored(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u != v").distinct(), "edges")
+    before = None
+    for _ in range(rounds):
+        large = stars(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))).where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        ends = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
+        now = stored(stars(large).select(ends.alias("e")).select("e.*").where("u != v").distinct(), "edges")
+        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if seen == before:
+            return now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id").unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+        before = seen
+    raise RuntimeError("the components did not settle")
 
 
 def ticked(conditions: DataFrame, left: str, rounds: int) -> DataFrame:

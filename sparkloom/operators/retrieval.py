@@ -5,13 +5,15 @@ Ties are broken by id everywhere, so results are the same on every run.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
-from sparkloom.operators.search_index import K1, B, tokenised
+from sparkloom.operators.search_index import K1, B, SearchIndex
 
 #: The constant of reciprocal rank fusion.
 RRF_K = 60
@@ -85,6 +87,20 @@ def linear_fusion(near: DataFrame, found: DataFrame, by: Hybrid) -> DataFrame:
     return a.join(b, "id", "full_outer").select("id", score.alias("score")).where(F.col("score") >= by.least).orderBy(F.desc("score"), "id").limit(by.limit)
 
 
+def preprocessed(index: SearchIndex, vectors: DataFrame, key: str, column: str, raw: str, embed: Callable[[str], DataFrame], synonyms: dict[str, list[str]], by: Hybrid, most: int = 5) -> DataFrame:
+    """(id, score): hybrid search of a raw query.
+
+    It is normalised and its words are corrected by the index's dictionary.  The corrected text goes to the vector side by ``embed``, a table
+    of one row (asked); each word with at most ``most`` synonyms is a group, and full text must hold a term of every group.  Each side gives
+    three times the results wanted, and both are fused by weight.
+    """
+    words = index.corrected(re.sub(r"\s+", " ", raw).strip().lower().split(" "))
+    near = nearest(vectors.crossJoin(embed(" ".join(words))), key, column, F.col("asked"), 3 * by.limit)
+    groups = [[w, *synonyms.get(w, [])[:most]] for w in words if w]
+    found = index.ranked(groups, [], [], 3 * by.limit, window=None)
+    return linear_fusion(near, found, by)
+
+
 def ranked(rows: DataFrame, order: list[Column]) -> DataFrame:
     """Result lists with ``rank`` from 0."""
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1)

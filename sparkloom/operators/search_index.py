@@ -16,6 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +26,9 @@ from sparkloom.sources.tables import shared_path, stored
 #: BM25's saturation and length normalisation.
 K1, B = 1.2, 0.75
 #: Documents of a slot; rows of a file and of a folder; bytes of a row group.
-SLOT, FILE_ROWS, FOLDER_ROWS, GROUP_BYTES = 128, 250_000, 4_000_000, 2 << 20
-#: Slots that give the first k-th score; slots with open blocks that are sent to all tasks at most.
-FIRST_SLOTS, FEW_SLOTS = 8, 1_000_000
+SLOT, FILE_ROWS, FOLDER_ROWS, GROUP_BYTES = 32, 250_000, 4_000_000, 2 << 20
+#: Slots with open blocks that are sent to all tasks at most.
+FEW_SLOTS = 1_000_000
 _POSTINGS = "id {id}, term string, size int, tf int, positions array<int>"
 
 
@@ -66,22 +67,63 @@ def _postings(words: DataFrame) -> DataFrame:
     return words.select("id", "words").mapInArrow(run, _POSTINGS.format(id=kind.simpleString()))
 
 
+def _packing(mean: float):
+    """Sorted postings (id, term, size, tf, positions, slot) as blocks; the last run of a batch waits for the next one."""
+
+    def blocks(batch: pa.RecordBatch, start: np.ndarray, end: int) -> pa.RecordBatch:
+        tf, size = (batch.column(c).to_numpy()[:end].astype(np.float64) for c in ("tf", "size"))
+        most = np.maximum.reduceat(tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean)), start)
+        cuts = pa.array(np.append(start, end).astype(np.int32))
+        at = pa.array(start)
+        lists = [pa.ListArray.from_arrays(cuts, batch.column(c).slice(0, end)) for c in ("id", "tf", "size", "positions")]
+        n = pa.array(np.diff(np.append(start, end)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([batch.column("term").take(at), batch.column("slot").take(at), n, pa.array(most), *lists], names=["term", "slot", "n", "most", "ids", "tfs", "sizes", "positions"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            fresh = np.ones(batch.num_rows, bool)
+            if batch.num_rows > 1:
+                slot, term = batch.column("slot").to_numpy(), batch.column("term")
+                fresh[1:] = (slot[1:] != slot[:-1]) | pc.not_equal(term.slice(1), term.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
+            start = np.flatnonzero(fresh)
+            last = int(start[-1])
+            if last:
+                yield blocks(batch, start[:-1], last)
+            held = batch.slice(last)
+        if held is not None:
+            yield blocks(held, np.zeros(1, np.int64), held.num_rows)
+
+    return run
+
+
 def _folder(key: Column, folders: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(folders)).cast("int")
 
 
 class Sorted:
-    """Rows stored by a string key: in folders by its hash, sorted by the key and ``then``, in files of so many rows."""
+    """Rows stored by a string key: in folders by its hash, dealt out in a folder by hash of the key and ``also``, sorted in each file by both and ``then``.
+
+    A key of many rows is thus in all files of its folder, and one of few costs a look at their footers.  ``pack`` may
+    turn the sorted rows of a file into others, whose schema is ``packed``.
+    """
 
-    def __init__(self, rows: DataFrame, key: str, then: list[str], count: int, name: str) -> None:
+    def __init__(self, rows: DataFrame, key: str, also: list[str], then: list[str], count: int, name: str, pack=None, packed: str | None = None) -> None:
         self.spark, self.key = rows.sparkSession, key
         self.folders = max(1, -(-count // FOLDER_ROWS))
         self.path = shared_path(self.spark, name)
-        placed = rows.withColumn("folder", _folder(F.col(key), self.folders))
-        order = ["folder", key, *then]
-        dealt = placed.repartitionByRange(max(1, -(-count // FILE_ROWS)), *order)
-        dealt.sortWithinPartitions(*order).write.option("parquet.block.size", GROUP_BYTES).partitionBy("folder").parquet(self.path)
-        self._whole = self.spark.read.schema(dealt.schema).parquet(self.path)
+        files = max(1, min(FOLDER_ROWS // FILE_ROWS, -(-count // FILE_ROWS)))
+        folder = _folder(F.col(key), self.folders)
+        file = folder * files + F.pmod(F.xxhash64(F.lit(7), key, *also), F.lit(files)).cast("int")
+        dealt = rows.repartitionById(self.folders * files, file).sortWithinPartitions(key, *also, *then)
+        out = dealt.mapInArrow(pack, packed) if pack else dealt
+        kept = out.withColumn("folder", folder)
+        (kept.write.partitionBy("folder") if self.folders > 1 else out.write).option("parquet.block.size", GROUP_BYTES).parquet(self.path)
+        self._whole = self.spark.read.schema(kept.schema if self.folders > 1 else out.schema).parquet(self.path)
 
     def rows(self) -> DataFrame:
         return self._whole.drop("folder")
@@ -107,12 +149,10 @@ class SearchIndex:
         self.slots = max(1, -(-self.n // SLOT))
         held = rows.where("term is not null")
         count = held.count()
-        slot = F.pmod(F.xxhash64("id"), F.lit(self.slots)).alias("slot")
-        one = F.struct("id", "tf", "size", "positions")
-        blocks = held.select("term", slot, one.alias("p")).groupBy("term", "slot").agg(F.array_sort(F.collect_list("p")).alias("p"))
-        most = F.array_max(F.transform("p", lambda p: self._gain(p["tf"], p["size"])))
-        columns = [F.col(f"p.{c}").alias(name) for c, name in (("id", "ids"), ("tf", "tfs"), ("size", "sizes"), ("positions", "positions"))]
-        self.blocks = Sorted(blocks.select("term", "slot", F.size("p").alias("n"), most.alias("most"), *columns), "term", ["slot"], count, "blocks")
+        slot = F.pmod(F.xxhash64("id"), F.lit(self.slots))
+        kind = words.schema["id"].dataType.simpleString()
+        packed = f"term string, slot long, n int, most double, ids array<{kind}>, tfs array<int>, sizes array<int>, positions array<array<int>>"
+        self.blocks = Sorted(held.withColumn("slot", slot), "term", ["slot"], ["id"], count, "blocks", _packing(self.mean), packed)
         terms = self.blocks.rows().groupBy("term").agg(F.sum("n").alias("df"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
         self.terms = stored(terms.repartitionByRange("term").sortWithinPartitions("term"), "terms")
         self._deletions: Sorted | None = None
@@ -145,16 +185,16 @@ class SearchIndex:
         """(id, score, held): documents of some blocks with their terms, and with ``places`` of each if asked for."""
         rows = self._weighed(_opened(blocks, positions), weights)
         extra = [F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("places")] if positions else []
-        return rows.groupBy("id").agg(F.sum(F.col("weight") * self._gain(F.col("tf"), F.col("size"))).alias("score"), F.count("*").alias("held"), *extra)
+        return rows.groupBy("id").agg(F.sum(F.col("weight") * self._gain(F.col("tf"), F.col("size"))).alias("score"), F.count("*").alias("held"), F.collect_set("term").alias("terms"), *extra)
 
     def open_slots(self, weights: dict[str, float], groups: list[list[str]], k: int, keep) -> DataFrame:
         """(slot) of all slots that may hold one of the ``k`` best documents that ``keep`` lets through.
 
         The bounds, a row for each slot with a term, are read twice; the
-        driver gets the FIRST_SLOTS and one score.
+        driver gets the first ``k`` slots, whose documents give a k-th score, and that.
         """
         bounds = self.bounds(weights, groups)
-        first = [r.slot for r in bounds.orderBy(F.desc("bound"), "slot").limit(FIRST_SLOTS).collect()]
+        first = [r.slot for r in bounds.orderBy(F.desc("bound"), "slot").limit(k).collect()]
         got = keep(self.blocks.of(list(weights)).where(F.col("slot").isin(first)))
         best = [r.score for r in got.orderBy(F.desc("score")).limit(k).select("score").collect()]
         # Sums in another order may differ in their last bits.
@@ -183,11 +223,11 @@ class SearchIndex:
         rows = _opened(self.blocks.of(asked)).groupBy("id").agg(F.collect_set("term").alias("held"))
         return rows.where(reduce(Column.__and__, (F.arrays_overlap("held", F.array(*map(F.lit, g))) for g in groups))).select("id")
 
-    def ranked(self, groups: list[list[str]], phrases: list[list[str]], excluded: list[str], k: int, window: int = 12) -> DataFrame:
+    def ranked(self, groups: list[list[str]], phrases: list[list[str]], excluded: list[str], k: int, window: int | None = 12) -> DataFrame:
         """(id, score, start) of the ``k`` best documents by BM25 over all terms that hold a term of every group, every phrase and no excluded term.
 
         ``start`` is the place, from 0, of the first of the word windows of that length with the most
-        terms.  Words of a phrase stand one behind the other, by their positions.
+        terms; without a window there is no start, and without phrases no position is read.  Words of a phrase stand one behind the other, by their positions.
         """
         needed = [*groups, *([w] for p in phrases for w in p)]
         asked = sorted({t for g in needed for t in g})
@@ -195,8 +235,8 @@ class SearchIndex:
         without = sorted(set(excluded))
 
         def keep(blocks: DataFrame) -> DataFrame:
-            rows = self._scores(blocks, weights, positions=True)
-            held = F.map_keys("places")
+            rows = self._scores(blocks, weights, positions=bool(window or phrases))
+            held = F.col("terms")
             for group in needed:
                 rows = rows.where(F.arrays_overlap(held, F.array(*map(F.lit, group))))
             for phrase in phrases:
@@ -209,6 +249,8 @@ class SearchIndex:
 
         slots = self.open_slots(weights, needed, k, keep)
         best = keep(self._read(weights, slots)).orderBy(F.desc("score"), "id").limit(k)
+        if not window:
+            return best.select("id", "score")
         sorted_ = F.array_sort(F.flatten(F.map_values("places")))
         counted = F.transform("_p", lambda p, j: F.struct((-F.size(F.filter(F.slice("_p", j + 1, window), lambda x: x < p + window))).alias("n"), p.alias("p")))
         return best.withColumn("_p", sorted_).select("id", "score", F.array_min(counted)["p"].alias("start"))
@@ -234,10 +276,16 @@ class SearchIndex:
         if not open_:
             return words
         if self._deletions is None:
-            listed = stored(deletions(self.dictionary().where(F.length("word") >= 4), "word", 7).select(F.col("_left").alias("left"), "word", "n"), "deletions")
-            self._deletions = Sorted(listed, "left", ["word"], listed.count(), "deletions")
-        typed = self.spark.createDataFrame([(w, x) for w in open_ for x in _left_of(w)], "typed string, left string")
-        found = self._deletions.of(sorted({x for w in open_ for x in _left_of(w)})).join(F.broadcast(typed), "left").select("typed", "word", "n").distinct()
+            words_ = self.dictionary().where(F.length("word") >= 4)
+            size = F.length("word").cast("long")
+            count = words_.agg(F.sum(1 + size + F.when(size >= 7, size * (size - 1) / 2).otherwise(0))).first()[0] or 0
+            self._deletions = Sorted(deletions(words_, "word", 7).select(F.col("_left").alias("left"), "word", "n"), "left", [], ["word"], int(count), "deletions")
+        asking: dict[str, list[str]] = {}
+        for w in open_:
+            for x in sorted(_left_of(w)):
+                asking.setdefault(x, []).append(w)
+        table = F.create_map(*(c for x, ws in asking.items() for c in (F.lit(x), F.array(*map(F.lit, ws)))))
+        found = self._deletions.of(sorted(asking)).select(F.explode(table[F.col("left")]).alias("typed"), "word", "n").distinct()
         near = found.withColumn("distance", F.levenshtein("typed", "word")).where(F.col("distance") <= F.when(F.length("typed") < 9, 1).otherwise(2))
         first = F.row_number().over(Window.partitionBy("typed").orderBy("distance", F.desc("n"), "word"))
         best = dict(near.withColumn("_k", first).where("_k = 1").select("typed", "word").collect())

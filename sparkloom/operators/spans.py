@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from bisect import bisect_left
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.graph import components
+from sparkloom.operators.scan import Machine, scanned
 from sparkloom.sources.tables import stored
 
 
@@ -27,47 +31,73 @@ def as_of(rows: DataFrame, other: DataFrame, key: str, time: str, tie: str, valu
     return mine.withColumn("_last", last).where("_own").select(*rows.columns, F.col("_last.v").alias(value))
 
 
+class _Greedy(Machine):
+    """Spans that are kept, by start; they overlap in nothing, so only the neighbours of a place can meet a new one."""
+
+    def __init__(self) -> None:
+        self.starts: list = []
+        self.ends: list = []
+
+    def take(self, start, end, confidence) -> list[tuple]:
+        at = bisect_left(self.starts, start)
+        empty = start >= end
+        clash = (at > 0 and self.ends[at - 1] > start) or (at < len(self.starts) and self.starts[at] < end)
+        if clash:
+            return []
+        if not empty:
+            self.starts.insert(at, start)
+            self.ends.insert(at, end)
+        return [(start, end, confidence)]
+
+
 def without_overlaps(spans: DataFrame, group: str, start: str, end: str, confidence: str) -> DataFrame:
-    """(group, start, end, confidence) of the spans that a greedy choice keeps: by falling confidence, then by start, each that overlaps none kept before."""
-    one = F.struct((-F.col(confidence)).alias("c"), F.col(start).alias("s"), F.col(end).alias("e"))
-    lists = spans.groupBy(group).agg(F.array_sort(F.collect_list(one)).alias("_all"))
+    """(group, start, end, confidence) of the spans that a greedy choice keeps: by falling confidence, then by start, each that overlaps none kept before.
 
-    def put(kept: Column, x: Column) -> Column:
-        return F.when(F.exists(kept, lambda k: (k["s"] < x["e"]) & (x["s"] < k["e"])), kept).otherwise(F.concat(kept, F.array(x)))
+    One sorted pass; a task holds the spans kept of one group.
+    """
+    rows = spans.select(group, (-F.col(confidence)).alias("_order"), start, end, confidence)
+    kinds = ", ".join(f"`{c}` {spans.schema[c].dataType.simpleString()}" for c in (start, end, confidence))
+    return scanned(rows, [group], ["_order", start, end], [start, end, confidence], _Greedy, kinds)
 
-    kind = lists.schema["_all"].dataType
-    kept = F.aggregate("_all", F.array().cast(kind), put)
-    return lists.select(group, F.explode(kept).alias("k")).select(group, F.col("k.s").alias(start), F.col("k.e").alias(end), (-F.col("k.c")).alias(confidence))
 
+class _Collapse(Machine):
+    """The last place kept, which waits for a better one near it."""
 
-def collapsed(places: DataFrame, group: str, place: str, score: str, gap: float) -> DataFrame:
-    """(group, place, score): of places nearer than ``gap`` to the last one kept only that with the higher score stays, of equal ones the first."""
-    lists = places.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(place).alias("p"), F.col(score).alias("s")))).alias("_all"))
+    def __init__(self, gap: float) -> None:
+        self.gap, self.last = gap, None
+
+    def take(self, place, score) -> list[tuple]:
+        if self.last is None:
+            self.last = (place, score)
+        elif place - self.last[0] >= self.gap:
+            out, self.last = [self.last], (place, score)
+            return out
+        elif score > self.last[1]:
+            self.last = (place, score)
+        return []
 
-    def put(kept: Column, x: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        front = F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
-        return F.when(F.size(kept) == 0, F.array(x)).when(x["p"] - last["p"] >= gap, F.concat(kept, F.array(x))).when(x["s"] > last["s"], F.concat(front, F.array(x))).otherwise(kept)
+    def end(self) -> list[tuple]:
+        return [self.last] if self.last else []
 
-    kept = F.aggregate("_all", F.array().cast(lists.schema["_all"].dataType), put)
-    return lists.select(group, F.explode(kept).alias("k")).select(group, F.col("k.p").alias(place), F.col("k.s").alias(score))
+
+def collapsed(places: DataFrame, group: str, place: str, score: str, gap: float) -> DataFrame:
+    """(group, place, score): of places nearer than ``gap`` to the last one kept only that with the higher score stays, of equal ones the first; one sorted pass."""
+    kinds = ", ".join(f"`{c}` {places.schema[c].dataType.simpleString()}" for c in (place, score))
+    return scanned(places, [group], [place, score], [place, score], lambda: _Collapse(gap), kinds)
 
 
-def united(members: DataFrame, group: str, member: str, rounds: int = 40) -> DataFrame:
+def united(members: DataFrame, group: str, member: str) -> DataFrame:
     """(member, group): groups that share a member are one, named by its smallest; so are those that it shares with others.
 
-    Each round every group takes the smallest name that its members have; rounds are written, so each reads the last one only.
+    Each group is tied to the smallest group of each of its members, and these ties are
+    contracted to components, in rounds that grow with the logarithm of the longest chain.
     """
-    now = stored(members.select(F.col(group).alias("g"), F.col(member).alias("m"), F.col(group).alias("name")).distinct(), "united")
-    for _ in range(rounds):
-        of_member = now.groupBy("m").agg(F.min("name").alias("least"))
-        of_group = now.join(of_member, "m").groupBy("g").agg(F.min("least").alias("least"))
-        after = stored(now.join(of_group, "g").select("g", "m", F.col("least").alias("name"), (F.col("least") != F.col("name")).alias("moved")), "united")
-        done = after.where("moved").isEmpty()
-        now = after.drop("moved")
-        if done:
-            return now.select(F.col("m").alias(member), F.col("name").alias(group)).distinct()
-    raise RuntimeError("the groups did not settle")
+    rows = stored(members.select(F.col(group).alias("g"), F.col(member).alias("m")).where("g is not null and m is not null").distinct(), "united")
+    least = rows.groupBy("m").agg(F.min("g").alias("to"))
+    ties = rows.join(least, "m").select("g", "to").where("g != to").distinct()
+    found = components(ties, "g", "to")
+    names = rows.join(found.withColumnRenamed("id", "g"), "g", "left").select(F.col("m").alias(member), F.coalesce("component", "g").alias(group))
+    return names.groupBy(member).agg(F.min(group).alias(group))
 
 
 def transitions(log: DataFrame, key: str, time: str, tie: str, status: str, begun: str, ended: list[str]) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.operators import documents as D
 from sparkloom.operators import graph as G
+from sparkloom.operators import ingest as I
 from sparkloom.sources.tables import load
+from sparkloom.sources.versioned import Store
 from sparkloom.streaming import stateful as S
 
 QUERIES = {}
@@ -253,3 +256,53 @@ def element_kinds(spark, sf_dir):
 @_query(None)
 def element_chunks(spark, sf_dir):
     return D.packed_elements(load(spark, sf_dir, "conversations"), "conv_id", "turn", "text", F.col("role") == "system", 800)
+
+
+def _pages(spark, sf_dir):
+    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    return load(spark, sf_dir, "documents").select(F.col("source").alias("item_id"), place.alias("page"), "lang", "text")
+
+
+@_query(None)
+def page_chunks(spark, sf_dir):
+    """Documents of a source as the pages of one item, in chunks across page ends; tested against a plain version."""
+    pages = _pages(spark, sf_dir).withColumn("raw_id", F.concat_ws("-p", "item_id", F.col("page").cast("string")))
+    return I.page_chunks(pages).select("item_id", "chunk_index", F.md5("content").alias("hash"), "source_ids", "page_start", "page_end")
+
+
+@_query("""WITH p AS (SELECT source AS item_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, lang, text FROM documents)
+SELECT item_id, count(*) AS pages, 'ready' AS status, sum(length(CASE WHEN lang = 'fr' THEN 'again: ' || text ELSE text END))::BIGINT AS chars, count(*) FILTER (lang = 'fr' AND text IS NOT NULL) AS changed, 0::BIGINT AS without_chunk FROM p GROUP BY 1""")
+def two_phase_ingest(spark, sf_dir):
+    """Pages ingested, then once more with the texts of one language changed: what the store has, how many raw rows the second run wrote, and how many pages no chunk names."""
+    store = Store(spark, {"raw": ["item_id", "page"], "chunks": ["item_id", "chunk_index"], "items": ["item_id"]})
+    pages = _pages(spark, sf_dir)
+    sizes = I.Sizes(least=0)
+    I.ingest_pages(store, pages.drop("lang"), sizes)
+    before = store.read("raw").select("item_id", "page", F.col("hash").alias("was"))
+    I.ingest_pages(store, pages.withColumn("text", F.when(F.col("lang") == "fr", F.concat(F.lit("again: "), "text")).otherwise(F.col("text"))).drop("lang"), sizes)
+    raw = store.read("raw").join(before, ["item_id", "page"])
+    cited = store.read("chunks").select(F.explode("source_ids").alias("raw_id")).distinct().withColumn("cited", F.lit(True))
+    rows = raw.join(cited, "raw_id", "left").groupBy("item_id").agg(F.sum(F.length("text")).alias("chars"), F.count_if(F.col("hash") != F.col("was")).alias("changed"), F.count_if(F.col("cited").isNull() & (F.trim("text") != "")).alias("without_chunk"))
+    return store.read("items").join(rows, "item_id").select("item_id", "pages", "status", "chars", "changed", "without_chunk")
+
+
+@_query(None)
+def section_chunks(spark, sf_dir):
+    """Lines of documents as elements: headings give chunks their path, lists are atomic; tested against a plain version."""
+    lines = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.posexplode(F.split("text", "\n")).alias("place", "text"))
+    atomic = F.col("text").rlike(r"^\s*(?:[-*]|\d+[.)])\s")
+    elements = lines.select("item_id", "place", F.lit(1).alias("page"), "text", D.is_header(F.col("text")).alias("header"), F.when(atomic, "list").otherwise("text").alias("kind"), atomic.alias("atomic"))
+    return I.section_chunks(elements, I.Sizes.small()).select("item_id", "chunk_index", "kind", F.array_join("section_path", " > ").alias("path"), F.md5("content").alias("hash"))
+
+
+@_query("""SELECT user_id AS who, event_id, CASE WHEN event_type = 'error' THEN 'damage' WHEN event_type = 'purchase' THEN 'temporary' ELSE 'heal' END AS kind, value AS amount FROM events""".join(["""WITH e AS (""", """), n AS (SELECT who, event_id, kind, amount, row_number() OVER (PARTITION BY who ORDER BY event_id) AS k FROM e),
+l AS (SELECT who, list({'i': event_id, 'k': kind, 'a': amount::DOUBLE, 'h': 100.0::DOUBLE, 't': 0.0::DOUBLE} ORDER BY event_id) AS l FROM n GROUP BY 1),
+r AS (SELECT who, list_reduce(l, lambda s, x: {'i': x.i, 'k': x.k, 'a': x.a, 'h': CASE x.k WHEN 'damage' THEN greatest(s.h - greatest(x.a - s.t, 0), 0) WHEN 'heal' THEN least(s.h + x.a, 100) ELSE s.h END,
+'t': CASE x.k WHEN 'damage' THEN greatest(s.t - x.a, 0) WHEN 'temporary' THEN greatest(s.t, x.a) ELSE s.t END}, {'i': 0::BIGINT, 'k': '', 'a': 0.0::DOUBLE, 'h': 100.0::DOUBLE, 't': 0.0::DOUBLE}) AS s FROM l)
+SELECT who, s.i AS event_id, round(s.h, 4) AS hit_points, round(s.t, 4) AS temporary FROM r"""]))
+def hit_points(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "error", "damage").when(F.col("event_type") == "purchase", "temporary").otherwise("heal")
+    rows = load(spark, sf_dir, "events").select(F.col("user_id").alias("who"), "event_id", kind.alias("kind"), F.col("value").alias("amount"))
+    after = G.health(rows, "who", "event_id", "kind", "amount", 100)
+    last = after.groupBy("who").agg(F.max_by(F.struct("event_id", "hit_points", "temporary"), "event_id").alias("s"))
+    return last.select("who", "s.event_id", F.round("s.hit_points", 4).alias("hit_points"), F.round("s.temporary", 4).alias("temporary"))

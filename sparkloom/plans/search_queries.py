@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators import documents as D
+from sparkloom.operators import neighbours as N
 from sparkloom.operators import querytext as Q
 from sparkloom.operators import retrieval as R
+from sparkloom.operators import search_index as X
 from sparkloom.operators import spans as S
 from sparkloom.plans.retrieval_queries import WORDS, _bm25_sql, _index, _words
+from sparkloom.sources import versioned as V
 from sparkloom.sources.tables import load
 
 QUERIES = {}
@@ -63,11 +67,11 @@ def neighbour_collapse(spark, sf_dir):
     return S.collapsed(rows, "g", "p", "s", 8)
 
 
-@_query("""WITH RECURSIVE m AS (SELECT DISTINCT o_orderkey AS g, o_custkey * 3 + o_orderkey % 3 AS t FROM orders WHERE o_orderpriority LIKE '1%'),
+@_query("""WITH RECURSIVE m AS (SELECT DISTINCT o_orderkey AS g, o_custkey * 3 + o_orderkey % 3 AS t FROM orders),
 e AS (SELECT DISTINCT a.g AS x, b.g AS y FROM m a JOIN m b USING (t)), r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y), n AS (SELECT x AS g, min(y) AS name FROM r GROUP BY 1)
 SELECT DISTINCT t, name AS g FROM m JOIN n USING (g)""")
 def synonym_groups(spark, sf_dir):
-    o = load(spark, sf_dir, "orders").where("o_orderpriority like '1%'")
+    o = load(spark, sf_dir, "orders")
     return S.united(o.select(F.col("o_orderkey").alias("g"), (F.col("o_custkey") * 3 + F.col("o_orderkey") % 3).alias("t")), "g", "t").select("t", "g")
 
 
@@ -183,3 +187,64 @@ def rulebook_links(spark, sf_dir):
     pages = load(spark, sf_dir, "part").where("p_partkey < 250").select(F.lit("page").alias("kind"), F.col("p_partkey").cast("string").alias("target"), F.col("p_name").alias("title"))
     tables = load(spark, sf_dir, "nation").where("n_nationkey < 5").select(F.lit("table").alias("kind"), F.col("n_nationkey").cast("string").alias("target"), F.col("n_name").alias("title"))
     return D.linked_references(refs, pages.unionByName(tables))
+
+
+@_query(None)
+def ann_cosine(spark, sf_dir):
+    """The twenty vectors nearest to the first one, by the stored inverted file; recall is tested against knn_cosine."""
+    v = load(spark, sf_dir, "embeddings")
+    asked = v.where("vec_id = 0").select("embedding").first()[0]
+    return N.index_of(v, "vec_id", "embedding").nearest(asked, 20).withColumn("distance", F.round("distance", 6))
+
+
+_PRE = f"""{WORDS}, known AS (SELECT word, count(*) AS n FROM (SELECT unnest(words) AS word FROM words) WHERE length(word) >= 2 AND NOT regexp_full_match(word, '\\p{{N}}+') GROUP BY 1 HAVING n >= 2),
+asked AS (SELECT * FROM (VALUES (0, 'trasch'), (1, 'worthlss')) t(place, word)),
+c AS (SELECT a.word, first(k.word ORDER BY levenshtein(a.word, k.word), n DESC, k.word) AS best FROM asked a JOIN known k ON levenshtein(a.word, k.word) <= 1 WHERE a.word NOT IN (SELECT word FROM known) AND length(k.word) >= 4 GROUP BY 1),
+r AS (SELECT place, coalesce(best, word) AS word FROM asked LEFT JOIN c USING (word)),
+syn AS (SELECT * FROM (VALUES ('trash', 'garbage'), ('trash', 'idiot'), ('worthless', 'clown')) t(word, other)),
+g AS (SELECT place, word AS t FROM r UNION SELECT place, other FROM r JOIN syn USING (word)),
+q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = (SELECT sum(length(word)) FROM r)),
+near AS (SELECT vec_id AS id, 1 - list_dot_product(embedding::DOUBLE[], e) / sqrt(list_dot_product(e, e) * list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS distance FROM embeddings, q ORDER BY distance, id LIMIT 60),
+m AS (SELECT id FROM (SELECT id, place FROM words, g WHERE list_contains(words, t) GROUP BY id, place) GROUP BY id HAVING count(*) = 2),
+p AS (SELECT id, size, t, tf FROM (SELECT id, len(words) AS size, t, len(list_filter(words, lambda w: w = t)) AS tf FROM words, (SELECT DISTINCT t FROM g))),
+d AS (SELECT t, count(*) FILTER (tf > 0) AS df FROM p GROUP BY t), s AS (SELECT count(*) AS n, avg(len(words)) AS mean FROM words),
+bm AS (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) AS score FROM (SELECT * FROM p SEMI JOIN m USING (id)) p JOIN d USING (t), s GROUP BY id ORDER BY score DESC, id LIMIT 60),
+a AS (SELECT id, CASE WHEN max(1 - distance / 2) OVER () > min(1 - distance / 2) OVER () THEN (1 - distance / 2 - min(1 - distance / 2) OVER ()) / (max(1 - distance / 2) OVER () - min(1 - distance / 2) OVER ()) ELSE 1 END AS s FROM near),
+b AS (SELECT id, CASE WHEN max(score) OVER () > min(score) OVER () THEN (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) ELSE 1 END AS t FROM bm),
+f AS (SELECT id, 0.6 * coalesce(s, 0) + 0.4 * coalesce(t, 0) AS score FROM a FULL JOIN b USING (id))"""
+
+
+@_query(f"WITH {_PRE} SELECT id, round(score, 6) AS score FROM f WHERE score >= 0.1 ORDER BY f.score DESC, id LIMIT 20")
+def hybrid_preprocessed(spark, sf_dir):
+    """Hybrid search of a raw query: corrected for the vector side, with synonyms for full text, fused."""
+    synonyms = {"trash": ["garbage", "idiot"], "worthless": ["clown"]}
+    v = load(spark, sf_dir, "embeddings")
+
+    def embed(text: str):
+        # The tables have no model: a corrected text stands for the vector numbered by its letters.
+        n = len(text.replace(" ", ""))
+        return F.broadcast(v.where(F.col("vec_id") == n).select(F.col("embedding").alias("asked")))
+
+    return R.preprocessed(_index(spark, sf_dir), v, "vec_id", "embedding", "  TRASCH  worthlss ", embed, synonyms, R.Hybrid()).withColumn("score", F.round("score", 6))
+
+
+@_query("""WITH c AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, doc_id, lang, CASE WHEN source = 'src1' THEN 'again: ' || text ELSE text END AS content FROM documents),
+v AS (SELECT c.*, (CASE WHEN source = 'src0' THEN (doc_id + 1) % 500 ELSE doc_id % 500 END) AS vec FROM c)
+SELECT source AS item_id, k::INT AS chunk_index, md5(content) AS hash, round(embedding[1]::DOUBLE, 6) AS first, n AS item_chunks FROM v JOIN embeddings ON vec_id = vec JOIN (SELECT source, count(*) AS n FROM documents GROUP BY 1) USING (source) WHERE lang <> 'fr'""")
+def chunk_sink(spark, sf_dir):
+    """Documents as chunks with vectors in a store: ingested, one source once more, vectors of another updated, a language deleted; then read back."""
+    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
+    docs = load(spark, sf_dir, "documents").select(F.col("source").alias("item_id"), place.alias("chunk_index"), "doc_id", "lang", F.col("text").alias("content"))
+    e = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+
+    def vectors(rows, more=0):
+        return rows.select("item_id", "chunk_index", ((F.col("doc_id") + more) % 500).alias("vec_id")).join(e, "vec_id").drop("vec_id")
+
+    store = V.chunk_store(spark)
+    V.ingest_chunks(store, docs, vectors(docs), 64)
+    again = docs.where("item_id = 'src1'").withColumn("content", F.concat(F.lit("again: "), "content"))
+    V.ingest_chunks(store, again, vectors(again), 64)
+    V.update_vectors(store, vectors(docs.where("item_id = 'src0'"), 1))
+    store.delete("chunks", F.col("lang") == "fr")
+    items = store.read("items").select("item_id", F.col("chunks").alias("item_chunks"))
+    return store.read("chunks").join(items, "item_id").select("item_id", "chunk_index", F.md5("content").alias("hash"), F.round(F.col("embedding")[0].cast("double"), 6).alias("first"), "item_chunks")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sparkloom.operators.scan import folded
+
 
 def hourly(stream: DataFrame, time: str, value: str, late: str = "1 hour") -> DataFrame:
     """(hour, cost, n): sums of clock hours; rows that come later than ``late`` are left out of a stream."""
@@ -68,12 +70,22 @@ def alerts_once(stream: DataFrame, key: str, time: str, seconds: int = 3600) ->
 
 
 def moving_average(rows: DataFrame, group: str, order: str, value: str, keep: float, start: float | None) -> DataFrame:
-    """(group, average): keep * old + (1 - keep) * new in order; without ``start`` the first value seeds it."""
-    values = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))), lambda s: s["v"])
-    seed = F.lit(float(start)) if start is not None else F.col("_v")[0]
-    rest = F.col("_v") if start is not None else F.slice("_v", 2, F.greatest(F.size("_v") - 1, F.lit(0)))
-    fold = F.aggregate(rest, seed, lambda a, v: a * keep + v * (1 - keep))
-    return rows.groupBy(group).agg(values.alias("_v")).select(group, fold.alias("average"))
+    """(group, average): keep * old + (1 - keep) * new in order; without ``start`` the first value seeds it.
+
+    Some steps one behind another shrink what was before by one factor and add one sum, so ranges of a group's rows are
+    composed wherever they lie.  Null values are left out.
+    """
+    def both(a: list, b: list) -> list:
+        return [a[0] * b[0], a[1] * b[0] + b[1]]
+
+    real = rows.where(F.col(value).isNotNull())
+    steps = folded(real, group, order, [F.lit(keep), F.col(value) * (1 - keep)], both)
+    p = F.col("parts")
+    if start is not None:
+        return steps.select(group, (F.lit(float(start)) * p[0] + p[1]).alias("average"))
+    # A step from the first value to itself changes nothing.
+    first = real.groupBy(group).agg(F.min_by(F.col(value).cast("double"), order).alias("_first"))
+    return steps.join(first, steps[group].eqNullSafe(first[group])).select(steps[group], (F.col("_first") * p[0] + p[1]).alias("average"))
 
 
 def breaker_states(calls: DataFrame, group: str, order: str, ok: Column, failures: int = 3) -> DataFrame:
