@@ -125,16 +125,6 @@ def test_best_splits_prefer_near_and_strong_boundaries(spark):
     assert (row[0].kind, row[0].place) == ("blank line", 93) and (row[1].kind, row[1].place) == ("fallback", 100)
 
 
-def test_stored_postings_rank_like_whole_texts(spark):
-    docs = spark.createDataFrame([(1, "Red dragon, red fire"), (2, "blue dragon"), (3, "Nothing here"), (4, ""), (5, None)], "id long, text string")
-    words = retrieval.tokenised(docs.where("text is not null"), "id", "text")
-    index = retrieval.SearchIndex(words)
-    for terms, every in ((["red", "dragon"], False), (["red", "dragon"], True), (["absent"], False)):
-        want = {r.id: round(r.score, 9) for r in retrieval.bm25(words, terms, every).collect()}
-        assert {r.id: round(r.score, 9) for r in index.bm25(terms, every).collect()} == want
-    assert {r.word: r.n for r in index.dictionary().collect()} == {"red": 2, "dragon": 2}
-
-
 def test_zip_and_as_of_joins_keep_rows_without_partner(spark):
     a = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z")], "g long, a string")
     b = spark.createDataFrame([(1, 7), (3, 8)], "g long, b long")
