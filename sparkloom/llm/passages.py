@@ -16,7 +16,11 @@
 5. Chains are aligned on the words of both texts: between seeds, and outwards
    from the ends, and cut into the parts that hold ``MIN_WORDS`` equal words
    and have a share of ``LEAST_SHARE`` of them.
-6. Equal runs don't depend on those partners: around seeds of three and more
+6. Where seeds of three and more places stand outside all passages, their first
+   holders may be others than the text that the passage is from.  There, seeds
+   that follow one another are keys in pairs, which are rarer, and are joined,
+   chained and aligned as above with the first document that holds the pair.
+7. Equal runs don't depend on those partners: around seeds of three and more
    places that no passage covers whole, every run of MIN_WORDS words is a key of
    its own, joined with its first holder, and runs that follow each other on one
    diagonal are put together, however long they get.
@@ -32,12 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import numbered, saved, sized, slices
+from sparkloom.llm.common import mixed, numbered, saved, sized, slices
 from sparkloom.llm.words import by_bytes, grams, hashed, word_hashes
 
 K, RATE, WINDOW, MIN_WORDS, LEAST_SHARE = 5, 7, 16, 50, 0.8
 #: Cost of a word of a gap in either text; words looked at beyond a chain's ends (more equal ones are a run of MIN_WORDS, found whole); words of a gap that are aligned.
 GAP_COST, BEYOND, MOST_GAP = 0.1, MIN_WORDS, 200
+#: Places between the seeds of a pair at most.
+PAIR_GAP = 40
 #: Seeds of MIN_WORDS equal words stand over so many places at least.
 LEAST_EXTENT = MIN_WORDS - K - 2 * (WINDOW - 1)
 #: Ends of chains that one row asks of a text.
@@ -404,6 +410,56 @@ def _open_seeds(shared: DataFrame, found: DataFrame) -> DataFrame:
     return lists.join(spans, "doc", "left").select("seeds", "spans").mapInArrow(find, "key long").distinct()
 
 
+def _pairs(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, doc, place, gap, one, two) of pairs of seeds, the next or the next but one, of those that stand outside of the passages in some document; one and two are the first documents of both seeds."""
+    spans = found.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
+    lists = shared.where("doc != first and n > 2").groupBy("doc").agg(F.collect_list(F.struct("place", "key")).alias("seeds"))
+
+    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 200):
+            keys = []
+            for seeds, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = np.array([(s["place"], s["key"]) for s in seeds], np.int64)
+                bare = np.ones(len(rows), bool)
+                for x in spans or ():
+                    bare &= (rows[:, 0] < x["start_word"]) | (rows[:, 0] + K > x["end_word"])
+                # One seed by itself is no passage.
+                places = np.sort(rows[bare, 0])
+                if len(places) > 1 and np.diff(places).min() <= PAIR_GAP:
+                    keys.append(rows[bare, 1])
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys))], names=["key"])
+
+    open_ = saved(lists.join(spans, "doc", "left").select("seeds", "spans").mapInArrow(outside, "key long").distinct(), "outside")
+    held = shared.join(sized(open_), "key", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("place", "key", "first")).alias("seeds"))
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 200):
+            parts = []
+            for doc, seeds in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = np.array([(s["place"], s["key"], s["first"]) for s in seeds], np.int64)
+                rows = rows[rows[:, 0].argsort()]
+                for step in (1, 2):
+                    a, b = rows[:-step], rows[step:]
+                    near = b[:, 0] - a[:, 0] <= PAIR_GAP
+                    a, b = a[near], b[near]
+                    key = mixed(mixed(a[:, 1].view(np.uint64).copy()) + b[:, 1].view(np.uint64)).view(np.int64)
+                    parts.append(np.stack([key, np.full(len(a), doc), a[:, 0], b[:, 0] - a[:, 0], a[:, 2], b[:, 2]], 1))
+            if parts:
+                whole = np.concatenate(parts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).astype(t)) for c, t in zip(whole.T, (np.int64, np.int64, np.int32, np.int32, np.int64, np.int64), strict=True)], names=["key", "doc", "place", "gap", "one", "two"])
+
+    return held.mapInArrow(pair, "key long, doc long, place int, gap int, one long, two long")
+
+
+def _pair_matches(pairs: DataFrame) -> DataFrame:
+    """(doc, other, x, y) of both seeds of every pair with the first document that holds the pair, but for pairs whose seeds have both met that document already."""
+    ends = saved(pairs.groupBy("key").agg(F.min(F.struct("doc", "place", "gap")).alias("f"), F.max("doc").alias("last")).where("f.doc < last").select("key", F.col("f.doc").alias("other"), F.col("f.place").alias("y"), F.col("f.gap").alias("g")), "pair-ends")
+    rows = pairs.join(ends, "key").where("doc != other and (one != other or two != other)")
+    both = F.explode(F.array(F.struct(F.col("place").alias("x"), "y"), F.struct((F.col("place") + F.col("gap")).alias("x"), (F.col("y") + F.col("g")).alias("y"))))
+    return rows.select("doc", "other", both.alias("m")).select("doc", "other", "m.x", "m.y").distinct()
+
+
 def _equal_runs(docs: DataFrame, places: DataFrame) -> DataFrame:
     """The passages of MIN_WORDS and more equal words around the seeds at ``places`` (doc, place): every place of one, with a document that holds it too."""
 
@@ -503,6 +559,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     shared = _shared(saved(_seeds(rows), "all-seeds"), "seeds")
     chains = saved(_chains(_matches(shared)), "chains")
     found = saved(_aligned(rows, chains), "passages")
+    more = saved(_chains(_pair_matches(saved(_pairs(shared, found), "pairs"))), "pair-chains")
+    found = found.unionByName(saved(_aligned(rows, more), "pair-passages"))
     open_ = saved(_open_seeds(shared, found), "open-seeds")
     runs = _equal_runs(rows, shared.join(sized(open_), "key", "left_semi"))
     return found.unionByName(runs).unionByName(copies).distinct()
