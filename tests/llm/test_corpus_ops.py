@@ -248,3 +248,28 @@ def test_runs_of_fifty_words():
     runs = W.grams(h, 50)
     assert len(set(runs.tolist())) == 151
     assert all(W.grams(h[k : k + 50], 50)[0] == runs[k] for k in (0, 77, 150))
+
+
+def test_edited_passages_of_frequent_parts(spark):
+    """Passages of 96 words made of phrases of 16, each of which stands in an earlier document, with words replaced: at least 0.9 of those that keep LEAST_SHARE are found."""
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 7))) for _ in range(5000)]
+    for rate in (0.0, 0.06, 0.1, 0.15):
+        rows, meant = [], []
+        pairs = []
+        for _ in range(60):
+            phrases = [rng.choices(vocabulary, k=16) for _ in range(6)]
+            rows += [" ".join([*rng.choices(vocabulary, k=30), *p, *rng.choices(vocabulary, k=30)]) for p in phrases]
+            whole = [w for p in phrases for w in p]
+            copy = [w if rng.random() >= rate else "new" + rng.choice(vocabulary) for w in whole]
+            pairs.append((whole, copy))
+        for whole, copy in pairs:
+            i = len(rows)
+            rows += [" ".join([*rng.choices(vocabulary, k=50), *t, *rng.choices(vocabulary, k=50)]) for t in (whole, copy)]
+            if sum(a == b for a, b in zip(whole, copy, strict=True)) >= passages.LEAST_SHARE * len(whole):
+                meant.append((i + 1, i))
+        found = {(r.doc_id, r.other_id) for r in passages.repeated_passages(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+        share = sum(m in found for m in meant) / len(meant)
+        print(rate, len(meant), share)
+        assert share >= 0.9, rate
+        assert all(b == a - 1 and b >= 360 for a, b in found)
