@@ -28,8 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import numbered, slices
-from sparkloom.llm.words import PADDING, by_bytes, padded, range_hashes, same_ranges, text_bytes
+from sparkloom.llm.common import numbered, odd_numbers, slices
+from sparkloom.llm.words import PADDING, by_bytes, eights, padded, range_hashes, same_ranges, text_bytes
 
 #: Chunks whose ids a task keeps.
 KEPT_CHUNKS = 700_000
@@ -201,8 +201,10 @@ class Encoder:
     space before it at most.  So a space between two characters that aren't
     spaces always begins one, and a text without two spaces in a row is cut
     before each space.  Other texts are cut before each run of white space.
-    Chunks are found by a hash of their bytes, which for up to seven bytes is the
-    chunk itself, and longer ones are compared with the bytes that are kept.
+    Chunks are found by a hash of their size, their first eight bytes and their last
+    eight, and of all bytes beyond 16.  What is found under a hash is compared: by
+    size and these two numbers, which are all bytes of up to 16, and longer chunks
+    with the bytes that are kept.
     """
 
     def __init__(self, encode_chunks: Callable[[list[str]], list[bytes]]) -> None:
@@ -212,6 +214,7 @@ class Encoder:
     def _forget(self) -> None:
         self._number: dict[int, int] = {}
         self._starts = self._counts = self._places = self._sizes = np.empty(0, np.int64)
+        self._heads = self._tails = np.empty(0, np.uint64)
         self._ids = np.empty(0, np.uint32)
         self._bytes = np.zeros(PADDING, np.uint8)
 
@@ -222,35 +225,43 @@ class Encoder:
         first = _chunk_starts(raw, offsets, column)
         last = np.append(first[1:], len(raw))[: len(first)]
         raw = padded(raw)
-        hashes = range_hashes(raw, first, last)
+        size = last - first
+        heads, tails = _ends(raw, first, size)
+        hashes = _hashes(raw, first, last, heads, tails)
         order = np.argsort(hashes)
         ordered = hashes[order]
-        heads = np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)]
-        keys, at = ordered[heads], order[heads]
+        begins = np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)]
+        keys, at = ordered[begins], order[begins]
         inverse = np.empty(len(order), np.int32)
-        inverse[order] = np.cumsum(heads, dtype=np.int32) - 1
+        inverse[order] = np.cumsum(begins, dtype=np.int32) - 1
         if len(self._number) > KEPT_CHUNKS:
             self._forget()
         number = np.fromiter(map(self._number.get, keys.tolist(), repeat(-1)), np.int64, len(keys))
         new = np.flatnonzero(number < 0)
         if len(new):
-            some, ends = at[new], last[at[new]]
+            some = at[new]
             data = raw.tobytes()
-            chunks = [data[a:b] for a, b in zip(first[some].tolist(), ends.tolist(), strict=True)]
+            chunks = [data[a:b] for a, b in zip(first[some].tolist(), last[some].tolist(), strict=True)]
             found = self._encode([c.decode() for c in chunks])
             counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
             number[new] = len(self._number) + np.arange(len(new))
             self._number.update(zip(keys[new].tolist(), number[new].tolist(), strict=True))
-            sizes = ends - first[some]
-            self._places = np.concatenate([self._places, len(self._bytes) - PADDING + np.cumsum(sizes) - sizes])
-            self._starts = np.concatenate([self._starts, len(self._ids) + np.cumsum(counts) - counts])
-            self._sizes, self._counts = np.concatenate([self._sizes, sizes]), np.concatenate([self._counts, counts])
+            sizes = size[some]
+            kept = len(self._bytes) - PADDING + np.cumsum(sizes) - sizes
+            self._places, self._sizes = np.concatenate([self._places, kept]), np.concatenate([self._sizes, sizes])
+            self._heads, self._tails = np.concatenate([self._heads, heads[some]]), np.concatenate([self._tails, tails[some]])
+            self._starts, self._counts = np.concatenate([self._starts, len(self._ids) + np.cumsum(counts) - counts]), np.concatenate([self._counts, counts])
             self._ids = np.concatenate([self._ids, np.frombuffer(b"".join(found), "<u4")])
             self._bytes = np.concatenate([self._bytes[:-PADDING], np.frombuffer(b"".join(chunks) + bytes(PADDING), np.uint8)])
         which = number[inverse]
         counts, starts, own = self._counts[which], self._starts[which], self._ids
-        if len(strange := self._strangers(raw, first, last, which)):
+        same = (self._heads[which] == heads) & (self._tails[which] == tails) & (self._sizes[which] == size)
+        long = np.flatnonzero((size > 16) & same)
+        if len(long):
+            same[long] = same_ranges(raw, first[long], self._bytes, self._places[which[long]], size[long])
+        if not same.all():
             # Another chunk has the hash: these are encoded by themselves.
+            strange = np.flatnonzero(~same)
             found = self._encode([raw[first[k] : last[k]].tobytes().decode() for k in strange.tolist()])
             more = np.fromiter(map(len, found), np.int64, len(found)) // 4
             counts[strange], starts[strange] = more, len(own) + np.cumsum(more) - more
@@ -262,14 +273,31 @@ class Encoder:
         bounds = np.append(0, ends)[np.searchsorted(first, offsets)].tolist()
         return (ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True))
 
-    def _strangers(self, raw: np.ndarray, first: np.ndarray, last: np.ndarray, which: np.ndarray) -> np.ndarray:
-        """The chunks whose bytes aren't those that are kept under their hash."""
-        size = last - first
-        long = np.flatnonzero(size > 7)
-        same = self._sizes[which[long]] == size[long]
-        some = long[same]
-        same[same] = same_ranges(raw, first[some], self._bytes, self._places[which[some]], size[some])
-        return long[~same]
+
+_ODD = odd_numbers(3, 31)
+
+
+def _ends(raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first eight bytes of each range as a number, fewer of a shorter one, and the last eight, 0 of one of up to eight."""
+    at = eights(raw)
+    heads = at[first] & _FIRST_BYTES[np.minimum(size, 8)]
+    tails = np.zeros(len(first), np.uint64)
+    long = np.flatnonzero(size > 8)
+    tails[long] = at[first[long] + size[long] - 8]
+    return heads, tails
+
+
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray, heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
+    size = last - first
+    out = (heads * _ODD[0] + tails) * _ODD[1] + size.astype(np.uint64) * _ODD[2]
+    out ^= out >> np.uint64(31)
+    long = np.flatnonzero(size > 16)
+    if len(long):
+        out[long] = range_hashes(raw, first[long], last[long])
+    return out
 
 
 def _chunk_starts(raw: np.ndarray, offsets: np.ndarray, column: pa.Array) -> np.ndarray:
