@@ -413,40 +413,55 @@ def _open_seeds(shared: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _pairs(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, doc, place, gap, one, two, bare) of pairs of seeds, each with the next PAIR_STEPS; bare pairs stand outside of the passages of their document.
+    """(key, doc, place, gap, one, two) of pairs of seeds, each with the next PAIR_STEPS, of those that stand outside of the passages in some document.
 
     Two seeds of one first document have met that one already and are no pair; one and two are the first documents of both seeds.
     """
     spans = found.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
-    lists = shared.where("n > 2").groupBy("doc").agg(F.collect_list(F.struct("place", "key", "first")).alias("seeds"))
+    lists = shared.where("doc != first and n > 2").groupBy("doc").agg(F.collect_list(F.struct("place", "key")).alias("seeds"))
+
+    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 200):
+            keys = []
+            for seeds, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = np.array([(s["place"], s["key"]) for s in seeds], np.int64)
+                bare = np.ones(len(rows), bool)
+                for x in spans or ():
+                    bare &= (rows[:, 0] < x["start_word"]) | (rows[:, 0] + K > x["end_word"])
+                rows = rows[bare]
+                rows = rows[rows[:, 0].argsort()]
+                # Seeds at most PAIR_GAP apart; one by itself is in no pair.
+                cut = np.flatnonzero(np.diff(rows[:, 0]) > PAIR_GAP) + 1
+                keys += [part[:, 1] for part in np.split(rows, cut) if len(part) > 1]
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys))], names=["key"])
+
+    open_ = saved(lists.join(spans, "doc", "left").select("seeds", "spans").mapInArrow(outside, "key long").distinct(), "outside")
+    held = shared.join(sized(open_), "key", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("place", "key", "first")).alias("seeds"))
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 200):
             parts = []
-            for doc, seeds, spans in zip(*(batch.column(c).to_pylist() for c in ("doc", "seeds", "spans")), strict=True):
+            for doc, seeds in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows = np.array([(s["place"], s["key"], s["first"]) for s in seeds], np.int64)
                 rows = rows[rows[:, 0].argsort()]
-                bare = np.ones(len(rows), bool)
-                for x in spans or ():
-                    bare &= (rows[:, 0] < x["start_word"]) | (rows[:, 0] + K > x["end_word"])
                 for step in range(1, PAIR_STEPS + 1):
                     a, b = rows[:-step], rows[step:]
                     near = (b[:, 0] - a[:, 0] <= PAIR_GAP) & (a[:, 2] != b[:, 2])
-                    open_ = (bare[:-step] & bare[step:])[near]
                     a, b = a[near], b[near]
                     key = mixed(mixed(a[:, 1].view(np.uint64).copy()) + b[:, 1].view(np.uint64)).view(np.int64)
-                    parts.append(np.stack([key, np.full(len(a), doc), a[:, 0], b[:, 0] - a[:, 0], a[:, 2], b[:, 2], open_], 1))
-            whole = np.concatenate(parts)
-            kinds = (np.int64, np.int64, np.int32, np.int32, np.int64, np.int64, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).astype(t)) for c, t in zip(whole.T, kinds, strict=True)], names=["key", "doc", "place", "gap", "one", "two", "bare"])
+                    parts.append(np.stack([key, np.full(len(a), doc), a[:, 0], b[:, 0] - a[:, 0], a[:, 2], b[:, 2]], 1))
+            if parts:
+                whole = np.concatenate(parts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).astype(t)) for c, t in zip(whole.T, (np.int64, np.int64, np.int32, np.int32, np.int64, np.int64), strict=True)], names=["key", "doc", "place", "gap", "one", "two"])
 
-    return lists.join(spans, "doc", "left").select("doc", "seeds", "spans").mapInArrow(pair, "key long, doc long, place int, gap int, one long, two long, bare boolean")
+    return held.mapInArrow(pair, "key long, doc long, place int, gap int, one long, two long")
 
 
 def _pair_matches(pairs: DataFrame) -> DataFrame:
     """(doc, other, x, y) of both seeds of every pair with the first document that holds the pair, but for pairs whose seeds have both met that document already."""
     ends = saved(pairs.groupBy("key").agg(F.min(F.struct("doc", "place", "gap")).alias("f"), F.max("doc").alias("last")).where("f.doc < last").select("key", F.col("f.doc").alias("other"), F.col("f.place").alias("y"), F.col("f.gap").alias("g")), "pair-ends")
-    rows = pairs.join(ends, "key").where("bare and doc != other and (one != other or two != other)")
+    rows = pairs.join(ends, "key").where("doc != other and (one != other or two != other)")
     both = F.explode(F.array(F.struct(F.col("place").alias("x"), "y"), F.struct((F.col("place") + F.col("gap")).alias("x"), (F.col("y") + F.col("g")).alias("y"))))
     return rows.select("doc", "other", both.alias("m")).select("doc", "other", "m.x", "m.y").distinct()
 
