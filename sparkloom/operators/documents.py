@@ -217,15 +217,6 @@ def region(text: Column) -> Column:
     return out.otherwise(F.struct(F.lit("body").alias("kind"), F.lit(0.5).cast("double").alias("confidence")))
 
 
-def frames(stream: DataFrame, key: str, order: str, piece: str, schema: str) -> DataFrame:
-    """(key, number, event) of the frames in a stream that comes in pieces: lines of JSON, with or without ``data:`` before them; [DONE], comments and what isn't JSON are left out."""
-    whole = stream.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, piece))).alias("_p")).select(key, F.array_join(F.col("_p")[piece], "").alias("_text"))
-    lines = whole.select(key, F.posexplode(F.split("_text", r"\r?\n")).alias("number", "line"))
-    body = F.trim(F.regexp_replace("line", r"^data:\s*", ""))
-    events = lines.withColumn("line", body).where(F.col("line").startswith("{")).withColumn("event", F.from_json("line", schema))
-    return events.where("event is not null").select(key, "number", "event")
-
-
 def linked_references(refs: DataFrame, catalogue: DataFrame, least: float = 0.5) -> DataFrame:
     """(key, kind, target, title, confidence): references (key, kind, target) with the catalogue's entries (kind, target, title) that they name.
 

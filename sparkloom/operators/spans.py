@@ -31,7 +31,7 @@ def as_of(rows: DataFrame, other: DataFrame, key: str, time: str, tie: str, valu
     return mine.withColumn("_last", last).where("_own").select(*rows.columns, F.col("_last.v").alias(value))
 
 
-class _Greedy(Machine):
+class Greedy(Machine):
     """Spans that are kept, by start; they overlap in nothing, so only the neighbours of a place can meet a new one."""
 
     def __init__(self) -> None:
@@ -57,7 +57,7 @@ def without_overlaps(spans: DataFrame, group: str, start: str, end: str, confide
     """
     rows = spans.select(group, (-F.col(confidence)).alias("_order"), start, end, confidence)
     kinds = ", ".join(f"`{c}` {spans.schema[c].dataType.simpleString()}" for c in (start, end, confidence))
-    return scanned(rows, [group], ["_order", start, end], [start, end, confidence], _Greedy, kinds)
+    return scanned(rows, [group], ["_order", start, end], [start, end, confidence], Greedy, kinds)
 
 
 class _Collapse(Machine):

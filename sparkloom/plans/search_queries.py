@@ -14,6 +14,7 @@ from sparkloom.operators import spans as S
 from sparkloom.plans.retrieval_queries import WORDS, _bm25_sql, _index, _words
 from sparkloom.sources import versioned as V
 from sparkloom.sources.tables import load
+from sparkloom.streaming import stateful
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -174,7 +175,7 @@ def stream_frames(spark, sf_dir):
     text = F.concat(F.lit("data: "), "props", F.lit("\n: comment\n\n"))
     cut = (F.col("event_id") % 9 + 1).cast("int")
     pieces = F.explode(F.array(F.struct((F.col("event_id") * 2).alias("o"), F.substring(text, F.lit(1), cut).alias("piece")), F.struct((F.col("event_id") * 2 + 1).alias("o"), F.substring(text, cut + 1, F.length(text)).alias("piece"))))
-    got = D.frames(e.select("user_id", pieces.alias("p")).select("user_id", "p.o", "p.piece"), "user_id", "o", "piece", "k int")
+    got = stateful.frames(e.select("user_id", pieces.alias("p")).select("user_id", "p.o", "p.piece"), "user_id", "o", "piece", "k int")
     return got.groupBy("user_id").agg(F.sum("event.k").alias("total"), F.count("*").alias("n"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sparkloom.operators.scan import folded
+from sparkloom.operators.scan import Machine, folded, scanned
 
 
 def hourly(stream: DataFrame, time: str, value: str, late: str = "1 hour") -> DataFrame:
@@ -69,6 +69,63 @@ def alerts_once(stream: DataFrame, key: str, time: str, seconds: int = 3600) ->
     return rows.repartition(key).sortWithinPartitions(key, time).mapInPandas(batch, schema)
 
 
+class _Lines(Machine):
+    """Lines out of pieces; what follows the last end of a line waits."""
+
+    def __init__(self, rest: str = "", number: int = 0) -> None:
+        self.parts, self.number = [rest] if rest else [], number
+
+    def take(self, piece: str | None) -> list[tuple]:
+        if not piece:
+            return []
+        first, *more = piece.split("\n")
+        self.parts.append(first)
+        if not more:
+            return []
+        whole = ["".join(self.parts), *more[:-1]]
+        self.parts = [more[-1]] if more[-1] else []
+        out = [(self.number + k, line.removesuffix("\r")) for k, line in enumerate(whole)]
+        self.number += len(whole)
+        return out
+
+
+def lines(stream: DataFrame, key: str, order: str, piece: str) -> DataFrame:
+    """(key, number, line): the whole lines of each key's text, which comes in pieces cut anywhere.
+
+    A line without its end isn't given: in a stream it waits, and is the key's state with
+    the number of the next line, whatever came before.  Null pieces are empty.  The pieces of
+    one micro-batch are sorted; later ones are taken to follow them.  A log as a whole is
+    read in one sorted pass.
+    """
+    kind = stream.schema[key].dataType
+    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(order).alias("order"), F.col(piece).cast("string").alias("piece"))
+
+    def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        machine = _Lines(*state.get) if state.exists else _Lines()
+        pieces = pd.concat(list(frames), ignore_index=True).sort_values("order", kind="stable")["piece"]
+        out = [row for p in pieces for row in machine.take(p)]
+        state.update(("".join(machine.parts), machine.number))
+        # Typed, as a frame without rows would have columns of numbers.
+        yield pd.DataFrame({"key": pd.Series([name[0]] * len(out), dtype=object), "number": pd.Series([n for n, _ in out], dtype="int64"), "line": pd.Series([x for _, x in out], dtype=object)})
+
+    if stream.isStreaming:
+        found = rows.groupBy("key").applyInPandasWithState(step, "key string, number long, line string", "rest string, number long", "append", GroupStateTimeout.NoTimeout)
+    else:
+        found = scanned(rows, ["key"], ["order"], ["piece"], _Lines, "number long, line string")
+    return found.select(F.col("key").cast(kind).alias(key), "number", "line")
+
+
+def frames(stream: DataFrame, key: str, order: str, piece: str, schema: str) -> DataFrame:
+    """(key, number, event, done) of the frames in a stream that comes in pieces: lines of JSON, with or without ``data:`` before them.
+
+    ``[DONE]`` is a frame without an event; comments, other fields and what isn't JSON are left out.
+    """
+    body = lines(stream, key, order, piece).withColumn("line", F.trim(F.regexp_replace("line", r"^data:\s*", "")))
+    known = body.where(F.col("line").startswith("{") | (F.col("line") == "[DONE]"))
+    event = F.when(F.try_parse_json("line").isNotNull() & F.col("line").startswith("{"), F.from_json("line", schema))
+    return known.select(key, "number", event.alias("event"), (F.col("line") == "[DONE]").alias("done")).where("done or event is not null")
+
+
 def moving_average(rows: DataFrame, group: str, order: str, value: str, keep: float, start: float | None) -> DataFrame:
     """(group, average): keep * old + (1 - keep) * new in order; without ``start`` the first value seeds it.
 
