@@ -228,3 +228,10 @@ def linked_references(refs: DataFrame, catalogue: DataFrame, least: float = 0.5)
     sure = F.when(F.col("_to") == F.col("target"), 1.0).otherwise(0.5)
     found = asked.join(entries, ["kind", "_to"]).withColumn("confidence", sure).where(F.col("confidence") >= least)
     return found.groupBy("key", "kind", "target").agg(F.max_by("title", "confidence").alias("title"), F.max("confidence").alias("confidence"))
+
+
+def link_report(refs: DataFrame, links: DataFrame) -> DataFrame:
+    """(kind, refs, linked, sure, open, share): how many different references (key, kind, target) of each kind have links, and sure ones."""
+    each = refs.select("key", "kind", "target").distinct().join(links.select("key", "kind", "target", "confidence"), ["key", "kind", "target"], "left")
+    made = each.groupBy("kind").agg(F.count("*").alias("refs"), F.count("confidence").alias("linked"), F.count_if(F.col("confidence") >= 1.0).alias("sure"))
+    return made.select("*", (F.col("refs") - F.col("linked")).alias("open"), (F.col("linked") / F.col("refs")).alias("share"))

@@ -70,6 +70,52 @@ def constraints(query: Column) -> Column:
     return F.struct(quoted.alias("quoted"), negated.alias("negated"), low.alias("low"), high.alias("high"), rest.alias("rest"))
 
 
+#: Words of a bound of challenge or level in a query.
+_NEGATED = r"(?i)\b(?:not|without|except|exclude)\s+(\w+)"
+_CHALLENGE = r"(?i)\b(?:cr|challenge(?:\s+rating)?)\s+(\d+(?:/[1-9]\d*)?)(?:\s*(?:-|to)\s*(\d+(?:/[1-9]\d*)?))?"
+_LEVEL = r"(?i)\blevels?\s+(\d+)(?:\s*(?:-|to)\s*(\d+))?"
+
+
+def asked_for(query: Column, vocabulary: dict[str, list[str]], opposites: dict[str, list[str]]) -> Column:
+    """All that a query asks for, as a struct.
+
+    ``quoted`` phrases, ``negated`` words, bounds of ``challenge`` (fractions too) and
+    ``level`` as structs of low and high, equal for a single value, null where not named;
+    ``attributes``: (category, value) of the vocabulary's words that stand whole in it, by
+    category and the vocabulary's order; ``rest``: the query without negations and bounds, quoted
+    phrases kept; ``expanded``: the rest with the opposites of its attributes ruled out.
+    A null query asks for nothing: its fields are empty or null.
+    """
+    q = F.coalesce(query, F.lit(""))
+
+    def bound(pattern: str, number) -> Column:
+        first, last = (F.nullif(F.regexp_extract(q, pattern, k), F.lit("")) for k in (1, 2))
+        return F.when(first.isNotNull(), F.struct(number(first).alias("low"), number(F.coalesce(last, first)).alias("high")))
+
+    def fraction(c: Column) -> Column:
+        return F.split_part(c, F.lit("/"), F.lit(1)).try_cast("double") / F.coalesce(F.nullif(F.split_part(c, F.lit("/"), F.lit(2)), F.lit("")).try_cast("double"), F.lit(1.0))
+
+    low = F.lower(q)
+    none = F.array().cast("array<struct<category:string,value:string>>")
+    found = [F.when(low.rlike(rf"(?<!\w)\Q{v.lower()}\E(?!\w)"), F.array(F.struct(F.lit(c).alias("category"), F.lit(v).alias("value")))).otherwise(none) for c, words in vocabulary.items() for v in dict.fromkeys(words)]
+    attributes = F.concat(none, *found)
+    rest = q
+    for pattern, put in ((_NEGATED, " "), (_CHALLENGE, " "), (_LEVEL, " "), ('"([^"]+)"', "$1")):
+        rest = F.regexp_replace(rest, pattern, put)
+    rest = F.trim(F.regexp_replace(rest, r"\s+", " "))
+    against = F.create_map(*(x for k, v in sorted(opposites.items()) for x in (F.lit(k), F.array(*map(F.lit, v))))) if opposites else None
+    out = F.flatten(F.transform(attributes, lambda a: F.coalesce(against[a["value"]] if against is not None else None, F.array().cast("array<string>")))) if opposites else F.array().cast("array<string>")
+    return F.struct(
+        F.regexp_extract_all(q, F.lit('"([^"]+)"'), F.lit(1)).alias("quoted"),
+        F.transform(F.regexp_extract_all(q, F.lit(_NEGATED), F.lit(1)), F.lower).alias("negated"),
+        bound(_CHALLENGE, fraction).alias("challenge"),
+        bound(_LEVEL, lambda c: c.try_cast("int")).alias("level"),
+        attributes.alias("attributes"),
+        rest.alias("rest"),
+        F.concat_ws(" ", rest, F.transform(out, lambda w: F.concat(F.lit("(NOT "), w, F.lit(")")))).alias("expanded"),
+    )
+
+
 def similarity(a: Column, b: Column) -> Column:
     """One less the edit distance for each byte of the longer string."""
     return 1 - F.levenshtein(a, b) / F.greatest(F.octet_length(a), F.octet_length(b))

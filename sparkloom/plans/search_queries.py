@@ -179,15 +179,28 @@ def stream_frames(spark, sf_dir):
     return got.groupBy("user_id").agg(F.sum("event.k").alias("total"), F.count("*").alias("n"))
 
 
-@_query("""WITH refs AS (SELECT l_orderkey * 10 + l_linenumber AS key, 'page' AS kind, (l_partkey % 300)::VARCHAR AS target FROM lineitem UNION ALL SELECT l_orderkey * 10 + l_linenumber, 'table', l_linenumber || '-2' FROM lineitem),
-cat AS (SELECT 'page' AS kind, p_partkey::VARCHAR AS target, p_name AS title FROM part WHERE p_partkey < 250 UNION ALL SELECT 'table', n_nationkey::VARCHAR, n_name FROM nation WHERE n_nationkey < 5)
-SELECT DISTINCT key, r.kind, r.target, title, (CASE WHEN c.target = r.target THEN 1.0 ELSE 0.5 END)::DOUBLE AS confidence FROM refs r JOIN cat c ON c.kind = r.kind AND (c.target = r.target OR c.target = regexp_extract(r.target, '^(\\d+)', 1))""")
-def rulebook_links(spark, sf_dir):
+_LINKS = """WITH refs AS (SELECT l_orderkey * 10 + l_linenumber AS key, 'page' AS kind, (l_partkey % 300)::VARCHAR AS target FROM lineitem UNION ALL SELECT l_orderkey * 10 + l_linenumber, 'table', l_linenumber || '-2' FROM lineitem),
+cat AS (SELECT 'page' AS kind, p_partkey::VARCHAR AS target, p_name AS title FROM part UNION ALL SELECT 'table', n_nationkey::VARCHAR, n_name FROM nation)"""
+
+
+def _links(spark, sf_dir):
     i = load(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), F.concat(F.lit("on page "), F.col("l_partkey") % 300, F.lit(", see table "), "l_linenumber", F.lit("-2.")).alias("t"))
     refs = i.select("key", F.explode(D.cross_references(F.col("t"))).alias("r")).select("key", "r.kind", "r.target")
-    pages = load(spark, sf_dir, "part").where("p_partkey < 250").select(F.lit("page").alias("kind"), F.col("p_partkey").cast("string").alias("target"), F.col("p_name").alias("title"))
-    tables = load(spark, sf_dir, "nation").where("n_nationkey < 5").select(F.lit("table").alias("kind"), F.col("n_nationkey").cast("string").alias("target"), F.col("n_name").alias("title"))
-    return D.linked_references(refs, pages.unionByName(tables))
+    pages = load(spark, sf_dir, "part").select(F.lit("page").alias("kind"), F.col("p_partkey").cast("string").alias("target"), F.col("p_name").alias("title"))
+    tables = load(spark, sf_dir, "nation").select(F.lit("table").alias("kind"), F.col("n_nationkey").cast("string").alias("target"), F.col("n_name").alias("title"))
+    return refs, D.linked_references(refs, pages.unionByName(tables))
+
+
+@_query(_LINKS + """
+SELECT DISTINCT key, r.kind, r.target, title, (CASE WHEN c.target = r.target THEN 1.0 ELSE 0.5 END)::DOUBLE AS confidence FROM refs r JOIN cat c ON c.kind = r.kind AND (c.target = r.target OR c.target = regexp_extract(r.target, '^(\\d+)', 1))""")
+def rulebook_links(spark, sf_dir):
+    return _links(spark, sf_dir)[1]
+
+
+@_query(_LINKS + """, r AS (SELECT DISTINCT * FROM refs), f AS (SELECT key, r.kind, r.target, max(CASE WHEN c.target = r.target THEN 1.0 WHEN c.target IS NOT NULL THEN 0.5 END) AS sure FROM r LEFT JOIN cat c ON c.kind = r.kind AND (c.target = r.target OR c.target = regexp_extract(r.target, '^(\\d+)', 1)) GROUP BY ALL)
+SELECT kind, count(*) AS refs, count(sure) AS linked, count(*) FILTER (sure = 1.0) AS sure, count(*) - count(sure) AS open, round(count(sure) / count(*), 6)::DOUBLE AS share FROM f GROUP BY 1""")
+def link_validation(spark, sf_dir):
+    return D.link_report(*_links(spark, sf_dir)).withColumn("share", F.round("share", 6))
 
 
 @_query(None)

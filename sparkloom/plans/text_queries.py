@@ -8,6 +8,8 @@ from sparkloom.functions import text as T
 from sparkloom.operators import completion as C
 from sparkloom.operators import mentions as M
 from sparkloom.operators import nested as N
+from sparkloom.operators import querytext as Q
+from sparkloom.sources import markup
 from sparkloom.sources.tables import load
 
 QUERIES = {}
@@ -115,3 +117,29 @@ def table_rolls(spark, sf_dir):
     entries = load(spark, sf_dir, "nation").select(n.alias("table"), entry.alias("e")).select("table", "e.*")
     rolls = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 25).alias("table"), (F.col("o_orderkey") % 7 + 1).alias("roll"))
     return N.rolled(rolls, entries, lambda i, t, depth: (i + depth * 3 + t) % 6 + 1, most=4).drop("tables")
+
+
+@_query("""SELECT p_partkey, 'a & b' AS quoted, lower(p_type) AS negated, (p_size % 4 + 1) / 4.0::DOUBLE AS low, (p_size % 9)::DOUBLE AS high, p_size AS level, concat_ws(',', CASE WHEN split_part(p_name, ' ', 1) IN ('red', 'blue') THEN 'color:' || split_part(p_name, ' ', 1) END, CASE WHEN p_type = 'SMALL' OR split_part(p_name, ' ', 1) = 'small' THEN 'size:small' END) AS attributes, split_part(p_name, ' ', 1) || ' things a & b' AS rest, split_part(p_name, ' ', 1) || ' things a & b' || CASE split_part(p_name, ' ', 1) WHEN 'red' THEN ' (NOT blue) (NOT green)' ELSE '' END AS expanded
+FROM part""")
+def query_constraints(spark, sf_dir):
+    color = F.split("p_name", " ")[0]
+    p = load(spark, sf_dir, "part")
+    query = F.concat(color, F.lit(' things "a & b" CR '), F.col("p_size") % 4 + 1, F.lit("/4 to "), F.col("p_size") % 9, F.lit(" level "), "p_size", F.lit(" without "), "p_type")
+    asked = Q.asked_for(query, {"color": ["blue", "red"], "size": ["small"]}, {"red": ["blue", "green"]})
+    got = p.select("p_partkey", asked.alias("a"))
+    pairs = F.array_join(F.transform("a.attributes", lambda x: F.concat(x["category"], F.lit(":"), x["value"])), ",")
+    return got.select("p_partkey", F.array_join("a.quoted", ",").alias("quoted"), F.array_join("a.negated", ",").alias("negated"), "a.challenge.low", "a.challenge.high", F.col("a.level.high").alias("level"), pairs.alias("attributes"), "a.rest", "a.expanded")
+
+
+@_query("SELECT p_partkey, p_name || ' ' || p_brand || ' <b> & co' AS text FROM part")
+def xml_texts(spark, sf_dir):
+    xml = F.concat(F.lit('<?xml version="1.0"?>\n<!DOCTYPE part>\n<part key="1">\n <name>'), "p_name", F.lit("</name><!-- <no> -->\n <brand>"), "p_brand", F.lit(" &lt;b&gt;</brand><![CDATA[& co]]></part>"))
+    return load(spark, sf_dir, "part").select("p_partkey", markup.xml_text(xml).alias("text"))
+
+
+@_query("SELECT conv_id * 1000 + turn AS id, 'Turn ' || turn AS subject, role || '@example.org' AS sender, coalesce(text, '') AS text FROM conversations")
+def mail_texts(spark, sf_dir):
+    c = load(spark, sf_dir, "conversations")
+    raw = F.concat(F.lit("From: "), "role", F.lit("@example.org\nSubject: Turn "), "turn", F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), F.coalesce("text", F.lit("")))
+    mails = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), raw.alias("raw"))
+    return markup.mail_texts(mails, "id", "raw").select("id", "subject", "sender", "text")

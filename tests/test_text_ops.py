@@ -6,7 +6,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import completion, mentions, nested
+from sparkloom.operators import completion, documents, mentions, nested, querytext
+from sparkloom.sources import markup
 from sparkloom.streaming import stateful
 
 WORDS = ["ash", "élan", "ice", "ice storm", "storm", "storm giant", "giant", "a_b", "x2"]
@@ -138,3 +139,36 @@ def test_rolls_report_cycles_depth_and_gaps(spark):
     table = spark.createDataFrame(entries, "table string, low int, high int, text string, nested string")
     got = {r.id: (r.depth, r.text, r.problem) for r in nested.rolled(spark.createDataFrame(rolls, "id long, table string, roll int"), table, lambda i, t, depth: F.when(i == 5, 4).otherwise(3), most=2).collect()}
     assert got == {1: (2, "A: C", None), 2: (0, None, "no entry"), 3: (0, None, "cycle"), 4: (2, None, "depth"), 5: (1, None, "cycle"), 6: (0, None, "no entry"), 7: (0, None, "no entry")}
+
+
+def test_what_a_query_asks_for(spark):
+    words = {"damage": ["fire", "cold"], "creature": ["undead", "dragon"]}
+    rows = [(1, 'monsters CR 1/4 to 5 not undead "Red Dragon"'), (2, "cr 3 fire levels 2-4"), (3, "firearm level 99999999999"), (4, None), (5, "")]
+    asked = querytext.asked_for(F.col("q"), words, {"fire": ["cold"]})
+    got = {r.id: r.a for r in spark.createDataFrame(rows, "id long, q string").select("id", asked.alias("a")).collect()}
+    assert got[1].quoted == ["Red Dragon"] and got[1].negated == ["undead"] and tuple(got[1].challenge) == (0.25, 5.0) and got[1].level is None
+    assert [tuple(a) for a in got[1].attributes] == [("creature", "undead"), ("creature", "dragon")] and got[1].rest == "monsters Red Dragon"
+    assert tuple(got[2].challenge) == (3.0, 3.0) and tuple(got[2].level) == (2, 4) and got[2].rest == "fire" and got[2].expanded == "fire (NOT cold)"
+    assert got[3].attributes == [] and tuple(got[3].level) == (None, None)
+    assert got[4] == got[5] and got[4].rest == got[4].expanded == "" and got[4].quoted == [] and got[4].challenge is None
+
+
+def test_links_are_counted(spark):
+    refs = spark.createDataFrame([(1, "page", "3"), (1, "page", "3"), (2, "page", "4-1"), (3, "page", "9"), (4, "table", "1")], "key long, kind string, target string")
+    catalogue = spark.createDataFrame([("page", "3", "a"), ("page", "4", "b")], "kind string, target string, title string")
+    got = {r.kind: tuple(r)[1:] for r in documents.link_report(refs, documents.linked_references(refs, catalogue)).collect()}
+    assert got == {"page": (3, 2, 1, 1, 2 / 3), "table": (1, 0, 0, 1, 0.0)}
+
+
+def test_texts_of_xml(spark):
+    rows = [(1, "<a>x<b c='1'/>y &amp;lt; z</a>"), (2, "<a><![CDATA[1 < 2 &lt;]]> </a><!-- <![CDATA[no]]> -->"), (3, None), (4, ""), (5, "<!DOCTYPE a [<!ENTITY b 'c'>]><a>&b;</a>")]
+    got = {r.k: r.t for r in spark.createDataFrame(rows, "k long, x string").select("k", markup.xml_text(F.col("x")).alias("t")).collect()}
+    assert got == {1: "x y &lt; z", 2: "1 < 2 &lt;", 3: None, 4: "", 5: "&b;"}
+
+
+def test_texts_of_mail(spark):
+    parts = "\n".join(["From: =?utf-8?q?Ren=C3=A9?= <r@example.org>", "To: a@example.org, b@example.org", "Date: Mon, 1 Jan 2024 10:00:00 +0000", "MIME-Version: 1.0", 'Content-Type: multipart/mixed; boundary="x"', "", "--x", "Content-Type: text/html; charset=latin-1", "Content-Transfer-Encoding: quoted-printable", "", "<p>caf=E9</p>", "--x", "Content-Type: text/plain", "Content-Disposition: attachment; filename=a.txt", "", "no", "--x--", ""])
+    rows = [(1, parts), (2, None), (3, "no header at all"), (4, "Content-Type: text/plain; charset=none-such\n\nbody"), (5, "Subject:\n\n" + "word " * 100000)]
+    got = {r.receivers: r for r in markup.mail_texts(spark.createDataFrame(rows, "receivers long, raw string"), "receivers", "raw").toDF("receivers", "subject", "sender", "to", "sent", "text", "attachments").collect()}
+    assert got[1].sender == "René <r@example.org>" and got[1].text == "café" and got[1].attachments == ["a.txt"] and got[1].to == "a@example.org, b@example.org"
+    assert got[2].text == "" and got[2].subject is None and got[4].text == "body" and len(got[5].text) == 500000 and len(got) == 5
