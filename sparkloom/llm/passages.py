@@ -44,6 +44,7 @@ K, RATE, WINDOW, MIN_WORDS, LEAST_SHARE = 5, 7, 16, 50, 0.8
 GAP_COST, BEYOND, MOST_GAP = 0.1, MIN_WORDS, 200
 #: Places between the seeds of a pair at most.
 PAIR_GAP = 60
+PAIR_STRIDE = PAIR_GAP + 1
 #: A seed is paired with so many that follow it at most.
 PAIR_STEPS = 6
 #: Seeds of MIN_WORDS equal words stand over so many places at least.
@@ -161,13 +162,21 @@ def _climbing(x: np.ndarray, y: np.ndarray) -> list[list[int]]:
     return [part for _, part in sorted(out, key=lambda c: -c[0])]
 
 
-def _chains(matches: DataFrame) -> DataFrame:
-    """(doc, other, number, xs, ys) of the chains of two seeds and more that don't overlap."""
+def _chains(matches: DataFrame, pairs: bool = False) -> DataFrame:
+    """(doc, other, number, xs, ys) of the chains of two seeds and more that don't overlap.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.empty((0, 4), np.int64)
+    ``matches`` has doc, other, x and y.  With ``pairs`` a row is two matches, and x
+    and y are the first one's places times PAIR_STRIDE, and the gaps to the second.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if pairs:
+                # A seed is in several pairs.
+                docs, (places, gaps) = rows[:, :2], np.divmod(rows[:, 2:], PAIR_STRIDE)
+                rows = np.concatenate([np.hstack([docs, places]), np.hstack([docs, places + gaps])])
+                rows = rows[np.lexsort(rows.T[::-1])]
+                rows = rows[np.append(True, (np.diff(rows, axis=0) != 0).any(1))]
             cut = np.flatnonzero((np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 0)) + 1
             starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(rows)]])
             wide = np.maximum.reduceat(rows[:, 2], starts) - np.minimum.reduceat(rows[:, 2], starts) >= K
@@ -184,7 +193,7 @@ def _chains(matches: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(4)], 1)
+            rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], 1)
             last = np.flatnonzero((rows[:, 0] != rows[-1, 0]) | (rows[:, 1] != rows[-1, 1]))
             # A pair of documents may go on in the next batch.
             if held and (held[-1][-1, :2] != rows[0, :2]).any():
@@ -413,9 +422,9 @@ def _open_seeds(shared: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _pairs(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, doc, place, gap, one, two) of pairs of seeds, each with the next PAIR_STEPS, of those that stand outside of the passages in some document.
+    """(key, doc, at) of pairs of seeds, each with the next PAIR_STEPS, of those that stand outside of the passages in some document; at is the first one's place times PAIR_STRIDE, and the gap.
 
-    Two seeds of one first document have met that one already and are no pair; one and two are the first documents of both seeds.
+    Two seeds of one first document have met that one already and are no pair.
     """
     spans = found.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
     lists = shared.where("doc != first and n > 2").groupBy("doc").agg(F.collect_list(F.struct("place", "key")).alias("seeds"))
@@ -450,20 +459,18 @@ def _pairs(shared: DataFrame, found: DataFrame) -> DataFrame:
                     near = (b[:, 0] - a[:, 0] <= PAIR_GAP) & (a[:, 2] != b[:, 2])
                     a, b = a[near], b[near]
                     key = mixed(mixed(a[:, 1].view(np.uint64).copy()) + b[:, 1].view(np.uint64)).view(np.int64)
-                    parts.append(np.stack([key, np.full(len(a), doc), a[:, 0], b[:, 0] - a[:, 0], a[:, 2], b[:, 2]], 1))
+                    parts.append(np.stack([key, np.full(len(a), doc), a[:, 0] * PAIR_STRIDE + b[:, 0] - a[:, 0]], 1))
             if parts:
                 whole = np.concatenate(parts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).astype(t)) for c, t in zip(whole.T, (np.int64, np.int64, np.int32, np.int32, np.int64, np.int64), strict=True)], names=["key", "doc", "place", "gap", "one", "two"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in whole.T], names=["key", "doc", "at"])
 
-    return held.mapInArrow(pair, "key long, doc long, place int, gap int, one long, two long")
+    return held.mapInArrow(pair, "key long, doc long, at long")
 
 
 def _pair_matches(pairs: DataFrame) -> DataFrame:
-    """(doc, other, x, y) of both seeds of every pair with the first document that holds the pair, but for pairs whose seeds have both met that document already."""
-    ends = saved(pairs.groupBy("key").agg(F.min(F.struct("doc", "place", "gap")).alias("f"), F.max("doc").alias("last")).where("f.doc < last").select("key", F.col("f.doc").alias("other"), F.col("f.place").alias("y"), F.col("f.gap").alias("g")), "pair-ends")
-    rows = pairs.join(ends, "key").where("doc != other and (one != other or two != other)")
-    both = F.explode(F.array(F.struct(F.col("place").alias("x"), "y"), F.struct((F.col("place") + F.col("gap")).alias("x"), (F.col("y") + F.col("g")).alias("y"))))
-    return rows.select("doc", "other", both.alias("m")).select("doc", "other", "m.x", "m.y").distinct()
+    """(doc, other, x, y): every pair of seeds, as one row, with the first document that holds it."""
+    ends = saved(pairs.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("f"), F.max("doc").alias("last")).where("f.doc < last").select("key", F.col("f.doc").alias("other"), F.col("f.at").alias("y")), "pair-ends")
+    return pairs.join(ends, "key").where("doc != other").select("doc", "other", F.col("at").alias("x"), "y")
 
 
 def _equal_runs(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -565,7 +572,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     shared = _shared(saved(_seeds(rows), "all-seeds"), "seeds")
     chains = saved(_chains(_matches(shared)), "chains")
     found = saved(_aligned(rows, chains), "passages")
-    more = saved(_chains(_pair_matches(saved(_pairs(shared, found), "pairs"))), "pair-chains")
+    more = saved(_chains(_pair_matches(saved(_pairs(shared, found), "pairs")), pairs=True), "pair-chains")
     found = found.unionByName(saved(_aligned(rows, more), "pair-passages"))
     open_ = saved(_open_seeds(shared, found), "open-seeds")
     runs = _equal_runs(rows, shared.join(sized(open_), "key", "left_semi"))
