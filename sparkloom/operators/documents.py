@@ -217,6 +217,42 @@ def region(text: Column) -> Column:
     return out.otherwise(F.struct(F.lit("body").alias("kind"), F.lit(0.5).cast("double").alias("confidence")))
 
 
+# Words that tell the regions of a page, and their worth.
+_STATS = ("speed", "str", "dex", "con", "int", "wis", "cha", "challenge", "saving throws", "damage resistances", "damage immunities", "condition immunities", "senses", "languages", "actions", "reactions", "legendary actions")
+_MOOD = ("darkness", "shadow", "light", "smell", "sound", "cold", "warm", "ancient", "dusty", "damp", "eerie", "silence", "whisper")
+_ADDRESS = (" you ", "you see", "you hear", "you notice", "before you")
+_ASIDE = "sidebar|note|tip|variant|optional rule|designer notes|dm tip|gm tip|roleplaying|variant rule|using this rule"
+_WARNING = "warning|caution|important|remember|don't forget|note that|be aware"
+
+
+def regions(text: Column, least: float = 0.5) -> Column:
+    """Every kind of region that a block of a page may be, surest first: an array of (kind, confidence), confidence at least ``least`` and 0.5.
+
+    Kinds of equal confidence keep the order stat block, read-aloud, sidebar, callout.
+    Blocks of under 20 bytes, and null ones, have none.  Evidence is counted in whole
+    points, so that sums are exact.
+    """
+    t = F.regexp_replace(text, r"^\s+|\s+$", "")
+    low = F.lower(t)
+
+    def held(words, points: int) -> Column:
+        return sum((F.when(low.contains(w), points).otherwise(0) for w in words), F.lit(0))
+
+    def worth(test: Column, points: int) -> Column:
+        return F.when(test, points).otherwise(0)
+
+    stats = held(("armor class", "hit points"), 2) + held(_STATS, 1) + worth(low.rlike(r"(?:str|dex|con|int|wis|cha)\s+\d+\s*\([+-]?\d+\)"), 3)
+    address = sum((F.regexp_count(low, F.lit(w)) for w in _ADDRESS), F.lit(0))
+    aloud = worth(low.rlike("read aloud|boxed text"), 8) + worth(t.rlike(r"^[\"'*]"), 3) + worth(address >= 2, 4) + worth(held(_MOOD, 1) >= 2, 3)
+    aside = worth(low.rlike(rf"(?:^|\n)(?:{_ASIDE}):"), 8) + worth(t.rlike("SIDEBAR|VARIANT|OPTIONAL|NOTE|TIP"), 4) + worth(F.size(F.split(t, "\n")) < 15, 1)
+    warning = worth(low.rlike(rf"(?:^|\n)(?:{_WARNING}):"), 7) + worth(t.contains("!") & (F.octet_length(t) < 500), 2)
+    kinds = (("stat block", stats, 12), ("read-aloud", aloud, 10), ("sidebar", aside, 10), ("callout", warning, 10))
+    every = F.array(*(F.struct(F.lit(k).alias("kind"), F.least(points / whole, F.lit(1.0)).alias("confidence")) for k, points, whole in kinds))
+    sure = F.filter(every, lambda r: r["confidence"] >= max(least, 0.5))
+    ranked = F.transform(F.array_sort(F.transform(sure, lambda r, k: F.struct((-r["confidence"]).alias("c"), k.alias("k"), r.alias("r")))), lambda x: x["r"])
+    return F.when(F.octet_length(t) >= 20, ranked).otherwise(F.filter(every, lambda r: F.lit(False)))
+
+
 def linked_references(refs: DataFrame, catalogue: DataFrame, least: float = 0.5) -> DataFrame:
     """(key, kind, target, title, confidence): references (key, kind, target) with the catalogue's entries (kind, target, title) that they name.
 

@@ -40,11 +40,30 @@ def corrections(queries: DataFrame, known: DataFrame, swaps: bool = False) -> Da
 
 
 def alike(words: DataFrame, least: float) -> DataFrame:
-    """(a, b, likeness) of different words (word), a before b, that are at most two edits apart and at least so alike; candidates share a deletion."""
-    one = deletions(words.select(F.col("word").alias("a")).distinct(), "a", 1)
-    two = deletions(words.select(F.col("word").alias("b")).distinct(), "b", 1)
-    pairs = one.join(two, "_left").where("a < b").select("a", "b").distinct().where(F.levenshtein("a", "b") <= 2)
-    return pairs.withColumn("likeness", similarity(F.col("a"), F.col("b"))).where(F.col("likeness") >= least)
+    """(a, b, likeness) of different words (word), a before b, whose likeness is ``least`` or more; null words are like none.
+
+    The longer word of a pair, in bytes, allows d edits.  Cut into d + 1 parts, it
+    has one that stands whole in the other word, the part number i at most i places
+    away seen from the left end and d - i seen from the right one (Pass-Join): both
+    sides are listed under these parts and joined.  A word whose edits are as many as
+    its characters has empty parts, and meets all words of about its length.
+    """
+    each = words.select("word").where("word is not null").distinct().withColumn("m", F.char_length("word"))
+    long = each.select(F.col("word").alias("a"), F.col("m").alias("n"), F.floor((1 - least) * F.octet_length("word") + 1e-9).cast("int").alias("d")).where("d > 0")
+    shapes = long.select("n", "d").distinct().select("n", "d", F.explode(F.sequence(F.greatest(F.expr("n - d"), F.lit(0)), F.expr("n + d"))).alias("m"))
+    start, end = F.expr("i * n div (d + 1)"), F.expr("(i + 1) * n div (d + 1)")
+
+    def parts(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d")))).withColumn("start", start.cast("int")).withColumn("size", (end - F.col("start")).cast("int"))
+
+    one = parts(long).select("n", "d", "i", F.expr("substring(a, start + 1, size)").alias("part"), "a")
+    two = parts(each.withColumnRenamed("word", "b").join(shapes, "m"))
+    low = F.expr("greatest(start - i, start + m - n - (d - i), 0)")
+    high = F.expr("least(start + i, start + m - n + (d - i), m - size)")
+    two = two.withColumn("low", low).withColumn("high", high).where("low <= high").withColumn("p", F.explode(F.sequence("low", "high")))
+    two = two.select("n", "d", "i", F.expr("substring(b, p + 1, size)").alias("part"), "b").distinct()
+    met = one.join(two, ["n", "d", "i", "part"]).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return met.withColumn("likeness", similarity(F.col("a"), F.col("b"))).where(F.col("likeness") >= least)
 
 
 def expanded(queries: DataFrame, synonyms: DataFrame, most: int = 5) -> DataFrame:
@@ -126,6 +145,17 @@ def validation(text: Column, most: int) -> Column:
     return F.when(text.contains("\0"), "nul").when(F.length(text) > most, "too long").when(F.lower(text).rlike(r"<script|javascript:|on\w+\s*="), "markup")
 
 
+def sanitised(text: Column, most: int) -> Column:
+    """What ``validation`` finds and, for a text that may be used, the text with the signs of markup written as entities, and whether that changed it: a struct (problem, text, changed); all null for a null text."""
+    out = text
+    # Entities of the five signs.
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(sign), F.lit(entity))
+    problem = validation(text, most)
+    kept = F.when(problem.isNull(), out)
+    return F.struct(problem.alias("problem"), kept.alias("text"), (kept != text).alias("changed"))
+
+
 def compounds(words: DataFrame, pairs: DataFrame) -> DataFrame:
     """(word, split) of words that are two words run together, by the commonest pair (pair, n) of words that gives them; of equal ones the first by name."""
     joined = pairs.select(F.replace("pair", F.lit(" "), F.lit("")).alias("word"), F.struct((-F.col("n")).alias("n"), "pair").alias("p"))

@@ -200,7 +200,7 @@ def constraint_parser(spark, sf_dir):
     return rows.select("c_custkey", F.array_join("c.quoted", ",").alias("quoted"), F.array_join("c.negated", ",").alias("negated"), F.col("c.low").cast("long").alias("low"), F.col("c.high").cast("long").alias("high"), "c.rest")
 
 
-@_query("SELECT a.p_brand AS a, b.p_brand AS b, round(1 - levenshtein(a.p_brand, b.p_brand) / greatest(octet_length(encode(a.p_brand)), octet_length(encode(b.p_brand))), 6) AS likeness FROM (SELECT DISTINCT p_brand FROM part) a JOIN (SELECT DISTINCT p_brand FROM part) b ON a.p_brand < b.p_brand WHERE levenshtein(a.p_brand, b.p_brand) <= 2 AND 1 - levenshtein(a.p_brand, b.p_brand) / greatest(octet_length(encode(a.p_brand)), octet_length(encode(b.p_brand))) >= 0.8")
+@_query("SELECT a.p_brand AS a, b.p_brand AS b, round(1 - levenshtein(a.p_brand, b.p_brand) / greatest(octet_length(encode(a.p_brand)), octet_length(encode(b.p_brand))), 6) AS likeness FROM (SELECT DISTINCT p_brand FROM part) a JOIN (SELECT DISTINCT p_brand FROM part) b ON a.p_brand < b.p_brand WHERE 1 - levenshtein(a.p_brand, b.p_brand) / greatest(octet_length(encode(a.p_brand)), octet_length(encode(b.p_brand))) >= 0.8")
 def vocabulary_likeness(spark, sf_dir):
     return Q.alike(load(spark, sf_dir, "part").select(F.col("p_brand").alias("word")), 0.8).withColumn("likeness", F.round("likeness", 6))
 
@@ -210,6 +210,15 @@ def input_validation(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", Q.validation(F.col("html"), 20000).alias("problem"))
 
 
+@_query(r"""WITH t AS (SELECT page_id AS id, html AS t FROM pages UNION ALL SELECT doc_id + 1000000000, text FROM documents), p AS (SELECT id, t, CASE WHEN length(t) > 20000 THEN 'too long' WHEN regexp_matches(lower(t), '<script|javascript:|on\w+\s*=') THEN 'markup' END AS problem FROM t),
+s AS (SELECT id, t, problem, CASE WHEN problem IS NULL THEN replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') END AS safe FROM p)
+SELECT id, problem, md5(safe) AS safe, safe != t AS changed FROM s""")
+def sanitised_input(spark, sf_dir):
+    rows = load(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("t"))
+    rows = rows.union(load(spark, sf_dir, "documents").select(F.col("doc_id") + 1000000000, "text"))
+    return rows.select("id", Q.sanitised(F.col("t"), 20000).alias("s")).select("id", "s.problem", F.md5("s.text").alias("safe"), "s.changed")
+
+
 @_query(r"SELECT doc_id, lower(trim(regexp_replace(text, '[\s\x0B]+', ' ', 'g'))) AS text FROM documents")
 def normalise_text(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", T.normalised(F.col("text")).alias("text"))

@@ -168,6 +168,28 @@ def page_regions(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", D.region(text).alias("r")).select("p_partkey", "r.kind", "r.confidence")
 
 
+#: Lines that are evidence of a region; a part's block has those of the bits of its key.
+_LINES = ["Armor Class 12", "Hit Points 7", "STR 8 (-1) speed 30", "Read aloud to all", "you see a light, before you lies", "a sound of silence", "Note: variant", "OPTIONAL", "Warning: beware!", "senses, languages and challenge"]
+
+
+@_query(f"""WITH b AS (SELECT p_partkey AS id, p_name || list_aggregate(list_transform(list_filter(range(10), lambda i: (p_partkey >> i) % 2 = 1), lambda i: chr(10) || {_LINES}[i + 1]), 'string_agg', '') AS t FROM part UNION ALL SELECT p_partkey + 1000000000, '  *' || p_type || '! ' FROM part UNION ALL SELECT doc_id + 2000000000, text FROM documents),
+t AS (SELECT id, regexp_replace(coalesce(t, ''), '^\\s+|\\s+$', '', 'g') AS t FROM b), l AS (SELECT id, t, lower(t) AS w FROM t WHERE octet_length(encode(t)) >= 20),
+n AS (SELECT id, 2 * len(list_filter({list(("armor class", "hit points"))}, lambda x: contains(w, x))) + len(list_filter({list(D._STATS)}, lambda x: contains(w, x))) + CASE WHEN regexp_matches(w, '(str|dex|con|int|wis|cha)\\s+\\d+\\s*\\([+-]?\\d+\\)') THEN 3 ELSE 0 END AS stats,
+CASE WHEN contains(w, 'read aloud') OR contains(w, 'boxed text') THEN 8 ELSE 0 END + CASE WHEN t[1] IN ('"', chr(39), '*') THEN 3 ELSE 0 END + CASE WHEN list_sum(list_transform({list(D._ADDRESS)}, lambda x: (length(w) - length(replace(w, x, ''))) // length(x))) >= 2 THEN 4 ELSE 0 END + CASE WHEN len(list_filter({list(D._MOOD)}, lambda x: contains(w, x))) >= 2 THEN 3 ELSE 0 END AS aloud,
+CASE WHEN len(list_filter(string_split('{D._ASIDE}', '|'), lambda x: contains(chr(10) || w, chr(10) || x || ':'))) > 0 THEN 8 ELSE 0 END + CASE WHEN len(list_filter(['SIDEBAR', 'VARIANT', 'OPTIONAL', 'NOTE', 'TIP'], lambda x: contains(t, x))) > 0 THEN 4 ELSE 0 END + CASE WHEN length(t) - length(replace(t, chr(10), '')) < 14 THEN 1 ELSE 0 END AS aside,
+CASE WHEN len(list_filter(string_split('{D._WARNING.replace("'", "''")}', '|'), lambda x: contains(chr(10) || w, chr(10) || x || ':'))) > 0 THEN 7 ELSE 0 END + CASE WHEN contains(t, '!') AND octet_length(encode(t)) < 500 THEN 2 ELSE 0 END AS warning FROM l),
+k AS (SELECT id, 0 AS place, 'stat block' AS kind, least(stats / 12, 1.0)::DOUBLE AS confidence FROM n UNION ALL SELECT id, 1, 'read-aloud', least(aloud / 10, 1.0)::DOUBLE FROM n UNION ALL SELECT id, 2, 'sidebar', least(aside / 10, 1.0)::DOUBLE FROM n UNION ALL SELECT id, 3, 'callout', least(warning / 10, 1.0)::DOUBLE FROM n)
+SELECT id, (row_number() OVER (PARTITION BY id ORDER BY confidence DESC, place))::INT AS rank, kind, confidence FROM k WHERE confidence >= 0.5""")
+def region_candidates(spark, sf_dir):
+    part = load(spark, sf_dir, "part")
+    lines = [F.when(F.shiftright("p_partkey", i) % 2 == 1, F.lit("\n" + x)).otherwise("") for i, x in enumerate(_LINES)]
+    blocks = part.select(F.col("p_partkey").alias("id"), F.concat("p_name", *lines).alias("t"))
+    blocks = blocks.union(part.select(F.col("p_partkey") + 1000000000, F.concat(F.lit("  *"), "p_type", F.lit("! "))))
+    blocks = blocks.union(load(spark, sf_dir, "documents").select(F.col("doc_id") + 2000000000, "text"))
+    found = blocks.select("id", F.posexplode(D.regions(F.col("t"))).alias("rank", "r"))
+    return found.select("id", (F.col("rank") + 1).alias("rank"), "r.kind", "r.confidence")
+
+
 @_query("SELECT user_id, sum((props->>'$.k')::INT)::BIGINT AS total, count(*) AS n FROM events WHERE props LIKE '{%' GROUP BY 1")
 def stream_frames(spark, sf_dir):
     e = load(spark, sf_dir, "events").select("user_id", "event_id", "props")

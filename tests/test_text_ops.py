@@ -172,3 +172,50 @@ def test_texts_of_mail(spark):
     got = {r.receivers: r for r in markup.mail_texts(spark.createDataFrame(rows, "receivers long, raw string"), "receivers", "raw").toDF("receivers", "subject", "sender", "to", "sent", "text", "attachments").collect()}
     assert got[1].sender == "René <r@example.org>" and got[1].text == "café" and got[1].attachments == ["a.txt"] and got[1].to == "a@example.org, b@example.org"
     assert got[2].text == "" and got[2].subject is None and got[4].text == "body" and len(got[5].text) == 500000 and len(got) == 5
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("least", [0.6, 0.8])
+def test_alike_words_are_all_found(spark, least):
+    """Also where more than two edits are allowed, in letters of several bytes, and in repeats and nulls."""
+    r = random.Random(7)
+    words = {"", "a", "é", "ééééé", "eéééé"}
+    for size in (4, 9, 20, 31):
+        for _ in range(5):
+            word = "".join(r.choice("abé") for _ in range(size))
+            words.add(word)
+            for edits in (1, 3, 4, 6):
+                other = list(word)
+                for _ in range(edits):
+                    k = r.randrange(len(other))
+                    other[k : k + 1] = r.choice(["", "x", other[k] + "y"])
+                words.add("".join(other) or "z")
+    table = spark.createDataFrame([(w, 1) for w in [*words, *words, None]], "word string, likeness int")
+    got = {(a, b) for a, b, _ in querytext.alike(table, least).collect()}
+    size = {w: len(w.encode()) for w in words}
+    want = {(a, b) for a in words for b in words if a.encode() < b.encode() and 1 - plain_distance(a, b) / max(size[a], size[b], 1) >= least}
+    assert got == want and len(want) > 50
+
+
+def test_regions_surest_first(spark):
+    beast = "Goblin\nArmor Class 15\nHit Points 7 (2d6)\nSpeed 30 ft.\nSTR 8 (-1) DEX 14 (+2)\nLanguages Common"
+    texts = [None, "", "Tip: short", beast, "Variant: read aloud, what you see and what you hear!", "Warning: it bites! \n  Keep out.", "A plain line of some length."]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", documents.regions(F.col("t")).alias("r")).orderBy("k").collect()
+    assert [[x.kind for x in row.r] for row in rows] == [[], [], [], ["stat block"], ["read-aloud", "sidebar"], ["callout"], []]
+    assert rows[4].r[0].confidence == 1.0 and rows[4].r[1].confidence == 0.9
+    strict = spark.createDataFrame([(texts[4],)], "t string").select(documents.regions(F.col("t"), 0.95).alias("r")).first().r
+    assert [x.kind for x in strict] == ["read-aloud"]
+
+
+def test_sanitised_texts(spark):
+    texts = ["a < b & 'c'", "plain", "<script>", "nul\0", "x" * 30, None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", querytext.sanitised(F.col("t"), 20).alias("s")).orderBy("k").collect()
+    assert [tuple(r.s) for r in rows] == [(None, "a &lt; b &amp; &#x27;c&#x27;", True), (None, "plain", False), ("markup", None, None), ("nul", None, None), ("too long", None, None), (None, None, None)]
