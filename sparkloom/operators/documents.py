@@ -7,8 +7,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sparkloom.functions import text as T
+from sparkloom.operators.scan import Machine, scanned
 
 
 def page_text(html: Column) -> Column:
@@ -46,21 +48,52 @@ def is_header(line: Column) -> Column:
     return (F.octet_length(bare) <= 100) & ~bare.rlike(r"[.,;]$") & (capitals | F.lower(bare).rlike(r"^(chapter|section|part|appendix)"))
 
 
+class _Packer(Machine):
+    """The chunk that is being filled; a piece that stands alone neither joins nor is joined."""
+
+    def __init__(self, target: int, mark: str) -> None:
+        self.target, self.mark = target, mark
+        self.parts: list[str] = []
+        self.size = self.number = 0
+        self.alone = False
+
+    def take(self, piece: str, alone: bool) -> list[tuple]:
+        size = self.size + len(self.mark) + len(piece)
+        if self.parts and not self.alone and not alone and size <= self.target:
+            self.parts.append(piece)
+            self.size = size
+            return []
+        out = self.end()
+        self.parts, self.size, self.alone = [piece], len(piece), alone
+        return out
+
+    def end(self) -> list[tuple]:
+        if not self.parts:
+            return []
+        self.number += 1
+        return [(self.number - 1, self.mark.join(self.parts))]
+
+
 def packed_sentences(texts: DataFrame, key: str, text: str, target: int) -> DataFrame:
     """(key, number, chunk): sentences packed in order into chunks of up to ``target`` characters; a longer sentence is a chunk of its own.
 
-    A fold over the sentences of each row; no row leaves its task.
+    One pass over the sentences of each row; no row leaves its task.  Null and empty texts have no chunk.
     """
-    empty = F.array().cast("array<string>")
 
-    def put(done: Column, s: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joined = F.concat_ws(" ", last, s)
-        fits = (F.size(done) > 0) & (F.length(joined) <= target)
-        return F.when(fits, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(s)))
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, 256):
+                batch = whole.slice(low, 256)
+                owner, made = [], []
+                for k, pieces in enumerate(batch.column(1).to_pylist()):
+                    one = _Packer(target, " ")
+                    rows = [r for piece in pieces or () for r in one.take(piece, False)] + one.end()
+                    owner += [k] * len(rows)
+                    made += rows
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int32())), pa.array([n for n, _ in made], pa.int32()), pa.array([c for _, c in made], pa.string())], names=[key, "number", "chunk"])
 
-    chunks = F.aggregate(sentences(F.col(text)), empty, put)
-    return texts.select(key, F.posexplode(chunks).alias("number", "chunk"))
+    schema = StructType([texts.schema[key], *StructType.fromDDL("number int, chunk string").fields])
+    return texts.select(key, sentences(F.col(text)).alias("_pieces")).mapInArrow(pack, schema)
 
 
 def _boundary(data: str, at: int, half: int) -> int:
@@ -171,22 +204,11 @@ def element_kind(text: Column, least: float = 0.5) -> Column:
 def packed_elements(elements: DataFrame, key: str, order: str, text: str, atomic: Column, target: int) -> DataFrame:
     """(key, chunk_number, chunk): elements packed in order up to ``target`` characters; an atomic one stays whole and alone up to twice that.
 
-    Longer ones are cut at sentences.
+    Longer ones are cut at sentences.  One sorted pass by key, which holds one chunk.
     """
     pieces = F.when(atomic & (F.length(text) <= 2 * target), F.array(F.col(text))).otherwise(sentences(F.col(text)))
-    rows = elements.select(key, order, atomic.alias("_alone"), F.posexplode(pieces).alias("_k", "_piece"))
-    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "_k", "_alone", "_piece"))).alias("_parts"))
-    empty = F.array().cast("array<struct<text:string,alone:boolean>>")
-
-    def put(done: Column, p: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joined = F.concat_ws("\n", last["text"], p["_piece"])
-        fits = (F.size(done) > 0) & ~last["alone"] & ~p["_alone"] & (F.length(joined) <= target)
-        whole = F.struct(joined.alias("text"), F.lit(False).alias("alone"))
-        fresh = F.struct(p["_piece"].alias("text"), p["_alone"].alias("alone"))
-        return F.when(fits, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(whole))).otherwise(F.concat(done, F.array(fresh)))
-
-    return listed.select(key, F.posexplode(F.aggregate("_parts", empty, put)).alias("chunk_number", "_c")).select(key, "chunk_number", F.col("_c.text").alias("chunk"))
+    rows = elements.select(key, order, F.coalesce(atomic, F.lit(True)).alias("_alone"), F.posexplode(pieces).alias("_k", "_piece"))
+    return scanned(rows, [key], [order, "_k", "_alone", "_piece"], ["_piece", "_alone"], lambda: _Packer(target, "\n"), "chunk_number int, chunk string")
 
 
 def keywords(text: Column, vocabulary: list[str], most: int) -> Column:

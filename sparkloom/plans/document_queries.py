@@ -43,7 +43,19 @@ def page_links(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", F.explode(D.page_links(F.col("html"))).alias("link"))
 
 
-@_query(None)
+def _sentences_sql(text: str) -> str:
+    """The sentences of a text in SQL: every cut is marked, then the marks behind abbreviations and single capitals go."""
+    short = "|".join(a.replace(".", r"\.") for a in D.ABBREVIATIONS)
+    marked = rf"regexp_replace({text}, '([.!?])([\s\x0B]+)', '\1' || chr(1) || '\2', 'g')"
+    marked = rf"regexp_replace({marked}, '({short})\.\x01', '\1.', 'g')"
+    marked = rf"regexp_replace({marked}, '(^|[\s\x0B])(\p{{Lu}})\.\x01', '\1\2.', 'g')"
+    return rf"list_filter(list_transform(string_split_regex({marked}, '\x01[\s\x0B]+'), lambda x: trim(x)), lambda x: x != '')"
+
+
+@_query(f"""WITH RECURSIVE s AS (SELECT doc_id, {_sentences_sql("text")} AS s FROM documents), e AS MATERIALIZED (SELECT doc_id, generate_subscripts(s, 1) AS i, unnest(s) AS piece FROM s),
+w AS (SELECT doc_id, i, 0 AS number, piece AS chunk FROM e WHERE i = 1
+UNION ALL SELECT doc_id, e.i, CASE WHEN length(chunk) + 1 + length(piece) <= 1200 THEN number ELSE number + 1 END, CASE WHEN length(chunk) + 1 + length(piece) <= 1200 THEN chunk || ' ' || piece ELSE piece END FROM w JOIN e USING (doc_id) WHERE e.i = w.i + 1)
+SELECT doc_id, number, arg_max(chunk, i) AS chunk FROM w GROUP BY ALL""")
 def chunk_documents(spark, sf_dir):
     return D.packed_sentences(load(spark, sf_dir, "documents"), "doc_id", "text", 1200)
 
@@ -253,7 +265,11 @@ def element_kinds(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", D.element_kind(text).alias("kind"))
 
 
-@_query(None)
+@_query(f"""WITH RECURSIVE p AS (SELECT conv_id, turn, coalesce(role = 'system', true) AS alone, CASE WHEN role = 'system' AND length(text) <= 1600 THEN [text] ELSE {_sentences_sql("text")} END AS s FROM conversations), k AS (SELECT conv_id, turn, alone, generate_subscripts(s, 1) AS k, unnest(s) AS piece FROM p),
+e AS MATERIALIZED (SELECT conv_id, alone, piece, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k, alone, piece) AS i FROM k),
+w AS (SELECT conv_id, i, alone, 0 AS number, piece AS chunk FROM e WHERE i = 1
+UNION ALL SELECT conv_id, j, other, CASE WHEN fits THEN number ELSE number + 1 END, CASE WHEN fits THEN chunk || chr(10) || piece ELSE piece END FROM (SELECT conv_id, number, chunk, e.i AS j, e.alone AS other, piece, NOT w.alone AND NOT e.alone AND length(chunk) + 1 + length(piece) <= 800 AS fits FROM w JOIN e USING (conv_id) WHERE e.i = w.i + 1))
+SELECT conv_id, number AS chunk_number, arg_max(chunk, i) AS chunk FROM w GROUP BY ALL""")
 def element_chunks(spark, sf_dir):
     return D.packed_elements(load(spark, sf_dir, "conversations"), "conv_id", "turn", "text", F.col("role") == "system", 800)
 
