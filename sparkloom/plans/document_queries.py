@@ -60,7 +60,16 @@ def chunk_documents(spark, sf_dir):
     return D.packed_sentences(load(spark, sf_dir, "documents"), "doc_id", "text", 1200)
 
 
-@_query(None)
+def _end_sql(start: str) -> str:
+    """Where the chunk from ``start`` ends, in SQL: behind the last mark of the best kind in its second half."""
+    half = f"substr(text, {start} + 501, 500)"
+    marks = " ".join(f"WHEN contains({half}, {mark}) THEN {start} + 500 + length(regexp_extract({half}, '(?s)^(.*)' || {pattern}, 1)) + {width}" for mark, pattern, width in (("chr(10) || chr(10)", "chr(10) || chr(10)", 2), ("'. '", r"'\. '", 2), ("' '", "' '", 1)))
+    return f"CASE WHEN length(text) - ({start}) <= 1200 THEN length(text) {marks} ELSE {start} + 1000 END"
+
+
+@_query(f"""WITH RECURSIVE w AS (SELECT doc_id, text, 0 AS number, 0 AS start, {_end_sql("0")} AS stop FROM documents WHERE text != ''
+UNION ALL SELECT doc_id, text, number + 1, low, {_end_sql("low")} FROM (SELECT doc_id, text, number, greatest(stop - 100, start + 1) AS low FROM w WHERE stop < length(text)))
+SELECT doc_id AS key, number, start, stop::INT AS "end", substr(text, start + 1, (stop - start)::INT) AS chunk FROM w""")
 def overlapping_chunks(spark, sf_dir):
     return D.overlapping_chunks(load(spark, sf_dir, "documents"), "doc_id", "text")
 
