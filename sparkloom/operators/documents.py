@@ -288,6 +288,31 @@ def linked_references(refs: DataFrame, catalogue: DataFrame, least: float = 0.5)
     return found.groupBy("key", "kind", "target").agg(F.max_by("title", "confidence").alias("title"), F.max("confidence").alias("confidence"))
 
 
+# Kinds of chunk that are surer links, kinds that name what is linked, and words that tell it otherwise.
+_SURER = ["stat_block", "spell", "item", "table"]
+_NAMED = {"spell": "spell", "stat_block": "monster", "monster": "monster", "item": "item", "feat": "feat"}
+
+
+def link_confidence(score: Column, query: Column, content: Column, title: Column, kind: Column) -> Column:
+    """How sure a search result is what a query refers to: its score between 0 and 1, more where the content holds the query, the title and the query hold one another, and the chunk is of a structured kind.
+
+    Null contents, titles and kinds add nothing; a null score gives null.
+    """
+    low = F.lower(query)
+    inside = F.coalesce(F.lower(content).contains(low), F.lit(False))
+    titled = F.coalesce(F.lower(title).contains(low) | low.contains(F.lower(title)), F.lit(False))
+    more = F.when(inside, 10).otherwise(0) + F.when(titled, 5).otherwise(0) + F.when(kind.isin(_SURER), 5).otherwise(0)
+    return F.when(score.isNotNull(), F.greatest(F.least(score + more / 100, F.lit(1.0)), F.lit(0.0)))
+
+
+def linked_kind(kind: Column, content: Column) -> Column:
+    """What a linked chunk is about: its kind's name, whatever the case, else by the words of its content, else a term."""
+    low = F.lower(content)
+    out = F.when(low.contains("saving throw") | low.contains("spell attack"), "spell").when(low.contains("hit points") & low.contains("armor class"), "monster").when(low.contains("prerequisite:"), "feat").otherwise("term")
+    known = F.create_map(*(F.lit(x) for pair in _NAMED.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, F.lower(kind)), out)
+
+
 def link_report(refs: DataFrame, links: DataFrame) -> DataFrame:
     """(kind, refs, linked, sure, open, share): how many different references (key, kind, target) of each kind have links, and sure ones."""
     each = refs.select("key", "kind", "target").distinct().join(links.select("key", "kind", "target", "confidence"), ["key", "kind", "target"], "left")

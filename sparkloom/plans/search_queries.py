@@ -11,7 +11,8 @@ from sparkloom.operators import querytext as Q
 from sparkloom.operators import retrieval as R
 from sparkloom.operators import search_index as X
 from sparkloom.operators import spans as S
-from sparkloom.plans.retrieval_queries import WORDS, _bm25_sql, _index, _words
+from sparkloom.plans.retrieval_queries import ORACLE_SQL as SQL
+from sparkloom.plans.retrieval_queries import WORDS, _bm25_sql, _index, _words, hybrid_linear
 from sparkloom.sources import versioned as V
 from sparkloom.sources.tables import load
 from sparkloom.streaming import stateful
@@ -219,6 +220,19 @@ def rulebook_links(spark, sf_dir):
     return _links(spark, sf_dir)[1]
 
 
+@_query(f"""WITH h AS ({SQL['hybrid_linear']}), d AS (SELECT id, score, text, source, (['spell', 'Monster', 'table', 'text'])[id % 4 + 1] AS kind, CASE id % 3 WHEN 0 THEN ' Saving throw' WHEN 1 THEN ' hit points, armor class' ELSE ' Prerequisite: none' END AS more FROM h JOIN documents ON doc_id = id)
+SELECT id, round(least(greatest(score + CASE WHEN contains(lower(text), 'heron') THEN 0.1 ELSE 0 END + CASE WHEN contains(lower(source), 'heron') OR contains('heron', lower(source)) THEN 0.05 ELSE 0 END + CASE WHEN kind IN ('spell', 'table') THEN 0.05 ELSE 0 END, 0), 1), 6)::DOUBLE AS confidence,
+CASE lower(kind) WHEN 'spell' THEN 'spell' WHEN 'monster' THEN 'monster' ELSE CASE WHEN regexp_matches(lower(text || more), 'saving throw|spell attack') THEN 'spell' WHEN contains(lower(text || more), 'hit points') AND contains(lower(text || more), 'armor class') THEN 'monster' WHEN contains(lower(text || more), 'prerequisite:') THEN 'feat' ELSE 'term' END END AS about FROM d""")
+def linked_content(spark, sf_dir):
+    """What a hybrid search finds for a reference, how surely it is meant, and what it is about."""
+    found = hybrid_linear(spark, sf_dir)
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    rows = found.join(docs, "id").withColumn("kind", F.element_at(F.array(*map(F.lit, ("spell", "Monster", "table", "text"))), (F.col("id") % 4 + 1).cast("int")))
+    more = F.element_at(F.array(*map(F.lit, (" Saving throw", " hit points, armor class", " Prerequisite: none"))), (F.col("id") % 3 + 1).cast("int"))
+    sure = D.link_confidence(F.col("score"), F.lit("heron"), F.col("text"), F.col("source"), F.col("kind"))
+    return rows.select("id", F.round(sure, 6).alias("confidence"), D.linked_kind(F.col("kind"), F.concat("text", more)).alias("about"))
+
+
 @_query(_LINKS + """, r AS (SELECT DISTINCT * FROM refs), f AS (SELECT key, r.kind, r.target, max(CASE WHEN c.target = r.target THEN 1.0 WHEN c.target IS NOT NULL THEN 0.5 END) AS sure FROM r LEFT JOIN cat c ON c.kind = r.kind AND (c.target = r.target OR c.target = regexp_extract(r.target, '^(\\d+)', 1)) GROUP BY ALL)
 SELECT kind, count(*) AS refs, count(sure) AS linked, count(*) FILTER (sure = 1.0) AS sure, count(*) - count(sure) AS open, round(count(sure) / count(*), 6)::DOUBLE AS share FROM f GROUP BY 1""")
 def link_validation(spark, sf_dir):

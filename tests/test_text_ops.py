@@ -219,3 +219,11 @@ def test_sanitised_texts(spark):
     texts = ["a < b & 'c'", "plain", "<script>", "nul\0", "x" * 30, None]
     rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", querytext.sanitised(F.col("t"), 20).alias("s")).orderBy("k").collect()
     assert [tuple(r.s) for r in rows] == [(None, "a &lt; b &amp; &#x27;c&#x27;", True), (None, "plain", False), ("markup", None, None), ("nul", None, None), ("too long", None, None), (None, None, None)]
+
+
+def test_confidence_and_kind_of_links(spark):
+    rows = [(0.5, "Longsword", "A longsword cuts.", "Arms", "item"), (0.97, "x", "x", "x", "table"), (0.2, "Player's Book", "none", "book", None), (0.2, "owl", None, None, None), (None, "owl", "owl", "owl", "spell"), (-1.0, "q", "", "t", "text")]
+    table = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "n int, score double, q string, content string, title string, kind string")
+    got = table.select("n", documents.link_confidence(F.col("score"), F.col("q"), F.col("content"), F.col("title"), F.col("kind")).alias("c"), documents.linked_kind(F.col("kind"), F.col("content")).alias("k")).orderBy("n").collect()
+    assert [r.c and round(r.c, 6) for r in got] == [0.65, 1.0, 0.25, 0.2, None, 0.0]
+    assert [r.k for r in got] == ["item", "term", "term", "term", "spell", "term"]
