@@ -119,7 +119,8 @@ def folded(rows: DataFrame, group: str, order: str, parts: list[Column], both: C
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = pa.Table.from_batches([batch]).append_column("n", pa.array(np.ones(batch.num_rows, np.int64)))
+            # Spark's fields may exclude nulls, those of what was held don't.
+            now = pa.table([*batch.columns, pa.array(np.ones(batch.num_rows, np.int64))], names=[*batch.schema.names, "n"])
             now = reduced(pa.concat_tables([held, now]) if held is not None else now)
             if now.num_rows > 1:
                 yield from now.slice(0, now.num_rows - 1).combine_chunks().to_batches()

@@ -190,3 +190,13 @@ def test_abbreviations_end_no_sentence(spark):
     text = "Dr. Who met Mrs. Hudson in Jan. at noon. J. Smith left! Was it so? See e.g. this one."
     got = spark.createDataFrame([(text,)], "t string").select(documents.sentences(F.col("t")).alias("s")).first().s
     assert got == ["Dr. Who met Mrs. Hudson in Jan. at noon.", "J. Smith left!", "Was it so?", "See e.g. this one."]
+
+
+def test_a_fold_of_several_batches(spark):
+    # Literals and coalesced values exclude nulls; two batches in a task.
+    rows = spark.range(0, 25_000, 1, 1).select(F.lit(1).alias("g"), F.col("id").alias("o"), (F.col("id") % 7 - 3).cast("double").alias("v"))
+    got = graph.clamped_fold(rows, "g", "o", "v", 50, -100, 100).collect()
+    now = 50.0
+    for k in range(25_000):
+        now = max(min(now + k % 7 - 3, 100.0), -100.0)
+    assert [(r.final, r.n) for r in got] == [(now, 25_000)]
