@@ -200,3 +200,11 @@ def test_a_fold_of_several_batches(spark):
     for k in range(25_000):
         now = max(min(now + k % 7 - 3, 100.0), -100.0)
     assert [(r.final, r.n) for r in got] == [(now, 25_000)]
+
+
+def test_an_average_of_several_batches(spark):
+    rows = spark.range(0, 25_000, 1, 1).select(F.lit(1).alias("g"), F.col("id").alias("o"), (F.col("id") % 7).cast("double").alias("v"))
+    now = 50.0
+    for k in range(25_000):
+        now = now * 0.9 + k % 7 * 0.1
+    assert [r.average for r in stateful.moving_average(rows, "g", "o", "v", 0.9, 50).collect()] == [pytest.approx(now)]
