@@ -38,7 +38,7 @@ def sentences(text: Column) -> Column:
     """Sentences: cut behind . ! ? before white space, unless an abbreviation or a single capital stands there."""
     short = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
     cut = F.split(text, rf"(?<=[.!?])(?<!(?:{short})\.)(?<!(?:^|\s)\p{{Lu}}\.)\s+")
-    return F.filter(F.transform(cut, F.trim), lambda s: s != "")
+    return F.filter(F.transform(cut, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def is_header(line: Column) -> Column:
@@ -163,7 +163,7 @@ def _refs(text: Column, kind: str) -> Column:
 def table_cells(line: Column) -> Column:
     """Cells of a line of a table, by bars, tabs or runs of spaces."""
     by = F.when(line.contains("|"), F.split(line, r"\s*\|\s*")).when(line.contains("\t"), F.split(line, "\t")).otherwise(F.split(line, " {2,}"))
-    return F.filter(F.transform(by, F.trim), lambda c: c != "")
+    return F.filter(F.transform(by, lambda c: F.trim(c)), lambda c: c != "")
 
 
 def embedding_text(chunk: Column, section: Column, kind: Column) -> Column:

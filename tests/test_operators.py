@@ -208,3 +208,9 @@ def test_an_average_of_several_batches(spark):
     for k in range(25_000):
         now = now * 0.9 + k % 7 * 0.1
     assert [r.average for r in stateful.moving_average(rows, "g", "o", "v", 0.9, 50).collect()] == [pytest.approx(now)]
+
+
+def test_digits_at_the_ends_of_pieces_stay(spark):
+    text = "Reouti anatha. 19.37.233.111 2. 22!"
+    row = spark.createDataFrame([(text, "0 | 10 | 21 | 1")], "t string, l string").select(documents.sentences(F.col("t")).alias("s"), documents.table_cells(F.col("l")).alias("c")).first()
+    assert row.s == ["Reouti anatha.", "19.37.233.111 2.", "22!"] and row.c == ["0", "10", "21", "1"]
