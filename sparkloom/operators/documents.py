@@ -221,7 +221,7 @@ def header_level(line: Column) -> Column:
     """1 for chapters, parts and appendices, 2 for sections and numbers like 3., 3 for numbers like 3.1, 4 for other short lines in capitals; else null."""
     low = F.trim(F.lower(line))
     capitals = (F.upper(line) == line) & line.rlike(r"[A-Z]{2}") & (F.length(line) <= 60)
-    return F.when(low.rlike(r"^(chapter|part|appendix)\b"), 1).when(low.rlike(r"^section\b|^\d+\.\s"), 2).when(low.rlike(r"^\d+\.\d+"), 3).when(capitals, 4)
+    return F.when(low.rlike("^" + T.whole("chapter|part|appendix")), 1).when(low.rlike("^" + T.whole("section") + r"|^\d+\.\s"), 2).when(low.rlike(r"^\d+\.\d+"), 3).when(capitals, 4)
 
 
 def region(text: Column) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from sparkloom.functions import text as T
+
 
 def detected(text: Column, indicators: dict[str, tuple[list[str], list[str]]], full: float = 3.0, least: float = 0.3) -> Column:
     """The label whose strong (1.0) and weak (0.3) indicators a text holds most, with a confidence that is full at ``full``; other below ``least``.
@@ -36,7 +38,7 @@ def contexts(text: Column, keywords: dict[str, dict[str, float]], strong: float
     low = F.lower(text)
     rows = []
     for name, words in sorted(keywords.items()):
-        parts = [F.when(low.rlike(rf"\b{w}\b"), v + (bonus if v >= strong else 0.0)).otherwise(0.0) for w, v in words.items()]
+        parts = [F.when(low.rlike(T.whole(w)), v + (bonus if v >= strong else 0.0)).otherwise(0.0) for w, v in words.items()]
         rows.append(F.struct((-F.round(reduce(lambda a, b: a + b, parts), 6)).alias("s"), F.lit(name).alias("name")))
     return F.transform(F.array_sort(F.array(*rows)), lambda r: F.struct(r["name"].alias("context"), (-r["s"]).alias("score")))
 
@@ -44,7 +46,7 @@ def contexts(text: Column, keywords: dict[str, dict[str, float]], strong: float
 def attributes(text: Column, vocabulary: dict[str, list[str]]) -> Column:
     """For each category the different words of it that a text holds whole, in the order they come: one pattern a category."""
     low = F.lower(text)
-    found = [F.array_distinct(F.regexp_extract_all(low, F.lit(rf"\b({'|'.join(w)})\b"), F.lit(1))).alias(c) for c, w in vocabulary.items()]
+    found = [F.array_distinct(F.regexp_extract_all(low, F.lit(T.whole(f"({'|'.join(w)})")), F.lit(1))).alias(c) for c, w in vocabulary.items()]
     return F.struct(*found)
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
-from sparkloom.operators import analytics, documents, graph, querytext, relational, retrieval, spans
+from sparkloom.operators import analytics, documents, extraction, graph, querytext, relational, retrieval, spans
 from sparkloom.sources import files, sinks
 from sparkloom.streaming import stateful
 
@@ -214,3 +214,10 @@ def test_digits_at_the_ends_of_pieces_stay(spark):
     text = "Reouti anatha. 19.37.233.111 2. 22!"
     row = spark.createDataFrame([(text, "0 | 10 | 21 | 1")], "t string, l string").select(documents.sentences(F.col("t")).alias("s"), documents.table_cells(F.col("l")).alias("c")).first()
     assert row.s == ["Reouti anatha.", "19.37.233.111 2.", "22!"] and row.c == ["0", "10", "21", "1"]
+
+
+def test_letters_beyond_ascii_end_a_word_as_in_sql(spark):
+    row = spark.createDataFrame([("etion | lesétionler, les_ and thé", "partÉ one")], "t string, l string").select(
+        extraction.contexts(F.col("t"), {"a": {"les": 0.8}, "b": {"and": 0.5}})[0].alias("c"), extraction.attributes(F.col("t"), {"x": ["les", "th", "an"]}).alias("a"), documents.header_level(F.col("l")).alias("h")
+    ).first()
+    assert tuple(row.c) == ("a", 1.3) and row.a.x == ["les", "th"] and row.h == 1
