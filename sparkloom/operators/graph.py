@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,16 +49,17 @@ def with_inverses(edges: DataFrame, kinds: dict[str, str]) -> DataFrame:
     return edges.unionByName(turned)
 
 
-def chains(nodes: DataFrame, key: str, parent: str, depth: int = 10) -> DataFrame:
+def chains(nodes: DataFrame, key: str, parent: str, depth: int | None = 10) -> DataFrame:
     """(id, path, problem): the way from the root to each node; problem is cycle or depth where the walk can't end.
 
-    ``depth`` joins of the frontier with the parents at most, each with the rows that still climb, as the step before wrote them.
+    ``depth`` joins of the frontier with the parents at most, each with the rows that still climb, as the step before wrote them;
+    without a depth as many as the longest way has, which ends as a cycle is a problem.
     """
     links = stored(nodes.select(F.col(key).alias("_id"), F.col(parent).alias("_parent")), "links")
     climbing = links.select(F.col("_id").alias("id"), F.array("_id").alias("path"), F.col("_parent").alias("next"))
     done = climbing.where("next is null").select("id", "path", F.lit(None).cast("string").alias("problem"))
     climbing = climbing.where("next is not null")
-    for _ in range(depth):
+    for _ in count() if depth is None else range(depth):
         cycle = F.array_contains("path", F.col("next"))
         done = done.unionByName(climbing.where(cycle).select("id", "path", F.lit("cycle").alias("problem")))
         step = climbing.where(~cycle).join(links, F.col("next") == F.col("_id")).select("id", F.concat(F.array("next"), F.col("path")).alias("path"), F.col("_parent").alias("next"))

@@ -179,7 +179,7 @@ def _tree(spark, sf_dir):
 UNION ALL SELECT w.id, CASE WHEN list_contains(path, next) THEN path ELSE list_prepend(next, path) END, CASE WHEN NOT list_contains(path, next) THEN t.parent END, CASE WHEN list_contains(path, next) THEN 'cycle' END FROM w JOIN t ON t.id = w.next WHERE w.next IS NOT NULL)
 SELECT id, array_to_string(path, '>') AS path, problem FROM w WHERE next IS NULL""")
 def inheritance_chain(spark, sf_dir):
-    return G.chains(_tree(spark, sf_dir), "id", "parent").select("id", F.concat_ws(">", F.transform("path", lambda x: x.cast("string"))).alias("path"), "problem")
+    return G.chains(_tree(spark, sf_dir), "id", "parent", None).select("id", F.concat_ws(">", F.transform("path", lambda x: x.cast("string"))).alias("path"), "problem")
 
 
 @_query(f"""WITH RECURSIVE {_TREE}, w AS (SELECT id AS node, id, 0 AS d FROM t UNION ALL SELECT node, parent, d + 1 FROM w JOIN t USING (id) WHERE parent IS NOT NULL)

@@ -221,3 +221,10 @@ def test_letters_beyond_ascii_end_a_word_as_in_sql(spark):
         extraction.contexts(F.col("t"), {"a": {"les": 0.8}, "b": {"and": 0.5}})[0].alias("c"), extraction.attributes(F.col("t"), {"x": ["les", "th", "an"]}).alias("a"), documents.header_level(F.col("l")).alias("h")
     ).first()
     assert tuple(row.c) == ("a", 1.3) and row.a.x == ["les", "th"] and row.h == 1
+
+
+def test_chains_of_any_depth(spark):
+    rows = [(k, k - 1 if k else None) for k in range(24)] + [(30, 31), (31, 30)]
+    found = {r.id: (r.path, r.problem) for r in graph.chains(spark.createDataFrame(rows, "id long, parent long"), "id", "parent", None).collect()}
+    assert all(found[k] == (list(range(k + 1)), None) for k in range(24))
+    assert found[30][1] == found[31][1] == "cycle" and len(found) == len(rows)
