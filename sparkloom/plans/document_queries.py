@@ -186,7 +186,7 @@ def inheritance_chain(spark, sf_dir):
 SELECT node AS id, 'k' || (p_size % 4) AS name, arg_min(p_size, d) AS value FROM w JOIN t USING (id) GROUP BY 1, 2""")
 def inherited_traits(spark, sf_dir):
     tree = _tree(spark, sf_dir)
-    paths = G.chains(tree, "id", "parent").where("problem is null")
+    paths = G.chains(tree, "id", "parent", None).where("problem is null")
     traits = tree.select("id", F.concat(F.lit("k"), F.col("p_size") % 4).alias("name"), F.col("p_size").alias("value"))
     return G.inherited(paths, traits, "name", "value")
 

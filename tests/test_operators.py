@@ -228,3 +228,10 @@ def test_chains_of_any_depth(spark):
     found = {r.id: (r.path, r.problem) for r in graph.chains(spark.createDataFrame(rows, "id long, parent long"), "id", "parent", None).collect()}
     assert all(found[k] == (list(range(k + 1)), None) for k in range(24))
     assert found[30][1] == found[31][1] == "cycle" and len(found) == len(rows)
+
+
+def test_traits_come_down_from_any_depth(spark):
+    nodes = spark.createDataFrame([(k, k - 1 if k else None) for k in range(20)], "id long, parent long")
+    traits = spark.createDataFrame([(0, "eyes", 1), (5, "eyes", 2), (0, "hair", 3)], "id long, name string, value int")
+    found = graph.inherited(graph.chains(nodes, "id", "parent", None).where("problem is null"), traits, "name", "value")
+    assert {(r.name, r.value) for r in found.where("id = 19").collect()} == {("eyes", 2), ("hair", 3)}
