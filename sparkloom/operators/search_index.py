@@ -1,6 +1,6 @@
 """A stored full-text index: blocks of postings with bounds and positions, a table of terms, and a dictionary of deletions.
 
-Documents are dealt into slots of about ``SLOT``.  A block has the postings of one
+Documents are dealt into slots of up to ``SLOT``, task by task.  A block has the postings of one
 term in one slot: ids, frequencies, sizes and positions, and the greatest weight
 that any of them can give.  Blocks lie in folders by hash of the term, sorted by
 term and slot, and are cut into files by number, so a word of every document is
@@ -16,9 +16,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from sparkloom.functions import text as T
 from sparkloom.sources.tables import shared_path, stored
@@ -27,80 +28,78 @@ from sparkloom.sources.tables import shared_path, stored
 K1, B = 1.2, 0.75
 #: Documents of a slot; rows of a file and of a folder; bytes of a row group.
 SLOT, FILE_ROWS, FOLDER_ROWS, GROUP_BYTES = 32, 250_000, 4_000_000, 2 << 20
+#: Files that a task of a shuffle can write to without a sort of its rows in memory; beyond them files grow up to so many times ``FILE_ROWS``.
+FEW_FILES, LARGER = 200, 32
 #: Slots with open blocks that are sent to all tasks at most.
 FEW_SLOTS = 1_000_000
-_POSTINGS = "id {id}, term string, size int, tf int, positions array<int>"
 
 
 def tokenised(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("id"), T.tokens(F.col(text)).alias("words"))
 
 
-def _postings(words: DataFrame) -> DataFrame:
-    """(id, term, size, tf, positions) of every term of every document, and a row without term for each document."""
-    kind = words.schema["id"].dataType
-    named = pa.int64() if kind.typeName() == "long" else None
+def _packing(mean: float, kind: DataType):
+    """Documents (id, words) as blocks: each task deals its documents into slots in the order they come, and packs them before anything is shuffled.
+
+    ``data`` has the frequencies of a block's postings, then the sizes of their documents, then all places, each as its
+    distance from the place before in the same document: most blocks have one posting, so a row is kept small.
+    """
+    ids_of = pa.int64() if kind.typeName() == "long" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 40
         for whole in batches:
-            for low in range(0, whole.num_rows, 1000):
-                batch = whole.slice(low, 1000)
+            for low in range(0, whole.num_rows, 32 * SLOT):
+                batch = whole.slice(low, 32 * SLOT)
                 lists = batch.column(1).fill_null([]) if batch.column(1).null_count else batch.column(1)
                 sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+                slots = -(-len(sizes) // SLOT)
+                first += slots
+                if not sizes.sum():
+                    continue
                 coded = lists.flatten().dictionary_encode()
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                key = owner * max(len(coded.dictionary), 1) + coded.indices.to_numpy()
+                key = owner // SLOT * len(coded.dictionary) + coded.indices.to_numpy()
                 order = np.argsort(key, kind="stable")
-                key = key[order]
-                start = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+                key, owner, place = key[order], owner[order], place[order]
+                block = np.append(True, key[1:] != key[:-1])
+                start = np.flatnonzero(block | np.append(True, owner[1:] != owner[:-1]))
                 tf = np.diff(np.append(start, len(key)))
-                of = owner[order][start]
-                rows = np.append(of, np.arange(len(sizes)))
-                none = len(sizes)
-                terms = pa.concat_arrays([coded.dictionary.take(pa.array(key[start] % max(len(coded.dictionary), 1))).cast(pa.string()), pa.nulls(none, pa.string())])
-                cuts = pa.array(np.append(np.append(start, len(key)), np.full(none, len(key))).astype(np.int32))
-                positions = pa.ListArray.from_arrays(cuts, pa.array(place[order].astype(np.int32)))
-                ids = batch.column(0).take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([ids.cast(named) if named else ids, terms, pa.array(sizes[rows].astype(np.int32)), pa.array(np.append(tf, np.zeros(none, np.int64)).astype(np.int32)), positions], names=["id", "term", "size", "tf", "positions"])
-
-    return words.select("id", "words").mapInArrow(run, _POSTINGS.format(id=kind.simpleString()))
-
-
-def _packing(mean: float):
-    """Sorted postings (id, term, size, tf, positions, slot) as blocks; the last run of a batch waits for the next one."""
-
-    def blocks(batch: pa.RecordBatch, start: np.ndarray, end: int) -> pa.RecordBatch:
-        tf, size = (batch.column(c).to_numpy()[:end].astype(np.float64) for c in ("tf", "size"))
-        most = np.maximum.reduceat(tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean)), start)
-        cuts = pa.array(np.append(start, end).astype(np.int32))
-        at = pa.array(start)
-        lists = [pa.ListArray.from_arrays(cuts, batch.column(c).slice(0, end)) for c in ("id", "tf", "size", "positions")]
-        n = pa.array(np.diff(np.append(start, end)).astype(np.int32))
-        return pa.RecordBatch.from_arrays([batch.column("term").take(at), batch.column("slot").take(at), n, pa.array(most), *lists], names=["term", "slot", "n", "most", "ids", "tfs", "sizes", "positions"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            fresh = np.ones(batch.num_rows, bool)
-            if batch.num_rows > 1:
-                slot, term = batch.column("slot").to_numpy(), batch.column("term")
-                fresh[1:] = (slot[1:] != slot[:-1]) | pc.not_equal(term.slice(1), term.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
-            start = np.flatnonzero(fresh)
-            last = int(start[-1])
-            if last:
-                yield blocks(batch, start[:-1], last)
-            held = batch.slice(last)
-        if held is not None:
-            yield blocks(held, np.zeros(1, np.int64), held.num_rows)
+                apart = np.diff(place, prepend=0)
+                apart[start] = place[start]
+                of = owner[start]
+                heads = np.flatnonzero(block[start])
+                size = sizes[of]
+                most = np.maximum.reduceat(tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean)), heads)
+                counts = np.diff(np.append(heads, len(start)))
+                cuts, data = _merged(counts, tf, size, apart, np.diff(np.append(start[heads], len(key))))
+                ids = batch.column(0).take(pa.array(of))
+                lists_ = [pa.ListArray.from_arrays(pa.array(np.append(heads, len(start)).astype(np.int32)), ids.cast(ids_of) if ids_of else ids), pa.ListArray.from_arrays(cuts, data)]
+                at = key[start[heads]]
+                terms = coded.dictionary.take(pa.array(at % len(coded.dictionary))).cast(pa.string())
+                slot = pa.array(first - slots + at // len(coded.dictionary))
+                yield pa.RecordBatch.from_arrays([terms, slot, pa.array(most), *lists_], names=["term", "slot", "most", "ids", "data"])
 
     return run
 
 
+def _parts(postings: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where each list of blocks starts, and where frequencies, sizes and places stand in it."""
+    base = np.append(0, np.cumsum(2 * postings + words))
+    tf = np.arange(postings.sum()) + np.repeat(base[:-1] - (np.cumsum(postings) - postings), postings)
+    place = np.arange(words.sum()) + np.repeat(base[:-1] + 2 * postings - (np.cumsum(words) - words), words)
+    return base, tf, tf + np.repeat(postings, postings), place
+
+
+def _merged(postings: np.ndarray, tf: np.ndarray, size: np.ndarray, apart: np.ndarray, words: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    base, *at = _parts(postings, words)
+    data = np.empty(base[-1], np.int32)
+    for where, values in zip(at, (tf, size, apart), strict=True):
+        data[where] = values
+    return pa.array(base.astype(np.int32)), pa.array(data)
+
+
 def _folder(key: Column, folders: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(folders)).cast("int")
 
@@ -108,22 +107,23 @@ def _folder(key: Column, folders: int) -> Column:
 class Sorted:
     """Rows stored by a string key: in folders by its hash, dealt out in a folder by hash of the key and ``also``, sorted in each file by both and ``then``.
 
-    A key of many rows is thus in all files of its folder, and one of few costs a look at their footers.  ``pack`` may
-    turn the sorted rows of a file into others, whose schema is ``packed``.
+    A key of many rows is thus in all files of its folder, and one of few costs a look at their footers.
     """
 
-    def __init__(self, rows: DataFrame, key: str, also: list[str], then: list[str], count: int, name: str, pack=None, packed: str | None = None) -> None:
+    def __init__(self, rows: DataFrame, key: str, also: list[str], then: list[str], count: int, name: str) -> None:
         self.spark, self.key = rows.sparkSession, key
-        self.folders = max(1, -(-count // FOLDER_ROWS))
+        per = FOLDER_ROWS // FILE_ROWS
+        total = max(1, min(-(-count // FILE_ROWS), FEW_FILES), -(-count // (LARGER * FILE_ROWS)))
+        self.folders = -(-total // per)
         self.path = shared_path(self.spark, name)
-        files = max(1, min(FOLDER_ROWS // FILE_ROWS, -(-count // FILE_ROWS)))
+        files = total // self.folders
         folder = _folder(F.col(key), self.folders)
         file = folder * files + F.pmod(F.xxhash64(F.lit(7), key, *also), F.lit(files)).cast("int")
-        dealt = rows.repartitionById(self.folders * files, file).sortWithinPartitions(key, *also, *then)
-        out = dealt.mapInArrow(pack, packed) if pack else dealt
-        kept = out.withColumn("folder", folder)
-        (kept.write.partitionBy("folder") if self.folders > 1 else out.write).option("parquet.block.size", GROUP_BYTES).parquet(self.path)
-        self._whole = self.spark.read.schema(kept.schema if self.folders > 1 else out.schema).parquet(self.path)
+        # Sorted by folder first, as the writer would do otherwise, once more.
+        kept = rows.withColumn("folder", folder) if self.folders > 1 else rows
+        dealt = kept.repartitionById(self.folders * files, file).sortWithinPartitions(*(["folder"] if self.folders > 1 else []), key, *also, *then)
+        (dealt.write.partitionBy("folder") if self.folders > 1 else dealt.write).option("parquet.block.size", GROUP_BYTES).parquet(self.path)
+        self._whole = self.spark.read.schema(dealt.schema).parquet(self.path)
 
     def rows(self) -> DataFrame:
         return self._whole.drop("folder")
@@ -142,18 +142,16 @@ class SearchIndex:
 
     def __init__(self, words: DataFrame) -> None:
         self.spark = words.sparkSession
-        rows = stored(_postings(words), "postings")
-        self.documents = rows.where("term is null").select("id", "size")
-        one = self.documents.agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
+        size = F.size(F.coalesce("words", F.array().cast("array<string>")))
+        one = words.agg(F.count("*").alias("n"), F.avg(size).alias("mean"), F.sum(size).alias("words")).first()
         self.n, self.mean = one.n, one.mean or 1.0
         self.slots = max(1, -(-self.n // SLOT))
-        held = rows.where("term is not null")
-        count = held.count()
-        slot = F.pmod(F.xxhash64("id"), F.lit(self.slots))
-        kind = words.schema["id"].dataType.simpleString()
-        packed = f"term string, slot long, n int, most double, ids array<{kind}>, tfs array<int>, sizes array<int>, positions array<array<int>>"
-        self.blocks = Sorted(held.withColumn("slot", slot), "term", ["slot"], ["id"], count, "blocks", _packing(self.mean), packed)
-        terms = self.blocks.rows().groupBy("term").agg(F.sum("n").alias("df"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
+        kind = words.schema["id"].dataType
+        packed = f"term string, slot long, most double, ids array<{kind.simpleString()}>, data array<int>"
+        blocks = words.select("id", "words").mapInArrow(_packing(self.mean, kind), packed)
+        self.blocks = Sorted(blocks, "term", ["slot"], [], (one.words or 0) // 2, "blocks")
+        # Of a posting, its frequency, its size and as many places as the frequency says.
+        terms = self.blocks.rows().groupBy("term").agg(F.sum(F.size("ids")).alias("df"), F.sum(F.size("data") - 2 * F.size("ids")).alias("n"))
         self.terms = stored(terms.repartitionByRange("term").sortWithinPartitions("term"), "terms")
         self._deletions: Sorted | None = None
 
@@ -310,9 +308,29 @@ def deletions(rows: DataFrame, name: str, wide: int) -> DataFrame:
 
 def _opened(blocks: DataFrame, positions: bool = False) -> DataFrame:
     """A row for each posting of some blocks."""
-    names = ["ids", "tfs", "sizes", *(["positions"] if positions else [])]
-    each = blocks.select("term", F.explode(F.arrays_zip(*names)).alias("p"))
-    return each.select("term", F.col("p.ids").alias("id"), F.col("p.tfs").alias("tf"), F.col("p.sizes").alias("size"), *([F.col("p.positions").alias("positions")] if positions else []))
+    n = F.size("ids")
+    if positions:
+        kind = blocks.schema["ids"].dataType.elementType.simpleString()
+        return blocks.select("term", "ids", "data").mapInArrow(_placed, f"term string, id {kind}, tf int, size int, positions array<int>")
+    each = blocks.select("term", F.explode(F.arrays_zip("ids", F.slice("data", F.lit(1), n).alias("tfs"), F.slice("data", n + 1, n).alias("sizes"))).alias("p"))
+    return each.select("term", F.col("p.ids").alias("id"), F.col("p.tfs").alias("tf"), F.col("p.sizes").alias("size"))
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks as postings with their places."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        n, length = (np.diff(c.offsets.to_numpy()).astype(np.int64) for c in batch.columns[1:])
+        data = batch.column(2).flatten().to_numpy()
+        _, *at = _parts(n, length - 2 * n)
+        tf, size, apart = (data[where] for where in at)
+        cuts = np.append(0, np.cumsum(tf, dtype=np.int64))
+        run = np.append(0, np.cumsum(apart, dtype=np.int64))
+        places = run[1:] - np.repeat(run[cuts[:-1]], tf)
+        lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(places.astype(np.int32)))
+        term = batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)))
+        yield pa.RecordBatch.from_arrays([term, batch.column(1).flatten(), pa.array(tf), pa.array(size), lists], names=["term", "id", "tf", "size", "positions"])
 
 
 def _shifted(places: Column, by: int) -> Column:

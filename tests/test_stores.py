@@ -365,3 +365,19 @@ def test_preprocessed_search_corrects_both_sides(spark):
 
     rows = retrieval.preprocessed(index, vectors, "id", "v", "  Dragn\tGOLD ", embed, {"gold": ["fire"]}, retrieval.Hybrid(0.5, 0.5, 5, 0.0)).collect()
     assert asked == ["dragon gold"] and len(rows) == 5 and rows[0].id == 3
+
+
+def test_an_index_is_written_without_a_sort_before_its_shuffle(spark):
+    # Up to 200 files the shuffle's writer keeps no rows in memory, so it can't spill.
+    rows = spark.range(6000).select(F.concat(F.lit("w"), (F.col("id") % 900).cast("string")).alias("k"), "id")
+    kept = search_index.Sorted(rows, "k", ["id"], [], 300 * search_index.FILE_ROWS, "few-files")
+    assert kept.folders > 1 and len(kept.rows().inputFiles()) <= 200 and kept.rows().count() == 6000
+    assert {r.id for r in kept.of(["w7", "w11"]).collect()} == {k for k in range(6000) if k % 900 in (7, 11)}
+
+
+def test_few_rows_of_a_frequent_term_are_shuffled(spark):
+    index = search_index.SearchIndex(search_index.tokenised(spark.createDataFrame([(k, "one two one") for k in range(640)], "id long, text string").coalesce(1), "id", "text"))
+    assert index.blocks.rows().count() == 2 * 640 // search_index.SLOT
+    held = search_index._opened(index.blocks.of(["one"]), positions=True).collect()
+    assert {r.id for r in held} == set(range(640)) and {(r.tf, r.size, *r.positions) for r in held} == {(2, 3, 0, 2)}
+    assert {(r.word, r.n) for r in index.dictionary().collect()} == {("one", 1280), ("two", 640)}
