@@ -254,8 +254,13 @@ def regions(text: Column, least: float = 0.5) -> Column:
     Blocks of under 20 bytes, and null ones, have none.  Evidence is counted in whole
     points, so that sums are exact.
     """
-    t = F.regexp_replace(text, r"^\s+|\s+$", "")
-    low = F.lower(t)
+    # Bound as a variable: each of the many tests would trim and lower the whole text again.
+    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.transform(F.array(F.struct(bare.alias("t"), F.lower(bare).alias("low"))), lambda x: _regions(x["t"], x["low"], least))[0]
+
+
+def _regions(t: Column, low: Column, least: float) -> Column:
+    """The regions of a block without the white space around, and in lower case."""
 
     def held(words, points: int) -> Column:
         return sum((F.when(low.contains(w), points).otherwise(0) for w in words), F.lit(0))
