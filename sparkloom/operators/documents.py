@@ -110,19 +110,22 @@ def overlapping_chunks(texts: DataFrame, key: str, text: str, size: int = 1000,
 
     Each chunk ends at the best boundary in its second half.  Null and empty texts have none.
     """
+    def pieces(data: str | None) -> Iterator[tuple[int, int, int, str]]:
+        start = number = 0
+        while data and start < len(data):
+            end = len(data) if len(data) - start <= size + least else _boundary(data, start + size, start + size // 2)
+            yield number, start, end, data[start:end]
+            if end == len(data):
+                break
+            start, number = max(end - overlap, start + 1), number + 1
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                start = number = 0
-                while data and start < len(data):
-                    end = len(data) if len(data) - start <= size + least else _boundary(data, start + size, start + size // 2)
-                    rows.append((k, number, start, end, data[start:end]))
-                    if end == len(data):
-                        break
-                    start, number = max(end - overlap, start + 1), number + 1
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["key", "number", "start", "end", "chunk"])
+        for whole in batches:
+            for low in range(0, whole.num_rows, 256):
+                batch = whole.slice(low, 256)
+                rows = [(k, *row) for k, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for row in pieces(data.as_py())]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["key", "number", "start", "end", "chunk"])
 
     return texts.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(cut, "key long, number int, start int, end int, chunk string")
 

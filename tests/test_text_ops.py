@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,3 +228,22 @@ def test_confidence_and_kind_of_links(spark):
     got = table.select("n", documents.link_confidence(F.col("score"), F.col("q"), F.col("content"), F.col("title"), F.col("kind")).alias("c"), documents.linked_kind(F.col("kind"), F.col("content")).alias("k")).orderBy("n").collect()
     assert [r.c and round(r.c, 6) for r in got] == [0.65, 1.0, 0.25, 0.2, None, 0.0]
     assert [r.k for r in got] == ["item", "term", "term", "term", "spell", "term"]
+
+
+def test_a_block_is_trimmed_once_for_all_tests(spark):
+    rows = spark.createDataFrame([("x",)], "t string").where("rand() > -1").select(documents.regions(F.col("t")).alias("r"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 2
+
+
+def test_chunks_leave_a_task_in_small_batches(spark):
+    class Rows:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = documents.overlapping_chunks(Rows(), "k", "t")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(["one two three. " * 300] * 1000)], names=["key", "text"])
+    sizes = [b.num_rows for b in run(iter([batch]))]
+    assert len(sizes) == 4 and max(sizes) <= 256 * 5 and sum(sizes) == 1000 * sizes[0] // 256
