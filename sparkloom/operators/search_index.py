@@ -1,4 +1,4 @@
-"""A stored full-text index: blocks of postings with bounds and positions, a table of terms, and a dictionary of deletions.
+"""A stored full-text index: blocks of postings with bounds and positions, and a table of terms.
 
 Documents are dealt into slots of up to ``SLOT``, task by task.  A block has the postings of one
 term in one slot: ids, frequencies, sizes and positions, and the greatest weight
@@ -17,7 +17,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
@@ -153,7 +153,6 @@ class SearchIndex:
         # Of a posting, its frequency, its size and as many places as the frequency says.
         terms = self.blocks.rows().groupBy("term").agg(F.sum(F.size("ids")).alias("df"), F.sum(F.size("data") - 2 * F.size("ids")).alias("n"))
         self.terms = stored(terms.repartitionByRange("term").sortWithinPartitions("term"), "terms")
-        self._deletions: Sorted | None = None
 
     def _gain(self, tf: Column, size: Column) -> Column:
         return tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / F.lit(self.mean)))
@@ -265,37 +264,26 @@ class SearchIndex:
     def corrected(self, words: list[str]) -> list[str]:
         """A query's words, those of five letters and more that the dictionary lacks by their nearest word in it.
 
-        Under nine letters one edit is allowed, else two; of equally near words the commonest, then the first.  The dictionary's
-        deletions are stored at the first use, by hash of what is left, so that a query reads the row groups of its own few.
+        Under nine letters one edit is allowed, else two; of equally near words the commonest, then the first.  The dictionary is
+        read once for all words of a query and each is compared with those of about its length, so that nothing is written and
+        only the nearest word of each is shuffled.
         """
         asked = sorted({w for w in words if len(w) >= 5})
         known = {r.word for r in self.dictionary().where(F.col("word").isin(asked)).collect()}
         open_ = [w for w in asked if w not in known]
         if not open_:
             return words
-        if self._deletions is None:
-            words_ = self.dictionary().where(F.length("word") >= 4)
-            size = F.length("word").cast("long")
-            count = words_.agg(F.sum(1 + size + F.when(size >= 7, size * (size - 1) / 2).otherwise(0))).first()[0] or 0
-            self._deletions = Sorted(deletions(words_, "word", 7).select(F.col("_left").alias("left"), "word", "n"), "left", [], ["word"], int(count), "deletions")
-        asking: dict[str, list[str]] = {}
-        for w in open_:
-            for x in sorted(_left_of(w)):
-                asking.setdefault(x, []).append(w)
-        table = F.create_map(*(c for x, ws in asking.items() for c in (F.lit(x), F.array(*map(F.lit, ws)))))
-        found = self._deletions.of(sorted(asking)).select(F.explode(table[F.col("left")]).alias("typed"), "word", "n").distinct()
-        near = found.withColumn("distance", F.levenshtein("typed", "word")).where(F.col("distance") <= F.when(F.length("typed") < 9, 1).otherwise(2))
-        first = F.row_number().over(Window.partitionBy("typed").orderBy("distance", F.desc("n"), "word"))
-        best = dict(near.withColumn("_k", first).where("_k = 1").select("typed", "word").collect())
+        edits = {w: 1 if len(w) < 9 else 2 for w in open_}
+        # A few rows for each word of the query.
+        lengths = self.spark.createDataFrame([(w, e, n) for w, e in edits.items() for n in range(len(w) - e, len(w) + e + 1)], "typed string, edits int, size int")
+        listed = self.dictionary().where(F.length("word") >= 4).withColumn("size", F.length("word"))
+        distance = F.levenshtein("typed", "word")
+        near = listed.join(F.broadcast(lengths), "size").withColumn("distance", distance).where(F.col("distance") <= F.col("edits"))
+        first = near.groupBy("typed").agg(F.min(F.struct("distance", (-F.col("n")).alias("less"), "word")).alias("best"))
+        best = dict(first.select("typed", "best.word").collect())
         return [best.get(w, w) for w in words]
 
 
-def _left_of(word: str) -> set[str]:
-    """A word and what is left of it without a letter, from seven letters on without two."""
-    one = {word[:k] + word[k + 1 :] for k in range(len(word))}
-    return {word} | one | ({x[:k] + x[k + 1 :] for x in one for k in range(len(x))} if len(word) >= 7 else set())
-
-
 def deletions(rows: DataFrame, name: str, wide: int) -> DataFrame:
     """A row for each string that is left of ``name`` when up to one letter, from ``wide`` letters on up to two, are taken out, as ``_left``."""
     def without_one(w: Column) -> Column:

@@ -381,3 +381,32 @@ def test_few_rows_of_a_frequent_term_are_shuffled(spark):
     held = search_index._opened(index.blocks.of(["one"]), positions=True).collect()
     assert {r.id for r in held} == set(range(640)) and {(r.tf, r.size, *r.positions) for r in held} == {(2, 3, 0, 2)}
     assert {(r.word, r.n) for r in index.dictionary().collect()} == {("one", 1280), ("two", 640)}
+
+
+def test_words_are_corrected_without_a_table_of_deletions(spark, monkeypatch):
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choices("abcé", k=rng.randint(3, 11))) for _ in range(400)})
+    rows = [(k, f"{w} " * rng.randint(2, 4)) for k, w in enumerate(words)]
+    index = search_index.SearchIndex(search_index.tokenised(spark.createDataFrame(rows, "id long, text string"), "id", "text"))
+    counts = {r.word: r.n for r in index.dictionary().collect()}
+    # Nothing is written for a query.
+    monkeypatch.setattr(search_index, "Sorted", None)
+    monkeypatch.setattr(search_index, "stored", None)
+    asked = ["".join(rng.choices("abcé", k=rng.randint(4, 11))) for _ in range(80)]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    def nearest(word):
+        if len(word) < 5 or word in counts:
+            return word
+        near = [(d, -n, w) for w, n in counts.items() if len(w) >= 4 and (d := edits(word, w)) <= (1 if len(word) < 9 else 2)]
+        return min(near, key=lambda x: (x[:2], x[2].encode()))[2] if near else word
+
+    got = index.corrected(asked)
+    assert got == [nearest(w) for w in asked] and sum(a != b for a, b in zip(asked, got, strict=True)) > 10
