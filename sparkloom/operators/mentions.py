@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,9 @@ VOCABULARY_BYTES = 8 << 20
 #: Rows of a batch that a task gives.
 OUT_ROWS = 4096
 
+#: Texts whose references a task keeps for when they come again, and characters of the longest one.
+KEPT_TEXTS, KEPT_LENGTH = 4096, 300
+
 
 class _Named(Greedy):
     """Spans that are kept, with what belongs to them."""
@@ -171,12 +175,25 @@ def references_in(text: str) -> list[tuple]:
     return out
 
 
+def _read(text: str, known: dict[str, list[tuple]], least: float) -> list[tuple]:
+    """The references of a text that are sure enough, from those a task has read before if it is among them."""
+    found = known.get(text)
+    if found is None:
+        found = [r for r in references_in(text) if r[4] >= least]
+        if len(text) <= KEPT_LENGTH:
+            if len(known) == KEPT_TEXTS:
+                known.clear()
+            known[text] = found
+    return found
+
+
 def references(texts: DataFrame, key: str, text: str, least: float = 0.0) -> DataFrame:
     """(key, kind, target, low, high, confidence, start, end) of references to pages, chapters, sections, tables, figures and appendices in texts.
 
     Abbreviations, quoted names, roman numerals, ranges and lists are read; ``low`` and
     ``high`` are numbers where the target is a number or a range.  A list gives a row for
     each of its numbers, at one place.  References don't overlap.  Null and empty texts have none.
+    A text that many rows of a batch have, or, if short, that came before in the task, is read once.
     """
     rows = texts.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     schema = StructType([rows.schema["key"], *StructType.fromDDL("kind string, target string, low long, high long, confidence double, start long, end long").fields])
@@ -185,11 +202,24 @@ def references(texts: DataFrame, key: str, text: str, least: float = 0.0) -> Dat
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
+        parts = pa.schema(list(arrow)[1:])
+        known: dict[str, list[tuple]] = {}
         for batch in batches:
-            out: list[tuple] = []
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out += [(k, *r) for r in references_in(data or "") if r[4] >= least]
-            for at in range(0, len(out), OUT_ROWS):
-                yield _batch(out[at : at + OUT_ROWS], arrow)
+            coded = batch.column(1).dictionary_encode()
+            each = [_read(t, known, least) for t in coded.dictionary.to_pylist()]
+            made = [r for found in each for r in found]
+            if not made:
+                continue
+            # The references of each text once, then one copy for each row that has it.
+            table = _batch(made, parts)
+            counts = np.array([len(found) for found in each])
+            rows = np.flatnonzero(coded.indices.is_valid().to_numpy(zero_copy_only=False))
+            code = coded.indices.drop_null().to_numpy()
+            n = counts[code]
+            first = np.cumsum(counts)[code] - np.cumsum(n)
+            of, at = np.repeat(rows, n), np.arange(n.sum()) + np.repeat(first, n)
+            for low in range(0, len(at), OUT_ROWS):
+                end = low + OUT_ROWS
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[low:end])), *table.take(pa.array(at[low:end])).columns], schema=arrow)
 
     return rows.mapInArrow(find, schema).withColumnRenamed("key", key)

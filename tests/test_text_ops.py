@@ -247,3 +247,18 @@ def test_chunks_leave_a_task_in_small_batches(spark):
     batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(["one two three. " * 300] * 1000)], names=["key", "text"])
     sizes = [b.num_rows for b in run(iter([batch]))]
     assert len(sizes) == 4 and max(sizes) <= 256 * 5 and sum(sizes) == 1000 * sizes[0] // 256
+
+
+def test_equal_texts_are_read_once(spark, monkeypatch):
+    texts = ["See page 4 and tables 1, 2", None, "", "nothing", "Chapter IV"]
+    rows = spark.createDataFrame([(k, texts[k % 5]) for k in range(20_000)], "id long, t string").coalesce(1)
+    for least, count in ((0.0, 16_000), (0.9, 4000)):
+        got = [tuple(r) for r in mentions.references(rows, "id", "t", least).collect()]
+        want = [(k, *r) for k in range(20_000) for r in mentions.references_in(texts[k % 5] or "") if r[4] >= least]
+        assert len(got) == count and sorted(got, key=lambda r: (r[0], r[2])) == sorted(want, key=lambda r: (r[0], r[2]))
+    asked, plain = [], mentions.references_in
+    monkeypatch.setattr(mentions, "references_in", lambda text: asked.append(text) or plain(text))
+    known, long = {}, "page 7" + " " * mentions.KEPT_LENGTH
+    for text in ("Chapter IV", "Chapter IV", long, long):
+        assert mentions._read(text, known, 0.0) == plain(text)
+    assert asked == ["Chapter IV", long, long] and list(known) == ["Chapter IV"]
