@@ -305,9 +305,10 @@ def two_phase_ingest(spark, sf_dir):
     I.ingest_pages(store, pages.drop("lang"), sizes)
     before = store.read("raw").select("item_id", "page", F.col("hash").alias("was"))
     I.ingest_pages(store, pages.withColumn("text", F.when(F.col("lang") == "fr", F.concat(F.lit("again: "), "text")).otherwise(F.col("text"))).drop("lang"), sizes)
-    raw = store.read("raw").join(before, ["item_id", "page"])
+    # The joins need no text, so none is shuffled for them.
+    raw = store.read("raw").select("item_id", "page", "raw_id", "hash", F.length("text").alias("length"), (F.trim("text") != "").alias("filled")).join(before, ["item_id", "page"])
     cited = store.read("chunks").select(F.explode("source_ids").alias("raw_id")).distinct().withColumn("cited", F.lit(True))
-    rows = raw.join(cited, "raw_id", "left").groupBy("item_id").agg(F.sum(F.length("text")).alias("chars"), F.count_if(F.col("hash") != F.col("was")).alias("changed"), F.count_if(F.col("cited").isNull() & (F.trim("text") != "")).alias("without_chunk"))
+    rows = raw.join(cited, "raw_id", "left").groupBy("item_id").agg(F.sum("length").alias("chars"), F.count_if(F.col("hash") != F.col("was")).alias("changed"), F.count_if(F.col("cited").isNull() & F.col("filled")).alias("without_chunk"))
     return store.read("items").join(rows, "item_id").select("item_id", "pages", "status", "chars", "changed", "without_chunk")
 
 

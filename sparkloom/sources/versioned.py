@@ -90,17 +90,23 @@ class Store:
         """The rows of a table as of a version, the last one if none is named; null if it never had any."""
         version = self.latest() if version is None else version
         folders = [f for f in (self._manifest(version)["folders"] if version else []) if f["table"] == table]
-        data = [self._folder(f) for f in folders if f["kind"] == "rows"]
+        data = [f for f in folders if f["kind"] == "rows"]
         if not data:
             return None
-        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), data)
-        gone = [self._folder(f) for f in folders if f["kind"] == "keys"]
-        if gone:
+        gone = [f for f in folders if f["kind"] == "keys"]
+        # What came with the last deletions or after them is there as a whole, without a join.
+        last_gone = max((f["version"] for f in gone), default=0)
+        older, whole = [[self._folder(f) for f in data if (f["version"] < last_gone) == o] for o in (True, False)]
+        if older:
             keys = self.keys[table]
-            last = reduce(DataFrame.unionByName, (g.select(*keys, "_version") for g in gone)).groupBy(*keys).agg(F.max("_version").alias("_gone"))
+            rows = _united(older)
+            # Deletions count for rows of older versions only, so those up to the oldest rows delete nothing.
+            oldest = min(f["version"] for f in data)
+            gone = [f for f in gone if f["version"] > oldest]
+            last = reduce(DataFrame.unionByName, (self._folder(f).select(*keys, "_version") for f in gone)).groupBy(*keys).agg(F.max("_version").alias("_gone"))
             same = reduce(Column.__and__, (rows[k].eqNullSafe(last[k]) for k in keys))
-            rows = rows.join(last, same & (rows["_version"] < last["_gone"]), "left_anti")
-        return rows.drop("_version")
+            older = [rows.join(last, same & (rows["_version"] < last["_gone"]), "left_anti")]
+        return _united([*older, *whole]).drop("_version")
 
     def _folder(self, folder: dict) -> DataFrame:
         from pyspark.sql.types import StructType
@@ -145,6 +151,10 @@ class Store:
         return version
 
 
+def _united(folders: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), folders)
+
+
 def chunk_store(spark: SparkSession, path: str | None = None) -> Store:
     """A library's items by item_id, and their chunks by item_id and chunk_index."""
     return Store(spark, {"items": ["item_id"], "chunks": ["item_id", "chunk_index"]}, path)

@@ -410,3 +410,22 @@ def test_words_are_corrected_without_a_table_of_deletions(spark, monkeypatch):
 
     got = index.corrected(asked)
     assert got == [nearest(w) for w in asked] and sum(a != b for a, b in zip(asked, got, strict=True)) > 10
+
+
+def test_rows_of_the_last_deletions_are_read_without_a_join(spark):
+    store = versioned.Store(spark, {"raw": ["k"]})
+
+    def joins():
+        return store.read("raw")._jdf.queryExecution().optimizedPlan().toString().count("Join")
+
+    def held():
+        return "".join(sorted(r.v for r in store.read("raw").collect()))
+
+    store.upsert("raw", spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k long, v string"))
+    assert joins() == 0 and held() == "abc"
+    store.upsert("raw", spark.createDataFrame([(2, "d"), (3, "e"), (None, "f")], "k long, v string"))
+    assert joins() == 1 and held() == "adef"
+    store.commit([store.stage(spark.createDataFrame([(4, "g")], "k long, v string"), "raw")], store.latest())
+    assert joins() == 1 and held() == "adefg"
+    store.delete("raw", F.col("v").isin("d", "g"))
+    assert held() == "aef"
