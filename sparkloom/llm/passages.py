@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import mixed, numbered, saved, sized, slices
+from sparkloom.llm.common import likely, mixed, numbered, saved, sized, slices
 from sparkloom.llm.words import by_bytes, grams, hashed, word_hashes
 
 K, RATE, WINDOW, MIN_WORDS, LEAST_SHARE = 5, 7, 16, 50, 0.8
@@ -340,7 +340,8 @@ def _slices(docs: DataFrame, chains: DataFrame) -> DataFrame:
     def made(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary()), strict=True)], names=[*key, "side", "low", "places", "words"])
 
-    joined = docs.join(asked, F.col("doc_id") == F.col("id")).select("text", "asked")
+    # Most texts are asked for nothing and aren't shuffled.
+    joined = likely(docs, "doc_id", counts).join(asked, F.col("doc_id") == F.col("id")).select("text", "asked")
     return joined.mapInArrow(cut, "doc long, other long, number int, side int, low int, places array<int>, words binary")
 
 
@@ -499,7 +500,7 @@ def _equal_runs(docs: DataFrame, places: DataFrame) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(at))], names=["key", "doc", "place"])
 
-    joined = docs.join(sized(wanted), F.col("doc_id") == F.col("id")).select("doc_id", "text", "lows", "highs")
+    joined = likely(docs, "doc_id", wanted).join(sized(wanted), F.col("doc_id") == F.col("id")).select("doc_id", "text", "lows", "highs")
     runs = _shared(saved(joined.mapInArrow(cut, "key long, doc long, place int"), "runs"), "shared-runs")
     matches = _matches(runs).select("doc", "other", (F.col("x") - F.col("y")).alias("diagonal"), "x")
 

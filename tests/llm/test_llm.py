@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe, caps, media, minhash, packing, passages, repair, secrets, toxicity, warc
+from sparkloom.llm.common import likely
 from sparkloom.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -350,6 +352,19 @@ def shared_words(texts):
     return {(i, p) for h in holders.values() for i, k in h if i > min(h)[0] for p in range(k, k + 50)}
 
 
+def test_texts_that_no_chain_asks_for_are_not_shuffled(spark):
+    rows = spark.range(20_000).select("id", F.col("id").cast("string").alias("text")).union(spark.sql("select null, 'no id'"))
+    ids = spark.range(7, 20_000, 97).select((F.col("id") + 0).alias("id"))
+    got = likely(rows.withColumnRenamed("id", "doc_id"), "doc_id", ids)
+    found = [r.doc_id for r in got.collect()]
+    assert got.columns == ["doc_id", "text"] and len(found) == len(set(found)) < 2 * 207 and set(range(7, 20_000, 97)) <= set(found)
+    assert likely(rows, "id", ids.limit(0)).count() == 0
+    docs = rows.select(F.col("id").alias("doc_id"), "text")
+    chains = spark.createDataFrame([(1, 0, 0, [0, 9], [0, 9])], "doc long, other long, number int, xs array<int>, ys array<int>")
+    slices = passages._slices(docs, chains)
+    assert slices.count() == 2 and "_bits" in slices._jdf.queryExecution().toString()
+
+
 def test_passages_of_frequent_lines(spark):
     rng = random.Random(11)
     lines = [words(rng.randint(12, 30), 900 + k) for k in range(12)]
