@@ -38,9 +38,9 @@ TRAIN_ROWS = 20_000
 #: Pseudo-rows that stand for no evidence; standard errors taken off a weight; least weight of an n-gram that counts; least toxic rows that hold it, and their least share.
 PRIOR_ROWS, DOUBT, LEAST_WEIGHT, LEAST_ROWS, LEAST_PART = 10.0, 1.0, 1.0, 3, 0.001
 #: Words whose letters a task counts together.
-COUNTED_WORDS = 200_000
-#: Characters of the words whose weights a task keeps; n-grams that it holds before it hands their counts on.
-KEPT_CHARS, HELD_GRAMS = 6_000_000, 1_000_000
+COUNTED_WORDS = 100_000
+#: Characters of the words whose weights a task keeps, words that are read together; n-grams that it holds before it hands their counts on.
+KEPT_CHARS, READ_WORDS, HELD_GRAMS = 1_000_000, 4_000, 500_000
 GRAMS = (5, 6)
 #: Strongest words of a text that count together.
 TOP = 3
@@ -284,13 +284,14 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.cumsum(lengths + 1) - lengths - 1
     owner = np.repeat(np.arange(len(words)), lengths + 1)
     inside = np.arange(len(owner)) - starts[owner]
+    parts = [mixed(c[np.minimum(np.arange(len(owner)) + k, len(c) - 1)] * _PLACES[k]) for k in range(GRAMS[-1])]
     rows, grams = [], []
     for n in GRAMS:
         width = np.minimum(lengths + 2, n)
+        wide = width[owner]
         h = np.zeros(len(owner), np.uint64)
         for k in range(n):
-            part = mixed(c[np.minimum(np.arange(len(owner)) + k, len(c) - 1)] * _PLACES[k])
-            h += np.where(k < width[owner], part, np.uint64(n if n == GRAMS[0] else 0))
+            h += np.where(k < wide, parts[k], np.uint64(n if n == GRAMS[0] else 0))
         keep = inside <= (lengths + 2 - width)[owner]
         if n > GRAMS[0]:
             keep &= (lengths + 2 >= n)[owner]
@@ -300,11 +301,12 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Words:
-    """Weights of raw words, kept up to a bound."""
+    """Weights of raw words, kept up to a bound: those seen lately, and those seen since as many other characters before."""
 
     def __init__(self, model: np.ndarray, grams: np.ndarray, weights: np.ndarray) -> None:
         self._model, self._sorted, self._weights = model, grams, weights
         self._kept: dict[str, float] = {}
+        self._before: dict[str, float] = {}
         self._chars = 0
 
     def learn(self, texts: list[list[str]]) -> None:
@@ -312,12 +314,18 @@ class _Words:
         for t in texts:
             seen.update(t)
         if self._chars > KEPT_CHARS:
-            self._kept, self._chars = {}, 0
-        raw = list(seen - self._kept.keys())
-        self._chars += sum(map(len, raw))
-        for lo in range(0, len(raw), 20_000):
-            part = raw[lo : lo + 20_000]
-            self._kept.update(zip(part, self._weigh(part).tolist(), strict=True))
+            self._kept, self._before, self._chars = {}, self._kept, 0
+        raw = []
+        for w in seen - self._kept.keys():
+            if (known := self._before.get(w)) is None:
+                raw.append(w)
+            else:
+                self._kept[w] = known
+            self._chars += len(w)
+        for lo in range(0, len(raw), READ_WORDS):
+            part = raw[lo : lo + READ_WORDS]
+            # Most words weigh nothing and share one zero.
+            self._kept.update(zip(part, (x or 0.0 for x in self._weigh(part).tolist()), strict=True))
 
     def _weigh(self, raw: list[str]) -> np.ndarray:
         out = np.zeros(len(raw))

@@ -542,6 +542,17 @@ def test_toxicity(spark, docs, none):
     assert toxicity.toxicity(none, y).count() == 0
 
 
+def test_what_a_task_keeps_of_words_is_bounded():
+    held = toxicity._Words(np.zeros((toxicity.SIZE,) * 3), np.empty(0, np.int64), np.empty(0))
+    most = 0
+    for k in range(8):
+        texts = [f"word{k}x{i} again" for i in range(60_000)]
+        x = held.evidence_of(texts)
+        assert x.shape == (60_000, 2) and not x.any()
+        most = max(most, sum(sys.getsizeof(x) + sum(map(sys.getsizeof, x)) for x in vars(held).values() if isinstance(x, dict)))
+    assert most < 30e6
+
+
 def test_combined_disguises_are_read(spark):
     plain = "idiot clown ass shit " * 30 + words(300, 12)
     model = toxicity.character_model(spark.createDataFrame([(plain,)], "text string"))
