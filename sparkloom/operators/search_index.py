@@ -30,6 +30,8 @@ K1, B = 1.2, 0.75
 SLOT, FILE_ROWS, FOLDER_ROWS, GROUP_BYTES = 32, 250_000, 4_000_000, 2 << 20
 #: Files that a task of a shuffle can write to without a sort of its rows in memory; beyond them files grow up to so many times ``FILE_ROWS``.
 FEW_FILES, LARGER = 200, 32
+#: Slots whose blocks of one term are a row; what a row has of each block.
+TOGETHER, _BLOCKS = 32, ["apart", "postings", "length", "most"]
 #: Slots with open blocks that are sent to all tasks at most.
 FEW_SLOTS = 1_000_000
 
@@ -42,15 +44,17 @@ def _packing(mean: float, kind: DataType):
     """Documents (id, words) as blocks: each task deals its documents into slots in the order they come, and packs them before anything is shuffled.
 
     ``data`` has the frequencies of a block's postings, then the sizes of their documents, then all places, each as its
-    distance from the place before in the same document: most blocks have one posting, so a row is kept small.
+    distance from the place before in the same document.  A row has a term's blocks of ``TOGETHER`` slots one behind the
+    other (``_split`` parts them), from ``slot`` on, and of each block its slot's distance from that, its postings, the length of
+    its data and its bound: most blocks have one posting, and a row of each would be mostly frame.
     """
     ids_of = pa.int64() if kind.typeName() == "long" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
         for whole in batches:
-            for low in range(0, whole.num_rows, 32 * SLOT):
-                batch = whole.slice(low, 32 * SLOT)
+            for low in range(0, whole.num_rows, TOGETHER * SLOT):
+                batch = whole.slice(low, TOGETHER * SLOT)
                 lists = batch.column(1).fill_null([]) if batch.column(1).null_count else batch.column(1)
                 sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
                 slots = -(-len(sizes) // SLOT)
@@ -60,7 +64,7 @@ def _packing(mean: float, kind: DataType):
                 coded = lists.flatten().dictionary_encode()
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                key = owner // SLOT * len(coded.dictionary) + coded.indices.to_numpy()
+                key = coded.indices.to_numpy().astype(np.int64) * slots + owner // SLOT
                 order = np.argsort(key, kind="stable")
                 key, owner, place = key[order], owner[order], place[order]
                 block = np.append(True, key[1:] != key[:-1])
@@ -73,13 +77,18 @@ def _packing(mean: float, kind: DataType):
                 size = sizes[of]
                 most = np.maximum.reduceat(tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean)), heads)
                 counts = np.diff(np.append(heads, len(start)))
-                cuts, data = _merged(counts, tf, size, apart, np.diff(np.append(start[heads], len(key))))
+                words = np.diff(np.append(start[heads], len(key)))
+                data = _merged(counts, tf, size, apart, words)
                 ids = batch.column(0).take(pa.array(of))
-                lists_ = [pa.ListArray.from_arrays(pa.array(np.append(heads, len(start)).astype(np.int32)), ids.cast(ids_of) if ids_of else ids), pa.ListArray.from_arrays(cuts, data)]
                 at = key[start[heads]]
-                terms = coded.dictionary.take(pa.array(at % len(coded.dictionary))).cast(pa.string())
-                slot = pa.array(first - slots + at // len(coded.dictionary))
-                yield pa.RecordBatch.from_arrays([terms, slot, pa.array(most), *lists_], names=["term", "slot", "most", "ids", "data"])
+                rows = np.flatnonzero(np.append(True, at[1:] // slots != at[:-1] // slots))
+                blocks, postings = np.append(rows, len(at)), np.append(heads, len(start))
+                # Rounded up: a bound stays one.
+                each = [(at % slots).astype(np.int8), counts.astype(np.int32), (2 * counts + words).astype(np.int32), np.nextafter(most.astype(np.float32), np.float32(np.inf))]
+                lists_ = [*((blocks, pa.array(x)) for x in each), (postings[blocks], ids.cast(ids_of) if ids_of else ids), (np.append(0, np.cumsum(2 * counts + words))[blocks], data)]
+                terms = coded.dictionary.take(pa.array(at[rows] // slots)).cast(pa.string())
+                slot = pa.array(np.full(len(rows), first - slots))
+                yield pa.RecordBatch.from_arrays([terms, slot, *(pa.ListArray.from_arrays(pa.array(c.astype(np.int32)), x) for c, x in lists_)], names=["term", "slot", *_BLOCKS, "ids", "data"])
 
     return run
 
@@ -92,12 +101,26 @@ def _parts(postings: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndar
     return base, tf, tf + np.repeat(postings, postings), place
 
 
-def _merged(postings: np.ndarray, tf: np.ndarray, size: np.ndarray, apart: np.ndarray, words: np.ndarray) -> tuple[pa.Array, pa.Array]:
+def _merged(postings: np.ndarray, tf: np.ndarray, size: np.ndarray, apart: np.ndarray, words: np.ndarray) -> pa.Array:
     base, *at = _parts(postings, words)
     data = np.empty(base[-1], np.int32)
     for where, values in zip(at, (tf, size, apart), strict=True):
         data[where] = values
-    return pa.array(base.astype(np.int32)), pa.array(data)
+    return pa.array(data)
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of rows, a row for each."""
+    for whole in batches:
+        for low in range(0, whole.num_rows, 1000):
+            batch = whole.slice(low, 1000)
+            n = np.diff(batch.column(2).offsets.to_numpy())
+            of = np.repeat(np.arange(len(n)), n)
+            apart, postings, length, most, ids, data = (c.flatten() for c in batch.columns[2:])
+            cuts = [pa.array(np.append(0, np.cumsum(x.to_numpy())).astype(np.int32)) for x in (postings, length)]
+            slot = pa.array(batch.column(1).to_numpy()[of] + apart.to_numpy())
+            lists = [pa.ListArray.from_arrays(c, x) for c, x in zip(cuts, (ids, data), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), slot, most, *lists], names=["term", "slot", "most", "ids", "data"])
 
 
 def _folder(key: Column, folders: int) -> Column:
@@ -122,7 +145,7 @@ class Sorted:
         # Sorted by folder first, as the writer would do otherwise, once more.
         kept = rows.withColumn("folder", folder) if self.folders > 1 else rows
         dealt = kept.repartitionById(self.folders * files, file).sortWithinPartitions(*(["folder"] if self.folders > 1 else []), key, *also, *then)
-        (dealt.write.partitionBy("folder") if self.folders > 1 else dealt.write).option("parquet.block.size", GROUP_BYTES).parquet(self.path)
+        (dealt.write.partitionBy("folder") if self.folders > 1 else dealt.write).option("parquet.block.size", GROUP_BYTES).option("compression", "zstd").parquet(self.path)
         self._whole = self.spark.read.schema(dealt.schema).parquet(self.path)
 
     def rows(self) -> DataFrame:
@@ -137,6 +160,29 @@ class Sorted:
         return whole.where(F.col(self.key).isin(keys)).drop("folder")
 
 
+class Blocks:
+    """The stored blocks of an index; they are stored and shuffled with those of ``TOGETHER`` slots in one row."""
+
+    def __init__(self, words: DataFrame, mean: float, count: int) -> None:
+        kind = words.schema["id"].dataType.simpleString()
+        packed = f"term string, slot long, apart array<tinyint>, postings array<int>, length array<int>, most array<float>, ids array<{kind}>, data array<int>"
+        self._schema = f"term string, slot long, most float, ids array<{kind}>, data array<int>"
+        self.sorted = Sorted(words.select("id", "words").mapInArrow(_packing(mean, words.schema["id"].dataType), packed), "term", ["slot"], [], count, "blocks")
+
+    def rows(self) -> DataFrame:
+        """(term, slot, most, ids, data) of all blocks."""
+        return self.sorted.rows().mapInArrow(_split, self._schema)
+
+    def of(self, keys: list[str]) -> DataFrame:
+        """The blocks of some terms."""
+        return self.sorted.of(keys).mapInArrow(_split, self._schema)
+
+    def heads(self, keys: list[str]) -> DataFrame:
+        """(term, slot, most) of the blocks of some terms; no postings are read."""
+        rows = self.sorted.of(keys).select("term", "slot", F.explode(F.arrays_zip("apart", "most")).alias("b"))
+        return rows.select("term", (F.col("slot") + F.col("b.apart")).alias("slot"), F.col("b.most").cast("double").alias("most"))
+
+
 class SearchIndex:
     """The index of a corpus of tokenised documents (id, words), in the shared folder."""
 
@@ -146,12 +192,9 @@ class SearchIndex:
         one = words.agg(F.count("*").alias("n"), F.avg(size).alias("mean"), F.sum(size).alias("words")).first()
         self.n, self.mean = one.n, one.mean or 1.0
         self.slots = max(1, -(-self.n // SLOT))
-        kind = words.schema["id"].dataType
-        packed = f"term string, slot long, most double, ids array<{kind.simpleString()}>, data array<int>"
-        blocks = words.select("id", "words").mapInArrow(_packing(self.mean, kind), packed)
-        self.blocks = Sorted(blocks, "term", ["slot"], [], (one.words or 0) // 2, "blocks")
+        self.blocks = Blocks(words, self.mean, (one.words or 0) // 2)
         # Of a posting, its frequency, its size and as many places as the frequency says.
-        terms = self.blocks.rows().groupBy("term").agg(F.sum(F.size("ids")).alias("df"), F.sum(F.size("data") - 2 * F.size("ids")).alias("n"))
+        terms = self.blocks.sorted.rows().groupBy("term").agg(F.sum(F.size("ids")).alias("df"), F.sum(F.size("data") - 2 * F.size("ids")).alias("n"))
         self.terms = stored(terms.repartitionByRange("term").sortWithinPartitions("term"), "terms")
 
     def _gain(self, tf: Column, size: Column) -> Column:
@@ -172,7 +215,7 @@ class SearchIndex:
 
     def bounds(self, weights: dict[str, float], groups: list[list[str]]) -> DataFrame:
         """(slot, bound): the highest score that a document of a slot can reach, of slots with a term of every group."""
-        heads = self._weighed(self.blocks.of(list(weights)).select("term", "slot", "most"), weights)
+        heads = self._weighed(self.blocks.heads(list(weights)), weights)
         sums = heads.groupBy("slot").agg(F.sum(F.col("weight") * F.col("most")).alias("bound"), F.collect_set("term").alias("held"))
         for group in groups:
             sums = sums.where(F.arrays_overlap("held", F.array(*map(F.lit, group))))

@@ -429,3 +429,15 @@ def test_rows_of_the_last_deletions_are_read_without_a_join(spark):
     assert joins() == 1 and held() == "adefg"
     store.delete("raw", F.col("v").isin("d", "g"))
     assert held() == "aef"
+
+
+def test_a_term_is_one_row_for_many_slots(spark):
+    rows = [(k, "one two" + " two" * (k % 3)) for k in range(640)]
+    index = search_index.SearchIndex(search_index.tokenised(spark.createDataFrame(rows, "id long, text string").coalesce(1), "id", "text"))
+    blocks = index.blocks
+    assert spark.read.parquet(blocks.sorted.path).count() == 2 * -(-640 // (search_index.SLOT * search_index.TOGETHER))
+    assert blocks.rows().select("term", "slot").distinct().count() == 2 * 640 // search_index.SLOT == blocks.rows().count()
+    heads = {(r.term, r.slot): r.most for r in blocks.heads(["one", "two"]).collect()}
+    assert heads == {(r.term, r.slot): r.most for r in blocks.rows().collect()}
+    for r in index.postings().withColumn("gain", index._gain(F.col("tf"), F.col("size"))).collect():
+        assert r.tf == (1 if r.term == "one" else 1 + r.id % 3) and r.size == 2 + r.id % 3 and r.gain <= max(heads.values())
