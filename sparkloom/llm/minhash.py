@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import mixed, odd_numbers, runs, saved, sized
+from sparkloom.llm.common import mixed, odd_numbers, runs, saved, sized, trimmed
 from sparkloom.llm.components import components
 from sparkloom.llm.words import by_bytes, grams, hashed
 
@@ -105,7 +105,7 @@ def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
             ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, schema.field(3).type), pa.array(sketches, schema.field(4).type)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(sign), "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -117,7 +117,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.list_(pa.int64()))], names=["id", "hashes"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return rows.join(sized(ids), "id", "left_semi").mapInArrow(make, "id long, hashes array<long>").dropDuplicates(["id"])
+    return rows.join(sized(ids), "id", "left_semi").mapInArrow(trimmed(make), "id long, hashes array<long>").dropDuplicates(["id"])
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
@@ -226,10 +226,10 @@ def _across_links(buckets: DataFrame, classes: DataFrame, known: DataFrame, docs
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], names=["a", "b"])
 
     gathered = dealt.join(traits, "rep").repartition(*place).sortWithinPartitions(*place)
-    meetings = saved(gathered.mapInArrow(meet, "key long, i int, j int, mine int, rep long, part long"), "meetings")
+    meetings = saved(gathered.mapInArrow(trimmed(meet), "key long, i int, j int, mine int, rep long, part long"), "meetings")
     sets = _sets(docs, saved(meetings.select(F.col("rep").alias("id")).distinct(), "ids"), words)
     full = meetings.join(traits, "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
-    return full.repartition(*place).sortWithinPartitions(*place).mapInArrow(confirm, "a long, b long")
+    return full.repartition(*place).sortWithinPartitions(*place).mapInArrow(trimmed(confirm), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:

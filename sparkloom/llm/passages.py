@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import likely, mixed, numbered, saved, sized, slices
+from sparkloom.llm.common import likely, mixed, numbered, saved, sized, slices, trimmed
 from sparkloom.llm.words import by_bytes, grams, hashed, word_hashes
 
 K, RATE, WINDOW, MIN_WORDS, LEAST_SHARE = 5, 7, 16, 50, 0.8
@@ -82,7 +82,7 @@ def _seeds(docs: DataFrame) -> DataFrame:
             ids = batch.column(0).to_numpy(zero_copy_only=False)[text]
             yield pa.RecordBatch.from_arrays([pa.array(seed), pa.array(ids), pa.array(place.astype(np.int32))], names=["key", "doc", "place"])
 
-    return docs.mapInArrow(find, "key long, doc long, place int")
+    return docs.mapInArrow(trimmed(find), "key long, doc long, place int")
 
 
 def _shared(places: DataFrame, name: str) -> DataFrame:
@@ -206,7 +206,7 @@ def _chains(matches: DataFrame, pairs: bool = False) -> DataFrame:
         if held:
             yield from solve(np.concatenate(held))
 
-    return matches.repartition("doc", "other").sortWithinPartitions("doc", "other", "x", "y").mapInArrow(run, "doc long, other long, number int, xs array<int>, ys array<int>")
+    return matches.repartition("doc", "other").sortWithinPartitions("doc", "other", "x", "y").mapInArrow(trimmed(run), "doc long, other long, number int, xs array<int>, ys array<int>")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -342,7 +342,7 @@ def _slices(docs: DataFrame, chains: DataFrame) -> DataFrame:
 
     # Most texts are asked for nothing and aren't shuffled.
     joined = likely(docs, "doc_id", counts).join(asked, F.col("doc_id") == F.col("id")).select("text", "asked")
-    return joined.mapInArrow(cut, "doc long, other long, number int, side int, low int, places array<int>, words binary")
+    return joined.mapInArrow(trimmed(cut), "doc long, other long, number int, side int, low int, places array<int>, words binary")
 
 
 def _aligned(docs: DataFrame, chains: DataFrame) -> DataFrame:
@@ -364,7 +364,7 @@ def _aligned(docs: DataFrame, chains: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=_NAMES)
 
     key = ["doc", "other", "number"]
-    return _slices(docs, chains).repartition(*key).sortWithinPartitions(*key, "side").mapInArrow(run, _FOUND)
+    return _slices(docs, chains).repartition(*key).sortWithinPartitions(*key, "side").mapInArrow(trimmed(run), _FOUND)
 
 
 def stretches(places: np.ndarray) -> list[tuple[int, int]]:
@@ -419,7 +419,7 @@ def _open_seeds(shared: DataFrame, found: DataFrame) -> DataFrame:
                 keys.append(rows[open_, 1])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys))], names=["key"])
 
-    return lists.join(spans, "doc", "left").select("seeds", "spans").mapInArrow(find, "key long").distinct()
+    return lists.join(spans, "doc", "left").select("seeds", "spans").mapInArrow(trimmed(find), "key long").distinct()
 
 
 def _pairs(shared: DataFrame, found: DataFrame) -> DataFrame:
@@ -446,7 +446,7 @@ def _pairs(shared: DataFrame, found: DataFrame) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys))], names=["key"])
 
-    open_ = saved(lists.join(spans, "doc", "left").select("seeds", "spans").mapInArrow(outside, "key long").distinct(), "outside")
+    open_ = saved(lists.join(spans, "doc", "left").select("seeds", "spans").mapInArrow(trimmed(outside), "key long").distinct(), "outside")
     held = shared.join(sized(open_), "key", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("place", "key", "first")).alias("seeds"))
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -465,7 +465,7 @@ def _pairs(shared: DataFrame, found: DataFrame) -> DataFrame:
                 whole = np.concatenate(parts)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in whole.T], names=["key", "doc", "at"])
 
-    return held.mapInArrow(pair, "key long, doc long, at long")
+    return held.mapInArrow(trimmed(pair), "key long, doc long, at long")
 
 
 def _pair_matches(pairs: DataFrame) -> DataFrame:
@@ -485,7 +485,7 @@ def _equal_runs(docs: DataFrame, places: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["id", "lows", "highs"]).filter(keep)
 
     lists = places.groupBy("doc").agg(F.sort_array(F.collect_set("place")).alias("places")).where(F.element_at("places", -1) - F.element_at("places", 1) >= LEAST_EXTENT)
-    wanted = saved(lists.mapInArrow(find, "id long, lows array<int>, highs array<int>"), "stretches")
+    wanted = saved(lists.mapInArrow(trimmed(find), "id long, lows array<int>, highs array<int>"), "stretches")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, 1):
@@ -501,7 +501,7 @@ def _equal_runs(docs: DataFrame, places: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(at))], names=["key", "doc", "place"])
 
     joined = likely(docs, "doc_id", wanted).join(sized(wanted), F.col("doc_id") == F.col("id")).select("doc_id", "text", "lows", "highs")
-    runs = _shared(saved(joined.mapInArrow(cut, "key long, doc long, place int"), "runs"), "shared-runs")
+    runs = _shared(saved(joined.mapInArrow(trimmed(cut), "key long, doc long, place int"), "runs"), "shared-runs")
     matches = _matches(runs).select("doc", "other", (F.col("x") - F.col("y")).alias("diagonal"), "x")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -526,7 +526,7 @@ def _equal_runs(docs: DataFrame, places: DataFrame) -> DataFrame:
         high = high + MIN_WORDS
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (doc, low, high, other, low - diagonal, high - diagonal, high - low)], names=_NAMES)
 
-    return matches.repartition("doc", "other").sortWithinPartitions("doc", "other", "diagonal", "x").mapInArrow(merge, _FOUND)
+    return matches.repartition("doc", "other").sortWithinPartitions("doc", "other", "diagonal", "x").mapInArrow(trimmed(merge), _FOUND)
 
 
 def _copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -552,7 +552,7 @@ def _copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     twice = saved(ids.where("text_id = last and rows > 1").select("doc_id").join(gone.select("doc_id"), "doc_id", "left_anti"), "twice")
     if not twice.isEmpty():
         rest = rest.unionByName(docs.join(sized(twice), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return rest, gone.join(sized(odd), "doc_id", "left_anti").mapInArrow(count, _FOUND)
+    return rest, gone.join(sized(odd), "doc_id", "left_anti").mapInArrow(trimmed(count), _FOUND)
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -621,4 +621,4 @@ def deduplicated(docs: DataFrame, found: DataFrame) -> DataFrame:
                 columns[k] = pa.array([c if s is None or n is None else len(n) for c, n, s in zip(columns[k].to_pylist(), new, spans, strict=True)], columns[k].type)
             yield pa.RecordBatch.from_arrays(columns, names=inner).filter(keep)
 
-    return joined.select(*inner, "spans").mapInArrow(cut, plain.schema).toDF(*names)
+    return joined.select(*inner, "spans").mapInArrow(trimmed(cut), plain.schema).toDF(*names)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import mixed, numbered, odd_numbers, saved
+from sparkloom.llm.common import mixed, numbered, odd_numbers, saved, trimmed
 from sparkloom.llm.words import by_bytes
 
 #: Labelled rows that the classifier is fitted on, of each class.
@@ -41,6 +41,8 @@ PRIOR_ROWS, DOUBT, LEAST_WEIGHT, LEAST_ROWS, LEAST_PART = 10.0, 1.0, 1.0, 3, 0.0
 COUNTED_WORDS = 100_000
 #: Characters of the words whose weights a task keeps, words that are read together; n-grams that it holds before it hands their counts on.
 KEPT_CHARS, READ_WORDS, HELD_GRAMS = 1_000_000, 4_000, 500_000
+#: Bytes of texts that are read together.
+READ_BYTES = 1 << 18
 GRAMS = (5, 6)
 #: Strongest words of a text that count together.
 TOP = 3
@@ -124,7 +126,7 @@ def character_model(docs: DataFrame) -> np.ndarray:
                 cells[:] += np.bincount((np.where(first, 0, before) * SIZE + c[:-1]) * SIZE + c[1:], weight, SIZE**3).astype(np.int64)
             words.clear()
 
-        for batch in by_bytes(batches, 0):
+        for batch in by_bytes(batches, 0, READ_BYTES):
             for text in batch.column(0).to_pylist():
                 if text:
                     words.update(text.split())
@@ -135,7 +137,7 @@ def character_model(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(cells[k])], names=["cell", "n"])
 
     # One row for each cell, whatever the size of the corpus.
-    found = docs.select(F.col("text").cast("string")).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    found = docs.select(F.col("text").cast("string")).mapInArrow(trimmed(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     cells = np.zeros(SIZE**3)
     cells[found["cell"]] = found["n"]
     three = cells.reshape(SIZE, SIZE, SIZE)
@@ -266,10 +268,10 @@ def with_column(docs: DataFrame, name: str, kind: str, make: Callable[[list[str
     inner, place = plain.columns, names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, place):
+        for batch in by_bytes(batches, place, READ_BYTES):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(make(batch.column(place).to_pylist()))], names=[*inner, "made"])
 
-    return plain.mapInArrow(run, plain.withColumn("made", F.lit(None).cast(kind)).schema).toDF(*names, name)
+    return plain.mapInArrow(trimmed(run), plain.withColumn("made", F.lit(None).cast(kind)).schema).toDF(*names, name)
 
 
 def restored_text(docs: DataFrame, model: np.ndarray) -> DataFrame:
@@ -426,7 +428,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Tox
     def counted(wanted: np.ndarray | None):
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams, counts, held = [], [], 0
-            for batch in by_bytes(batches, 0, 1 << 19):
+            for batch in by_bytes(batches, 0, READ_BYTES):
                 found = []
                 for text in batch.column(0).to_pylist():
                     words = list({w for r in readings(list(set(raw_words(text))), characters) for w in r})
@@ -451,7 +453,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Tox
         return count
 
     def rows_of(t: int, wanted: np.ndarray | None) -> DataFrame:
-        return train.where(F.col("toxic") == t).select("text").mapInArrow(counted(wanted), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+        return train.where(F.col("toxic") == t).select("text").mapInArrow(trimmed(counted(wanted)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
     # A text's n-grams divided by LEAST_PART bound these rows, whatever the number of texts.
     toxic = rows_of(1, None).where(F.col("n") >= max(LEAST_ROWS, LEAST_PART * sizes[1])).toPandas().sort_values("gram")
@@ -469,11 +471,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Tox
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = _Words(*without)
-            for batch in by_bytes(batches, 0):
+            for batch in by_bytes(batches, 0, READ_BYTES):
                 x = words.evidence_of(batch.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["strongest", "top"])
 
-        return train.where(F.col("toxic") == t).select("text").mapInArrow(run, "strongest double, top double").toPandas().assign(toxic=t)
+        return train.where(F.col("toxic") == t).select("text").mapInArrow(trimmed(run), "strongest double, top double").toPandas().assign(toxic=t)
 
     seen = pd.concat([evidence(0), evidence(1)])
     return ToxicityModel(characters, *kept(_weights(pos, neg, sizes[1], sizes[0])), _logistic(seen[["strongest", "top"]].to_numpy(), seen["toxic"].to_numpy()))
